@@ -76,3 +76,10 @@ def unpivot_stats(row: DataFrame, columns, stats, keep=(), name="column_name") -
 
 def scaled_rounding(c: Column, digits) -> Column:
     return c if digits is None else F.round(c, digits)
+
+
+def correlation(a, b) -> Column:
+    """Aggregate: Pearson correlation over rows where both are present, null where one is constant."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    sd = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), sd)
