@@ -93,7 +93,7 @@ DIST = " union all ".join(
  select 'temporal' as check, n_bad from ({checks_sql(TEMPORAL)}) union all select 'range', n_bad from ({checks_sql(RANGES)})
  union all select 'business', n_bad from ({checks_sql([b for b in BUSINESS if b[0] != 'many_promotions'])}) union all select 'leakage', n_bad from ({checks_sql(LEAKAGE[:1])})
  union all select 'distribution', case when findings like '%mostly_null%' or findings like '%constant%' then 1 else 0 end from dist union all {DUPS})
-select "check", cast(sum(n_bad) as bigint) n_bad, sum(n_bad)=0 passed from r group by "check"""")
+select "check", cast(sum(n_bad) as bigint) n_bad, sum(n_bad)=0 passed from r group by 1""")
 def c1(spark, sf):
     return qu.run_validations(feature_table(spark, sf))
 
