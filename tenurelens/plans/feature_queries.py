@@ -13,7 +13,8 @@ from tenurelens.plans.registry import query
 from tenurelens.plans.survival_queries import AGE, tidy
 from tenurelens.schema import ENTITY, PERSON, VANTAGE
 from tenurelens.sources import keys
-from tenurelens.sources.tables import read_table
+from tenurelens.sources.shared import new_path
+from tenurelens.sources.tables import read_csv, read_table, save_features
 
 E = "person_composite_id, vantage_date"
 BH = f"with {fx.BASE}, {fx.HIST}"
@@ -557,3 +558,18 @@ def a11(spark, sf):
     f = pipeline.build_first_version(src)
     return tidy(f.select(*ENTITY, "age_at_vantage", "promot_2yr_ind", "transfer_2yr_reloc_ind", "promot_rt", "num_city_chng",
                          "is_manager_ind", "num_job_chng_2yr"))
+
+
+@query("a9_csv_dimension", "select n_nationkey, n_name, n_regionkey from nation")
+def a9(spark, sf):
+    path = new_path(spark, "nation-csv")
+    read_table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("a12_save_features", f"with {fx.BASE} select {E}, company_size_tier, clnt_obj_id from (select *, case when n<100 then 'Small' when n<1000 then 'Medium' when n<10000 then 'Large' else 'Enterprise' end company_size_tier from (select *, count(*) over (partition by clnt_obj_id, vantage_date) n from base))")
+def a12(spark, sf):
+    f = pr.add_company_factors_features(fx.base(spark, sf))
+    path = new_path(spark, "features")
+    save_features(f, [*ENTITY, "company_size_tier", "clnt_obj_id", "not_there"], path=path)
+    return spark.read.parquet(path).select(*ENTITY, "company_size_tier", "clnt_obj_id")
