@@ -22,9 +22,10 @@ def pin_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
     A table with more than ``rows`` rows is returned as it was and is joined by shuffle.
     """
-    got = df.limit(rows + 1).collect()
-    if len(got) > rows:
+    got = df.limit(rows + 1).toArrow()
+    if got.num_rows > rows:
         return df
+    # from Arrow it becomes a local relation whose size the planner can see
     return df.sparkSession.createDataFrame(got, df.schema)
 
 
@@ -35,23 +36,27 @@ def value_bucket(c: Column) -> Column:
 
 
 def running_totals(df: DataFrame, by, order: str, totals, descending=False) -> DataFrame:
-    """Inclusive running sums ``cum_<c>`` along ``order`` within ``by``, in two stages.
+    """Inclusive running sums ``cum_<c>`` and sums of the whole group ``all_<c>``, in two stages.
 
-    ``df`` holds one row per (by, order).  Totals per bucket give each bucket its
-    offset; the sums inside a bucket then need only that bucket's rows.
+    The sums run along ``order`` within ``by``; ``df`` holds one row per (by, order).
+    Totals per bucket give each bucket its offset; the sums inside a bucket then
+    need only that bucket's rows.
     """
     by = list(by)
     d = df.withColumn("_b", value_bucket(F.col(order)))
     per_bucket = d.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in totals])
     b = F.desc("_b") if descending else F.asc("_b")
     before = W.partitionBy(*(by or [F.lit(0)])).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*(by or [F.lit(0)]))
     offsets = per_bucket.select(
-        *by, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in totals])
+        *by, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in totals],
+        *[F.sum(f"_t_{c}").over(whole).alias(f"all_{c}") for c in totals])
     inside = W.partitionBy(*by, "_b").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(
         W.unboundedPreceding, 0)
     joined = null_safe_join(d, offsets, by + ["_b"], "inner")
     kept = [c for c in df.columns]
-    return joined.select(*kept, *[(F.sum(c).over(inside) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in totals])
+    return joined.select(*kept, *[(F.sum(c).over(inside) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in totals],
+                         *[f"all_{c}" for c in totals])
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on, how="left") -> DataFrame:
@@ -68,11 +73,9 @@ def percent_rank_by(df: DataFrame, by, order: str, out: str) -> DataFrame:
     """
     by = list(by)
     counts = df.where(F.col(order).isNotNull()).groupBy(*by, order).agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_totals(counts, by, order, ["_n"])
-    size = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    ranks = null_safe_join(cum, size, by, "inner").select(
-        *by, order,
-        F.when(F.col("_size") > 1, (F.col("cum__n") - F.col("_n")) / (F.col("_size") - 1)).otherwise(0.0).alias(out))
+    size = F.col("all__n")
+    ranks = running_totals(counts, by, order, ["_n"]).select(
+        *by, order, F.when(size > 1, (F.col("cum__n") - F.col("_n")) / (size - 1)).otherwise(0.0).alias(out))
     on = by + [order]
     return null_safe_join(df, ranks, on, "left")
 

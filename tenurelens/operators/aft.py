@@ -9,7 +9,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenurelens.functions.columns import correlation, log_normal_sf, normal_cdf, ratio
@@ -151,14 +150,12 @@ def fit_aft(df: DataFrame, features, dist="logistic", time="time", event="event"
         theta = np.zeros(k + 1)
         theta[0], theta[k] = m["y"], math.log(m["s"] or 1.0)
 
-        def sums(par, deriv=True):
+        def sums(par):
             sigma = math.exp(par[k])
             eta = sum((xi * float(b) for xi, b in zip(x, par[:k])), F.lit(0.0))
             z = (F.col("_y") - eta) / sigma
-            ll = F.when(F.col("_e"), log_density(dist, z) - math.log(sigma)).otherwise(log_survival(dist, z))
-            if not deriv:
-                return data.agg(F.sum(ll).alias("ll")).first()["ll"]
             a, b = _derivatives(dist, z, F.col("_e"))
+            ll = F.when(F.col("_e"), log_density(dist, z) - math.log(sigma)).otherwise(log_survival(dist, z))
             d = data.withColumns({"_z": z, "_a": a, "_b": b, "_l": ll})
             d = d.withColumns({f"_x{i}": xi for i, xi in enumerate(x)})
             e = F.col("_e").cast("double")
@@ -173,28 +170,28 @@ def fit_aft(df: DataFrame, features, dist="logistic", time="time", event="event"
             hess = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
             return r["ll"], grad, hess
 
-        steps = 0
-        for steps in range(1, max_steps + 1):
-            ll, grad, hess = sums(theta)
+        steps, (ll, grad, hess) = 0, sums(theta)
+        while steps < max_steps:
+            steps += 1
             try:
                 move = np.linalg.solve(hess - ridge * max(1.0, abs(np.trace(hess))) * np.eye(k + 1), -grad)
             except np.linalg.LinAlgError:
                 move = grad / max(1.0, np.abs(hess).max())
             if grad @ move < 0:  # not uphill: follow the gradient instead
                 move = grad / max(1.0, np.abs(np.diag(hess)).max())
-            size = 1.0
-            while size > 1e-6:
-                new = sums(theta + size * move, deriv=False)
-                if new is not None and math.isfinite(new) and new >= ll - 1e-12:
-                    break
-                size /= 2
-            else:
+            size, better = 1.0, None
+            while size > 1e-6 and better is None:
+                new = sums(theta + size * move)
+                if new[0] is not None and math.isfinite(new[0]) and new[0] >= ll - 1e-9 * abs(ll):
+                    better = new
+                else:
+                    size /= 2
+            if better is None:
                 break
-            theta = theta + size * move
-            if abs(new - ll) < tol * (abs(ll) + 1.0):
-                ll = new
+            theta, gain = theta + size * move, better[0] - ll
+            ll, grad, hess = better
+            if abs(gain) < tol * (abs(ll) + 1.0):
                 break
-            ll = new
         coef = theta[1:k] / sd
         return AftModel(features, coef.tolist(), float(theta[0] - (coef * mean).sum()), float(math.exp(theta[k])), dist, float(ll), steps)
     finally:
@@ -302,10 +299,12 @@ def curve_quality(df: DataFrame, dist: str, sigma: float, by=("dataset",)) -> Da
         ratio(F.stddev_pop(last), F.avg(last), float("inf")).alias("coefficient_of_variation"))
 
 
-def monotonicity_violations(curves: DataFrame, keys=("id",)) -> DataFrame:
-    """Days on which a survival curve rises."""
-    prev = F.lag("surv").over(W.partitionBy(*keys).orderBy("t"))
-    return curves.withColumn("_p", prev).agg(F.count_if(F.col("surv") > F.col("_p")).alias("violations"), F.count(F.lit(1)).alias("points"))
+def monotonicity_violations(df: DataFrame, dist: str, sigma: float, last_day=MAX_DAY) -> DataFrame:
+    """Days on which a survival curve rises; each day is compared with the one before in its own row."""
+    d = df.select("eta", F.explode(F.sequence(F.lit(1), F.lit(last_day))).alias("t"))
+    now = survival(dist, zscore("t", "eta", sigma))
+    before = survival(dist, zscore(F.col("t") - 1, "eta", sigma))
+    return d.agg(F.count_if((F.col("t") > 1) & (now > before)).alias("violations"), F.count(F.lit(1)).alias("points"))
 
 
 def calibration_slope(df: DataFrame, by=("dataset",)) -> DataFrame:

@@ -105,11 +105,9 @@ def threshold_table(rows: DataFrame, score="p", key=H) -> DataFrame:
     """Confusion counts at every distinct score used as threshold (flagged if score >= threshold)."""
     c = rows.groupBy(*key, score).agg(F.sum("y").cast("long").alias("pos"), F.count(F.lit(1)).alias("n"))
     cum = running_totals(c, key, score, ["pos", "n"], descending=True)
-    tot = pin_small(c.groupBy(*key).agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_total")))
-    j = cum.join(tot, list(key))
     tp = F.col("cum_pos")
-    return j.select(*key, F.col(score).alias("threshold"), tp.alias("tp"), (F.col("cum_n") - tp).alias("fp"), (F.col("_pos") - tp).alias("fn"),
-                    (F.col("_total") - F.col("_pos") - F.col("cum_n") + tp).alias("tn"))
+    return cum.select(*key, F.col(score).alias("threshold"), tp.alias("tp"), (F.col("cum_n") - tp).alias("fp"), (F.col("all_pos") - tp).alias("fn"),
+                    (F.col("all_n") - F.col("all_pos") - F.col("cum_n") + tp).alias("tn"))
 
 
 def _rates():

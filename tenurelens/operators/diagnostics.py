@@ -28,11 +28,9 @@ def residuals(df: DataFrame, dist: str, sigma: float) -> DataFrame:
 def ks_statistic(df: DataFrame, value: str, cdf, by=BY) -> DataFrame:
     """Largest gap between the empirical and a given distribution function."""
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    cum = running_totals(c, by, value, ["c"])
-    n = pin_small(c.groupBy(*by).agg(F.sum("c").alias("n")))
-    f = cdf(F.col(value))
-    gap = F.greatest(F.col("cum_c") / F.col("n") - f, f - (F.col("cum_c") - F.col("c")) / F.col("n"))
-    return cum.join(n, list(by)).groupBy(*by).agg(F.max(gap).alias("ks"), F.first("n").alias("n"))
+    cum, n, f = running_totals(c, by, value, ["c"]), F.col("all_c"), cdf(F.col(value))
+    gap = F.greatest(F.col("cum_c") / n - f, f - (F.col("cum_c") - F.col("c")) / n)
+    return cum.groupBy(*by).agg(F.max(gap).alias("ks"), F.max("all_c").alias("n"))
 
 
 def ks_p_value(ks, n):
@@ -131,11 +129,10 @@ def capture_curve(df: DataFrame, risk="risk", by=BY, points=20) -> DataFrame:
     by = list(by)
     d = df.groupBy(*by, risk).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("event").cast("double").alias("e"))
     d = running_totals(d, by, risk, ["n", "e"], descending=True)
-    tot = pin_small(d.groupBy(*by).agg(F.sum("n").alias("_size"), F.sum("e").alias("_events")))
-    x = d.join(tot, by).withColumn("share", F.explode(F.array(*[F.lit(i / points) for i in range(1, points + 1)])))
+    x = d.withColumn("share", F.explode(F.array(*[F.lit(i / points) for i in range(1, points + 1)])))
     start = F.col("cum_n") - F.col("n")
-    inside = F.least(F.greatest(F.col("share") * F.col("_size") - start, F.lit(0.0)), F.col("n")) * F.col("e") / F.col("n")
-    return x.groupBy(*by, "share").agg(F.try_divide(F.sum(inside), F.first("_events")).alias("captured"))
+    inside = F.least(F.greatest(F.col("share") * F.col("all_n") - start, F.lit(0.0)), F.col("n")) * F.col("e") / F.col("n")
+    return x.groupBy(*by, "share").agg(F.try_divide(F.sum(inside), F.max("all_e")).alias("captured"))
 
 
 def tail_separation(df: DataFrame, risk="risk", by=BY) -> DataFrame:

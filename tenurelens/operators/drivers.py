@@ -31,15 +31,22 @@ def contributions(df: DataFrame, eta, features, risk_stats: dict) -> DataFrame:
     return d.withColumn("drivers", F.array(*cells))
 
 
-def fold_to_source(df: DataFrame, lineage: dict) -> DataFrame:
-    """Keep, per source feature, the driver of largest absolute contribution (first one of equals)."""
-    pairs = [F.lit(x) for kv in lineage.items() for x in kv]
-    named = F.transform("drivers", lambda d: F.struct(F.coalesce(F.try_element_at(F.create_map(*pairs), d["feature"]), d["feature"]).alias("feature"), d["contribution"].alias("contribution")))
-    d = df.withColumn("_n", named)
-    strongest = lambda name: F.array_max(F.transform(F.filter("_n", lambda x: x["feature"] == name), lambda x: F.abs(x["contribution"])))
-    kept = F.transform(F.array_distinct(F.transform("_n", lambda x: x["feature"])),
-                       lambda name: F.element_at(F.filter("_n", lambda x: (x["feature"] == name) & (F.abs(x["contribution"]) == strongest(name))), 1))
-    return d.withColumn("drivers", kept).drop("_n")
+def fold_to_source(df: DataFrame, lineage: dict, features) -> DataFrame:
+    """Keep, per source feature, the driver of largest absolute contribution (first one of equals).
+
+    ``features`` are those given to ``contributions``, in the same order.
+    """
+    groups = {}
+    for i, f in enumerate(features):
+        groups.setdefault(lineage.get(f, f), []).append(i)
+
+    def strongest(members):
+        c = [F.col("drivers")[i]["contribution"] for i in members]
+        ranked = [F.struct(F.abs(x).alias("size"), F.lit(-i).alias("order"), x.alias("contribution")) for i, x in zip(members, c)]
+        return (F.greatest(*ranked) if len(ranked) > 1 else ranked[0])["contribution"]
+
+    kept = [F.struct(F.lit(name).alias("feature"), strongest(m).alias("contribution")) for name, m in groups.items()]
+    return df.withColumn("drivers", F.array(*kept))
 
 
 def _strongest(cond, n) -> Column:

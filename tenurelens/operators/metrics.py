@@ -174,14 +174,14 @@ def lorenz(df: DataFrame, score: str, by=BY) -> DataFrame:
     by = list(by)
     d = df.groupBy(*by, score).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("event").cast("double").alias("e"))
     d = running_totals(d, by, score, ["n", "e"], descending=True)
-    tot = d.groupBy(*by).agg(F.sum("n").alias("_size"), F.sum("e").alias("_events"), F.max_by(F.col("e") / F.col("n"), score).alias("first_rate"))
-    j = d.join(pin_small(tot), by)
     # the curve starts at the first person, hence the cut of the first half step
-    area = F.sum(F.col("n") * (F.col("cum_e") - 0.5 * F.col("e"))) / (F.first("_size") * F.first("_events")) - F.first("first_rate") / (2 * F.first("_size") * F.first("_events"))
-    k = F.floor(F.col("_size") / 10) + 1
+    whole = F.max("all_n") * F.max("all_e")
+    first_rate = F.max_by(F.col("e") / F.col("n"), score)
+    area = F.sum(F.col("n") * (F.col("cum_e") - 0.5 * F.col("e"))) / whole - first_rate / (2 * whole)
+    k = F.floor(F.col("all_n") / 10) + 1
     start = F.col("cum_n") - F.col("n")
     inside = F.least(F.greatest(k - start, F.lit(0.0)), F.col("n")) * F.col("e") / F.col("n")
-    out = j.groupBy(*by).agg(area.alias("auc_lorenz"), (F.sum(inside) / F.first("_events")).alias("top_decile_capture"))
+    out = d.groupBy(*by).agg(area.alias("auc_lorenz"), (F.sum(inside) / F.max("all_e")).alias("top_decile_capture"))
     return out.withColumn("gini", F.least(F.greatest(2 * F.col("auc_lorenz") - 1, F.lit(0.0)), F.lit(1.0)))
 
 

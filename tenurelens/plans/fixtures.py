@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tenurelens.sources.shared import materialize
 from tenurelens.sources.tables import read_table
 from tenurelens.schema import ENTITY, PERSON
 
@@ -184,7 +185,12 @@ TERM = """term as (
 
 
 def survival(spark: SparkSession, sf: str) -> DataFrame:
-    """Right-censored times: days to the next order, censored at status P, data end or day 365."""
+    """Right-censored times, written once per session: most evaluations read them several times."""
+    return materialize(spark, "survival", sf, lambda: build_survival(spark, sf))
+
+
+def build_survival(spark: SparkSession, sf: str) -> DataFrame:
+    """Days to the next order, censored at status P, data end or day 365."""
     o = read_table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("od"), "o_orderdate", "o_orderstatus",
         "o_orderpriority", "o_totalprice")

@@ -167,7 +167,7 @@ def g11(spark, sf):
 
 @query("g11_monotonicity", f"{SC} select 0 violations, count(*)*365 points from scored")
 def g11_mono(spark, sf):
-    return aft.monotonicity_violations(aft.survival_curves(fx.scored(spark, sf), DIST, S))
+    return aft.monotonicity_violations(fx.scored(spark, sf), DIST, S)
 
 
 GC = km_sql("g", "(select dataset, time, 1-event ce from scored)", ["dataset"], "time", "ce") + ", gs as (select *, coalesce(lag(S_left) over (partition by dataset order by t),1.0) S_shift from g)"

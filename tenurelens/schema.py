@@ -7,7 +7,7 @@ ENTITY = [PERSON, VANTAGE]
 EFFECTIVE = "rec_eff_start_dt_mod"
 
 # Largest table that may be pinned on the driver and broadcast from there.
-SMALL_ROWS = 50_000
+SMALL_ROWS = 20_000
 
 HORIZONS = [30, 90, 180, 365]
 MAX_DAY = 365

@@ -22,6 +22,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: dict = {}
+
+
+def materialize(spark: SparkSession, name: str, key: str, build) -> DataFrame:
+    """A table several passes read: written once per session to the shared folder."""
+    slot = (spark.sparkContext.applicationId, name, key)
+    if slot not in _WRITTEN:
+        path = new_path(spark, name)
+        build().write.parquet(path)
+        _WRITTEN[slot] = path
+    return spark.read.parquet(_WRITTEN[slot])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there; survives lost executors."""
     shared_folder(df.sparkSession)
