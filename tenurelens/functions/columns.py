@@ -17,6 +17,26 @@ def ratio(a, b, default=None) -> Column:
     return r if default is None else F.coalesce(r, F.lit(default))
 
 
+def clamp(c, low, high) -> Column:
+    """Value cut to [low, high]; null stays null (least and greatest skip nulls)."""
+    c = col(c)
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
+
+
+def cap(c, high) -> Column:
+    """Value cut from above; null stays null."""
+    c = col(c)
+    return F.when(c.isNotNull(), F.least(c, F.lit(high)))
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Columns of several one-row tables side by side, without a join."""
+    both = frames[0]
+    for f in frames[1:]:
+        both = both.unionByName(f, allowMissingColumns=True)
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
+
+
 def r6(c) -> Column:
     """Round for reports; adding 0.0 turns a negative zero into zero."""
     return F.round(col(c), 6) + F.lit(0.0)

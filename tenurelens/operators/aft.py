@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenurelens.functions.columns import correlation, log_normal_sf, normal_cdf, ratio
+from tenurelens.functions.columns import clamp, correlation, log_normal_sf, normal_cdf, ratio
 from tenurelens.functions.scale import exact_quantiles
 from tenurelens.schema import HORIZONS, MAX_DAY
 
@@ -40,7 +40,7 @@ def raw_survival(dist: str, z: Column) -> Column:
 
 def survival(dist: str, z: Column) -> Column:
     """S clipped away from 0 and 1."""
-    return F.least(F.greatest(raw_survival(dist, z), F.lit(CLIP)), F.lit(1.0 - CLIP))
+    return clamp(raw_survival(dist, z), CLIP, 1.0 - CLIP)
 
 
 def event_probability(dist: str, sigma: float, horizon, eta="eta") -> Column:
@@ -136,39 +136,44 @@ def fit_aft(df: DataFrame, features, dist="logistic", time="time", event="event"
     and scaled by their own moments so that the system is well conditioned.
     """
     features = list(features)
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.log(F.col(time).cast("double")).alias("_y"),
-                     (F.col(event) == 1).alias("_e")).na.drop().persist()
+    raw = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.log(F.col(time).cast("double")).alias("_y"),
+                    (F.col(event) == 1).alias("_e")).na.drop()
+    m = raw.agg(F.avg("_y").alias("y"), F.stddev_pop("_y").alias("s"), *[F.avg(c).alias(f"m_{c}") for c in features],
+                *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
+    if m["y"] is None:
+        raise ValueError("no complete rows to fit")
+    mean = np.array([m[f"m_{c}"] for c in features])
+    sd = np.array([m[f"s_{c}"] or 1.0 for c in features])
+    k = len(features) + 1
+    x = [F.lit(1.0)] + [F.col(f"_x{i}") for i in range(1, k)]
+    data = raw.select("_y", "_e", *[((F.col(c) - float(a)) / float(b)).alias(f"_x{i}") for i, (c, a, b) in enumerate(zip(features, mean, sd), 1)]).persist()
     try:
-        m = data.agg(F.avg("_y").alias("y"), F.stddev_pop("_y").alias("s"), *[F.avg(c).alias(f"m_{c}") for c in features],
-                     *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
-        if m["y"] is None:
-            raise ValueError("no complete rows to fit")
-        mean = np.array([m[f"m_{c}"] for c in features])
-        sd = np.array([m[f"s_{c}"] or 1.0 for c in features])
-        k = len(features) + 1
-        x = [F.lit(1.0)] + [(F.col(c) - float(a)) / float(b) for c, a, b in zip(features, mean, sd)]
         theta = np.zeros(k + 1)
         theta[0], theta[k] = m["y"], math.log(m["s"] or 1.0)
 
         def sums(par):
+            """Likelihood, gradient and Hessian; the powers of sigma are applied to the sums."""
             sigma = math.exp(par[k])
-            eta = sum((xi * float(b) for xi, b in zip(x, par[:k])), F.lit(0.0))
-            z = (F.col("_y") - eta) / sigma
-            a, b = _derivatives(dist, z, F.col("_e"))
-            ll = F.when(F.col("_e"), log_density(dist, z) - math.log(sigma)).otherwise(log_survival(dist, z))
-            d = data.withColumns({"_z": z, "_a": a, "_b": b, "_l": ll})
-            d = d.withColumns({f"_x{i}": xi for i, xi in enumerate(x)})
-            e = F.col("_e").cast("double")
-            cols = [F.sum("_l").alias("ll"), F.sum(-F.col("_z") * F.col("_a") - e).alias(f"g{k}"),
-                    F.sum(F.col("_z") * F.col("_a") + F.col("_z") * F.col("_z") * F.col("_b")).alias(f"h{k}_{k}")]
+            eta = sum((xi * float(b) for xi, b in zip(x[1:], par[1:k])), F.lit(float(par[0])))
+            a, b = _derivatives(dist, F.col("_z"), F.col("_e"))
+            ll = F.when(F.col("_e"), log_density(dist, F.col("_z"))).otherwise(log_survival(dist, F.col("_z")))
+            d = data.withColumn("_z", (F.col("_y") - eta) / sigma).select("*", a.alias("_a"), b.alias("_b"), ll.alias("_l"))
+            d = d.select("*", (F.col("_a") + F.col("_z") * F.col("_b")).alias("_m"))
+            cols = [F.sum("_l").alias("ll"), F.count_if("_e").alias("e"), F.sum(F.col("_z") * F.col("_a")).alias("za"), F.sum(F.col("_z") * F.col("_m")).alias("zm")]
             for i in range(k):
-                cols.append(F.sum(-F.col("_a") * F.col(f"_x{i}") / sigma).alias(f"g{i}"))
-                cols.append(F.sum((F.col("_a") + F.col("_z") * F.col("_b")) * F.col(f"_x{i}") / sigma).alias(f"h{i}_{k}"))
-                cols += [F.sum(F.col("_b") * F.col(f"_x{i}") * F.col(f"_x{j}") / sigma ** 2).alias(f"h{i}_{j}") for j in range(i, k)]
+                cols += [F.sum(F.col("_a") * x[i]).alias(f"g{i}"), F.sum(F.col("_m") * x[i]).alias(f"m{i}")]
+                cols += [F.sum(F.col("_b") * x[i] * x[j]).alias(f"h{i}_{j}") for j in range(i, k)]
             r = d.agg(*cols).first()
-            grad = np.array([r[f"g{i}"] for i in range(k + 1)])
-            hess = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
-            return r["ll"], grad, hess
+            if r["ll"] is None:
+                return float("nan"), None, None
+            grad = np.array([-r[f"g{i}"] / sigma for i in range(k)] + [-r["za"] - r["e"]])
+            hess = np.empty((k + 1, k + 1))
+            for i in range(k):
+                hess[i, k] = hess[k, i] = r[f"m{i}"] / sigma
+                for j in range(i, k):
+                    hess[i, j] = hess[j, i] = r[f"h{i}_{j}"] / sigma ** 2
+            hess[k, k] = r["zm"]
+            return r["ll"] - r["e"] * par[k], grad, hess
 
         steps, (ll, grad, hess) = 0, sums(theta)
         while steps < max_steps:
@@ -182,7 +187,7 @@ def fit_aft(df: DataFrame, features, dist="logistic", time="time", event="event"
             size, better = 1.0, None
             while size > 1e-6 and better is None:
                 new = sums(theta + size * move)
-                if new[0] is not None and math.isfinite(new[0]) and new[0] >= ll - 1e-9 * abs(ll):
+                if math.isfinite(new[0]) and new[0] >= ll - 1e-9 * abs(ll):
                     better = new
                 else:
                     size /= 2
@@ -221,7 +226,7 @@ def risk_scores(df: DataFrame, stats: dict, output="risk") -> DataFrame:
     """-eta scaled by the reference range and cut to 0..1 (0 where the range is empty)."""
     span = stats["max"] - stats["min"]
     raw = (-F.col("eta") - stats["min"]) / span if span else F.lit(0.0)
-    return df.withColumn(output, F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
+    return df.withColumn(output, clamp(raw, 0.0, 1.0))
 
 
 def residual_scales(df: DataFrame, by=()) -> DataFrame:

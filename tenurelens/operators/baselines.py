@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenurelens.functions.bootstrap import hash_uniform
-from tenurelens.functions.columns import ladder
+from tenurelens.functions.columns import ladder, one_row
 from tenurelens.functions.scale import pin_small
 from tenurelens.operators.metrics import concordance
 from tenurelens.operators.survival import km_curve
@@ -86,15 +86,13 @@ def min_time_brier(scored: DataFrame, horizon=365, prediction="prediction") -> D
 
 def baseline_metrics(train: DataFrame, test: DataFrame, strata: dict, key="id", horizon=365) -> DataFrame:
     """One row per baseline: concordance, Brier, log-likelihood.  ``strata`` maps name to (column, minimum rows)."""
-    def row(name, pred, ll, c_index=None):
+    def row(name, pred, ll):
         b = min_time_brier(pred, horizon)
-        c = pred.sparkSession.createDataFrame([(0.5,)], "c_index double") if c_index is not None else concordance(
-            pred.withColumn("_risk", -F.col("prediction")).withColumn("_g", F.lit("all")), "_risk", ["_g"]).select("c_index")
-        parts = [x.withColumn("_k", F.lit(1)) for x in (c, b, ll)]
-        return reduce(lambda p, q: p.join(q, "_k"), parts).select(F.lit(name).alias("baseline"), "c_index", "brier", "log_likelihood")
+        c = concordance(pred.select("time", "event", (-F.col("prediction")).alias("_risk"), F.lit("all").alias("_g")), "_risk", ["_g"]).select("c_index")
+        return one_row(c, b, ll).select(F.lit(name).alias("baseline"), "c_index", "brier", "log_likelihood")
 
     one = lambda d: d.withColumn("_all", F.lit("all"))
-    rows = [row("population", population_predictions(train, test, horizon), km_log_likelihood(one(train), one(test), "_all", 1), 0.5)]
+    rows = [row("population", population_predictions(train, test, horizon), km_log_likelihood(one(train), one(test), "_all", 1))]
     for name, (col, least) in strata.items():
         rows.append(row(name, km_predictions(train, test, col, least, horizon), km_log_likelihood(train, test, col, least)))
     rnd = random_predictions(test, key)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tenurelens.functions.columns import correlation, ratio, stack
+from tenurelens.functions.columns import correlation, one_row, ratio, stack
 from tenurelens.functions.scale import exact_quantiles
 from tenurelens.operators.quality import distinct_counts, moments, null_counts, numeric_columns, text_columns
 from tenurelens.rules import AGE_LIMITS, CRITICAL_FEATURES, FEATURE_GROUPS, FEATURE_RULES, MAX_SPAN, MAX_TENURE_DAYS, SALARY_LIMITS, group_of
@@ -59,9 +59,9 @@ def quality_metrics(df: DataFrame) -> DataFrame:
     # a column is constant when its smallest and largest values agree
     nums = numeric_columns(df)
     flat = df.agg(*[F.when(F.min(c) == F.max(c), 1).when(F.min(c).isNull(), 1).otherwise(0).alias(c) for c in nums])
-    zero = flat.select(sum((F.col(c) for c in nums), F.lit(0)).alias("zero_variance_columns"), F.lit(1).alias("_k"))
+    zero = flat.select(sum((F.col(c) for c in nums), F.lit(0)).alias("zero_variance_columns"))
     rate = ratio("total_nulls", "total_cells", 0.0) * 100
-    return n.withColumn("_k", F.lit(1)).join(zero, "_k").drop("_k").withColumns(
+    return one_row(n, zero).withColumns(
         {"overall_null_rate": rate, "quality_score": 100 - rate})
 
 
@@ -132,10 +132,11 @@ def correlations(df: DataFrame, columns=None, threshold=0.8) -> DataFrame:
     """Pairs of numeric columns with absolute correlation above the threshold; all pairs in one pass."""
     columns = columns or numeric_columns(df)
     pairs = list(combinations(columns, 2))
-    row = df.agg(*[correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.abs(F.col(f"c{i}")).alias("correlation")) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*cells)).alias("r")).select("r.*").where(
-        F.col("correlation") > threshold)
+    cells = [F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]
+    long = df.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+    # one aggregation state per pair and task; rows never leave their task
+    c = long.groupBy("feature1", "feature2").agg(F.abs(correlation("x", "y")).alias("correlation"))
+    return c.where(F.col("correlation") > threshold)
 
 
 def feature_profile(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenurelens.functions.columns import clamp
+
 # fixed values: features that trigger a recommendation
 SALARY_FACTORS = ["baseline_salary", "compensation_percentile_company", "peer_salary_ratio", "salary_growth_rate_12m"]
 PROMOTION_FACTORS = ["time_since_last_promotion", "promotion_velocity", "pay_grade_stagnation_months", "days_since_promot"]
@@ -19,7 +21,7 @@ def contributions(df: DataFrame, eta, features, risk_stats: dict) -> DataFrame:
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     span = risk_stats["max"] - risk_stats["min"]
-    risk = lambda e: F.least(F.greatest((-e - risk_stats["min"]) / span, F.lit(0.0)), F.lit(1.0))
+    risk = lambda e: clamp((-e - risk_stats["min"]) / span, 0.0, 1.0)
     here = lambda name: F.col(name)
 
     def blank(target):
@@ -41,12 +43,13 @@ def fold_to_source(df: DataFrame, lineage: dict, features) -> DataFrame:
         groups.setdefault(lineage.get(f, f), []).append(i)
 
     def strongest(members):
-        c = [F.col("drivers")[i]["contribution"] for i in members]
+        c = [F.col("_values")[i] for i in members]
         ranked = [F.struct(F.abs(x).alias("size"), F.lit(-i).alias("order"), x.alias("contribution")) for i, x in zip(members, c)]
         return (F.greatest(*ranked) if len(ranked) > 1 else ranked[0])["contribution"]
 
     kept = [F.struct(F.lit(name).alias("feature"), strongest(m).alias("contribution")) for name, m in groups.items()]
-    return df.withColumn("drivers", F.array(*kept))
+    values = F.transform("drivers", lambda d: d["contribution"])
+    return df.withColumn("_values", values).withColumn("drivers", F.array(*kept)).drop("_values")
 
 
 def _strongest(cond, n) -> Column:
@@ -91,7 +94,6 @@ def recommendations(df: DataFrame, salary_ite=None, promotion_ite=None) -> DataF
 def common_factors(df: DataFrame, cohort: Column, n=3, k=5) -> DataFrame:
     """The k most frequent top-n risk factors of a cohort, over all of its people."""
     d = top_factors(df.where(cohort), n)
-    size = d.agg(F.count(F.lit(1)).alias("cohort_size")).withColumn("_k", F.lit(1))
+    size = max(d.count(), 1)
     f = d.select(F.explode("risk_factors").alias("d")).groupBy(F.col("d.feature").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
-    top = f.orderBy(F.desc("n"), "feature").limit(k).withColumn("_k", F.lit(1))
-    return top.join(size, "_k").select("feature", "n", (F.col("n") / F.col("cohort_size") * 100).alias("frequency_pct"))
+    return f.orderBy(F.desc("n"), "feature").limit(k).select("feature", "n", (F.col("n") / F.lit(size) * 100).alias("frequency_pct"))

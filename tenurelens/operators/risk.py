@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenurelens.functions.columns import ladder, normal_cdf, ratio
@@ -23,8 +24,8 @@ def banded(df: DataFrame, high: float, medium: float, risk="risk") -> DataFrame:
 def band_statistics(b: DataFrame, risk="risk") -> DataFrame:
     """Size, share, mean, range per band and the intervention priority of the whole."""
     g = b.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg(risk).alias("mean_risk"), F.min(risk).alias("min_risk"), F.max(risk).alias("max_risk"))
-    all_bands = g.agg(F.sum("n").alias("_all"), F.sum(F.when(F.col("band") == "High", F.col("n")).otherwise(0)).alias("_high"))
-    j = g.withColumn("_k", F.lit(1)).join(all_bands.withColumn("_k", F.lit(1)), "_k")
+    whole = W.partitionBy(F.lit(0))  # at most three rows
+    j = g.withColumns({"_all": F.sum("n").over(whole), "_high": F.sum(F.when(F.col("band") == "High", F.col("n")).otherwise(0)).over(whole)})
     return j.select("band", "n", (F.col("n") / F.col("_all") * 100).alias("percentage"), "mean_risk", "min_risk", "max_risk",
                     F.when(F.col("_high") / F.col("_all") * 100 > 20, "URGENT").otherwise("MODERATE").alias("priority"))
 
@@ -53,9 +54,9 @@ def optimal_cuts(df: DataFrame, risk="risk", steps=20, min_events=10) -> DataFra
     t = F.when(F.col("event") == 1, F.col("time"))
     cells = pin_small(df.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.count(t).alias("e"), F.coalesce(F.sum(t), F.lit(0)).cast("double").alias("s")))
     # a threshold at cuts[i] keeps the cells above i
-    grid = [(h, m, cuts.index(h) + 1, cuts.index(m) + 1) for h in highs for m in mediums if m < h]
-    pairs = F.explode(F.array(*[F.struct(F.lit(h).alias("high"), F.lit(m).alias("medium"), F.lit(i).alias("hi"), F.lit(j).alias("mi")) for h, m, i, j in grid]))
-    x = cells.withColumn("g", pairs).select("n", "e", "s", "cell", "g.*")
+    side = lambda values, v, i: F.explode(F.array(*[F.struct(F.lit(x).alias(v), F.lit(cuts.index(x) + 1).alias(i)) for x in values]))
+    x = cells.withColumn("g", side(highs, "high", "hi")).select("n", "e", "s", "cell", "g.*")
+    x = x.withColumn("g", side(mediums, "medium", "mi")).select("n", "e", "s", "cell", "high", "hi", "g.*").where("medium < high")
     part = {"h": F.col("cell") >= F.col("hi"), "m": (F.col("cell") >= F.col("mi")) & (F.col("cell") < F.col("hi")), "l": F.col("cell") < F.col("mi")}
     total = lambda c, w: F.coalesce(F.sum(F.when(part[w], F.col(c))), F.lit(0))
     y = x.groupBy("high", "medium").agg(F.sum("n").alias("_rows"), F.sum("e").alias("_events"), *[total(c, w).alias(f"{c}_{w}") for c in ("n", "e", "s") for w in part])

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tenurelens.functions.columns import erf, ladder, ratio, stack
+from tenurelens.functions.columns import erf, ladder, one_row, ratio, stack
 from tenurelens.schema import HORIZONS
 
 
@@ -96,8 +96,7 @@ def temporal_trends(df: DataFrame, cohort: str, earlier, later, time="time", eve
     for h in horizons:
         wide = wide.withColumn(f"change_{h}d", F.col(f"retention_{h}d_later") - F.col(f"retention_{h}d_earlier"))
     test = log_rank(df, cohort, earlier, later, (), time, event).select("statistic", "p_value")
-    both = wide.withColumn("_k", F.lit(1)).join(test.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return both.where(F.col("population_later") >= min_rows).withColumn("significant", F.col("p_value") < 0.05)
+    return one_row(wide, test).where(F.col("population_later") >= min_rows).withColumn("significant", F.col("p_value") < 0.05)
 
 
 def ranked_strata(df: DataFrame, stratum: str, by=(), time="time", event="event", min_rows=1000, top_n=None,
@@ -158,9 +157,8 @@ def context_insights(segments: DataFrame, covered: DataFrame, trend: DataFrame)
 
 def coverage(ranked: DataFrame, total: DataFrame) -> DataFrame:
     """Share of all people who are in a reported stratum."""
-    a = ranked.agg(F.sum("population").alias("inside")).withColumn("_k", F.lit(1))
-    b = total.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
-    return a.join(b, "_k").select(ratio("inside", "total").alias("coverage"))
+    both = one_row(ranked.agg(F.coalesce(F.sum("population"), F.lit(0)).alias("inside")), total.agg(F.count(F.lit(1)).alias("total")))
+    return both.select(ratio("inside", "total").alias("coverage"))
 
 
 def day_density(df: DataFrame, time="time", event="event", width=30, upper=365) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenurelens.functions.bootstrap import percentile_interval, replicate_means
-from tenurelens.functions.columns import normal_cdf, ratio, stack
+from tenurelens.functions.columns import cap, clamp, normal_cdf, ratio, stack
 from tenurelens.operators.aft import event_probability, survival, zscore
 from tenurelens.schema import HORIZONS
 
@@ -34,9 +34,9 @@ def raise_salary(df: DataFrame, pct=0.15, rules="business") -> DataFrame:
         return _change(df, {
             "baseline_salary": c("baseline_salary") * up,
             "salary_growth_rate_12m": F.greatest(F.coalesce("salary_growth_rate_12m", F.lit(0.0)), F.lit(pct)) if "salary_growth_rate_12m" in df.columns else None,
-            "compensation_percentile_company": F.least(F.coalesce("compensation_percentile_company", F.lit(0.5)) + pct, F.lit(0.95)),
+            "compensation_percentile_company": cap(F.coalesce("compensation_percentile_company", F.lit(0.5)) + pct, 0.95),
             "peer_salary_ratio": c("peer_salary_ratio") * up})
-    rank = lambda n: F.when(c(n).isNotNull(), F.least(c(n) + pct * 0.67, F.lit(0.95)))
+    rank = lambda n: cap(c(n) + pct * 0.67, 0.95)
     team = c("team_avg_comp") + c("baseline_salary") * pct / F.coalesce(c("team_size"), F.lit(10)) if {"baseline_salary", "team_size"} <= set(df.columns) else c("team_avg_comp")
     changes = {n: c(n) * up for n in ("baseline_salary", "avg_salary_last_quarter", "salary_growth_rate12m_to_cpi_rate", "peer_salary_ratio", "sal_nghb_ratio")}
     changes |= {"salary_growth_rate_12m": F.greatest(F.coalesce("salary_growth_rate_12m", F.lit(pct)), F.lit(pct)),
@@ -55,8 +55,7 @@ def promote(df: DataFrame, step=1.0, rules="business") -> DataFrame:
 
     def level(n, text):
         v = c(n).try_cast("int") if text else c(n)
-        up = F.least(v + int(step), F.lit(10)) if text else F.least(c(n) + step, F.lit(10.0))
-        return F.coalesce(up.cast("string"), c(n).cast("string")) if text else F.when(c(n).isNotNull(), up)
+        return F.coalesce(cap(v + int(step), 10).cast("string"), c(n)) if text else cap(v + step, 10.0)
 
     kind = dict(df.dtypes)
     levels = {n: level(n, kind[n] == "string") for n in ("job_level", "mngr_lvl_cd") if n in kind}
@@ -70,13 +69,13 @@ def promote(df: DataFrame, step=1.0, rules="business") -> DataFrame:
     one = ["promot_2yr_ind", "promot_2yr_titlechng_ind", "promot_2yr_perf_ind", "promot_2yr_mktadjst_ind", "job_chng_2yr_ind"]
     levels.pop("mngr_lvl_cd", None)
     return _change(df, {**levels, "career_stage": stage, **{n: F.lit(0) for n in zero}, **{n: F.lit(1) for n in one},
-                        "num_promot_2yr": F.least(c("num_promot_2yr") + 1, F.lit(3)), "promotion_velocity": c("promotion_velocity") * 1.5,
-                        "role_complexity_score": F.least(c("role_complexity_score") * 1.2, F.lit(5.0))})
+                        "num_promot_2yr": cap(c("num_promot_2yr") + 1, 3), "promotion_velocity": c("promotion_velocity") * 1.5,
+                        "role_complexity_score": cap(c("role_complexity_score") * 1.2, 5.0)})
 
 
 def change_role(df: DataFrame, step=1.0) -> DataFrame:
-    return _change(df, {"role_complexity_score": F.least(F.col("role_complexity_score") + step, F.lit(5.0)),
-                        "decision_making_authority_indicator": F.least(F.col("decision_making_authority_indicator") + step, F.lit(10.0)),
+    return _change(df, {"role_complexity_score": cap(F.col("role_complexity_score") + step, 5.0),
+                        "decision_making_authority_indicator": cap(F.col("decision_making_authority_indicator") + step, 10.0),
                         "tenure_in_current_role": F.lit(0)})
 
 
@@ -98,7 +97,7 @@ def before_after(df: DataFrame, model, kind: str, dist: str, sigma: float, risk_
     d = df.select("*", model.eta().alias("_eta0"), *salary)
     d = apply(d, kind, magnitude, rules).withColumn("_eta1", model.eta())
     span = risk_stats["max"] - risk_stats["min"]
-    risk = lambda e: F.least(F.greatest((-F.col(e) - risk_stats["min"]) / span, F.lit(0.0)), F.lit(1.0))
+    risk = lambda e: clamp((-F.col(e) - risk_stats["min"]) / span, 0.0, 1.0)
     cols = [risk("_eta0").alias("risk0"), risk("_eta1").alias("risk1")]
     cols += [survival(dist, zscore(F.lit(h), f"_eta{i}", sigma)).alias(f"surv{i}_{h}") for h in horizons for i in (0, 1)]
     return d.select(*[k for k in keep if k in d.columns], *cols, F.col("_salary").alias("baseline_salary"))
