@@ -50,8 +50,8 @@ def km_predictions(train: DataFrame, test: DataFrame, stratum: str, min_rows=10,
 
 
 def population_predictions(train: DataFrame, test: DataFrame, horizon=365) -> DataFrame:
-    one = lambda d: d.withColumn("_all", F.lit("all"))
-    return km_predictions(one(train), one(test), "_all", 1, horizon).drop("_all")
+    s = km_curve(train).agg(F.min(F.when(F.col("t") <= horizon, F.col("S"))).alias("s")).first()["s"]
+    return test.withColumn("prediction", F.lit(1.0 if s is None else float(s)))
 
 
 def random_predictions(test: DataFrame, key="id", seed=42) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenurelens.functions.bootstrap import percentile_interval, replicate_means
-from tenurelens.functions.columns import ladder, ratio, stack
+from tenurelens.functions.columns import ladder, one_row, ratio, stack
 from tenurelens.functions.scale import exact_quantiles, pin_small, running_totals
 from tenurelens.operators.aft import event_probability
 from tenurelens.operators.survival import km_curve
@@ -49,8 +49,8 @@ def with_censoring_weights(df: DataFrame, horizons, by=BY, adjust=False, min_con
     plan = ends.withColumn("horizon", F.explode(F.array(*[F.lit(int(h)) for h in horizons])))
     if min_controls is not None:
         # controls per horizon come from the day counts, at most one row per day
-        days = df.groupBy(*by, "time").agg(F.count(F.lit(1)).alias("_n"))
-        beyond = days.withColumn("horizon", F.explode(F.array(*[F.lit(int(h)) for h in horizons]))).groupBy(*by, "horizon").agg(
+        by_day = df.groupBy(*by, "time").agg(F.count(F.lit(1)).alias("_n"))
+        beyond = by_day.withColumn("horizon", F.explode(F.array(*[F.lit(int(h)) for h in horizons]))).groupBy(*by, "horizon").agg(
             F.sum(F.when(F.col("time") > F.col("horizon"), F.col("_n")).otherwise(0)).alias("_beyond"))
         plan = plan.join(beyond, [*by, "horizon"], "left")
         used = F.when(F.coalesce("_beyond", F.lit(0)) < min_controls, F.col("horizon") - 1).otherwise(F.col("horizon"))
@@ -61,9 +61,10 @@ def with_censoring_weights(df: DataFrame, horizons, by=BY, adjust=False, min_con
     plan = plan.withColumn("used_horizon", used.cast("int"))
     known = F.filter("_g", lambda s: s["t"] <= F.col("used_horizon"))
     g_h = F.when(F.size(known) > 0, F.element_at(known, -1)["G_right"]).otherwise(1.0)
-    plan = pin_small(plan.select(*by, "horizon", "used_horizon", g_h.alias("G_h")))
-    plan = plan.groupBy(*by).agg(F.collect_list(F.struct("horizon", "used_horizon", "G_h")).alias("_plan"))
-    rows = df.join(curve.select(*by, F.col("t").alias("time"), F.col(g_left).alias("G_left")), [*by, "time"]).join(plan, by)
+    plan = plan.groupBy(*by).agg(F.collect_list(F.struct("horizon", "used_horizon", g_h.alias("G_h"))).alias("_plan"))
+    # one lookup table per (group, day): G(T-) and the horizons of the group
+    days = curve.select(*by, F.col("t").alias("time"), F.col(g_left).alias("G_left")).join(pin_small(plan), by)
+    rows = df.join(pin_small(days), [*by, "time"])
     rows = rows.withColumn("_h", F.explode("_plan")).drop("_plan").select("*", "_h.*").drop("_h")
     return rows.withColumns({"is_case": (F.col("time") <= F.col("used_horizon")) & (F.col("event") == 1),
                              "is_control": F.col("time") > F.col("used_horizon")})
@@ -352,9 +353,8 @@ def validate_scores(df: DataFrame, dist: str, sigma: float, t_star=None) -> Data
     rows = evaluation_rows(one, dist, sigma, [t])
     n = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_case").alias("n_cases"), F.count_if("is_control").alias("n_controls"))
     risk = one.withColumn("_risk", event_probability(dist, sigma, t))
-    parts = [n, auc(rows).select("dataset", "auc"), ece_ipcw(rows).select("dataset", "ece"), brier(rows).select("dataset", "brier"),
-             concordance(risk, "_risk", tied_times=False).select("dataset", "c_index"), integrated_brier(one, dist, sigma, t)]
-    out = reduce(lambda a, b: a.join(b, "dataset"), parts)
+    out = one_row(n.drop("dataset"), auc(rows).select("auc"), ece_ipcw(rows).select("ece"), brier(rows).select("brier"),
+                  concordance(risk, "_risk", tied_times=False).select("c_index"), integrated_brier(one, dist, sigma, t).select("ibs"))
     return out.where((F.col("n_cases") >= 100) & (F.col("n_controls") >= 100)).select(
         F.lit(t).alias("t_star"), "n", "n_cases", "n_controls", "auc", (2 * F.col("auc") - 1).alias("gini"), "ece", "brier", "c_index", "ibs")
 

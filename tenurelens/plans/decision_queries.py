@@ -263,7 +263,7 @@ SAL_B = {"baseline_salary": "baseline_salary*1.15", "salary_growth_rate_12m": "g
 SAL_C = {"baseline_salary": "baseline_salary*1.15", "avg_salary_last_quarter": "avg_salary_last_quarter*1.15", "salary_growth_rate_12m": "greatest(coalesce(salary_growth_rate_12m,0.15),0.15)",
          "compensation_percentile_company": "least(compensation_percentile_company+0.15*0.67,0.95)", "compensation_percentile_industry": "least(compensation_percentile_industry+0.15*0.67,0.95)",
          "peer_salary_ratio": "peer_salary_ratio*1.15", "sal_nghb_ratio": "sal_nghb_ratio*1.15", "team_avg_comp": "team_avg_comp+baseline_salary*0.15/team_size", "compensation_volatility": "compensation_volatility*0.7"}
-LEVEL = "coalesce(cast(least(try_cast(job_level as integer)+1,10) as varchar),job_level)"
+LEVEL = "case when try_cast(job_level as integer) is null then job_level else cast(least(try_cast(job_level as integer)+1,10) as varchar) end"
 PRO_B = {"job_level": LEVEL, "time_since_last_promotion": "0", "promotion_velocity": "greatest(promotion_velocity*1.5,30)"}
 PRO_C = {"job_level": LEVEL, "career_stage": "case career_stage when 'Early' then 'Mid' when 'Mid' then 'Late' else 'Senior' end", "time_since_last_promotion": "0", "days_since_promot": "0", "promot_2yr_ind": "1",
          "num_promot_2yr": "least(num_promot_2yr+1,3)", "promotion_velocity": "promotion_velocity*1.5", "pay_grade_stagnation_months": "0", "role_complexity_score": "least(role_complexity_score*1.2,5)",
