@@ -17,10 +17,14 @@ def ratio(a, b, default=None) -> Column:
     return r if default is None else F.coalesce(r, F.lit(default))
 
 
-def clamp(c, low, high) -> Column:
-    """Value cut to [low, high]; null stays null (least and greatest skip nulls)."""
+def clamp(c, low, high, known=None) -> Column:
+    """Value cut to [low, high]; null stays null (least and greatest skip nulls).
+
+    ``known`` is a cheaper column that is null exactly where the value is.
+    """
     c = col(c)
-    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
+    given = c if known is None else col(known)
+    return F.when(given.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
 def cap(c, high) -> Column:

@@ -40,7 +40,7 @@ def raw_survival(dist: str, z: Column) -> Column:
 
 def survival(dist: str, z: Column) -> Column:
     """S clipped away from 0 and 1."""
-    return clamp(raw_survival(dist, z), CLIP, 1.0 - CLIP)
+    return clamp(raw_survival(dist, z), CLIP, 1.0 - CLIP, known=z)
 
 
 def event_probability(dist: str, sigma: float, horizon, eta="eta") -> Column:
@@ -226,7 +226,7 @@ def risk_scores(df: DataFrame, stats: dict, output="risk") -> DataFrame:
     """-eta scaled by the reference range and cut to 0..1 (0 where the range is empty)."""
     span = stats["max"] - stats["min"]
     raw = (-F.col("eta") - stats["min"]) / span if span else F.lit(0.0)
-    return df.withColumn(output, clamp(raw, 0.0, 1.0))
+    return df.withColumn(output, clamp(raw, 0.0, 1.0, known="eta"))
 
 
 def residual_scales(df: DataFrame, by=()) -> DataFrame:

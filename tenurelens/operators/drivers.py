@@ -21,16 +21,17 @@ def contributions(df: DataFrame, eta, features, risk_stats: dict) -> DataFrame:
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     span = risk_stats["max"] - risk_stats["min"]
-    risk = lambda e: clamp((-e - risk_stats["min"]) / span, 0.0, 1.0)
-    here = lambda name: F.col(name)
+    risk = lambda e: clamp((-F.col(e) - risk_stats["min"]) / span, 0.0, 1.0, known=e)
+    used = [f for f in features if f in kinds]
 
     def blank(target):
         value = F.lit("Unknown") if isinstance(kinds[target], T.StringType) else F.lit(0).cast(kinds[target])
         return lambda name: value if name == target else F.col(name)
 
-    d = df.withColumn("risk", risk(eta(here)))
-    cells = [F.struct(F.lit(f).alias("feature"), (F.col("risk") - risk(eta(blank(f)))).alias("contribution")) for f in features if f in kinds]
-    return d.withColumn("drivers", F.array(*cells))
+    # all locations in one projection, then cheap arithmetic on them
+    d = df.select("*", eta(F.col).alias("_eta"), *[eta(blank(f)).alias(f"_eta{i}") for i, f in enumerate(used)]).withColumn("risk", risk("_eta"))
+    cells = [F.struct(F.lit(f).alias("feature"), (F.col("risk") - risk(f"_eta{i}")).alias("contribution")) for i, f in enumerate(used)]
+    return d.withColumn("drivers", F.array(*cells)).drop("_eta", *[f"_eta{i}" for i in range(len(used))])
 
 
 def fold_to_source(df: DataFrame, lineage: dict, features) -> DataFrame:

@@ -97,7 +97,7 @@ def before_after(df: DataFrame, model, kind: str, dist: str, sigma: float, risk_
     d = df.select("*", model.eta().alias("_eta0"), *salary)
     d = apply(d, kind, magnitude, rules).withColumn("_eta1", model.eta())
     span = risk_stats["max"] - risk_stats["min"]
-    risk = lambda e: clamp((-F.col(e) - risk_stats["min"]) / span, 0.0, 1.0)
+    risk = lambda e: clamp((-F.col(e) - risk_stats["min"]) / span, 0.0, 1.0, known=e)
     cols = [risk("_eta0").alias("risk0"), risk("_eta1").alias("risk1")]
     cols += [survival(dist, zscore(F.lit(h), f"_eta{i}", sigma)).alias(f"surv{i}_{h}") for h in horizons for i in (0, 1)]
     return d.select(*[k for k in keep if k in d.columns], *cols, F.col("_salary").alias("baseline_salary"))
