@@ -21,17 +21,24 @@ def contributions(df: DataFrame, eta, features, risk_stats: dict) -> DataFrame:
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     span = risk_stats["max"] - risk_stats["min"]
-    risk = lambda e: clamp((-F.col(e) - risk_stats["min"]) / span, 0.0, 1.0, known=e)
     used = [f for f in features if f in kinds]
-
-    def blank(target):
-        value = F.lit("Unknown") if isinstance(kinds[target], T.StringType) else F.lit(0).cast(kinds[target])
-        return lambda name: value if name == target else F.col(name)
-
-    # all locations in one projection, then cheap arithmetic on them
-    d = df.select("*", eta(F.col).alias("_eta"), *[eta(blank(f)).alias(f"_eta{i}") for i, f in enumerate(used)]).withColumn("risk", risk("_eta"))
-    cells = [F.struct(F.lit(f).alias("feature"), (F.col("risk") - risk(f"_eta{i}")).alias("contribution")) for i, f in enumerate(used)]
-    return d.withColumn("drivers", F.array(*cells)).drop("_eta", *[f"_eta{i}" for i in range(len(used))])
+    risk = lambda e: clamp((-e - risk_stats["min"]) / span, 0.0, 1.0)
+
+    def blanked(feature):
+        """Columns in which the named feature is blank."""
+        def get(name):
+            if name not in used:
+                return F.col(name)
+            value = F.lit("Unknown") if isinstance(kinds[name], T.StringType) else F.lit(0).cast(kinds[name])
+            return F.when(feature == name, value).otherwise(F.col(name))
+        return get
+
+    # one expression for all features: writing it out once per feature outgrows generated code
+    names = F.array(*[F.lit(f) for f in used])
+    etas = F.transform(names, lambda f: F.struct(f.alias("feature"), eta(blanked(f)).alias("eta")))
+    d = df.select("*", eta(F.col).alias("_eta"), etas.alias("_etas")).withColumn("risk", risk(F.col("_eta")))
+    change = F.transform("_etas", lambda x: F.struct(x["feature"].alias("feature"), (F.col("risk") - risk(x["eta"])).alias("contribution")))
+    return d.withColumn("drivers", change).drop("_eta", "_etas")
 
 
 def fold_to_source(df: DataFrame, lineage: dict, features) -> DataFrame:
