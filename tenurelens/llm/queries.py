@@ -1,7 +1,7 @@
 """The registered queries of these operators, each over its whole table."""
 from __future__ import annotations
 
-from tenurelens.llm import substring_dedup as sub
+from tenurelens.llm import byte_bpe, exact_dedup, packing, substring_dedup
 from tenurelens.llm.tables import read
 
 QUERIES: dict = {}
@@ -19,4 +19,23 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_substring_dedup")
 def op1(spark, sf_dir):
-    return sub.digest(sub.substring_dedup(read(spark, sf_dir, "documents"), width=50))
+    return substring_dedup.digest(substring_dedup.substring_dedup(read(spark, sf_dir, "documents"), width=50))
+
+
+@query("op2_best_fit_packing")
+def op2(spark, sf_dir):
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op5_exact_dedup", """
+with d as (select doc_id, coalesce(text, '') as t from documents),
+g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
+select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(d.t) as text_sha256
+from d join g on d.t = g.t""")
+def op5(spark, sf_dir):
+    return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
+
+
+@query("op9_byte_bpe")
+def op9(spark, sf_dir):
+    return byte_bpe.digest(byte_bpe.decode_documents(byte_bpe.encode_documents(read(spark, sf_dir, "documents"))))
