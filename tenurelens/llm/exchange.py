@@ -74,6 +74,14 @@ def unpack_flags(data: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=8), count=int(np.frombuffer(data, dtype=np.int64, count=1)[0])).astype(bool)
 
 
+def zipped(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+
+
+def unzipped(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+
+
 def joined(parts: list[np.ndarray], kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
