@@ -1,7 +1,7 @@
 """The registered queries of these operators, each over its whole table."""
 from __future__ import annotations
 
-from tenurelens.llm import byte_bpe, exact_dedup, jaccard_join, packing, substring_dedup
+from tenurelens.llm import byte_bpe, exact_dedup, jaccard_join, packing, substring_dedup, suffix_dedup
 from tenurelens.llm.tables import read
 
 QUERIES: dict = {}
@@ -44,3 +44,8 @@ def op8(spark, sf_dir):
 @query("op9_byte_bpe")
 def op9(spark, sf_dir):
     return byte_bpe.digest(byte_bpe.decode_documents(byte_bpe.encode_documents(read(spark, sf_dir, "documents"))))
+
+
+@query("op10_suffix_array_dedup")
+def op10(spark, sf_dir):
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"), length=200))
