@@ -88,6 +88,13 @@ def first_cut(text: str) -> int:
         width *= 2
 
 
+def small(batches, rows: int = 128):
+    """The same rows in batches that stay small when each row grows to a list of ids."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def codec(path: str | None = None, pattern: str | None = None) -> Codec:
     if (path, pattern) not in _CODECS:
         import public_tokenizers
@@ -108,10 +115,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     """
     def run(batches):
         own = codec(path, pattern)
-        for b in batches:
+        for b in small(batches):
             ids = [own.encode(t) for t in b.column("text").to_pylist()]
             ends = np.cumsum([0] + [len(x) for x in ids])
-            flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(ends[-1]))
+            flat = np.concatenate([np.zeros(0, dtype=np.int32), *(np.array(x, dtype=np.int32) for x in ids)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "ids"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
@@ -121,10 +128,9 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
     """One row per row of ids: ``doc_id``, ``ids`` and the ``decoded`` bytes. Null ids decode to no bytes; an unknown id is an error."""
     def run(batches):
         own = codec(path, pattern)
-        for b in batches:
+        for b in small(batches):
             col = b.column("ids")
-            flat, ends = col.values.to_numpy(), col.offsets.to_numpy()
-            out = [own.decode(flat[x:y].tolist()) for x, y in zip(ends[:-1], ends[1:])]
+            out = [own.decode(x.values.to_pylist()) for x in col]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), col, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
     given = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
