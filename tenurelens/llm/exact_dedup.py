@@ -78,7 +78,7 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, most_bits: int = MOST
     for r in seen:
         counts[r.p] = r.n
     entries, depth = directory(counts, capacity, most_bits)
-    n = cuts(total, owner_bytes)
+    n = partitions_for(spark, cuts(total, owner_bytes))
     owner_of = owners(counts, entries, n, most_bits)
     shift = np.uint64(64 - int(np.log2(len(entries))))
 
@@ -118,7 +118,7 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, most_bits: int = MOST
             yield indexed(rows)
         yield indexed(chained(chain))
 
-    routed = keyed.mapInArrow(send, _SENT).repartition(partitions_for(spark, n), "owner").sortWithinPartitions("bucket", "key", F.col("text").isNull())
+    routed = keyed.mapInArrow(send, _SENT).repartition(n, "owner").sortWithinPartitions("bucket", "key", F.col("text").isNull())
     path = new_path(spark, "exact-index")
     routed.mapInArrow(own, INDEX).write.parquet(path)
     return path
