@@ -1,7 +1,7 @@
 """The registered queries of these operators, each over its whole table."""
 from __future__ import annotations
 
-from tenurelens.llm import byte_bpe, exact_dedup, jaccard_join, packing, substring_dedup, suffix_dedup
+from tenurelens.llm import byte_bpe, exact_dedup, jaccard_join, packing, substring_dedup, suffix_dedup, token_counts
 from tenurelens.llm.tables import read
 
 QUERIES: dict = {}
@@ -36,6 +36,11 @@ def op5(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+@query("op7_token_counts")
+def op7(spark, sf_dir):
+    return token_counts.edited_counts(token_counts.build_trees(read(spark, sf_dir, "documents"), token_counts.redactions()))
+
+
 @query("op8_ngram_jaccard_join")
 def op8(spark, sf_dir):
     return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
