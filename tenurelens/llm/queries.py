@@ -1,7 +1,7 @@
 """The registered queries of these operators, each over its whole table."""
 from __future__ import annotations
 
-from tenurelens.llm import byte_bpe, embedding_dedup, exact_dedup, jaccard_join, packing, substring_dedup, suffix_dedup, token_counts
+from tenurelens.llm import byte_bpe, embedding_dedup, exact_dedup, jaccard_join, packing, substring_dedup, suffix_dedup, token_counts, toxicity
 from tenurelens.llm.tables import read
 
 QUERIES: dict = {}
@@ -41,6 +41,11 @@ def op5(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("op7_token_counts")
 def op7(spark, sf_dir):
     return token_counts.edited_counts(token_counts.build_trees(read(spark, sf_dir, "documents"), token_counts.redactions()))
