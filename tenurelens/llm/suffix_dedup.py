@@ -13,9 +13,11 @@ from tenurelens.llm.tables import cuts, documents, text_bytes
 U = np.uint64
 #: Distinct stretches of a group up to which it is put into one text; larger groups are compared by window hash.
 HOT = 4096
+#: Bytes of text in a block.
+BLOCK_BYTES = 4 << 20
 #: A byte that UTF-8 never holds stands between stretches.
 BETWEEN = 0xFF
-REPEATED, SEND, STAND_IN, HASHES = 0, 1, 2, 3
+REPEATED, SEND, STAND_IN, HASHES, REPEATED_HASHES, ALONE = range(6)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
@@ -145,7 +147,7 @@ def recurring(t: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT, block_bytes: int = X.BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Bytes not covered by a string of ``length`` bytes that also starts anywhere else.
 
     One row per document: ``doc_id``, ``n_bytes``, ``n_removed``, the maximal removed ``spans`` and
@@ -154,7 +156,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT, block_bytes
 
     1. A text's windows fall into stretches by their least k-gram.  Blocks send the key and
        content hash of each distinct stretch; a shard sees all stretches that can share a window.
-       A stretch whose content occurs twice is repeated throughout.
+       A stretch whose content occurs twice is repeated throughout; one that is alone in its
+       group and can't recur in itself is not.
     2. Stretches that occur once send their bytes, together with one copy of each repeated one
        of their group.  The shard builds the transform of these and expands its intervals.
        A group of more than ``hot`` stretches instead sends the 128-bit hashes of its windows,
@@ -180,11 +183,11 @@ def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT, block_bytes
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         place = np.empty(len(a), dtype=np.int64)
         place[order] = np.cumsum(new) - 1
-        return data, offsets, start, n, key, content, order[new], place
+        return data, offsets, start, n, key, content, again, order[new], place
 
     def first_request(block, table):
-        *_, key, content, pick, place = found(table)
-        count = np.minimum(np.bincount(place, minlength=len(pick)), 2).astype(np.uint8)
+        *_, key, content, again, pick, place = found(table)
+        count = (np.minimum(np.bincount(place, minlength=len(pick)), 2) + 4 * again[pick]).astype(np.uint8)
         return X.pieces(block, 0, shards, key[pick], content[pick], count)
 
     def first_reply(pieces):
@@ -197,12 +200,13 @@ def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT, block_bytes
         new = new_key.copy()
         new[1:] |= b[1:] != b[:-1]
         group, kind = np.cumsum(new_key) - 1, np.cumsum(new) - 1
-        times = np.bincount(kind, weights=count[order]).astype(np.int64)
+        times = np.bincount(kind, weights=count[order] & 3).astype(np.int64)
         kinds = np.bincount(group[new])
         single = np.bincount(group, weights=times[kind] == 1) > 0
         state = np.where(times[kind] == 1, SEND, REPEATED)
         state[(times[kind] > 1) & new & single[group]] = STAND_IN
-        state[(state != REPEATED) & (kinds[group] > hot)] += 2  # by hash; 4 stands for a repeated one
+        state[(state != REPEATED) & (kinds[group] > hot)] += HASHES - SEND
+        state[(times[kind] == 1) & (kinds[group] == 1) & (count[order] < 4)] = ALONE
         out = np.empty(len(key), dtype=np.uint8)
         out[order] = state
         ends = np.cumsum([0] + [len(o[2]) for o in own])
@@ -213,7 +217,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT, block_bytes
 
     def sent(data, start, n, pick, state):
         """Indexes of the stretches that are sent as bytes, in order; and as window hashes."""
-        return pick[(state == SEND) | (state == STAND_IN)], pick[state >= HASHES]
+        return pick[(state == SEND) | (state == STAND_IN)], pick[(state == HASHES) | (state == REPEATED_HASHES)]
 
     def window_hashes(data, start, n, some):
         a, b = [], []
@@ -226,7 +230,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT, block_bytes
         return X.joined(a, U), X.joined(b, U)
 
     def second_request(block, table, told):
-        data, _, start, n, key, _, pick, place = found(table)
+        data, _, start, n, key, _, _, pick, place = found(table)
         state = states(told)
         by_bytes, by_hash = sent(data, start, n, pick, state)
         which, cut = X.split(key[by_bytes], shards)
@@ -236,7 +240,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT, block_bytes
             sizes = np.array([len(part), *(n[part] + length - 1)], dtype=np.int64)
             out.append((int(sh), block, 1, X.zipped(np.concatenate((sizes.view(np.uint8), *(data[start[i]:start[i] + n[i] + length - 1] for i in part))))))
         h1, h2 = window_hashes(data, start, n, by_hash)
-        twice = np.repeat(state[state >= HASHES] == HASHES + 1, n[by_hash])
+        twice = np.repeat(state[(state == HASHES) | (state == REPEATED_HASHES)] == REPEATED_HASHES, n[by_hash])
         a, b, count, _ = tallied(h1, h2, 1 + twice.astype(np.int64))
         return out + X.pieces(block, 2, shards, a, b, np.minimum(count, 2).astype(np.uint8))
 
@@ -270,11 +274,11 @@ def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT, block_bytes
     def cut_bytes(block, table, told):
         if block is None:
             return result(pa.array([], pa.int64()), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64))
-        data, offsets, start, n, key, _, pick, place = found(table)
+        data, offsets, start, n, key, _, _, pick, place = found(table)
         state = states(told)
         by_bytes, by_hash = sent(data, start, n, pick, state)
         hit = np.zeros(len(data) + 1, dtype=bool)
-        whole = np.flatnonzero(np.isin(state[place], (REPEATED, STAND_IN, HASHES + 1))) if len(place) else place
+        whole = np.flatnonzero(np.isin(state[place], (REPEATED, STAND_IN, REPEATED_HASHES))) if len(place) else place
         hit[spread(start[whole], n[whole])] = True
         flags = X.joined([X.unpack_flags(p) for k, _, _, p in told if k == 1], bool)
         hit[spread(start[by_bytes], n[by_bytes])[flags]] = True
