@@ -15,8 +15,8 @@ from tenurelens.llm.tables import cuts, documents, text_bytes
 from tenurelens.sources.shared import new_path
 
 U = np.uint64
-#: Cells of the frequency sketch for each shingle; documents and bytes of sets in a group, about.
-WIDTH, GROUP, GROUP_BYTES = 8, 256, 2 << 20
+#: Cells of the frequency sketch for each shingle; documents and bytes of sets in a group, about; bytes of text in a block.
+WIDTH, GROUP, GROUP_BYTES, BLOCK_BYTES = 8, 256, 2 << 20, 4 << 20
 SETS = "doc_id long, rep_id long, n_shingles long, label long, tokens array<long>, shingles binary"
 EDGES = "a long, b long"
 
@@ -50,7 +50,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group: int = GROUP, block_bytes: int = X.BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group: int = GROUP, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` of the join at a Jaccard similarity of ``percent`` or more.
 
     A set holds a text's distinct runs of ``width`` words (A-Z lower-cased), or the whole
