@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenurelens.llm.components import components
-from tenurelens.llm.tables import partitions_for
+from tenurelens.llm.tables import partitions_for, ship
 from tenurelens.sources.shared import new_path
 
 #: Orders tried, bits of each, neighbours compared in each, rows a sorted partition should hold, members of a block.
@@ -163,6 +163,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, passes: int = P
     null component and is kept.  Other columns are ignored.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     path = new_path(spark, "vectors")
     valid_classes(rows).write.parquet(path)

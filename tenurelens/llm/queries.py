@@ -1,7 +1,7 @@
 """The registered queries of these operators, each over its whole table."""
 from __future__ import annotations
 
-from tenurelens.llm import byte_bpe, embedding_dedup, exact_dedup, jaccard_join, packing, substring_dedup, suffix_dedup, token_counts, toxicity
+from tenurelens.llm import byte_bpe, embedding_dedup, exact_dedup, jaccard_join, lm, packing, substring_dedup, suffix_dedup, token_counts, toxicity
 from tenurelens.llm.tables import read
 
 QUERIES: dict = {}
@@ -27,6 +27,11 @@ def op2(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+@query("op3_lm_scoring")
+def op3(spark, sf_dir):
+    return lm.katz_scores(read(spark, sf_dir, "documents"))
+
+
 @query("op4_embedding_near_dedup")
 def op4(spark, sf_dir):
     return embedding_dedup.embedding_dedup(read(spark, sf_dir, "embeddings"), threshold=0.93)

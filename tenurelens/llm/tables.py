@@ -2,11 +2,33 @@
 from __future__ import annotations
 
 import math
+import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SHIPPED: dict = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, where they can't import it from their path."""
+    root = Path(__file__).resolve().parents[2]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in (os.environ.get("PYTHONPATH") or "").split(os.pathsep) or Path.cwd() == root:
+        return
+    folder = tempfile.TemporaryDirectory(prefix="package-")  # the driver serves the file until it ends
+    target = Path(folder.name, "tenurelens_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted((root / "tenurelens").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED[app] = folder
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -16,6 +38,7 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows without an id keep a null ``doc_id``.
     """
+    ship(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
