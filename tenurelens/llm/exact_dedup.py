@@ -60,14 +60,15 @@ def key_of(text, key_bits: int = 64):
     return h if key_bits == 64 else F.shiftleft(F.shiftrightunsigned(h, 64 - key_bits), 64 - key_bits)
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY, most_bits: int = MOST_BITS, owner_bytes: int = OWNER_BYTES, key_bits: int = 64) -> str:
+def build_index(docs: DataFrame, capacity: int = CAPACITY, most_bits: int = MOST_BITS, owner_bytes: int = OWNER_BYTES, key_bits: int = 64, keep_texts: bool = True) -> str:
     """Writes the index of the texts of ``docs`` (doc_id, text) and returns its path.
 
     The directory is planned from the number of distinct keys under each prefix: at most
     2**most_bits numbers, whatever the input.  Map tasks send each distinct text once, with the
     largest id and the number of its rows in that task, to the task that owns its key range;
     a text that a third of all rows hold so reaches its owner once per map task.  Owners walk
-    their keys in order, compare bytes and chain different texts under one key.
+    their keys in order, compare bytes and chain different texts under one key.  The texts are
+    stored too, for later comparison with new ones, unless ``keep_texts`` is false.
     """
     spark = docs.sparkSession
     total = text_bytes(docs)
@@ -120,7 +121,8 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, most_bits: int = MOST
 
     routed = keyed.mapInArrow(send, _SENT).repartition(n, "owner").sortWithinPartitions("bucket", "key", F.col("text").isNull())
     path = new_path(spark, "exact-index")
-    routed.mapInArrow(own, INDEX).write.parquet(path)
+    index = routed.mapInArrow(own, INDEX)
+    (index if keep_texts else index.drop("text")).write.parquet(path)
     return path
 
 
@@ -152,3 +154,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = d.sparkSession.read.parquet(build_index(d, **index)).select("text_sha256", "keep_id", "group_size")
     members = d.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
     return members.join(found, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index) -> DataFrame:
+    """The rows and columns of ``docs`` that ``exact_dedup`` keeps."""
+    found = exact_dedup(docs, id_col, text_col, **index).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    sha = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"), 256)
+    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_kept_id"]) & (sha == found["_kept_sha"]), "left_semi")

@@ -297,3 +297,10 @@ def forest(a, b, linked) -> list[tuple[int, int]]:
             up[max(x, y)] = min(x, y)
             out.append((int(a[i]), int(b[j])))
     return out
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows and columns of ``docs`` with one document of each component: the one with the smallest id. Null ids stay."""
+    joined = jaccard_join(docs, id_col=id_col, text_col=text_col, **how)
+    gone = joined.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone_id"], "left_anti")

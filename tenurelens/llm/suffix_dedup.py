@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tenurelens.llm import exchange as X
 from tenurelens.llm import text as T
-from tenurelens.llm.tables import cuts, documents, text_bytes
+from tenurelens.llm.tables import cuts, documents, ship, text_bytes
 
 U = np.uint64
 #: Distinct stretches of a group up to which it is put into one text; larger groups are compared by window hash.
@@ -147,7 +147,7 @@ def recurring(t: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Bytes not covered by a string of ``length`` bytes that also starts anywhere else.
 
     One row per document: ``doc_id``, ``n_bytes``, ``n_removed``, the maximal removed ``spans`` and
@@ -165,11 +165,18 @@ def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT, block_bytes
     3. Blocks mark the bytes.
 
     Null or empty text: no bytes.  Texts shorter than ``length`` stay whole.  Rows with equal
-    or null ids are documents of their own.  Other columns are ignored.
+    or null ids are documents of their own.  Other columns are ignored, but for those named in
+    ``carry``, which come back in a struct ``carried``.
     """
     if length < 25:
         raise ValueError("length must be 25 or more")
     d = documents(docs, id_col, text_col)
+    schema = SCHEMA
+    if carry:
+        carried = F.struct(*[F.col(c) for c in carry])
+        ship(docs.sparkSession)
+        d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), carried.alias("carried"))
+        schema += ", carried " + d.schema["carried"].dataType.simpleString()
     total = text_bytes(d)
     shards = cuts(total, block_bytes)
     blocks, _ = X.into_blocks(d, total, block_bytes)
@@ -273,7 +280,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT, block_bytes
 
     def cut_bytes(block, table, told):
         if block is None:
-            return result(pa.array([], pa.int64()), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64))
+            return result(table, np.zeros(0, dtype=bool), np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64))
         data, offsets, start, n, key, _, _, pick, place = found(table)
         state = states(told)
         by_bytes, by_hash = sent(data, start, n, pick, state)
@@ -289,11 +296,11 @@ def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = HOT, block_bytes
         at = np.flatnonzero(hit)
         edge[at] += 1
         edge[at + length] -= 1
-        return result(table.column("doc_id"), np.cumsum(edge)[:len(data)] > 0, data, offsets)
+        return result(table, np.cumsum(edge)[:len(data)] > 0, data, offsets)
 
     one = X.answer(X.ask(blocks, first_request), first_reply, shards)
     two = X.answer(X.ask_again(blocks, one, second_request), second_reply, shards)
-    return X.finish(blocks, one.unionByName(two), cut_bytes, SCHEMA)
+    return X.finish(blocks, one.unionByName(two), cut_bytes, schema)
 
 
 def spread(start, n):
@@ -312,10 +319,8 @@ def tallied(h1, h2, count):
     return a[new], b[new], np.bincount(place, weights=count, minlength=int(new.sum())).astype(np.int64), place
 
 
-def result(ids, gone, data, offsets) -> pa.Table:
-    """Rows of SCHEMA once ``gone`` says which bytes go."""
-    if isinstance(ids, pa.ChunkedArray):
-        ids = ids.combine_chunks()
+def result(table, gone, data, offsets) -> pa.Table:
+    """Rows of SCHEMA, with what the table carries, once ``gone`` says which bytes go."""
     first = np.zeros(len(data) + 1, dtype=bool)
     first[offsets] = True
     before = np.concatenate(([False], gone[:-1])) if len(gone) else gone
@@ -328,8 +333,27 @@ def result(ids, gone, data, offsets) -> pa.Table:
     removed = np.concatenate(([0], np.cumsum(gone)))[offsets]
     ends = (offsets - removed).astype(np.int32)
     kept = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data[~gone])])
-    return pa.table({"doc_id": ids, "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()), "spans": spans, "kept": kept})
+    out = {"doc_id": table.column("doc_id"), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()), "spans": spans, "kept": kept}
+    return pa.table(out | {"carried": table.column("carried")} if "carried" in table.column_names else out)
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def clean_documents(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows and columns of ``docs`` with the repeated bytes cut from the texts.
+
+    A character that a cut splits goes as a whole.  ``n_chars``, where there is such a column, counts
+    the new text.  A text that is repeated throughout becomes empty; a null one too.
+    """
+    cut = suffix_dedup(docs, length, carry=[c for c in docs.columns if c != text_col], id_col=id_col, text_col=text_col, **how)
+
+    def decode(batches):
+        for b in batches:
+            texts = pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("carried"), texts], ["carried", "kept"])
+
+    plain = cut.select("carried", "kept").mapInArrow(decode, f"carried {cut.schema['carried'].dataType.simpleString()}, kept string")
+    new = {text_col: F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return plain.select(*[new.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])

@@ -178,8 +178,8 @@ def fit_link(rows: DataFrame, category: str, earlier: list[str], n_features: int
     return rows.join(oof, "doc_id"), np.array(w.w) if w else np.append(np.zeros(n_features + len(earlier)), -30.0)
 
 
-def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
-    """``doc_id`` and ``p_<category>`` of every document's whole text, with the columns named in ``keep``.
+def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``p_<category>`` of every document's whole text.
 
     Null or empty text has no features: the categories' base rates.  Null ids give rows too.
     """
@@ -198,8 +198,26 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
+def learned(docs: DataFrame, labels: DataFrame, **how) -> Chain:
+    """The chain over CATEGORIES."""
+    given = labels.select("doc_id", *[F.expr(e).cast("int").alias(c) for c, e in CATEGORIES.items()])
+    return fit_chain(docs, given, list(CATEGORIES), **how)
+
+
+def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows and columns of ``docs`` whose last category's probability is below ``threshold``; one pass, nothing is shuffled."""
+    names = docs.columns
+
+    def run(batches):
+        for b in batches:
+            row, col = held(pa.table({"text": b.column("_text")}), chain.features)
+            clean = chain.probabilities(row, col, b.num_rows)[-1] < threshold
+            yield b.filter(pa.array(clean)).select(names)
+
+    return docs.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
     """``doc_id``, the probability of each category, and ``toxic``: whether the last one reaches ``threshold``."""
-    given = labels.select("doc_id", *[F.expr(e).cast("int").alias(c) for c, e in CATEGORIES.items()])
-    scored = score(docs, fit_chain(docs, given, list(CATEGORIES), **how))
+    scored = score(docs, learned(docs, labels, **how))
     return scored.withColumn("toxic", F.col("p_toxic") >= threshold)
