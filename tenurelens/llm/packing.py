@@ -16,7 +16,7 @@ from tenurelens.sources.shared import new_path
 
 VOCABULARY, SEQUENCE, END = "word_bpe_49k.json", 2048, 0
 #: Words whose ids a Python worker remembers before it starts afresh; texts looked up together.
-REMEMBERED, TOGETHER = 400_000, 256
+REMEMBERED, TOGETHER = 600_000, 512
 #: A character that is a token of its own between blanks; it parts words that are encoded in one call.
 PART = "\x01"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -34,6 +34,9 @@ class WordIds:
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
         self.part = self.raw(PART)
         assert len(self.part) == 1
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # tokens that end a word
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
 
     def raw(self, text):
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -55,16 +58,28 @@ class WordIds:
         for w in [w for w in new if PART in w]:
             self.known[w] = np.array(self.raw(w), dtype="<u4").tobytes()
         new = [w for w in new if PART not in w]
-        for k in range(0, len(new), 512):
-            some = new[k:k + 512]
+        letters, others = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        for k in range(0, len(letters), 512):
+            some = letters[k:k + 512]
+            ids = np.array(self.raw(" ".join(some)), dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):  # every word is one or more pieces
+                self.keep(some, ids, ends, 0)
+            else:
+                others += some
+        for k in range(0, len(others), 512):
+            some = others[k:k + 512]
             ids = np.array(self.raw(f" {PART} ".join(some) + f" {PART}"), dtype="<u4")
             ends = np.flatnonzero(ids == self.part[0])
             if len(ends) != len(some):
                 raise ValueError(f"{len(some)} words, {len(ends)} parts")
-            flat, at = ids.tobytes(), 0
-            for w, e in zip(some, ends.tolist()):
-                self.known[w] = flat[4 * at:4 * e]
-                at = e + 1
+            self.keep(some, ids, ends, 1)
+
+    def keep(self, words, ids, ends, gap):
+        flat, at = ids.tobytes(), 0
+        for w, e in zip(words, ends.tolist()):
+            self.known[w] = flat[4 * at:4 * e]
+            at = e + gap
 
     def encode(self, texts):
         """Ids of each text, as arrays."""
