@@ -15,7 +15,7 @@ from tenurelens.sources.shared import new_path
 
 U = np.uint64
 #: Labelled documents used at most; features kept; documents a feature needs; folds; steps and penalty of a fit.
-MOST_LABELLED, FEATURES, LEAST_DOCS, FOLDS, STEPS, PENALTY = 20_000, 4096, 5, 4, 250, 0.02
+MOST_LABELLED, FEATURES, LEAST_DOCS, FOLDS, STEPS, PENALTY = 20_000, 4096, 5, 4, 250, 1.0
 #: First bytes of a word that count as features beside the whole word.
 PREFIXES = (4, 5, 6)
 
