@@ -129,9 +129,12 @@ def _derivatives(dist, z, event):
     return F.when(event, 1.0 - e).otherwise(-e), -e
 
 
-def fit_aft(df: DataFrame, features, dist="logistic", time="time", event="event", max_steps=40, tol=1e-8, ridge=1e-9) -> AftModel:
+def fit_aft(df: DataFrame, features, dist="logistic", time="time", event="event", max_steps=40, tol=1e-8, ridge=0.0, damping=1e-9) -> AftModel:
     """Maximum likelihood by Newton steps; each step is one aggregation of sums.
 
+    ``ridge`` times the sum of squared coefficients (of the scaled features, without intercept
+    and scale) is taken from the likelihood; ``damping`` only steadies the steps.
+
     The driver holds one number per pair of coefficients; features are centred
     and scaled by their own moments so that the system is well conditioned.
     """
@@ -173,13 +176,16 @@ def fit_aft(df: DataFrame, features, dist="logistic", time="time", event="event"
                 for j in range(i, k):
                     hess[i, j] = hess[j, i] = r[f"h{i}_{j}"] / sigma ** 2
             hess[k, k] = r["zm"]
-            return r["ll"] - r["e"] * par[k], grad, hess
+            beta = np.array([0.0, *par[1:k], 0.0])
+            grad -= 2 * ridge * beta
+            hess[range(1, k), range(1, k)] -= 2 * ridge
+            return r["ll"] - r["e"] * par[k] - ridge * float(beta @ beta), grad, hess
 
         steps, (ll, grad, hess) = 0, sums(theta)
         while steps < max_steps:
             steps += 1
             try:
-                move = np.linalg.solve(hess - ridge * max(1.0, abs(np.trace(hess))) * np.eye(k + 1), -grad)
+                move = np.linalg.solve(hess - damping * max(1.0, abs(np.trace(hess))) * np.eye(k + 1), -grad)
             except np.linalg.LinAlgError:
                 move = grad / max(1.0, np.abs(hess).max())
             if grad @ move < 0:  # not uphill: follow the gradient instead

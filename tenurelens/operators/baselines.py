@@ -65,8 +65,10 @@ def km_log_likelihood(train: DataFrame, test: DataFrame, stratum: str, min_rows=
     Events use the hazard to the next step (at least 1e-6; 1e-4 after the last),
     censored rows the survival; rows of strata without a curve are left out.
     """
-    grid = pin_small(day_grid(stratum_curves(train, stratum, min_rows), stratum)).withColumnRenamed("day", "time")
-    j = test.join(grid, [stratum, "time"])
+    grid = pin_small(day_grid(stratum_curves(train, stratum, min_rows), stratum))
+    last = pin_small(grid.groupBy(stratum).agg(F.max("day").alias("_last")))
+    # a day after the grid's last one has that one's values
+    j = test.join(last, stratum).withColumn("day", F.least(F.col("time").cast("int"), F.col("_last"))).join(grid, [stratum, "day"])
     s = F.greatest("S", F.lit(1e-8))
     step = F.greatest((F.col("next_t") - F.col("t")).cast("double"), F.lit(1.0))
     haz = F.when(F.col("next_t").isNull(), 1e-4).otherwise(F.greatest((s - F.col("next_S")) / (step * s), F.lit(1e-6)))
@@ -77,28 +79,38 @@ def km_log_likelihood(train: DataFrame, test: DataFrame, stratum: str, min_rows=
 def min_time_brier(scored: DataFrame, horizon=365, prediction="prediction") -> DataFrame:
     """Brier score with weights 1 / max(G(min(T, h)), .01); censored rows count as no event."""
     c = km_curve(scored.select("time", (1 - F.col("event")).alias("_c"), F.lit("all").alias("_g")), ["_g"], "time", "_c")
-    days = day_grid(c, "_g").select(F.col("day").alias("_day"), (1.0 / F.greatest("S", F.lit(0.01))).alias("_w"))
+    days = day_grid(c, "_g", max(MAX_DAY, int(horizon))).select(F.col("day").alias("_day"), (1.0 / F.greatest("S", F.lit(0.01))).alias("_w"))
     j = scored.withColumn("_day", F.least(F.col("time"), F.lit(horizon))).join(pin_small(days), "_day")
     y = ((F.col("time") <= horizon) & (F.col("event") == 1)).cast("double")
     err = F.pow(1.0 - F.col(prediction) - y, 2)
     return j.agg((F.sum(F.col("_w") * err) / F.sum("_w")).alias("brier"))
 
 
-def baseline_metrics(train: DataFrame, test: DataFrame, strata: dict, key="id", horizon=365) -> DataFrame:
-    """One row per baseline: concordance, Brier, log-likelihood.  ``strata`` maps name to (column, minimum rows)."""
+def baseline_metrics(train: DataFrame, test: DataFrame, strata: dict, key="id", horizon=365, which=None) -> DataFrame:
+    """One row per baseline: concordance, Brier, log-likelihood.
+
+    ``strata`` maps name to (column, minimum rows); ``which`` names the baselines to build (all by default).
+    """
+    which = ["population", *strata, "random"] if which is None else which
+
     def row(name, pred, ll):
         b = min_time_brier(pred, horizon)
         c = concordance(pred.select("time", "event", (-F.col("prediction")).alias("_risk"), F.lit("all").alias("_g")), "_risk", ["_g"]).select("c_index")
         return one_row(c, b, ll).select(F.lit(name).alias("baseline"), "c_index", "brier", "log_likelihood")
 
     one = lambda d: d.withColumn("_all", F.lit("all"))
-    rows = [row("population", population_predictions(train, test, horizon), km_log_likelihood(one(train), one(test), "_all", 1))]
+    rows = []
+    if "population" in which:
+        rows.append(row("population", population_predictions(train, test, horizon), km_log_likelihood(one(train), one(test), "_all", 1)))
     for name, (col, least) in strata.items():
+        if name not in which:
+            continue
         rows.append(row(name, km_predictions(train, test, col, least, horizon), km_log_likelihood(train, test, col, least)))
-    rnd = random_predictions(test, key)
-    y = ((F.col("time") <= horizon) & (F.col("event") == 1)).cast("double")
-    r = rnd.agg(F.lit(0.5).alias("c_index"), F.avg(F.pow(F.col("prediction") - y, 2)).alias("brier"), F.sum(F.log(F.col("prediction") + 1e-8)).alias("log_likelihood"))
-    rows.append(r.select(F.lit("random").alias("baseline"), "c_index", "brier", "log_likelihood"))
+    if "random" in which:
+        rnd = random_predictions(test, key)
+        y = ((F.col("time") <= horizon) & (F.col("event") == 1)).cast("double")
+        r = rnd.agg(F.lit(0.5).alias("c_index"), F.avg(F.pow(F.col("prediction") - y, 2)).alias("brier"), F.sum(F.log(F.col("prediction") + 1e-8)).alias("log_likelihood"))
+        rows.append(r.select(F.lit("random").alias("baseline"), "c_index", "brier", "log_likelihood"))
     return reduce(DataFrame.unionByName, rows)
 
 

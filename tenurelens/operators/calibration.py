@@ -30,11 +30,11 @@ def horizon_rows(df: DataFrame, dist: str, sigma: float, horizons=HORIZONS) -> D
 class IsotonicCalibrator:
     """One monotone map per horizon: linear between knots, constant beyond them."""
 
-    def __init__(self, models: dict, digits: int):
+    def __init__(self, models: dict, digits: int | None):
         self.models, self.digits = models, digits
 
     def transform(self, rows: DataFrame, output="q") -> DataFrame:
-        out = rows.withColumn("_x", F.round("p", self.digits))
+        out = rows.withColumn("_x", _rounded(self.digits))
         for h, m in self.models.items():
             out = m.setFeaturesCol("_x").setPredictionCol(f"_q{h}").transform(out)
         pred = F.lit(None).cast("double")
@@ -43,13 +43,18 @@ class IsotonicCalibrator:
         return out.withColumn(output, pred).drop("_x", *[f"_q{h}" for h in self.models])
 
 
-def fit_isotonic(rows: DataFrame, horizons=HORIZONS, digits: int = 6) -> IsotonicCalibrator:
+def _rounded(digits: int | None):
+    return F.col("p") if digits is None else F.round("p", digits)
+
+
+def fit_isotonic(rows: DataFrame, horizons=HORIZONS, digits: int | None = None) -> IsotonicCalibrator:
     """Fit ``y`` on ``p`` per horizon.
 
-    Equal probabilities (at ``digits`` places) are merged with their weight first,
-    so at most 10**digits points per horizon reach the pooling step.
+    Equal probabilities are merged with their weight first; Spark pools the rest by
+    partition before it gathers the blocks.  With ``digits``, probabilities are rounded
+    to so many places, which bounds the points at 10**digits per horizon.
     """
-    points = rows.groupBy("horizon", F.round("p", digits).alias("x")).agg(
+    points = rows.groupBy("horizon", _rounded(digits).alias("x")).agg(
         F.avg(F.col("y").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w")).persist()
     try:
         fit = IsotonicRegression(featuresCol="x", labelCol="label", weightCol="w")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenurelens.functions.columns import correlation, one_row, ratio, stack
-from tenurelens.functions.scale import exact_quantiles
+from tenurelens.functions.scale import exact_quantiles, pin_small
 from tenurelens.operators.quality import distinct_counts, moments, null_counts, numeric_columns, text_columns
 from tenurelens.rules import AGE_LIMITS, CRITICAL_FEATURES, FEATURE_GROUPS, FEATURE_RULES, MAX_SPAN, MAX_TENURE_DAYS, SALARY_LIMITS, group_of
 from tenurelens.schema import PERSON, VANTAGE
@@ -118,6 +118,7 @@ def outliers(df: DataFrame, columns=None) -> DataFrame:
     """Tukey fences per numeric column and the rows beyond them."""
     columns = columns or [c for c in numeric_columns(df) if c in FEATURE_RULES]
     q = exact_quantiles(stack(df, columns, cast="double"), ["column_name"], "value", {"q1": 0.25, "q3": 0.75})
+    q = pin_small(q)  # one row per column: the quantiles are found once
     fences = {r["column_name"]: (r["q1"] - 1.5 * (r["q3"] - r["q1"]), r["q3"] + 1.5 * (r["q3"] - r["q1"])) for r in q.collect()}
     row = df.agg(F.count(F.lit(1)).alias("_rows"), *[
         F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(c) for c, (lo, hi) in fences.items()])

@@ -134,7 +134,7 @@ def trapezoid(points: DataFrame, by, x="horizon", y="brier", from_zero=True, spa
 def integrated_brier(df: DataFrame, dist: str, sigma: float, t_star=None, grid=None, by=BY, variant="graf") -> DataFrame:
     """Integrated Brier score.
 
-    ``graf`` integrates from 0 over every day to ``t_star`` (at most 128 of them) or
+    ``graf`` integrates from 0 over every day to ``t_star`` or
     over ``grid``; ``normalised`` uses 30 days from 1 to 364 and divides by the span.
     """
     if variant == "normalised":
@@ -144,8 +144,6 @@ def integrated_brier(df: DataFrame, dist: str, sigma: float, t_star=None, grid=N
         b = b.withColumn("x", F.try_element_at(exact, F.col("horizon")))
         return trapezoid(b, by, x="x", from_zero=False, span=True)
     times = grid or list(range(1, int(t_star) + 1))
-    if len(times) > 128:
-        times = [times[round((len(times) - 1) * i / 127)] for i in range(128)]
     return trapezoid(brier(evaluation_rows(df, dist, sigma, times, by), by), by)
 
 
@@ -186,7 +184,7 @@ def lorenz(df: DataFrame, score: str, by=BY) -> DataFrame:
     return out.withColumn("gini", F.least(F.greatest(2 * F.col("auc_lorenz") - 1, F.lit(0.0)), F.lit(1.0)))
 
 
-def concordance(df: DataFrame, score: str, by=BY, bits=9, tied_times=True) -> DataFrame:
+def concordance(df: DataFrame, score: str, by=BY, tied_times=True) -> DataFrame:
     """Harrell's c, exact, without pairing rows.
 
     Two different days first differ in one binary digit.  For each digit the
@@ -194,13 +192,13 @@ def concordance(df: DataFrame, score: str, by=BY, bits=9, tied_times=True) -> Da
     before those with a 1, and a running count along the score tells how many
     pairs are ranked right.  Every pair is counted at exactly one digit.  People
     censored on the day of an event count as leaving later (``tied_times``).
-    ``score`` is high for high risk; days must be below 2**bits.
+    ``score`` is high for high risk.  The number of digits comes from the largest day.
     """
     by = list(by)
     cells = df.groupBy(*by, "time", score).agg(F.sum("event").alias("e"), F.count(F.lit(1)).alias("n"))
-    t = F.col("time").cast("int")
+    t = F.col("time").cast("long")
     levels = []
-    for b in range(bits):
+    for b in range(int(df.agg(F.max(t)).first()[0] or 0).bit_length()):
         one = F.shiftright(t, b).bitwiseAND(1) == 1
         levels.append(F.struct(F.lit(b).alias("lv"), F.shiftright(t, b + 1).alias("pre"),
                                F.when(one, 0).otherwise(F.col("e")).cast("long").alias("early"), F.when(one, F.col("n")).otherwise(0).cast("long").alias("late")))
@@ -307,10 +305,9 @@ def performance(df: DataFrame, dist: str, sigma: float, horizons=HORIZONS, by=BY
     """Concordance, Brier, calibration and Gini per dataset with labels and an overall grade."""
     risk = df.withColumn("_risk", -F.col("eta"))
     rows = evaluation_rows(df, dist, sigma, horizons, by)
-    ece = ece_evaluable(rows, by)
+    ece, score = ece_evaluable(rows, by), pin_small(brier(rows, by))
     parts = [concordance(risk, "_risk", by).select(*by, "c_index"),
-             brier(rows, by).groupBy(*by).agg(F.avg("brier").alias("mean_brier")),
-             trapezoid(brier(rows, by), by).withColumnRenamed("ibs", "integrated_brier"),
+             score.groupBy(*by).agg(F.avg("brier").alias("mean_brier")), trapezoid(score, by).withColumnRenamed("ibs", "integrated_brier"),
              calibration_summary(ece, by).drop("ece_std"), gini(df, dist, sigma, 364, by).select(*by, "gini")]
     m = reduce(lambda a, b: a.join(b, by), parts)
     lab = {"c_index": ladder("c_index", C_INDEX_LABELS, "Poor", ">="), "gini": ladder("gini", GINI_LABELS, "Poor", ">="),
@@ -359,17 +356,16 @@ def validate_scores(df: DataFrame, dist: str, sigma: float, t_star=None) -> Data
         F.lit(t).alias("t_star"), "n", "n_cases", "n_controls", "auc", (2 * F.col("auc") - 1).alias("gini"), "ece", "brier", "c_index", "ibs")
 
 
-def bootstrap_brier(df: DataFrame, dist: str, sigma: float, horizons=HORIZONS, replicates=200, by=BY, cells=1024) -> DataFrame:
+def bootstrap_brier(df: DataFrame, dist: str, sigma: float, horizons=HORIZONS, replicates=200, by=BY, cells=256) -> DataFrame:
     """Percentile interval of the Brier score by Poisson bootstrap.
 
-    Rows are first summed into ``cells`` fixed hash cells per outcome kind, so a
-    replicate touches cells, not people; the variance is that of resampling cells
-    members with their mean contribution.
+    Rows are first summed into cells of contributions of almost equal size (``cells`` for
+    each factor e, without an upper end), so a replicate touches cells, not people, and
+    the spread inside a cell is a fraction of a percent.
     """
     rows = evaluation_rows(df, dist, sigma, horizons, by)
     err = F.when(F.col("is_case"), F.pow(1.0 - F.col("p"), 2)).otherwise(F.pow("p", 2))
-    # contributions of similar size share a cell, so the spread inside a cell is small
-    size = F.floor(F.least(_weights() * err, F.lit(4.0)) * (cells / 4)).cast("int")
+    size = F.floor(F.log1p(_weights() * err * 1e6) * cells).cast("long")
     d = rows.withColumn("_c", _weights() * err).groupBy(*by, "horizon", size.alias("cell")).agg(F.sum("_c").alias("total"), F.count(F.lit(1)).alias("n"))
     reps = replicate_means(d, [*by, "horizon"], "total", "n", replicates, cell_key=[*by, "horizon", "cell"])
     return percentile_interval(reps, [*by, "horizon"])

@@ -2,9 +2,10 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenurelens.functions.columns import stack
@@ -58,11 +59,19 @@ def add_logs(df: DataFrame, columns) -> DataFrame:
 
 def fit_codes(train: DataFrame, columns) -> DataFrame:
     """Code table (column, value, code): most frequent value 1, ties by value; null is MISSING."""
-    from pyspark.sql import Window as W
     filled = train.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in columns])
     n = stack(filled, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
-    return n.withColumn("code", F.row_number().over(w))
+    # ranks in three steps, so that a column of very many values is not one task: counts, then beginnings, then values
+    start = F.substring("value", 1, 3)
+    parts = n.groupBy("column_name", "n", start.alias("_start")).agg(F.count(F.lit(1)).alias("_k"))
+    sizes = parts.groupBy("column_name", "n").agg(F.sum("_k").alias("_m"))
+    before = W.partitionBy("column_name").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("column_name", "n", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_above"))
+    within = W.partitionBy("column_name", "n").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.join(sizes, ["column_name", "n"]).select("column_name", "n", "_start", (F.col("_above") + F.coalesce(F.sum("_k").over(within), F.lit(0))).alias("_above"))
+    own = F.row_number().over(W.partitionBy("column_name", "n", "_start").orderBy("value"))
+    ranked = n.withColumn("_start", start).join(parts, ["column_name", "n", "_start"])
+    return ranked.select("column_name", "value", "n", (own + F.col("_above")).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, codes: DataFrame, columns) -> DataFrame:
@@ -96,18 +105,24 @@ def fill(df: DataFrame, values: dict) -> DataFrame:
 
 @dataclass
 class FeatureModel:
-    """Fitted parameters; small enough for a driver, saved as JSON text."""
+    """Fitted parameters, saved as JSON text.
+
+    Codes of a column with very many values stay in ``code_table`` (column, value, code),
+    which is joined and not part of the text.
+    """
     caps: dict = field(default_factory=dict)
     winsors: dict = field(default_factory=dict)
     logs: list = field(default_factory=list)
     codes: dict = field(default_factory=dict)
     fills: dict = field(default_factory=dict)
     direct: list = field(default_factory=list)
+    joined: list = field(default_factory=list)
+    code_table: DataFrame | None = field(default=None, repr=False, compare=False)
 
     @property
     def columns(self):
         made = [f"{c}_cap" for c in self.caps] + [f"{c}_log" for c in self.logs] + [f"{c}_win_cap" for c in self.winsors]
-        return self.direct + made + [f"{c}_encoded" for c in self.codes]
+        return self.direct + made + [f"{c}_encoded" for c in [*self.codes, *self.joined]]
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = clip(df, self.caps, "_cap")
@@ -121,38 +136,44 @@ class FeatureModel:
                 pairs = [F.lit(x) for kv in table.items() for x in kv]
                 lookup[f"{c}_encoded"] = F.coalesce(F.try_element_at(F.create_map(*pairs), value), F.lit(0))
             out = out.withColumns(lookup)
+        if self.joined:
+            if self.code_table is None:
+                raise ValueError("set code_table for the columns " + ", ".join(self.joined))
+            out = encode(out, self.code_table, self.joined)
         return fill(out, self.fills)
 
     def lineage(self, spark: SparkSession) -> DataFrame:
         """Output column, source column and step."""
         rows = [(c, c, "direct") for c in self.direct] + [(f"{c}_cap", c, "iqr_cap") for c in self.caps] + [
             (f"{c}_log", c, "log_transform") for c in self.logs] + [(f"{c}_win_cap", c, "winsorize") for c in self.winsors] + [
-            (f"{c}_encoded", c, "categorical_encoding") for c in self.codes]
+            (f"{c}_encoded", c, "categorical_encoding") for c in [*self.codes, *self.joined]]
         return spark.createDataFrame(rows, "feature string, source string, step string")
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self))
+        return json.dumps({k: getattr(self, k) for k in ("caps", "winsors", "logs", "codes", "fills", "direct", "joined")})
 
     @staticmethod
     def from_json(text: str) -> "FeatureModel":
         return FeatureModel(**json.loads(text))
 
 
-def fit_features(train: DataFrame, cap=CAP, log=LOG, winsor=WINSOR, direct=DIRECT, category=CATEGORY, max_categories=10_000) -> FeatureModel:
-    """Learn all parameters from the training rows."""
+def fit_features(train: DataFrame, cap=CAP, log=LOG, winsor=WINSOR, direct=DIRECT, category=CATEGORY, most_literals=1000) -> FeatureModel:
+    """Learn all parameters from the training rows.
+
+    Codes of columns with up to ``most_literals`` values become literals; the others are
+    joined from the code table.  The codes are the same.
+    """
     nums, has = numeric_columns(train), train.columns
     pick = lambda names: [c for c in names if c in nums]
     cats = [c for c in category if c in has]
-    codes = {c: {} for c in cats}
+    codes, joined, table = {}, [], None
     if cats:
-        # more values than this belong in a join; see ``encode``
-        rows = fit_codes(train, cats).where(F.col("code") <= max_categories + 1).collect()
-        for r in rows:
-            codes[r["column_name"]][r["value"]] = r["code"]
-        if any(len(t) > max_categories for t in codes.values()):
-            raise ValueError("a category column has too many values for a literal map; use encode()")
+        table = fit_codes(train, cats)
+        rows = table.where(F.col("code") <= most_literals + 1).collect()
+        joined = sorted({r["column_name"] for r in rows if r["code"] > most_literals}, key=cats.index)
+        codes = {c: {r["value"]: r["code"] for r in rows if r["column_name"] == c} for c in cats if c not in joined}
     m = FeatureModel(fit_limits(train, pick(cap), "iqr"), fit_limits(train, pick(winsor), "winsor"), pick(log), codes, {},
-                     [c for c in direct if c in has])
+                     [c for c in direct if c in has], joined, table if joined else None)
     made = m.transform(train)
     m.fills = fit_fill(made, [c for c in m.columns if not c.endswith("_encoded")])
     return m

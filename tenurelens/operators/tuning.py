@@ -1,4 +1,4 @@
-"""Model search over distributions, scales and ridge, and analysis of the trial history."""
+"""Model search over distributions and ridge, and analysis of the trial history."""
 from __future__ import annotations
 
 import time
@@ -12,7 +12,7 @@ from tenurelens.operators.aft import calibration_slope, fit_aft, log_likelihood
 from tenurelens.operators.metrics import concordance
 
 
-def candidate_grid(dists=("normal", "logistic", "extreme"), ridges=(1e-9, 1e-4)) -> list:
+def candidate_grid(dists=("normal", "logistic", "extreme"), ridges=(0.0, 100.0)) -> list:
     return [{"dist": d, "ridge": r} for d, r in product(dists, ridges)]
 
 

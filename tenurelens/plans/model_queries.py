@@ -242,7 +242,7 @@ tr as (select *, (x-{first[0]})*(b+{first[1]})/2.0 a from bs window w as (partit
 
 
 DAYS180 = list(range(1, 181))
-PICKED = [DAYS180[round(179 * i / 127)] for i in range(128)]
+PICKED = DAYS180
 POINTS = [1 + 363 * i / 29 for i in range(30)]
 XMAP = "case h " + " ".join(f"when {int(x)} then {x!r}" for x in POINTS) + " end"
 

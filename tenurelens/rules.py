@@ -1,88 +1,8 @@
-"""Feature groups and validation rules as one table of fixed values."""
+"""Feature groups and validation rules."""
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-# fixed values: group, feature, minimum, maximum, null allowed; "-" means no limit,
-# a last column lists the allowed values, "?" marks features without a rule
-_TABLE = """
-compensation        baseline_salary                    0     1000000  no
-compensation        salary_growth_rate_12m             -1    5        yes
-compensation        compensation_percentile_company    0     1        yes
-compensation        compensation_percentile_industry   0     1        yes
-compensation        compensation_volatility            0     -        yes
-compensation        pay_grade_stagnation_months        0     600      yes
-compensation        pay_frequency_preference           0     2        no
-compensation        comp_chang_freq_per_year           0     24       yes
-compensation        avg_salary_last_quarter            0     -        yes
-compensation        pay_freq_consistency_score         0     1        yes
-career_progression  time_since_last_promotion          0     10000    yes
-career_progression  promotion_velocity                 0     -        yes
-career_progression  promot_2yr_ind                     0     1        no
-career_progression  demot_2yr_ind                      0     1        no
-career_progression  transfer_2yr_ind                   0     1        no
-career_progression  num_promot_2yr                     0     20       no
-career_progression  num_demot_2yr                      0     20       no
-career_progression  num_transfer_2yr                   0     20       no
-career_progression  promot_2yr_perf_ind                0     1        no
-career_progression  promot_2yr_titlechng_ind           0     1        no
-career_progression  promot_2yr_mktadjst_ind            0     1        no
-career_progression  demot_2yr_compreorg_ind            0     1        no
-career_progression  demot_2yr_perfissue_ind            0     1        no
-career_progression  days_since_promot                  0     10000    yes
-career_progression  days_since_transfer                0     10000    yes
-career_progression  promot_veloc                       0     -        yes
-career_progression  promot_rt                          0     1        yes
-demographic         age_at_vantage                     16    100      yes
-demographic         gender_cd                          ?
-demographic         career_stage                       -     -        yes  Early|Mid|Late|Senior
-demographic         retirement_eligibility_years       0     50       yes
-demographic         generation_cohort                  -     -        yes  Gen Z|Millennial|Gen X|Baby Boomer|Silent Generation
-demographic         tenure_age_ratio                   0     1        yes
-demographic         career_joiner_stage                -     -        yes  early_career|mid_career_joiner|late_career_joiner|experienced_loyal|other
-demographic         tenure_age_risk                    -     -        yes  burnout_risk|retirement_on_disengagement_risk|normal
-job_characteristics job_level                          1     10       yes
-job_characteristics job_family_turnover_rate           0     1        yes
-job_characteristics flsa_stus_cd                       ?
-job_characteristics full_tm_part_tm_cd                 ?
-job_characteristics reg_temp_cd                        ?
-job_characteristics role_complexity_score              1     3        no
-job_characteristics job_stability_ind                  0     1        no
-job_characteristics flsa_status_desc                   -     -        yes  exempt|non-exempt|others
-manager_environment time_with_current_manager          0     10000    yes
-manager_environment manager_tenure_days                0     20000    yes
-manager_environment manager_span_control               0     1000     yes
-manager_environment manager_changes_count              0     20       no
-manager_environment is_manager_ind                     0     1        yes
-team_environment    team_size                          1     1000     yes
-team_environment    team_turnover_rate                 0     1        yes
-team_environment    team_avg_tnur_days                 0     20000    yes
-team_environment    peer_salary_ratio                  0.1   10       yes
-team_environment    team_avg_comp                      0     -        yes
-tenure_dynamics     tenure_at_vantage_days             0     20000    no
-tenure_dynamics     tenure_in_current_role             0     20000    yes
-tenure_dynamics     company_tenure_percentile          1     100      yes
-work_patterns       assignment_frequency_12m           0     50       no
-work_patterns       work_location_changes_count        0     20       no
-work_patterns       num_city_chng                      0     20       no
-work_patterns       num_state_chng                     0     10       no
-company_factors     naics_cd                           ?
-company_factors     company_size_tier                  -     -        no   Small|Medium|Large|Enterprise|Unknown
-company_factors     fscl_actv_ind                      ?
-temporal            hire_date_seasonality              ?
-temporal            fiscal_year_effect                 ?
-temporal            quarter_effect                     ?
-job_change_events   job_chng_2yr_ind                   0     1        no
-job_change_events   num_job_chng_2yr                   0     20       no
-job_change_events   job_chng_fulltopart_ind            0     1        no
-job_change_events   job_chng_nexmptoexmp_ind           0     1        no
-external            salary_growth_rate12m_to_cpi_rate  -10   10       yes
-external            sal_nghb_ratio                     0.1   20       yes
-targets             survival_time_days                 0     365      no
-targets             event_indicator_all                0     1        no
-targets             event_indicator_vol                0     1        no
-"""
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -92,20 +12,179 @@ class Rule:
     values: tuple = ()
 
 
-def _parse():
-    groups, rules = {}, {}
-    for line in _TABLE.strip().splitlines():
-        group, name, low, *rest = line.split(maxsplit=5)
-        groups.setdefault(group, []).append(name)
-        if low == "?":
-            continue
-        high, null, *allowed = rest
-        number = lambda t: None if t == "-" else float(t)
-        rules[name] = Rule(number(low), number(high), null == "yes", tuple(allowed[0].split("|")) if allowed else ())
-    return groups, rules
-
-
-FEATURE_GROUPS, FEATURE_RULES = _parse()
+# fixed values: the features of each group
+FEATURE_GROUPS = {
+    "compensation": [
+        "baseline_salary",
+        "salary_growth_rate_12m",
+        "compensation_percentile_company",
+        "compensation_percentile_industry",
+        "compensation_volatility",
+        "pay_grade_stagnation_months",
+        "pay_frequency_preference",
+        "comp_chang_freq_per_year",
+        "avg_salary_last_quarter",
+        "pay_freq_consistency_score",
+    ],
+    "career_progression": [
+        "time_since_last_promotion",
+        "promotion_velocity",
+        "promot_2yr_ind",
+        "demot_2yr_ind",
+        "transfer_2yr_ind",
+        "num_promot_2yr",
+        "num_demot_2yr",
+        "num_transfer_2yr",
+        "promot_2yr_perf_ind",
+        "promot_2yr_titlechng_ind",
+        "promot_2yr_mktadjst_ind",
+        "demot_2yr_compreorg_ind",
+        "demot_2yr_perfissue_ind",
+        "days_since_promot",
+        "days_since_transfer",
+        "promot_veloc",
+        "promot_rt",
+    ],
+    "demographic": [
+        "age_at_vantage",
+        "gender_cd",
+        "career_stage",
+        "retirement_eligibility_years",
+        "generation_cohort",
+        "tenure_age_ratio",
+        "career_joiner_stage",
+        "tenure_age_risk",
+    ],
+    "job_characteristics": [
+        "job_level",
+        "job_family_turnover_rate",
+        "flsa_stus_cd",
+        "full_tm_part_tm_cd",
+        "reg_temp_cd",
+        "role_complexity_score",
+        "job_stability_ind",
+        "flsa_status_desc",
+    ],
+    "manager_environment": [
+        "time_with_current_manager",
+        "manager_tenure_days",
+        "manager_span_control",
+        "manager_changes_count",
+        "is_manager_ind",
+    ],
+    "team_environment": [
+        "team_size",
+        "team_turnover_rate",
+        "team_avg_tnur_days",
+        "peer_salary_ratio",
+        "team_avg_comp",
+    ],
+    "tenure_dynamics": [
+        "tenure_at_vantage_days",
+        "tenure_in_current_role",
+        "company_tenure_percentile",
+    ],
+    "work_patterns": [
+        "assignment_frequency_12m",
+        "work_location_changes_count",
+        "num_city_chng",
+        "num_state_chng",
+    ],
+    "company_factors": [
+        "naics_cd",
+        "company_size_tier",
+        "fscl_actv_ind",
+    ],
+    "temporal": [
+        "hire_date_seasonality",
+        "fiscal_year_effect",
+        "quarter_effect",
+    ],
+    "job_change_events": [
+        "job_chng_2yr_ind",
+        "num_job_chng_2yr",
+        "job_chng_fulltopart_ind",
+        "job_chng_nexmptoexmp_ind",
+    ],
+    "external": [
+        "salary_growth_rate12m_to_cpi_rate",
+        "sal_nghb_ratio",
+    ],
+    "targets": [
+        "survival_time_days",
+        "event_indicator_all",
+        "event_indicator_vol",
+    ],
+}
+# fixed values: minimum, maximum, whether null is allowed, allowed values
+FEATURE_RULES = {
+    "baseline_salary": Rule(0, 1000000, False),
+    "salary_growth_rate_12m": Rule(-1, 5, True),
+    "compensation_percentile_company": Rule(0, 1, True),
+    "compensation_percentile_industry": Rule(0, 1, True),
+    "compensation_volatility": Rule(0, None, True),
+    "pay_grade_stagnation_months": Rule(0, 600, True),
+    "pay_frequency_preference": Rule(0, 2, False),
+    "comp_chang_freq_per_year": Rule(0, 24, True),
+    "avg_salary_last_quarter": Rule(0, None, True),
+    "pay_freq_consistency_score": Rule(0, 1, True),
+    "time_since_last_promotion": Rule(0, 10000, True),
+    "promotion_velocity": Rule(0, None, True),
+    "promot_2yr_ind": Rule(0, 1, False),
+    "demot_2yr_ind": Rule(0, 1, False),
+    "transfer_2yr_ind": Rule(0, 1, False),
+    "num_promot_2yr": Rule(0, 20, False),
+    "num_demot_2yr": Rule(0, 20, False),
+    "num_transfer_2yr": Rule(0, 20, False),
+    "promot_2yr_perf_ind": Rule(0, 1, False),
+    "promot_2yr_titlechng_ind": Rule(0, 1, False),
+    "promot_2yr_mktadjst_ind": Rule(0, 1, False),
+    "demot_2yr_compreorg_ind": Rule(0, 1, False),
+    "demot_2yr_perfissue_ind": Rule(0, 1, False),
+    "days_since_promot": Rule(0, 10000, True),
+    "days_since_transfer": Rule(0, 10000, True),
+    "promot_veloc": Rule(0, None, True),
+    "promot_rt": Rule(0, 1, True),
+    "age_at_vantage": Rule(16, 100, True),
+    "career_stage": Rule(None, None, True, ("Early", "Mid", "Late", "Senior")),
+    "retirement_eligibility_years": Rule(0, 50, True),
+    "generation_cohort": Rule(None, None, True, ("Gen Z", "Millennial", "Gen X", "Baby Boomer", "Silent Generation")),
+    "tenure_age_ratio": Rule(0, 1, True),
+    "career_joiner_stage": Rule(None, None, True, ("early_career", "mid_career_joiner", "late_career_joiner", "experienced_loyal", "other")),
+    "tenure_age_risk": Rule(None, None, True, ("burnout_risk", "retirement_on_disengagement_risk", "normal")),
+    "job_level": Rule(1, 10, True),
+    "job_family_turnover_rate": Rule(0, 1, True),
+    "role_complexity_score": Rule(1, 3, False),
+    "job_stability_ind": Rule(0, 1, False),
+    "flsa_status_desc": Rule(None, None, True, ("exempt", "non-exempt", "others")),
+    "time_with_current_manager": Rule(0, 10000, True),
+    "manager_tenure_days": Rule(0, 20000, True),
+    "manager_span_control": Rule(0, 1000, True),
+    "manager_changes_count": Rule(0, 20, False),
+    "is_manager_ind": Rule(0, 1, True),
+    "team_size": Rule(1, 1000, True),
+    "team_turnover_rate": Rule(0, 1, True),
+    "team_avg_tnur_days": Rule(0, 20000, True),
+    "peer_salary_ratio": Rule(0.1, 10, True),
+    "team_avg_comp": Rule(0, None, True),
+    "tenure_at_vantage_days": Rule(0, 20000, False),
+    "tenure_in_current_role": Rule(0, 20000, True),
+    "company_tenure_percentile": Rule(1, 100, True),
+    "assignment_frequency_12m": Rule(0, 50, False),
+    "work_location_changes_count": Rule(0, 20, False),
+    "num_city_chng": Rule(0, 20, False),
+    "num_state_chng": Rule(0, 10, False),
+    "company_size_tier": Rule(None, None, False, ("Small", "Medium", "Large", "Enterprise", "Unknown")),
+    "job_chng_2yr_ind": Rule(0, 1, False),
+    "num_job_chng_2yr": Rule(0, 20, False),
+    "job_chng_fulltopart_ind": Rule(0, 1, False),
+    "job_chng_nexmptoexmp_ind": Rule(0, 1, False),
+    "salary_growth_rate12m_to_cpi_rate": Rule(-10, 10, True),
+    "sal_nghb_ratio": Rule(0.1, 20, True),
+    "survival_time_days": Rule(0, 365, False),
+    "event_indicator_all": Rule(0, 1, False),
+    "event_indicator_vol": Rule(0, 1, False),
+}
 # fixed values: features every table must have, and limits of the business checks
 CRITICAL_FEATURES = ["person_composite_id", "vantage_date", "baseline_salary", "tenure_at_vantage_days", "age_at_vantage",
                      "job_level", "survival_time_days", "event_indicator_all"]

@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
+    """Folder named by ``spark.checkpoint.dir``; a local one only where none is set and Spark runs on this machine alone (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="shared-")
+        if current.isDefined():
+            folder = current.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            folder = tempfile.mkdtemp(prefix="shared-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
