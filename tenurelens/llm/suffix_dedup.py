@@ -65,7 +65,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
         again[np.searchsorted(start, leaves, "right") - 1] = True
         with np.errstate(over="ignore"):
             content = T.mix(T.range_hashes(sums, start, end + length, T._BASE) + (end - start).astype(U))
-        out.append((start + base, end - start + 1, least[start], content, again))
+        out.append((start + base, end - start + 1, T.mix(least[start]), content, again))  # least values are small; mixed, they fill all shards
     kinds = (np.int64, np.int64, U, U, bool)
     return [X.joined([o[c] for o in out], kind) for c, kind in enumerate(kinds)]
 
