@@ -250,3 +250,52 @@ def test_baseline_for_unseen_stratum(spark):
     assert got == {"a": pytest.approx(0.5), "new": 0.5}
     r = baselines.random_predictions(test.withColumn("id", F.monotonically_increasing_id())).agg(F.min("prediction"), F.max("prediction")).first()
     assert 0.1 <= r[0] and r[1] <= 0.9
+
+
+def test_concordance_counts_pairs_of_late_days(spark):
+    df = spark.createDataFrame([("a", 100, 1, 1.0), ("a", 700, 1, 3.0), ("a", 900, 0, 2.0)], "dataset string, time int, event int, r double")
+    r = metrics.concordance(df, "r").first()
+    assert (r.comparable_pairs, round(r.c_index, 9)) == (3.0, round(1 / 3, 9))
+    late = metrics.concordance(df.where("r > 1").withColumn("time", F.col("time").cast("long") * 10 ** 7), "r").first()
+    assert (late.comparable_pairs, late.c_index) == (1.0, 1.0)
+
+
+def test_likelihood_keeps_days_after_the_grid(spark):
+    train = spark.createDataFrame([("s", t, 1) for t in range(10, 120, 10)], "g string, time int, event int")
+    test = spark.createDataFrame([("s", 10, 1), ("s", 400, 1), ("s", 800, 0)], "g string, time int, event int")
+    assert baselines.km_log_likelihood(train, test, "g", 1).first().n == 3
+
+
+def test_ridge_moves_the_optimum(spark):
+    df = spark.createDataFrame([(float(x), float(2.0 + 0.5 * x + 0.3 * ((x * 7) % 5 - 2)), 1) for x in range(40)], "x double, l double, event int").withColumn("time", F.exp("l"))
+    plain, held = (aft.fit_aft(df, ["x"], "normal", ridge=r) for r in (0.0, 200.0))
+    assert abs(held.coefficients[0]) < 0.98 * abs(plain.coefficients[0])
+    # at the optimum the gradient of the likelihood is 2 * ridge * coefficient, both per scaled feature
+    sd = df.agg(F.stddev_pop("x")).first()[0]
+    z = (F.col("l") - held.intercept - held.coefficients[0] * F.col("x")) / held.sigma
+    mean = df.agg(F.avg("x")).first()[0]
+    g = df.agg(F.sum(z * (F.col("x") - mean) / sd) / held.sigma).first()[0]
+    assert abs(g - 2 * 200.0 * held.coefficients[0] * sd) < 1e-3 * abs(g)
+
+
+def test_codes_of_a_wide_category_are_joined(spark):
+    df = spark.createDataFrame([(f"v{i % 1500}", float(i)) for i in range(2000)], "naics_cd string, baseline_salary double")
+    few, many = (prep.fit_features(df, (), (), (), (), ["naics_cd"], most_literals=n) for n in (10, 5000))
+    assert few.joined == ["naics_cd"] and many.joined == []
+    a, b = ({(r.naics_cd, r.naics_cd_encoded) for r in m.transform(df).collect()} for m in (few, many))
+    assert a == b and sorted(c for _, c in a) == list(range(1, 1501))
+    lost = prep.FeatureModel.from_json(few.to_json())
+    with pytest.raises(ValueError):
+        lost.transform(df)
+
+
+def test_bootstrap_interval_of_a_heavy_tail(spark):
+    rows = [("a", 400 if i % 50 else 10, 0 if i % 50 else 1, 5.0 + 0.01 * (i % 7)) for i in range(3000)] + [("a", 200, 0, 5.0) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "dataset string, time int, event int, eta double")
+    got = metrics.bootstrap_brier(df, "logistic", 0.5, [300], replicates=200).first()
+    c = [r[0] for r in metrics.evaluation_rows(df, "logistic", 0.5, [300]).select((metrics._weights() * F.when(F.col("is_case"), F.pow(1 - F.col("p"), 2)).otherwise(F.pow("p", 2)))).collect()]
+    r = np.random.default_rng(0)
+    means = [np.mean(r.choice(c, len(c))) for _ in range(400)]
+    low, high = np.percentile(means, [2.5, 97.5])
+    values = [v for k, v in got.asDict().items() if k in ("lower", "upper")]
+    assert abs((max(values) - min(values)) / (high - low) - 1) < 0.25
