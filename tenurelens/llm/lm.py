@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 from tenurelens.llm import exchange as X
 from tenurelens.llm import text as T
 from tenurelens.llm.tables import cuts, documents, partitions_for, text_bytes
-from tenurelens.sources.shared import new_path
 
 U = np.uint64
 #: Counts up to which Good-Turing discounts; pairs with fewer counts than LEAST are left to the single words.
@@ -22,8 +22,8 @@ WIDTH, BLOCK_BYTES, HOT_SHARE = 8, 8 << 20, 1 / 1024
 END, START = U(0x3C6EF372FE94F82B), U(0xA54FF53A5F1D36F1)
 #: The part of a word's hash that tells the successors of one history apart.
 SUCCESSOR = U(0xFFFFFFFFFF000000)
-#: Kinds of pieces: words, sketch cells, pairs by history, pairs of hot histories; numbers by count of both; sums of hot histories; stored pairs.
-WORDS, CELLS, PAIRS, HOT_PAIRS, WORD_STATS, PAIR_STATS, HOT_SUMS, TABLE = range(8)
+#: Kinds of pieces: words, sketch cells, pairs by history, pairs of hot histories; numbers by count of both; sums of hot histories.
+WORDS, CELLS, PAIRS, HOT_PAIRS, WORD_STATS, PAIR_STATS, HOT_SUMS = range(7)
 N_STATS = DISCOUNTED + 4  # by count 0 .. DISCOUNTED + 1, then tokens and distinct ones
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -211,8 +211,19 @@ def read_pairs(pieces, kind):
     return own, h[first], w[first], np.bincount(place, weights=n, minlength=len(first)).astype(np.int64), of[first], p[first], place
 
 
-def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
-    """The blocks of ``docs`` and the path of the written model: tables by shard, and answers by block.
+@dataclass
+class Model:
+    """A model as a plan: the blocks of documents, the answers that they get, and the merged requests of each shard."""
+
+    blocks: DataFrame
+    answers: DataFrame
+    asked: DataFrame
+    to_shards: DataFrame
+    cut: np.uint64
+
+
+def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Model:
+    """The model of the training documents, spread over shards, with the answers that each block needs.
 
     (1) Blocks send their distinct words with training counts, and the sketch cells of their pairs.
     (2) Blocks send the pairs that the sketch counts LEAST times or more, and all their histories;
@@ -278,8 +289,22 @@ def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str
         return out + [(int(s), block, WORD_STATS, stats[0]) for s in {o[0] for o in out}] if stats else out
 
     def pair_numbers(pieces):
-        found = [g for kind in (PAIRS, HOT_PAIRS) if (g := read_pairs(pieces, kind))]
-        return [(pieces[0][1], -1, PAIR_STATS, sum(numbers_by_count(g[3] * (g[3] >= LEAST)) for g in found).tobytes())] if found else []
+        found = {kind: g for kind in (PAIRS, HOT_PAIRS) if (g := read_pairs(pieces, kind))}
+        if not found:
+            return []
+        shard = pieces[0][1]
+        out = [(shard, -1, PAIR_STATS, sum(numbers_by_count(g[3] * (g[3] >= LEAST)) for g in found.values()).tobytes())]
+        if HOT_PAIRS in found:
+            _, h, _, count, of, p, _ = found[HOT_PAIRS]
+            kept = count >= LEAST
+            hist, at = np.unique(h[kept], return_inverse=True)
+            of_hist = np.zeros(len(hist))
+            of_hist[at] = of[kept]
+            # tokens of each count up to DISCOUNTED, those of all higher counts, and the words' probabilities
+            by = [np.bincount(at, weights=count[kept] * (count[kept] == c), minlength=len(hist)) for c in range(LEAST, DISCOUNTED + 1)]
+            by += [np.bincount(at, weights=count[kept] * (count[kept] > DISCOUNTED), minlength=len(hist)), np.bincount(at, weights=p[kept], minlength=len(hist))]
+            out.append((shard, -1, HOT_SUMS, np.concatenate((hist.view(np.float64), of_hist, *by)).tobytes()))
+        return out
 
     def second_reply(pieces, told):
         out = []
@@ -303,28 +328,27 @@ def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str
                 i = np.searchsorted(hist, asked)
                 extra = [X.zipped(weight[i]), X.zipped(factor[i])] if kind == PAIRS else []
                 out.append((s, b, kind, together([X.pack(np.where(kept, count, 0)[place[x:y]]), *extra])))
-            if kind == HOT_PAIRS:
-                out.append((own[0][0], -1, HOT_SUMS, np.concatenate((hist.view(np.float64), mass, lower, of_hist.astype(np.float64))).tobytes()))
-            out.append((own[0][0], -1, TABLE, X.pack(h[kept], w[kept], count[kept])))
         return out
 
-    def totalled(answers: DataFrame, kind: int, add, to_shards: bool) -> DataFrame:
-        """One small row per shard, added up and sent to every block (or shard)."""
-        def run(table):
-            data = add([x[3] for x in X.listed(table)])
-            return X.as_table([(i, -1, kind, data) for i in range(shards)] if to_shards else [(-1, i, kind, data) for i in range(n_blocks)])
-        return answers.where(F.col("kind") == kind).groupBy("kind").applyInArrow(run, X.PIECES)
-
     def add_numbers(parts):
         return sum(np.frombuffer(p, dtype=np.int64) for p in parts).tobytes()
 
     def add_hot(parts):
-        rows = np.concatenate([np.frombuffer(p, dtype=np.float64).reshape(4, -1) for p in parts], axis=1)
+        rows = np.concatenate([np.frombuffer(p, dtype=np.float64).reshape(DISCOUNTED - LEAST + 5, -1) for p in parts], axis=1)
         hist, at = np.unique(rows[0].view(U), return_inverse=True)
         of = np.zeros(len(hist))
-        of[at] = rows[3]
-        weight, factor = backoff(np.bincount(at, weights=rows[1]), np.bincount(at, weights=rows[2]), of)
-        return np.concatenate((hist.view(np.float64), weight, factor)).tobytes()
+        of[at] = rows[1]
+        return np.concatenate((hist.view(np.float64), of, *(np.bincount(at, weights=x, minlength=len(hist)) for x in rows[2:]))).tobytes()
+
+    adders = {WORD_STATS: add_numbers, PAIR_STATS: add_numbers, HOT_SUMS: add_hot}
+
+    def totalled(answers: DataFrame, kinds: list[int], to_shards: bool) -> DataFrame:
+        """One small row per shard and kind, added up and sent to every block (or shard)."""
+        def run(key, table):
+            kind = int(key[0].as_py())
+            data = adders[kind]([x[3] for x in X.listed(table)])
+            return X.as_table([(i, -1, kind, data) for i in range(shards)] if to_shards else [(-1, i, kind, data) for i in range(n_blocks)])
+        return answers.where(F.col("kind").isin(kinds)).groupBy("kind").applyInArrow(run, X.PIECES)
 
     def per_shard(requests, run):
         def apply(table):
@@ -332,27 +356,41 @@ def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str
         return requests.groupBy("shard").applyInArrow(apply, X.PIECES)
 
     one = X.answer(X.ask(blocks, first_request), first_reply, shards)
-    one = one.where("block >= 0").unionByName(totalled(one, WORD_STATS, add_numbers, False))
+    one = one.where("block >= 0").unionByName(totalled(one, [WORD_STATS], False))
     asked = X.ask_again(blocks, one, second_request).repartition(partitions_for(spark, shards), "shard")
     numbers = per_shard(asked, pair_numbers)
+    to_shards = totalled(numbers, [PAIR_STATS], True)
 
     def reply(key, pieces, told):
         return X.as_table(second_reply(X.listed(pieces), X.listed(told)) if pieces.num_rows else [])
 
-    two = asked.groupBy("shard").cogroup(totalled(numbers, PAIR_STATS, add_numbers, True).groupBy("shard")).applyInArrow(reply, X.PIECES)
-    path = new_path(spark, "katz-model")
-    one.unionByName(two).unionByName(totalled(numbers, PAIR_STATS, add_numbers, False)).write.partitionBy("kind").parquet(path)
-    # the sums of hot histories are few: they are totalled from the written table
-    stored = spark.read.schema(X.PIECES).parquet(path)
-    totalled(stored, HOT_SUMS, add_hot, False).write.parquet(path + "-hot")
-    return blocks, path
+    two = asked.groupBy("shard").cogroup(to_shards.groupBy("shard")).applyInArrow(reply, X.PIECES)
+    return Model(blocks, one.unionByName(two).unionByName(totalled(numbers, [PAIR_STATS, HOT_SUMS], False)), asked, to_shards, cut)
+
+
+def store_pairs(model: Model, path: str) -> None:
+    """Writes the kept pairs as a table, partitioned over the shards: ``history``, ``word`` (hashes), ``count`` and discounted ``share`` of the history."""
+    def run(key, pieces, told):
+        pieces, told = X.listed(pieces), X.listed(told)
+        words = next((np.frombuffer(p, dtype=np.int64) for k, _, _, p in pieces if k == WORD_STATS), None)
+        cols = [np.zeros(0, dtype=np.int64)] * 3 + [np.zeros(0)]
+        for kind in (PAIRS, HOT_PAIRS):
+            got = read_pairs(pieces, kind)
+            if got and told:
+                _, h, w, count, of, _, _ = got
+                kept = count >= LEAST
+                d = pair_discounts(words, np.frombuffer(told[0][3], dtype=np.int64))
+                part = (h[kept].view(np.int64), w[kept].view(np.int64), count[kept], share(count[kept], of[kept], d))
+                cols = [np.concatenate((x, y)) for x, y in zip(cols, part)]
+        return pa.table(dict(zip(("history", "word", "count", "share"), map(pa.array, cols))))
+
+    tables = model.asked.groupBy("shard").cogroup(model.to_shards.groupBy("shard")).applyInArrow(run, "history long, word long, count long, share double")
+    tables.write.parquet(path)
 
 
-def evaluate(blocks: DataFrame, path: str, cut_bits: int) -> DataFrame:
-    """Scores the documents of the blocks with the stored answers: a kept pair's share, or else the history's weight times the word's probability."""
-    spark = blocks.sparkSession
-    cut = U((1 << 64) - (1 << (64 - cut_bits)))
-    answers = spark.read.schema(X.PIECES).parquet(path).where(f"block >= 0 and kind <> {TABLE}").unionByName(spark.read.schema(X.PIECES).parquet(path + "-hot"))
+def evaluate(model: Model) -> DataFrame:
+    """Scores the documents of the blocks: a kept pair's share, or else the history's weight times the word's probability."""
+    cut = model.cut
 
     def run(block, table, told):
         if block is None:
@@ -364,9 +402,11 @@ def evaluate(blocks: DataFrame, path: str, cut_bits: int) -> DataFrame:
         known, _ = b.histories()
         parts = [apart(p) for k, _, _, p in told if k == PAIRS]
         weight, factor = (X.joined([X.unzipped(p[i], np.float64) for p in parts], np.float64) for i in (1, 2))
-        sums = [np.frombuffer(p, dtype=np.float64).reshape(3, -1) for k, _, _, p in told if k == HOT_SUMS]
+        sums = [np.frombuffer(p, dtype=np.float64).reshape(DISCOUNTED - LEAST + 5, -1) for k, _, _, p in told if k == HOT_SUMS]
         if sums:
-            known, weight, factor = np.append(known, sums[0][0].view(U)), np.append(weight, sums[0][1]), np.append(factor, sums[0][2])
+            hist, of, *by, rest, lower = sums[0]
+            hot = backoff((sum(d[c] * x for c, x in zip(range(LEAST, DISCOUNTED + 1), by)) + rest) / of, lower, of)
+            known, weight, factor = np.append(known, hist.view(U)), np.append(weight, hot[0]), np.append(factor, hot[1])
             order = np.argsort(known)
             known, weight, factor = known[order], weight[order], factor[order]
         at = np.minimum(np.searchsorted(known, b.history), max(0, len(known) - 1))
@@ -385,7 +425,7 @@ def evaluate(blocks: DataFrame, path: str, cut_bits: int) -> DataFrame:
         add = lambda x: np.bincount(doc, weights=x, minlength=len(b.ids))
         return scored(b.ids, b.held_out, np.diff(b.first), add(b.count > 0), total, add(base), add(np.log10(p)))
 
-    return X.finish(blocks, answers, run, SCHEMA)
+    return X.finish(model.blocks, model.answers, run, SCHEMA)
 
 
 def scored(ids, out, n, known, total, base, score) -> pa.Table:
@@ -401,7 +441,4 @@ def katz_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "
     learned and scored each; null ids are learned from.  Without training tokens every score is
     that of a certain event, 0.  Other columns are ignored.
     """
-    d = documents(docs, id_col, text_col)
-    total = text_bytes(d)
-    blocks, path = fit(d, block_bytes)
-    return evaluate(blocks, path, max(16, int(np.ceil(np.log2(max(total, 64) / 6 * WIDTH)))))
+    return evaluate(fit(documents(docs, id_col, text_col), block_bytes))
