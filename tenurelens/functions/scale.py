@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,6 +68,26 @@ def null_safe_join(left: DataFrame, right: DataFrame, on, how="left") -> DataFra
     return left.join(r, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
+def summed_arrays(df: DataFrame, numbers) -> np.ndarray:
+    """Element-wise sum of what ``numbers(columns)`` gives for each batch of ``df``.
+
+    ``columns`` maps names to float arrays (null is NaN).  Each task adds up its own batches; the
+    arrays of the tasks are then added position by position, so the driver gets one array.
+    """
+    names = df.columns
+
+    def run(batches):
+        total = None
+        for b in batches:
+            part = numbers({c: b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names})
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["a"])
+
+    parts = df.mapInArrow(run, "a array<double>").select(F.posexplode("a").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    return np.array([r["v"] for r in sorted(parts.collect(), key=lambda r: r["i"])])
+
+
 def percent_rank_by(df: DataFrame, by, order: str, out: str) -> DataFrame:
     """``percent_rank`` of ``order`` within ``by`` without a window over people.
 

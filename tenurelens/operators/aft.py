@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenurelens.functions.columns import clamp, correlation, log_normal_sf, normal_cdf, ratio
-from tenurelens.functions.scale import exact_quantiles
+from tenurelens.functions.scale import exact_quantiles, summed_arrays
 from tenurelens.schema import HORIZONS, MAX_DAY
 
 DISTRIBUTIONS = ["normal", "logistic", "extreme"]
@@ -135,7 +135,8 @@ def fit_aft(df: DataFrame, features, dist="logistic", time="time", event="event"
     ``ridge`` times the sum of squared coefficients (of the scaled features, without intercept
     and scale) is taken from the likelihood; ``damping`` only steadies the steps.
 
-    The driver holds one number per pair of coefficients; features are centred
+    Tasks add up their batches' Gram matrices, so the plan doesn't grow with the number
+    of features; the driver holds one number per pair of coefficients.  Features are centred
     and scaled by their own moments so that the system is well conditioned.
     """
     features = list(features)
@@ -162,24 +163,27 @@ def fit_aft(df: DataFrame, features, dist="logistic", time="time", event="event"
             ll = F.when(F.col("_e"), log_density(dist, F.col("_z"))).otherwise(log_survival(dist, F.col("_z")))
             d = data.withColumn("_z", (F.col("_y") - eta) / sigma).select("*", a.alias("_a"), b.alias("_b"), ll.alias("_l"))
             d = d.select("*", (F.col("_a") + F.col("_z") * F.col("_b")).alias("_m"))
-            cols = [F.sum("_l").alias("ll"), F.count_if("_e").alias("e"), F.sum(F.col("_z") * F.col("_a")).alias("za"), F.sum(F.col("_z") * F.col("_m")).alias("zm")]
-            for i in range(k):
-                cols += [F.sum(F.col("_a") * x[i]).alias(f"g{i}"), F.sum(F.col("_m") * x[i]).alias(f"m{i}")]
-                cols += [F.sum(F.col("_b") * x[i] * x[j]).alias(f"h{i}_{j}") for j in range(i, k)]
-            r = d.agg(*cols).first()
-            if r["ll"] is None:
+            d = d.select(*[f"_x{i}" for i in range(1, k)], "_z", "_a", "_b", "_m", "_l", F.col("_e").cast("double").alias("_e"))
+
+            def blocks(c):
+                # plain sums, then those with each input, then the inputs' Gram matrix
+                x = np.column_stack([np.ones(len(c["_z"])), *[c[f"_x{i}"] for i in range(1, k)]])
+                plain = [c["_l"].sum(), c["_e"].sum(), c["_z"] @ c["_a"], c["_z"] @ c["_m"]]
+                return np.concatenate((plain, c["_a"] @ x, c["_m"] @ x, (x.T @ (c["_b"][:, None] * x)).ravel()))
+
+            got = summed_arrays(d, blocks)
+            if not len(got):
                 return float("nan"), None, None
-            grad = np.array([-r[f"g{i}"] / sigma for i in range(k)] + [-r["za"] - r["e"]])
+            (l, e, za, zm), g, m_, h = got[:4], got[4:4 + k], got[4 + k:4 + 2 * k], got[4 + 2 * k:].reshape(k, k)
+            grad = np.append(-g / sigma, -za - e)
             hess = np.empty((k + 1, k + 1))
-            for i in range(k):
-                hess[i, k] = hess[k, i] = r[f"m{i}"] / sigma
-                for j in range(i, k):
-                    hess[i, j] = hess[j, i] = r[f"h{i}_{j}"] / sigma ** 2
-            hess[k, k] = r["zm"]
+            hess[:k, :k] = h / sigma ** 2
+            hess[:k, k] = hess[k, :k] = m_ / sigma
+            hess[k, k] = zm
             beta = np.array([0.0, *par[1:k], 0.0])
             grad -= 2 * ridge * beta
             hess[range(1, k), range(1, k)] -= 2 * ridge
-            return r["ll"] - r["e"] * par[k] - ridge * float(beta @ beta), grad, hess
+            return l - e * par[k] - ridge * float(beta @ beta), grad, hess
 
         steps, (ll, grad, hess) = 0, sums(theta)
         while steps < max_steps:

@@ -4,12 +4,13 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tenurelens.functions.columns import correlation, one_row, ratio, stack
-from tenurelens.functions.scale import exact_quantiles, pin_small
+from tenurelens.functions.columns import one_row, ratio, stack
+from tenurelens.functions.scale import exact_quantiles, pin_small, summed_arrays
 from tenurelens.operators.quality import distinct_counts, moments, null_counts, numeric_columns, text_columns
 from tenurelens.rules import AGE_LIMITS, CRITICAL_FEATURES, FEATURE_GROUPS, FEATURE_RULES, MAX_SPAN, MAX_TENURE_DAYS, SALARY_LIMITS, group_of
 from tenurelens.schema import PERSON, VANTAGE
@@ -132,12 +133,26 @@ def outliers(df: DataFrame, columns=None) -> DataFrame:
 def correlations(df: DataFrame, columns=None, threshold=0.8) -> DataFrame:
     """Pairs of numeric columns with absolute correlation above the threshold; all pairs in one pass."""
     columns = columns or numeric_columns(df)
-    pairs = list(combinations(columns, 2))
-    cells = [F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]
-    long = df.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
-    # one aggregation state per pair and task; rows never leave their task
-    c = long.groupBy("feature1", "feature2").agg(F.abs(correlation("x", "y")).alias("correlation"))
-    return c.where(F.col("correlation") > threshold)
+    k = len(columns)
+    x = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    middle = [v or 0.0 for v in x.agg(*[F.avg(c) for c in x.columns]).first()] if k else []
+
+    def sums(cols):
+        # of every pair of columns, over the rows that hold both: rows, sums, squares and products
+        m = np.column_stack(list(cols.values())) - middle
+        there = ~np.isnan(m)
+        m, there = np.where(there, m, 0.0), there.astype(float)
+        return np.concatenate([y.ravel() for y in (there.T @ there, m.T @ there, (m * m).T @ there, m.T @ m)])
+
+    got = summed_arrays(x, sums) if k > 1 else np.zeros(0)
+    rows = []
+    if len(got):
+        n, s, q, p = got.reshape(4, k, k)
+        with np.errstate(all="ignore"):
+            sd = np.sqrt(np.maximum(q / n - (s / n) ** 2, 0))
+            r = np.abs((p / n - (s / n) * (s.T / n)) / (sd * sd.T))
+        rows = [(columns[i], columns[j], float(r[i, j])) for i, j in combinations(range(k), 2) if r[i, j] > threshold]
+    return df.sparkSession.createDataFrame(rows, "feature1 string, feature2 string, correlation double")
 
 
 def feature_profile(df: DataFrame) -> DataFrame:

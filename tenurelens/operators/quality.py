@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenurelens.functions.columns import ratio, stack
+from tenurelens.functions.columns import ratio, stack, unpivot_stats
 from tenurelens.rules import FEATURE_RULES
 from tenurelens.schema import ENTITY, PERSON, VANTAGE
 
@@ -129,10 +129,9 @@ def distinct_counts(df: DataFrame, columns) -> DataFrame:
 
 def moments(df: DataFrame, columns) -> DataFrame:
     """count, mean, sample deviation, min, max per numeric column, one pass."""
-    long = stack(df, columns, cast="double")
-    return long.groupBy("column_name").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
+    stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = df.agg(*[f(F.col(c).cast("double")).alias(f"{c}__{s}") for c in columns for s, f in stats.items()])
+    return unpivot_stats(row, columns, list(stats))
 
 
 def null_counts(df: DataFrame, columns=None, by=()) -> DataFrame:
