@@ -38,3 +38,12 @@ def test_small_tables_are_broadcast_by_size(spark):
     text = plan(rows.agg(F.avg("p")))
     # G(T-), the horizons and G(h) come from one lookup table per (group, day)
     assert text.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in text
+
+
+def test_reports_do_not_unfold_rows(spark):
+    from tenurelens.operators import describe
+    df = spark.range(100).select(*[(F.col("id") * i % 7).cast("double").alias(f"c{i}") for i in range(1, 40)])
+    plan = describe.moments(df, df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("HashAggregate")  # only the one row of sums is unfolded
+    got = {(r.feature1, r.feature2) for r in describe.correlations(df.withColumn("same", F.col("c3") * 2), threshold=0.999).collect()}
+    assert ("c3", "same") in got
