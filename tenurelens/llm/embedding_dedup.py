@@ -122,6 +122,7 @@ def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     """Links of each class within its component (``comp``, ``rep``, ``copies``, ``unit``): blocks against blocks, one number per row and block."""
     size = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
     dealt = members.join(size, "comp").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("block", F.xxhash64("comp", "part"))  # a key of its own, so that a large component's blocks go to many tasks
 
     def stored(table):
         table = table.combine_chunks().sort_by("rep")
@@ -129,7 +130,7 @@ def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
         return pa.table({"comp": table.column("comp").slice(0, 1), "part": table.column("part").slice(0, 1), "reps": pa.array([reps], pa.binary()),
                          "copies": pa.array([copies], pa.binary()), "units": pa.array([b"".join(table.column("unit").to_pylist())], pa.binary())})
 
-    packed = dealt.select("comp", "part", "rep", "copies", "unit").groupBy("comp", "part").applyInArrow(stored, "comp long, part int, reps binary, copies binary, units binary")
+    packed = dealt.select("block", "comp", "part", "rep", "copies", "unit").groupBy("block").applyInArrow(stored, "comp long, part int, reps binary, copies binary, units binary")
     other = packed.select("comp", F.col("reps").alias("reps2"), F.col("copies").alias("copies2"), F.col("units").alias("units2"))
 
     def compare(batches):
