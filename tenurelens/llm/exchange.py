@@ -22,10 +22,15 @@ PIECES = "shard long, block long, kind int, data binary"
 U = np.uint64
 
 
+def block_hash():
+    """Hash of a document's id; of its text where the id is null, so that such rows are spread too."""
+    return F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text")))
+
+
 def into_blocks(docs: DataFrame, total_bytes: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """``docs`` with its ``block``, dealt out by it; and how many blocks there are."""
     n = cuts(total_bytes, block_bytes)
-    out = docs.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(n)))
+    out = docs.withColumn("block", F.pmod(block_hash(), F.lit(n)))
     return out.repartition(partitions_for(docs.sparkSession, n), "block"), n
 
 

@@ -36,7 +36,7 @@ def held_out(doc_id) -> bool:
 def packed_blocks(docs: DataFrame, total: int, block_bytes: int) -> tuple[DataFrame, int]:
     """Documents dealt to blocks, several to a row as compressed bytes: less than half of the plain text is moved."""
     n = cuts(total, block_bytes)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    dealt = docs.withColumn("block", F.pmod(X.block_hash(), F.lit(n)))
 
     def run(batches):
         for b in batches:

@@ -209,7 +209,7 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, per_block: int = 8192) -> Data
     table = slots(plan(counts, size))
     n = cuts(int(counts.sum()), per_block)
     given = pieces.columns
-    b = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    b = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(n)))
     offsets = b.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("length").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = offsets.select("length", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
