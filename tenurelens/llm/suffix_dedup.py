@@ -122,22 +122,30 @@ def recurring(t: np.ndarray, length: int) -> np.ndarray:
     following = np.full(n, n, dtype=np.int64)  # next place of the same character
     follows = bwt[by[1:]] == bwt[by[:-1]]
     following[by[:-1][follows]] = by[1:][follows]
+    places = bwt[by].astype(np.int64) * n + by  # every character's places, ascending
+    # the characters of an interval are met at the ends of the transform's runs: few where texts repeat
+    run_ends = np.append(np.flatnonzero(bwt[1:] != bwt[:-1]), n - 1)
+    run = np.zeros(n, dtype=np.int64)
+    run[run_ends[:-1] + 1] = 1
+    run = np.cumsum(run)
     mark = np.append(mark, True)
     ends = np.flatnonzero(mark[1:]) + 1
+    low = np.append(0, ends[:-1])
     for _ in range(8, length):
         if not len(ends):
             break
-        low = ends - 1
-        todo = np.flatnonzero(~mark[low])
-        while len(todo):
-            low[todo] -= 1
-            todo = todo[~mark[low[todo]]]
-        size = ends - low
+        size = run[ends - 1] - run[low] + 1
         whole = np.cumsum(size)
-        at = np.arange(whole[-1]) + np.repeat(low - whole + size, size)
-        last = at[following[at] >= np.repeat(ends, size)]
-        found = lf[last] + 1
-        ends = found[~mark[found]]
+        of = np.repeat(np.arange(len(ends)), size)
+        at = run_ends[np.arange(whole[-1]) + np.repeat(run[low] - whole + size, size)]
+        at[whole - 1] = ends - 1
+        last = following[at] >= ends[of]
+        at, of = at[last], of[last]
+        new = ~mark[lf[at] + 1]
+        at, of = at[new], of[new]
+        # the extended interval starts where the character first occurs from the old start on
+        low = np.searchsorted(places, bwt[at].astype(np.int64) * n + low[of])
+        ends = lf[at] + 1
         mark[ends] = True
     long = ~mark[:-1]
     out = np.zeros(n, dtype=bool)
