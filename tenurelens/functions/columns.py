@@ -98,10 +98,6 @@ def unpivot_stats(row: DataFrame, columns, stats, keep=(), name="column_name") -
     return row.select(*keep, F.explode(F.array(*pick)).alias("_s")).select(*keep, "_s.*")
 
 
-def scaled_rounding(c: Column, digits) -> Column:
-    return c if digits is None else F.round(c, digits)
-
-
 def correlation(a, b) -> Column:
     """Aggregate: Pearson correlation over rows where both are present, null where one is constant."""
     a, b = col(a).cast("double"), col(b).cast("double")

@@ -34,10 +34,6 @@ def run_trials(train: DataFrame, val: DataFrame, features, candidates=None) -> D
         rows, "trial int, dist string, ridge double, sigma double, score double, c_index double, calibration_slope double, seconds double")
 
 
-def best_trial(trials: DataFrame) -> DataFrame:
-    return trials.orderBy("score", "trial").limit(1)
-
-
 def trial_history(trials: DataFrame) -> DataFrame:
     """Best score so far and its change per trial (trials are few: one small window)."""
     w = W.partitionBy(F.lit(0)).orderBy("trial")

@@ -168,6 +168,12 @@ def bootstrap_effect(values: DataFrame, column: str, replicates=500, cells=512,
     return percentile_interval(replicate_means(d, [], "total", "n", replicates, seed, ["cell"]), [])
 
 
+def effect_intervals(df: DataFrame, model, dist: str, sigma: float, horizon=365, replicates=500) -> DataFrame:
+    """Percentile interval of the average effect of each intervention, one row each."""
+    parts = [bootstrap_effect(individual_effects(df, model, k, dist, sigma, horizon), "ite", replicates).withColumn("intervention", F.lit(k)) for k in PRIORITY]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def bootstrap_impact(ba: DataFrame, horizons=HORIZONS, replicates=500) -> DataFrame:
     """Intervals of the risk reduction and of the survival gain at each horizon."""
     long = stack(ba.select((F.col("risk0") - F.col("risk1")).alias("risk_reduction"), *[(F.col(f"surv1_{h}") - F.col(f"surv0_{h}")).alias(f"survival_gain_{h}d") for h in horizons]),

@@ -354,6 +354,11 @@ def l5(spark, sf):
     return tidy(e.drop("p_value").withColumn("z", F.round("z", 4)))
 
 
+@query("l5_effect_intervals")
+def l5_intervals(spark, sf):
+    return tidy(wi.effect_intervals(workforce(spark, sf), MODEL, DIST, S))
+
+
 @query("l5_individual_effects", f"with {WF} select {E}, round(p0,6) p0, round(ite,6) ite, ite>0.05 recommended from {ite_sql('salary_increase')}")
 def l5_individual(spark, sf):
     return tidy(wi.individual_effects(workforce(spark, sf), MODEL, "salary_increase", DIST, S))

@@ -1,4 +1,4 @@
-"""The cluster's shared folder for cut lineage and intermediate tables."""
+"""The cluster's shared folder for intermediate tables."""
 from __future__ import annotations
 
 import tempfile
@@ -38,9 +38,3 @@ def materialize(spark: SparkSession, name: str, key: str, build) -> DataFrame:
         build().write.parquet(path)
         _WRITTEN[slot] = path
     return spark.read.parquet(_WRITTEN[slot])
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there; survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
