@@ -302,11 +302,11 @@ OVERALL_WEIGHTS = {"c_index": 0.4, "gini": 0.3, "average_ece": 0.3}
 
 
 def performance(df: DataFrame, dist: str, sigma: float, horizons=HORIZONS, by=BY) -> DataFrame:
-    """Concordance, Brier, calibration and Gini per dataset with labels and an overall grade."""
+    """Concordance, mean AUC and Brier over the horizons, calibration and Gini per dataset with labels and an overall grade."""
     risk = df.withColumn("_risk", -F.col("eta"))
     rows = evaluation_rows(df, dist, sigma, horizons, by)
     ece, score = ece_evaluable(rows, by), pin_small(brier(rows, by))
-    parts = [concordance(risk, "_risk", by).select(*by, "c_index"),
+    parts = [concordance(risk, "_risk", by).select(*by, "c_index"), auc(rows, by).groupBy(*by).agg(F.avg("auc").alias("mean_auc")),
              score.groupBy(*by).agg(F.avg("brier").alias("mean_brier")), trapezoid(score, by).withColumnRenamed("ibs", "integrated_brier"),
              calibration_summary(ece, by).drop("ece_std"), gini(df, dist, sigma, 364, by).select(*by, "gini")]
     m = reduce(lambda a, b: a.join(b, by), parts)

@@ -363,13 +363,15 @@ ib as (select dataset, sum(a)/max(x) ibs, avg(b) mb from tr group by 1), {PAIRS}
 er2 as (select s.*, 364 h, greatest(S_left,1e-12) GT, greatest(gg.S,1e-12) Gh, time<=364 and event=1 is_case, time>364 is_control, 1-{surv_sql(364)} p from scored s join gs on gs.dataset=s.dataset and gs.t=s.time
  join (select dataset, min(S) S from g where t<=364 group by 1) gg on gg.dataset=s.dataset),
 {AUC.replace(' er ', ' er2 ')},
-pf as (select dataset, c c_index, mb mean_brier, ibs integrated_brier, a average_ece, q calibration_quality, least(greatest(2*auc-1,0),1) gini from cix join ib using (dataset) join cs using (dataset) join auc using (dataset)),
+hg as (select dataset, h, p, sum(case when is_case then 1/GT else 0 end) wc, sum(case when is_control then 1/Gh else 0 end) wu from er where is_case or is_control group by 1,2,3),
+hc as (select *, sum(wu) over (partition by dataset, h order by p) cum from hg), hd as (select dataset, sum(wc*(cum-0.5*wu))/nullif(sum(wc)*sum(wu),0) a from hc group by dataset, h), hm as (select dataset, avg(a) mean_auc from hd group by 1),
+pf as (select dataset, mean_auc, c c_index, mb mean_brier, ibs integrated_brier, a average_ece, q calibration_quality, least(greatest(2*auc-1,0),1) gini from cix join ib using (dataset) join cs using (dataset) join auc using (dataset) join hm using (dataset)),
 pl as (select *, {label('c_index', [(0.75, 'Excellent'), (0.65, 'Good'), (0.55, 'Fair')], '>=')} cl, {label('gini', [(0.6, 'Excellent'), (0.4, 'Good'), (0.2, 'Fair')], '>=')} gl,
  {label('average_ece', [(0.05, 'Excellent'), (0.1, 'Good'), (0.15, 'Fair')], '<=')} el from pf),
 po as (select *, 0.4*{grade('cl')}+0.3*{grade('gl')}+0.3*{grade('el')} sc from pl)"""
 
 
-@query("i13_performance", f"""{SC}, {PERF} select dataset, round(c_index,6) c_index, round(mean_brier,6) mean_brier, round(integrated_brier,6) integrated_brier, round(average_ece,6) average_ece, calibration_quality,
+@query("i13_performance", f"""{SC}, {PERF} select dataset, round(c_index,6) c_index, round(mean_auc,6) mean_auc, round(mean_brier,6) mean_brier, round(integrated_brier,6) integrated_brier, round(average_ece,6) average_ece, calibration_quality,
  round(gini,6) gini, cl c_index_label, gl gini_label, el ece_label, round(sc,6) overall_score, {label('sc', [(3.5, 'Excellent'), (2.5, 'Good'), (1.5, 'Fair')], '>=')} overall from po""")
 def i13(spark, sf):
     return tidy(mt.performance(fx.scored(spark, sf), DIST, S))
