@@ -59,6 +59,18 @@ def unpack(data: bytes, *types) -> list[np.ndarray]:
     return out
 
 
+def pack_values(a: np.ndarray) -> bytes:
+    """An array in any order as compressed byte planes."""
+    a = np.ascontiguousarray(a)
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"")
+
+
+def unpack_values(data: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+
+
 def split(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Shards that ascending 64-bit keys fall into, and where each one's keys start and end."""
     shard = (((keys >> U(32)) * U(shards)) >> U(32)).astype(np.int64)

@@ -86,7 +86,7 @@ class Block:
     def told(self, told, cut):
         """Sets what the first answers say: numbers by count, counts and probabilities of the words, counts of the histories, and which tokens may end a kept pair."""
         self.stats = next((np.frombuffer(p, dtype=np.int64) for k, _, _, p in told if k == WORD_STATS), np.zeros(N_STATS, dtype=np.int64))
-        counts = X.joined([X.unpack(p, np.int64)[0] for k, _, _, p in told if k == WORDS], np.int64)
+        counts = X.joined([X.unpack_values(p, np.int64) for k, _, _, p in told if k == WORDS], np.int64)
         self.count = counts[self.word]
         self.p = word_probability(counts, self.stats)[self.word]
         ends = int(counts[np.searchsorted(self.words, END)])
@@ -126,12 +126,6 @@ def apart(data: bytes) -> list[bytes]:
     return [data[x:y] for x, y in zip([8 + 8 * n, *ends[:-1]], ends)]
 
 
-def coded(p: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Probabilities as codes of their distinct values."""
-    values, code = np.unique(p, return_inverse=True)
-    return code.astype(np.uint32), values.tobytes()
-
-
 def numbers_by_count(counts: np.ndarray) -> np.ndarray:
     out = np.zeros(N_STATS, dtype=np.int64)
     out[1:DISCOUNTED + 2] = np.bincount(counts[counts <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)[1:]
@@ -190,25 +184,26 @@ def backoff(mass: np.ndarray, lower: np.ndarray, of: np.ndarray) -> tuple[np.nda
 
 
 def read_pairs(pieces, kind):
-    """All that a shard was sent of one kind: the pieces, and their distinct pairs with history, word, count, history count and word probability."""
+    """All that a shard was sent of one kind: the pieces, and their distinct pairs with history, word, count, history count and the words' probability."""
     own, hists = [], []
     for k, s, b, p in pieces:
         if k == kind:
-            first, main, values = apart(p)
+            first, main = apart(p)
             h, of = X.unpack(first, U, np.int64)
-            at, w, n, code = X.unpack(main, np.int64, U, np.uint32, np.uint32)
+            at, w, n, c = X.unpack(main, np.int64, U, np.uint32, np.int64)
             own.append((s, b, h, at, w, n))
-            hists.append((h[at], w, n.astype(np.int64), of[at], np.frombuffer(values, dtype=np.float64)[code]))
+            hists.append((h[at], w, n.astype(np.int64), of[at], c))
     if not own:
         return None
-    h, w, n, of, p = (np.concatenate([x[i] for x in hists]) for i in range(5))
+    h, w, n, of, c = (np.concatenate([x[i] for x in hists]) for i in range(5))
+    words = next(np.frombuffer(p, dtype=np.int64) for k, _, _, p in pieces if k == WORD_STATS)
     order = np.lexsort((w, h))
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
     place = np.empty(len(h), dtype=np.int64)
     place[order] = np.cumsum(new) - 1
     first = order[new]
-    return own, h[first], w[first], np.bincount(place, weights=n, minlength=len(first)).astype(np.int64), of[first], p[first], place
+    return own, h[first], w[first], np.bincount(place, weights=n, minlength=len(first)).astype(np.int64), of[first], word_probability(c[first], words), place
 
 
 @dataclass
@@ -252,7 +247,7 @@ def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Model:
             _, place = np.unique(np.concatenate([o[2] for o in own]), return_inverse=True)
             counts = np.bincount(place, weights=np.concatenate([o[3] for o in own])).astype(np.int64)
             ends = np.cumsum([0] + [len(o[2]) for o in own])
-            out += [(s, b, WORDS, X.pack(counts[place[x:y]])) for (s, b, *_), x, y in zip(own, ends[:-1], ends[1:])]
+            out += [(s, b, WORDS, X.pack_values(counts[place[x:y]])) for (s, b, *_), x, y in zip(own, ends[:-1], ends[1:])]
             out.append((own[0][0], -1, WORD_STATS, numbers_by_count(counts).tobytes()))
         own = [(s, b, *X.unpack(p, U, np.uint8)) for k, s, b, p in pieces if k == CELLS]
         if own:
@@ -274,17 +269,15 @@ def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Model:
         which, ends = X.split(h, shards)
         for s, x, y in zip(which, ends[:-1], ends[1:]):
             c, d = np.searchsorted(key, h[x]), np.searchsorted(key, h[y - 1], "right")
-            code, values = coded(b.p[token[c:d]])
-            out.append((int(s), block, PAIRS, together([X.pack(h[x:y], of[x:y]), X.pack(np.searchsorted(h[x:y], key[c:d]), w[c:d], n[c:d], code), values])))
+            out.append((int(s), block, PAIRS, together([X.pack(h[x:y], of[x:y]), X.pack(np.searchsorted(h[x:y], key[c:d]), w[c:d], n[c:d], b.count[token[c:d]])])))
         i, place, key, h, w, token = b.pairs(True)
         n = np.bincount(place, weights=b.trains[i], minlength=len(key)).astype(np.uint32)
         which, ends = X.split(key, shards)
         for s, x, y in zip(which, ends[:-1], ends[1:]):
-            code, values = coded(b.p[token[x:y]])
             hist, at = np.unique(h[x:y], return_inverse=True)
             of = np.zeros(len(hist), dtype=np.int64)
             of[at] = b.of[token[x:y]]
-            out.append((int(s), block, HOT_PAIRS, together([X.pack(hist, of), X.pack(at.astype(np.int64), w[x:y], n[x:y], code), values])))
+            out.append((int(s), block, HOT_PAIRS, together([X.pack(hist, of), X.pack(at.astype(np.int64), w[x:y], n[x:y], b.count[token[x:y]])])))
         stats = [p for k, _, _, p in told if k == WORD_STATS]
         return out + [(int(s), block, WORD_STATS, stats[0]) for s in {o[0] for o in out}] if stats else out
 
@@ -326,8 +319,8 @@ def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Model:
             ends = np.cumsum([0] + [len(o[3]) for o in own])
             for (s, b, asked, *_), x, y in zip(own, ends[:-1], ends[1:]):
                 i = np.searchsorted(hist, asked)
-                extra = [X.zipped(weight[i]), X.zipped(factor[i])] if kind == PAIRS else []
-                out.append((s, b, kind, together([X.pack(np.where(kept, count, 0)[place[x:y]]), *extra])))
+                extra = [X.pack_values(weight[i]), X.pack_values(factor[i])] if kind == PAIRS else []
+                out.append((s, b, kind, together([X.pack_values(np.where(kept, count, 0)[place[x:y]]), *extra])))
         return out
 
     def add_numbers(parts):
@@ -401,7 +394,7 @@ def evaluate(model: Model) -> DataFrame:
         d = pair_discounts(b.stats, pairs)
         known, _ = b.histories()
         parts = [apart(p) for k, _, _, p in told if k == PAIRS]
-        weight, factor = (X.joined([X.unzipped(p[i], np.float64) for p in parts], np.float64) for i in (1, 2))
+        weight, factor = (X.joined([X.unpack_values(p[i], np.float64) for p in parts], np.float64) for i in (1, 2))
         sums = [np.frombuffer(p, dtype=np.float64).reshape(DISCOUNTED - LEAST + 5, -1) for k, _, _, p in told if k == HOT_SUMS]
         if sums:
             hist, of, *by, rest, lower = sums[0]
@@ -414,7 +407,7 @@ def evaluate(model: Model) -> DataFrame:
         w, f = (np.where(found, x[at], 1.0) if len(x) else np.ones(len(at)) for x in (weight, factor))
         p = w * b.p
         for kind, hot, lists in ((PAIRS, False, parts), (HOT_PAIRS, True, [apart(q) for k, _, _, q in told if k == HOT_PAIRS])):
-            counts = X.joined([X.unpack(q[0], np.int64)[0] for q in lists], np.int64)
+            counts = X.joined([X.unpack_values(q[0], np.int64) for q in lists], np.int64)
             i, place, *_ = b.pairs(hot)
             n = counts[place]
             yes = i[n > 0]
