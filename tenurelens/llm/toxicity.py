@@ -63,6 +63,13 @@ def word_features(table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(hashes)
 
 
+def small(batches, rows: int = 512):
+    """The same rows in batches whose word hashes stay small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def held(table, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, place in ``features``) of the texts."""
     row, h = word_features(table)
@@ -113,7 +120,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], most_la
     names = [f"n_{c}" for c in categories]
 
     def tally(batches):
-        for b in batches:
+        for b in small(batches):
             row, h = word_features(b)
             order = np.lexsort((row, h))
             row, h = row[order], h[order]
@@ -134,7 +141,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], most_la
     chosen = np.sort(np.array([r.feature for r in top], dtype=np.int64).view(U))
 
     def vectors(batches):
-        for b in batches:
+        for b in small(batches):
             row, col = held(b, chosen)
             ends = np.searchsorted(row, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(col, pa.int32())), *[b.column(c) for c in categories]], ["doc_id", "cols", *categories])
@@ -186,7 +193,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     names = [f"p_{c}" for c in chain.categories]
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             row, col = held(b, chain.features)
             p = chain.probabilities(row, col, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x, pa.float64()) for x in p]], ["doc_id", *names])
@@ -209,7 +216,7 @@ def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_co
     names = docs.columns
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             row, col = held(pa.table({"text": b.column("_text")}), chain.features)
             clean = chain.probabilities(row, col, b.num_rows)[-1] < threshold
             yield b.filter(pa.array(clean)).select(names)
