@@ -1,8 +1,9 @@
-"""Katz backoff language model (words and pairs of words), trained and evaluated through tables spread over shards."""
+"""Katz backoff language model of any order, trained and evaluated through tables spread over shards."""
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,17 +14,18 @@ from pyspark.sql import functions as F
 from tenurelens.llm import exchange as X
 from tenurelens.llm import text as T
 from tenurelens.llm.tables import cuts, documents, partitions_for, text_bytes
+from tenurelens.sources.shared import new_path
 
 U = np.uint64
-#: Counts up to which Good-Turing discounts; pairs with fewer counts than LEAST are left to the single words.
-DISCOUNTED, LEAST = 5, 2
-#: Cells of the sketch for each token; bytes of text in a block; a history with this share of all tokens is spread over all shards.
-WIDTH, BLOCK_BYTES, HOT_SHARE = 8, 8 << 20, 1 / 1024
+#: Counts up to which Good-Turing discounts.
+DISCOUNTED = 5
+#: Bytes of text in a block; a history with this share of all tokens is spread over all shards.
+BLOCK_BYTES, HOT_SHARE = 8 << 20, 1 / 1024
 END, START = U(0x3C6EF372FE94F82B), U(0xA54FF53A5F1D36F1)
 #: The part of a word's hash that tells the successors of one history apart.
 SUCCESSOR = U(0xFFFFFFFFFF000000)
-#: Kinds of pieces: words, sketch cells, pairs by history, pairs of hot histories; numbers by count of both; sums of hot histories.
-WORDS, CELLS, PAIRS, HOT_PAIRS, WORD_STATS, PAIR_STATS, HOT_SUMS = range(7)
+#: Kinds of pieces, each with 10 x its order: grams by history, grams of hot histories, numbers by count, sums of hot histories, stored tables.
+GRAMS, HOT_GRAMS, STATS, HOT_SUMS, TABLE = range(5)
 N_STATS = DISCOUNTED + 4  # by count 0 .. DISCOUNTED + 1, then tokens and distinct ones
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -76,34 +78,40 @@ class Block:
         self.held_out = np.array([held_out(i) for i in self.ids], dtype=bool)
         self.trains = ~np.repeat(self.held_out, np.diff(self.first))
         self.words, self.word = np.unique(self.tokens, return_inverse=True)
-        self.history = np.append(START, self.tokens[:-1])[:len(self.tokens)]
-        self.history[self.first[:-1]] = START
+        self.order = 0
 
-    def cells(self, cut):
-        with np.errstate(over="ignore"):
-            return np.unique(T.mix(self.history * U(0xD6E8FEB86659FD93) + self.tokens) & cut, return_inverse=True)
+    def shifted(self, values, first):
+        """The value of the token before each; ``first`` where a document starts."""
+        out = np.append(first, values[:-1]).astype(values.dtype)
+        out[self.first[:-1]] = first
+        return out
 
-    def told(self, told, cut):
-        """Sets what the first answers say: numbers by count, counts and probabilities of the words, counts of the histories, and which tokens may end a kept pair."""
-        self.stats = next((np.frombuffer(p, dtype=np.int64) for k, _, _, p in told if k == WORD_STATS), np.zeros(N_STATS, dtype=np.int64))
-        counts = X.joined([X.unpack_values(p, np.int64) for k, _, _, p in told if k == WORDS], np.int64)
-        self.count = counts[self.word]
+    def told(self, told, order: int, hot_share: float, least: int):
+        """Takes in the answers up to ``order``: count, probability and history of every token at that order."""
+        self.stats = stats_of(told, 1)
+        counts = X.joined([X.unpack_values(p, np.int64) for k, _, _, p in told if k == 10 + GRAMS], np.int64)
+        self.order, self.count = 1, counts[self.word]
         self.p = word_probability(counts, self.stats)[self.word]
-        ends = int(counts[np.searchsorted(self.words, END)])
-        self.of = np.append(ends, self.count[:-1])
-        self.of[self.first[:-1]] = ends
-        flags = X.joined([X.unpack_flags(p) for k, _, _, p in told if k == CELLS], bool)
-        self.may = flags[self.cells(cut)[1]] & (self.of >= LEAST)
-        self.hot = self.of >= max(LEAST, self.stats[-2] * HOT_SHARE)
-
-    def histories(self):
-        """Distinct ordinary histories of LEAST or more counts, ascending, and their counts."""
-        h, at = np.unique(self.history[(self.of >= LEAST) & ~self.hot], return_index=True)
-        return h, self.of[(self.of >= LEAST) & ~self.hot][at]
-
-    def pairs(self, hot: bool):
-        """Tokens that may end a kept pair, their place among the distinct pairs asked, and of those: key, history, word, first token."""
-        i = np.flatnonzero(self.may & (self.hot == hot))
+        self.ends = int(counts[np.searchsorted(self.words, END)])
+        self.of, self.factor, self.history = np.ones(len(self.tokens), dtype=np.int64), np.ones(len(self.tokens)), None
+        self.hot_share = hot_share
+        for _ in range(2, order + 1):
+            self.longer()
+            self.take(told, least)
+
+    def longer(self):
+        """Turns to histories one token longer; what the shorter ones gave is kept as ``below``, ``below_factor`` and ``lower``."""
+        with np.errstate(over="ignore"):
+            own = self.tokens if self.history is None else T.mix(self.history * U(0xD6E8FEB86659FD93) + self.tokens)
+        self.below, self.below_factor, self.lower = self.of, self.factor, self.count
+        self.order += 1
+        self.history = self.shifted(own, START)
+        self.of = self.shifted(self.count, self.ends)
+        self.hot = self.of >= max(1, self.stats[-2] * self.hot_share)
+
+    def grams(self, hot: bool):
+        """Tokens after a known history, their place among the distinct grams asked, and of those: key, history, word, first token."""
+        i = np.flatnonzero((self.of > 0) & (self.hot == hot))
         h, w = self.history[i], self.tokens[i] & SUCCESSOR
         with np.errstate(over="ignore"):
             key = T.mix(h + w) if hot else h
@@ -115,6 +123,40 @@ class Block:
         pick = order[new]
         return i, place, key[pick], h[pick], w[pick], i[pick]
 
+    def take(self, told, least: int):
+        """Counts and probabilities of the grams of the present order: a kept gram's share, or else the history's weight times the shorter one's."""
+        kind = 10 * self.order
+        d = cut_discounts(stats_of(told, self.order), least)
+        n = len(self.tokens)
+        count, weight, factor = np.zeros(n, dtype=np.int64), np.ones(n), np.ones(n)
+        i, place, key, *_ = self.grams(False)
+        parts = [apart(p) for k, _, _, p in told if k == kind + GRAMS]
+        count[i] = X.joined([X.unpack_values(p[0], np.int64) for p in parts], np.int64)[place]
+        at = np.cumsum(np.diff(key, prepend=key[:1]) != 0)[place]
+        weight[i], factor[i] = (X.joined([X.unpack_values(p[j], np.float64) for p in parts], np.float64)[at] for j in (1, 2))
+        i, place, *_ = self.grams(True)
+        count[i] = X.joined([X.unpack_values(p, np.int64) for k, _, _, p in told if k == kind + HOT_GRAMS], np.int64)[place]
+        sums = next((hot_rows(p, least) for k, _, _, p in told if k == kind + HOT_SUMS), None)
+        if len(i) and sums is not None and sums.shape[1]:
+            hist, of, *by, rest, lower = sums
+            own = backoff((sum(d[c] * c_tokens for c, c_tokens in zip(range(least, DISCOUNTED + 1), by)) + rest) / of, lower, of)
+            hist = hist.view(U)
+            at = np.minimum(np.searchsorted(hist, self.history[i]), len(hist) - 1)
+            found = hist[at] == self.history[i]
+            weight[i], factor[i] = (np.where(found, x[at], 1.0) for x in own)
+        kept = count >= least
+        self.p = np.where(kept, factor * share(count, np.maximum(self.of, 1), d), weight * self.p)
+        self.count, self.factor = count, factor
+
+
+def stats_of(pieces, order: int) -> np.ndarray:
+    return next((np.frombuffer(p, dtype=np.int64) for k, _, _, p in pieces if k == 10 * order + STATS), np.zeros(N_STATS, dtype=np.int64))
+
+
+def hot_rows(data: bytes, least: int) -> np.ndarray:
+    """History, its count, tokens by count from ``least`` to DISCOUNTED, those of higher counts, lower probabilities."""
+    return np.frombuffer(data, dtype=np.float64).reshape(DISCOUNTED - least + 5, -1)
+
 
 def together(parts: list[bytes]) -> bytes:
     return b"".join([np.array([len(parts), *map(len, parts)], dtype=np.int64).tobytes(), *parts])
@@ -165,12 +207,10 @@ def word_probability(count: np.ndarray, stats: np.ndarray) -> np.ndarray:
     return np.where(count > 0, share(count, total, d), left / total)
 
 
-def pair_discounts(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Factors for pairs. Those with fewer than LEAST counts are dropped; their number follows from the number of tokens."""
-    numbers = pairs.copy()
-    numbers[1] = max(0, words[-2] - pairs[-2])
+def cut_discounts(numbers: np.ndarray, least: int) -> np.ndarray:
+    """Factors for grams of two words or more; those with fewer than ``least`` counts are left to the shorter history (1: none)."""
     d = discounts(numbers)
-    d[:LEAST] = 0
+    d[:least] = 0
     return d
 
 
@@ -183,242 +223,224 @@ def backoff(mass: np.ndarray, lower: np.ndarray, of: np.ndarray) -> tuple[np.nda
     return (1 - mass * factor) / np.maximum(1 - lower, 1e-15), factor
 
 
-def read_pairs(pieces, kind):
-    """All that a shard was sent of one kind: the pieces, and their distinct pairs with history, word, count, history count and the words' probability."""
-    own, hists = [], []
+def read_grams(pieces, kind: int, order: int, least: int):
+    """All that a shard was sent of one kind: the pieces, and their distinct grams with history, word, count, history count and the shorter gram's probability."""
+    own, grams = [], []
     for k, s, b, p in pieces:
-        if k == kind:
+        if k == 10 * order + kind:
             first, main = apart(p)
-            h, of = X.unpack(first, U, np.int64)
+            h, of, below, factor = X.unpack(first, U, np.int64, np.int64, np.float64)
             at, w, n, c = X.unpack(main, np.int64, U, np.uint32, np.int64)
-            own.append((s, b, h, at, w, n))
-            hists.append((h[at], w, n.astype(np.int64), of[at], c))
+            own.append((s, b, h, at, w))
+            grams.append((h[at], w, n.astype(np.int64), of[at], c, below[at], factor[at]))
     if not own:
         return None
-    h, w, n, of, c = (np.concatenate([x[i] for x in hists]) for i in range(5))
-    words = next(np.frombuffer(p, dtype=np.int64) for k, _, _, p in pieces if k == WORD_STATS)
-    order = np.lexsort((w, h))
+    h, w, n, of, c, below, factor = (np.concatenate([x[i] for x in grams]) for i in range(7))
+    del grams
+    order_of = np.lexsort((w, h))
     new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
+    new[1:] = (h[order_of][1:] != h[order_of][:-1]) | (w[order_of][1:] != w[order_of][:-1])
     place = np.empty(len(h), dtype=np.int64)
-    place[order] = np.cumsum(new) - 1
-    first = order[new]
-    return own, h[first], w[first], np.bincount(place, weights=n, minlength=len(first)).astype(np.int64), of[first], word_probability(c[first], words), place
+    place[order_of] = np.cumsum(new) - 1
+    first = order_of[new]
+    stats = stats_of(pieces, order - 1)
+    lower = word_probability(c[first], stats) if order == 2 else factor[first] * share(c[first], np.maximum(below[first], 1), cut_discounts(stats, least))
+    return own, h[first], w[first], np.bincount(place, weights=n, minlength=len(first)).astype(np.int64), of[first], lower, place
 
 
 @dataclass
 class Model:
-    """A model as a plan: the blocks of documents, the answers that they get, and the merged requests of each shard."""
+    """The blocks of documents, and for each order the folder with the shards' tables and the answers to the blocks."""
 
     blocks: DataFrame
-    answers: DataFrame
-    asked: DataFrame
-    to_shards: DataFrame
-    cut: np.uint64
+    paths: list[str]
+    order: int
+    least: int
+    hot_share: float
+
+    def answers(self) -> DataFrame:
+        return answers_in(self.blocks.sparkSession, self.paths)
+
 
+def answers_in(spark, paths: list[str]) -> DataFrame:
+    return stored(spark, paths, "answers")
 
-def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Model:
+
+def stored(spark, paths: list[str], part: str) -> DataFrame:
+    each = (spark.read.schema(f"{X.PIECES}, part string").parquet(p).where(F.col("part") == part).drop("part") for p in paths)
+    return reduce(DataFrame.unionByName, each)
+
+
+def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2, least: int = 2) -> Model:
     """The model of the training documents, spread over shards, with the answers that each block needs.
 
-    (1) Blocks send their distinct words with training counts, and the sketch cells of their pairs.
-    (2) Blocks send the pairs that the sketch counts LEAST times or more, and all their histories;
-    shards add up, and the numbers of pairs by count go through one small total to all shards.
-    (3) A shard holds all kept words of a history, so it knows what they leave: the backoff weight.
+    (1) Blocks send their distinct words with training counts.
+    (2) For each order from two up, blocks send their distinct grams with training counts, the
+    count of the gram one token shorter and, per history, what gives that one's probability.
+    Shards add up, and the numbers of grams by count go through one small total to all shards.
+    A shard holds all words of a history, so it knows what they leave: the backoff weight.
     A history with more than HOT_SHARE of all tokens is spread over all shards by the word; its
     sums are totalled (there are 1 / HOT_SHARE such histories at most).
+    Each order's tables and answers are written before the next one starts.
     """
     spark = docs.sparkSession
     total = text_bytes(docs)
-    bits = max(16, int(np.ceil(np.log2(max(total, 64) / 6 * WIDTH))))
-    cut = U((1 << 64) - (1 << (64 - bits)))
     shards = cuts(total, block_bytes)
     blocks, n_blocks = packed_blocks(docs, total, block_bytes)
+    hot_share = HOT_SHARE
 
-    def first_request(block, table):
+    def word_request(block, table):
         b = Block(table)
-        out = X.pieces(block, WORDS, shards, b.words, np.bincount(b.word, weights=b.trains, minlength=len(b.words)).astype(np.int64))
-        cells, at = b.cells(cut)
-        return out + X.pieces(block, CELLS, shards, cells, np.minimum(np.bincount(at, weights=b.trains, minlength=len(cells)), 255).astype(np.uint8))
-
-    def first_reply(pieces):
-        out = []
-        own = [(s, b, *X.unpack(p, U, np.int64)) for k, s, b, p in pieces if k == WORDS]
-        if own:
-            _, place = np.unique(np.concatenate([o[2] for o in own]), return_inverse=True)
-            counts = np.bincount(place, weights=np.concatenate([o[3] for o in own])).astype(np.int64)
-            ends = np.cumsum([0] + [len(o[2]) for o in own])
-            out += [(s, b, WORDS, X.pack_values(counts[place[x:y]])) for (s, b, *_), x, y in zip(own, ends[:-1], ends[1:])]
-            out.append((own[0][0], -1, WORD_STATS, numbers_by_count(counts).tobytes()))
-        own = [(s, b, *X.unpack(p, U, np.uint8)) for k, s, b, p in pieces if k == CELLS]
-        if own:
-            low, high = (X.lowest(own[0][0] + i, shards) >> (64 - bits) for i in (0, 1))
-            counts = np.zeros(high - low + 2, dtype=np.uint16)
-            at = [((c >> U(64 - bits)) - U(low)).astype(np.int64) for _, _, c, _ in own]
-            for c, o in zip(at, own):
-                counts[c] = np.minimum(counts[c] + o[3], 255)
-            out += [(s, b, CELLS, X.pack_flags(counts[c] >= LEAST)) for c, (s, b, *_) in zip(at, own)]
-        return out
-
-    def second_request(block, table, told):
-        b = Block(table)
-        b.told(told, cut)
-        out = []
-        h, of = b.histories()
-        i, place, key, _, w, token = b.pairs(False)
-        n = np.bincount(place, weights=b.trains[i], minlength=len(key)).astype(np.uint32)
-        which, ends = X.split(h, shards)
-        for s, x, y in zip(which, ends[:-1], ends[1:]):
-            c, d = np.searchsorted(key, h[x]), np.searchsorted(key, h[y - 1], "right")
-            out.append((int(s), block, PAIRS, together([X.pack(h[x:y], of[x:y]), X.pack(np.searchsorted(h[x:y], key[c:d]), w[c:d], n[c:d], b.count[token[c:d]])])))
-        i, place, key, h, w, token = b.pairs(True)
-        n = np.bincount(place, weights=b.trains[i], minlength=len(key)).astype(np.uint32)
-        which, ends = X.split(key, shards)
-        for s, x, y in zip(which, ends[:-1], ends[1:]):
-            hist, at = np.unique(h[x:y], return_inverse=True)
-            of = np.zeros(len(hist), dtype=np.int64)
-            of[at] = b.of[token[x:y]]
-            out.append((int(s), block, HOT_PAIRS, together([X.pack(hist, of), X.pack(at.astype(np.int64), w[x:y], n[x:y], b.count[token[x:y]])])))
-        stats = [p for k, _, _, p in told if k == WORD_STATS]
-        return out + [(int(s), block, WORD_STATS, stats[0]) for s in {o[0] for o in out}] if stats else out
-
-    def pair_numbers(pieces):
-        found = {kind: g for kind in (PAIRS, HOT_PAIRS) if (g := read_pairs(pieces, kind))}
-        if not found:
-            return []
-        shard = pieces[0][1]
-        out = [(shard, -1, PAIR_STATS, sum(numbers_by_count(g[3] * (g[3] >= LEAST)) for g in found.values()).tobytes())]
-        if HOT_PAIRS in found:
-            _, h, _, count, of, p, _ = found[HOT_PAIRS]
-            kept = count >= LEAST
-            hist, at = np.unique(h[kept], return_inverse=True)
-            of_hist = np.zeros(len(hist))
-            of_hist[at] = of[kept]
-            # tokens of each count up to DISCOUNTED, those of all higher counts, and the words' probabilities
-            by = [np.bincount(at, weights=count[kept] * (count[kept] == c), minlength=len(hist)) for c in range(LEAST, DISCOUNTED + 1)]
-            by += [np.bincount(at, weights=count[kept] * (count[kept] > DISCOUNTED), minlength=len(hist)), np.bincount(at, weights=p[kept], minlength=len(hist))]
-            out.append((shard, -1, HOT_SUMS, np.concatenate((hist.view(np.float64), of_hist, *by)).tobytes()))
-        return out
-
-    def second_reply(pieces, told):
-        out = []
-        numbers = np.frombuffer(told[0][3], dtype=np.int64) if told else np.zeros(N_STATS, dtype=np.int64)
-        words = next((np.frombuffer(p, dtype=np.int64) for k, _, _, p in pieces if k == WORD_STATS), None)
-        for kind in (PAIRS, HOT_PAIRS):
-            got = read_pairs(pieces, kind)
-            if not got:
-                continue
-            own, h, w, count, of, p, place = got
-            kept = count >= LEAST
-            part = np.where(kept, share(count, np.maximum(of, 1), pair_discounts(words, numbers)), 0.0)
-            hist = np.unique(np.concatenate([o[2] for o in own]))
-            at = np.searchsorted(hist, h)
-            mass, lower = np.bincount(at, weights=part, minlength=len(hist)), np.bincount(at, weights=p * kept, minlength=len(hist))
-            of_hist = np.ones(len(hist), dtype=np.int64)
-            of_hist[at] = of
-            weight, factor = backoff(mass, lower, of_hist)
-            ends = np.cumsum([0] + [len(o[3]) for o in own])
-            for (s, b, asked, *_), x, y in zip(own, ends[:-1], ends[1:]):
-                i = np.searchsorted(hist, asked)
-                extra = [X.pack_values(weight[i]), X.pack_values(factor[i])] if kind == PAIRS else []
-                out.append((s, b, kind, together([X.pack_values(np.where(kept, count, 0)[place[x:y]]), *extra])))
-        return out
+        return X.pieces(block, 10 + GRAMS, shards, b.words, np.bincount(b.word, weights=b.trains, minlength=len(b.words)).astype(np.int64))
+
+    def word_reply(pieces):
+        own = [(s, b, *X.unpack(p, U, np.int64)) for k, s, b, p in pieces]
+        words, place = np.unique(np.concatenate([o[2] for o in own]), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate([o[3] for o in own])).astype(np.int64)
+        ends = np.cumsum([0] + [len(o[2]) for o in own])
+        out = [(s, b, 10 + GRAMS, X.pack_values(counts[place[x:y]])) for (s, b, *_), x, y in zip(own, ends[:-1], ends[1:])]
+        out.append((own[0][0], -1, 10 + STATS, numbers_by_count(counts).tobytes()))
+        return out + [(own[0][0], -2, 10 + TABLE, X.pack(words[counts > 0], counts[counts > 0]))]
+
+    def requests(n):
+        def run(block, table, told):
+            b = Block(table)
+            b.told(told, n - 1, hot_share, least)
+            b.longer()
+            out = []
+            for hot in (False, True):
+                i, place, key, h, w, token = b.grams(hot)
+                count = np.bincount(place, weights=b.trains[i], minlength=len(key)).astype(np.uint32)
+                which, ends = X.split(key, shards)
+                for s, x, y in zip(which, ends[:-1], ends[1:]):
+                    hist, first, at = np.unique(h[x:y], return_index=True, return_inverse=True)
+                    t = token[x:y][first]
+                    out.append((int(s), block, 10 * n + (HOT_GRAMS if hot else GRAMS), together([X.pack(hist, b.of[t], b.below[t], b.below_factor[t]), X.pack(at.astype(np.int64), w[x:y], count[x:y], b.lower[token[x:y]])])))
+            stats = stats_of(told, n - 1).tobytes()
+            return out + [(s, block, 10 * (n - 1) + STATS, stats) for s in sorted({o[0] for o in out})]
+        return run
+
+    def gram_numbers(n):
+        def run(pieces):
+            found = {kind: g for kind in (GRAMS, HOT_GRAMS) if (g := read_grams(pieces, kind, n, least))}
+            if not found:
+                return []
+            shard = pieces[0][1]
+            out = [(shard, -1, 10 * n + STATS, sum(numbers_by_count(g[3]) for g in found.values()).tobytes())]
+            if HOT_GRAMS in found:
+                _, h, _, count, of, p, _ = found[HOT_GRAMS]
+                kept = count >= least
+                hist, at = np.unique(h[kept], return_inverse=True)
+                of_hist = np.zeros(len(hist))
+                of_hist[at] = of[kept]
+                by = [np.bincount(at, weights=count[kept] * (count[kept] == c), minlength=len(hist)) for c in range(least, DISCOUNTED + 1)]
+                by += [np.bincount(at, weights=count[kept] * (count[kept] > DISCOUNTED), minlength=len(hist)), np.bincount(at, weights=p[kept], minlength=len(hist))]
+                out.append((shard, -1, 10 * n + HOT_SUMS, np.concatenate((hist.view(np.float64), of_hist, *by)).tobytes()))
+            return out
+        return run
+
+    def replies(n):
+        def run(key, pieces, told):
+            pieces, told = X.listed(pieces), X.listed(told)
+            d = cut_discounts(stats_of(told, n), least)
+            out = []
+            for kind in (GRAMS, HOT_GRAMS):
+                got = read_grams(pieces, kind, n, least)
+                if not got:
+                    continue
+                own, h, w, count, of, p, place = got
+                kept = count >= least
+                part = np.where(kept, share(count, np.maximum(of, 1), d), 0.0)
+                hist = np.unique(np.concatenate([o[2] for o in own]))
+                at = np.searchsorted(hist, h)
+                mass, lower = np.bincount(at, weights=part, minlength=len(hist)), np.bincount(at, weights=p * kept, minlength=len(hist))
+                of_hist = np.ones(len(hist), dtype=np.int64)
+                of_hist[at] = of
+                weight, factor = backoff(mass, lower, of_hist)
+                ends = np.cumsum([0] + [len(o[4]) for o in own])
+                for (s, b, asked, which, _), x, y in zip(own, ends[:-1], ends[1:]):
+                    if kind == GRAMS:
+                        i, backs_off = np.searchsorted(hist, asked), np.zeros(len(asked), dtype=bool)
+                        backs_off[which[~kept[place[x:y]]]] = True
+                        data = together([X.pack_values(count[place[x:y]]), X.pack_values(np.where(backs_off, weight[i], 0.0)), X.pack_values(factor[i])])
+                    else:
+                        data = X.pack_values(count[place[x:y]])
+                    out.append((s, b, 10 * n + kind, data))
+                out.append((own[0][0], -2, 10 * n + TABLE, together([np.int64(kind).tobytes(), X.pack(h[kept], w[kept], count[kept], part[kept]), X.pack(hist, weight, factor)])))
+            return X.as_table(out)
+        return run
 
     def add_numbers(parts):
         return sum(np.frombuffer(p, dtype=np.int64) for p in parts).tobytes()
 
     def add_hot(parts):
-        rows = np.concatenate([np.frombuffer(p, dtype=np.float64).reshape(DISCOUNTED - LEAST + 5, -1) for p in parts], axis=1)
+        rows = np.concatenate([hot_rows(p, least) for p in parts], axis=1)
         hist, at = np.unique(rows[0].view(U), return_inverse=True)
         of = np.zeros(len(hist))
         of[at] = rows[1]
         return np.concatenate((hist.view(np.float64), of, *(np.bincount(at, weights=x, minlength=len(hist)) for x in rows[2:]))).tobytes()
 
-    adders = {WORD_STATS: add_numbers, PAIR_STATS: add_numbers, HOT_SUMS: add_hot}
-
     def totalled(answers: DataFrame, kinds: list[int], to_shards: bool) -> DataFrame:
         """One small row per shard and kind, added up and sent to every block (or shard)."""
         def run(key, table):
             kind = int(key[0].as_py())
-            data = adders[kind]([x[3] for x in X.listed(table)])
+            data = (add_hot if kind % 10 == HOT_SUMS else add_numbers)([x[3] for x in X.listed(table)])
             return X.as_table([(i, -1, kind, data) for i in range(shards)] if to_shards else [(-1, i, kind, data) for i in range(n_blocks)])
         return answers.where(F.col("kind").isin(kinds)).groupBy("kind").applyInArrow(run, X.PIECES)
 
-    def per_shard(requests, run):
+    def per_shard(asked, run):
         def apply(table):
             return X.as_table(run(X.listed(table)))
-        return requests.groupBy("shard").applyInArrow(apply, X.PIECES)
-
-    one = X.answer(X.ask(blocks, first_request), first_reply, shards)
-    one = one.where("block >= 0").unionByName(totalled(one, [WORD_STATS], False))
-    asked = X.ask_again(blocks, one, second_request).repartition(partitions_for(spark, shards), "shard")
-    numbers = per_shard(asked, pair_numbers)
-    to_shards = totalled(numbers, [PAIR_STATS], True)
-
-    def reply(key, pieces, told):
-        return X.as_table(second_reply(X.listed(pieces), X.listed(told)) if pieces.num_rows else [])
-
-    two = asked.groupBy("shard").cogroup(to_shards.groupBy("shard")).applyInArrow(reply, X.PIECES)
-    return Model(blocks, one.unionByName(two).unionByName(totalled(numbers, [PAIR_STATS, HOT_SUMS], False)), asked, to_shards, cut)
-
-
-def store_pairs(model: Model, path: str) -> None:
-    """Writes the kept pairs as a table, partitioned over the shards: ``history``, ``word`` (hashes), ``count`` and discounted ``share`` of the history."""
-    def run(key, pieces, told):
-        pieces, told = X.listed(pieces), X.listed(told)
-        words = next((np.frombuffer(p, dtype=np.int64) for k, _, _, p in pieces if k == WORD_STATS), None)
-        cols = [np.zeros(0, dtype=np.int64)] * 3 + [np.zeros(0)]
-        for kind in (PAIRS, HOT_PAIRS):
-            got = read_pairs(pieces, kind)
-            if got and told:
-                _, h, w, count, of, _, _ = got
-                kept = count >= LEAST
-                d = pair_discounts(words, np.frombuffer(told[0][3], dtype=np.int64))
-                part = (h[kept].view(np.int64), w[kept].view(np.int64), count[kept], share(count[kept], of[kept], d))
-                cols = [np.concatenate((x, y)) for x, y in zip(cols, part)]
-        return pa.table(dict(zip(("history", "word", "count", "share"), map(pa.array, cols))))
+        return asked.groupBy("shard").applyInArrow(apply, X.PIECES)
+
+    def written(rows: DataFrame, n: int) -> str:
+        path = new_path(spark, f"grams{n}")
+        part = F.when(F.col("kind") % 10 == TABLE, "tables").otherwise("answers")
+        rows.where(f"block >= 0 or kind % 10 = {TABLE}").withColumn("part", part).write.partitionBy("part").parquet(path)
+        return path
+
+    words = X.answer(X.ask(blocks, word_request), word_reply, shards)
+    paths = [written(words.unionByName(totalled(words, [10 + STATS], False)), 1)] 
+    for n in range(2, order + 1):
+        asked = X.ask_again(blocks, answers_in(spark, paths), requests(n)).repartition(partitions_for(spark, shards), "shard")
+        numbers = per_shard(asked, gram_numbers(n))
+        to_shards = totalled(numbers, [10 * n + STATS], True)
+        two = asked.groupBy("shard").cogroup(to_shards.groupBy("shard")).applyInArrow(replies(n), X.PIECES)
+        paths.append(written(two.unionByName(totalled(numbers, [10 * n + STATS, 10 * n + HOT_SUMS], False)), n))
+    return Model(blocks, paths, order, least, hot_share)
+
+
+def stored_grams(model: Model, n: int) -> DataFrame:
+    """The kept grams of order ``n`` (two or more) as the shards stored them: ``history``, ``word`` (hashes), ``count`` and discounted ``share`` of the history."""
+    def run(batches):
+        for b in batches:
+            for data in b.column("data").to_pylist():
+                h, w, count, part = X.unpack(apart(data)[1], U, U, np.int64, np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), w.view(np.int64), count, part)], ["history", "word", "count", "share"])
 
-    tables = model.asked.groupBy("shard").cogroup(model.to_shards.groupBy("shard")).applyInArrow(run, "history long, word long, count long, share double")
-    tables.write.parquet(path)
+    tables = stored(model.blocks.sparkSession, [model.paths[n - 1]], "tables")
+    return tables.select("data").mapInArrow(run, "history long, word long, count long, share double")
 
 
 def evaluate(model: Model) -> DataFrame:
-    """Scores the documents of the blocks: a kept pair's share, or else the history's weight times the word's probability."""
-    cut = model.cut
+    """Scores the documents of the blocks from the written answers, from the longest history down to the single words."""
+    order, least, hot_share = model.order, model.least, model.hot_share
 
     def run(block, table, told):
         if block is None:
             return scored([], [], [], [], 0, [], [])
         b = Block(table)
-        b.told(told, cut)
-        pairs = next((np.frombuffer(p, dtype=np.int64) for k, _, _, p in told if k == PAIR_STATS), np.zeros(N_STATS, dtype=np.int64))
-        d = pair_discounts(b.stats, pairs)
-        known, _ = b.histories()
-        parts = [apart(p) for k, _, _, p in told if k == PAIRS]
-        weight, factor = (X.joined([X.unpack_values(p[i], np.float64) for p in parts], np.float64) for i in (1, 2))
-        sums = [np.frombuffer(p, dtype=np.float64).reshape(DISCOUNTED - LEAST + 5, -1) for k, _, _, p in told if k == HOT_SUMS]
-        if sums:
-            hist, of, *by, rest, lower = sums[0]
-            hot = backoff((sum(d[c] * x for c, x in zip(range(LEAST, DISCOUNTED + 1), by)) + rest) / of, lower, of)
-            known, weight, factor = np.append(known, hist.view(U)), np.append(weight, hot[0]), np.append(factor, hot[1])
-            order = np.argsort(known)
-            known, weight, factor = known[order], weight[order], factor[order]
-        at = np.minimum(np.searchsorted(known, b.history), max(0, len(known) - 1))
-        found = known[at] == b.history if len(known) else np.zeros(len(at), dtype=bool)
-        w, f = (np.where(found, x[at], 1.0) if len(x) else np.ones(len(at)) for x in (weight, factor))
-        p = w * b.p
-        for kind, hot, lists in ((PAIRS, False, parts), (HOT_PAIRS, True, [apart(q) for k, _, _, q in told if k == HOT_PAIRS])):
-            counts = X.joined([X.unpack_values(q[0], np.int64) for q in lists], np.int64)
-            i, place, *_ = b.pairs(hot)
-            n = counts[place]
-            yes = i[n > 0]
-            p[yes] = f[yes] * share(n[n > 0], b.of[yes], d)
-        total, distinct = int(b.stats[-2]), int(b.stats[-1])
-        base = np.log10((b.count + 0.5) / (total + 0.5 * (distinct + 1)))
+        b.told(told, 1, hot_share, least)
+        total, distinct, count = int(b.stats[-2]), int(b.stats[-1]), b.count
+        base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
+        for _ in range(2, order + 1):
+            b.longer()
+            b.take(told, least)
         doc = np.repeat(np.arange(len(b.ids)), np.diff(b.first))
         add = lambda x: np.bincount(doc, weights=x, minlength=len(b.ids))
-        return scored(b.ids, b.held_out, np.diff(b.first), add(b.count > 0), total, add(base), add(np.log10(p)))
+        return scored(b.ids, b.held_out, np.diff(b.first), add(count > 0), total, add(base), add(np.log10(b.p)))
 
-    return X.finish(model.blocks, model.answers, run, SCHEMA)
+    return X.finish(model.blocks, model.answers(), run, SCHEMA)
 
 
 def scored(ids, out, n, known, total, base, score) -> pa.Table:
@@ -426,12 +448,14 @@ def scored(ids, out, n, known, total, base, score) -> pa.Table:
                      "train_tokens": pa.array([total] * len(ids), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
 
 
-def katz_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def katz_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", order: int = 2, least: int = 2) -> DataFrame:
     """One row per document: tokens, known tokens, training tokens, base and model log10 probability.
 
+    Histories have up to ``order`` - 1 words; grams of two words or more with fewer than ``least``
+    counts are left to the shorter history (``least=1`` keeps all).
     The model learns from documents that ``held_out`` doesn't name and scores all.  Tokens are
     words (A-Z lower-cased) and one end.  Null or empty text: only the end.  Equal rows are
     learned and scored each; null ids are learned from.  Without training tokens every score is
     that of a certain event, 0.  Other columns are ignored.
     """
-    return evaluate(fit(documents(docs, id_col, text_col), block_bytes))
+    return evaluate(fit(documents(docs, id_col, text_col), block_bytes, order, least))

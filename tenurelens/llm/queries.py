@@ -29,7 +29,7 @@ def op2(spark, sf_dir):
 
 @query("op3_lm_scoring")
 def op3(spark, sf_dir):
-    return lm.katz_scores(read(spark, sf_dir, "documents"))
+    return lm.katz_scores(read(spark, sf_dir, "documents"), order=3, least=1)
 
 
 @query("op4_embedding_near_dedup")
