@@ -62,7 +62,7 @@ GRID = "grid as (select 0.1+(6.0-0.1)*i/99 s from range(100) t(i))"
     ") select dist, round(sigma,6) sigma, round(loglik,4) loglik from cells order by loglik desc limit 1")
 def g2(spark, sf):
     val = fx.scored(spark, sf).where(F.col("dataset") == "val")
-    b = aft.best_cell(aft.grid_likelihood(val, dists=["logistic", "extreme"]))
+    b = aft.best_cell(aft.grid_likelihood(val))
     return b.select("dist", F.round("sigma", 6).alias("sigma"), F.round("loglik", 4).alias("loglik"))
 
 
