@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenurelens.llm.components import components
-from tenurelens.llm.tables import partitions_for, ship
+from tenurelens.llm.tables import ship
 from tenurelens.sources.shared import new_path
 
-#: Orders tried, bits of each, neighbours compared in each, rows a sorted partition should hold, members of a block.
-PASSES, BITS, WINDOW, RUN, BLOCK = 16, 48, 32, 4096, 512
+#: Orders tried, bits of each, neighbours compared in each, rows of a run (more for wide windows), members of a block, rows compared at a time.
+PASSES, BITS, WINDOW, RUN, BLOCK, STEP = 16, 48, 32, 4096, 512, 256
 _PLANES: dict = {}
 
 
@@ -67,15 +67,37 @@ def valid_classes(rows: DataFrame) -> DataFrame:
     return classes.mapInArrow(unit, f"label {rows.schema['label'].dataType.simpleString()}, v array<double>, rep long, copies long, unit binary")
 
 
+def linked_pairs(v: np.ndarray, ids: np.ndarray, threshold: float, window: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs at ``window`` places or fewer (and some farther ones) that reach the threshold."""
+    out = []
+    for x in range(0, len(v), STEP):
+        low = max(0, x - window)
+        r, c = np.nonzero(v[x:x + STEP] @ v[low:x + STEP].T >= threshold)
+        r += x - low
+        root = np.arange(min(len(v), x + STEP) - low)
+        while len(r):  # the smallest place of each group of linked rows
+            least = np.minimum(root[r], root[c])
+            np.minimum.at(root, r, least)
+            np.minimum.at(root, c, least)
+            root = root[root]
+            apart = root[r] != root[c]
+            r, c = r[apart], c[apart]
+        i = np.flatnonzero(root != np.arange(len(root)))
+        out += zip(ids[low + i].tolist(), ids[low + root[i]].tolist())
+    return forest(out)
+
+
 def neighbour_links(classes: DataFrame, total: int, threshold: float, passes: int, bits: int, window: int, seed: int) -> DataFrame:
-    """Verified pairs (a, b), thinned to a spanning forest per task, from all passes.
+    """Verified pairs (a, b), thinned to a spanning forest per run, from all passes.
 
     In a pass every vector gets the signs of its projections on the pass's own hyperplanes as one
-    sort key.  Rows are sorted by label, length and key over the whole cluster, and each is
-    compared with the ``window`` rows before it.
+    sort key.  Rows are sorted by label, length and key over the whole cluster and numbered, and
+    each is compared with the ``window`` rows before it: a run of rows gets the last ``window``
+    of the run before, so neither partitions nor the session's settings part neighbours.
     """
     spark = classes.sparkSession
     label = classes.schema["label"].dataType.simpleString()
+    run = max(RUN, 4 * window)
 
     def keyed(batches):
         for b in batches:
@@ -85,37 +107,39 @@ def neighbour_links(classes: DataFrame, total: int, threshold: float, passes: in
             for size, rows in by_dim.items():
                 part = b.take(pa.array(rows))
                 v = vectors_of(part.column("unit"))
-                sign = (v @ planes(v.shape[1], passes, bits, seed) >= 0).reshape(len(v), passes, bits)
+                n = len(v)
                 for p in range(passes):
-                    keys = np.packbits(sign[:, p], axis=1)
-                    n = len(v)
+                    sign = v @ planes(v.shape[1], passes, bits, seed)[:, p * bits:(p + 1) * bits] >= 0
+                    keys = np.packbits(sign, axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, dtype=np.int32)), part.column("label"), pa.array(np.full(n, size, dtype=np.int32)),
                                                       pa.array([k.tobytes() for k in keys], pa.binary()), part.column("rep"), part.column("unit")],
                                                      ["pass", "label", "size", "key", "rep", "unit"])
 
     rows = classes.mapInArrow(keyed, f"pass int, label {label}, size int, key binary, rep long, unit binary")
-    n = partitions_for(spark, -(-total * passes // RUN)) if total else 1
+    n = max(1, -(-total * passes // run))
     ordered = rows.repartitionByRange(n, "pass", "label", "size", "key", "rep").sortWithinPartitions("pass", "label", "size", "key", "rep")
-
-    def compare(batches):
-        group, ids, before = None, np.zeros(0, dtype=np.int64), None
-        for b in batches:
-            found = []
-            part = list(zip(*(b.column(c).to_pylist() for c in ("pass", "label", "size"))))
-            cut = [i for i in range(len(part)) if i == 0 or part[i] != part[i - 1]] + [len(part)]
-            rep = b.column("rep").to_numpy()
-            for x, y in zip(cut[:-1], cut[1:]):
-                v, own = vectors_of(b.column("unit").slice(x, y - x)), rep[x:y]
-                if part[x] == group:
-                    v, own = np.concatenate((before, v)), np.concatenate((ids, own))
-                for d in range(1, min(window, len(v) - 1) + 1):
-                    close = np.flatnonzero(np.einsum("ij,ij->i", v[d:], v[:-d]) >= threshold)
-                    found += zip(own[close + d].tolist(), own[close].tolist())
-                group, ids, before = part[x], own[-window:], v[-window:]
-            found = forest(found)
-            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    return ordered.mapInArrow(compare, "a long, b long")
+    path = new_path(spark, "ordered")
+    ordered.select("pass", "label", "size", "rep", "unit", F.monotonically_increasing_id().alias("at")).write.parquet(path)
+    part = F.shiftright("at", 33)
+    ordered = spark.read.parquet(path).withColumn("part", part)
+    counts = sorted((r["part"], r["count"]) for r in ordered.groupBy("part").count().collect())
+    starts = np.cumsum([0] + [c for _, c in counts]).tolist()
+    starts = spark.createDataFrame([(p, s) for (p, _), s in zip(counts, starts)], "part long, start long")
+    place = F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = ordered.join(starts, "part").withColumn("place", place).withColumn("run", F.floor(F.col("place") / run))
+    both = F.when(F.col("place") % run >= run - window, F.array(F.col("run"), F.col("run") + 1)).otherwise(F.array("run"))
+    runs = placed.withColumn("run", F.explode(both)).select("run", "place", "pass", "label", "size", "rep", "unit")
+
+    def compare(table):
+        table = table.combine_chunks().sort_by("place")
+        group = list(zip(*(table.column(c).to_pylist() for c in ("pass", "label", "size"))))
+        cut = [i for i in range(len(group)) if i == 0 or group[i] != group[i - 1]] + [len(group)]
+        rep, unit, found = table.column("rep").to_numpy(), table.column("unit"), []
+        for x, y in zip(cut[:-1], cut[1:]):
+            found += linked_pairs(vectors_of(unit.slice(x, y - x)), rep[x:y], threshold, window)
+        return pa.table([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return runs.groupBy("run").applyInArrow(compare, "a long, b long")
 
 
 def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
