@@ -10,8 +10,10 @@ from tenurelens.llm.components import components
 from tenurelens.llm.tables import ship
 from tenurelens.sources.shared import new_path
 
-#: Orders tried, bits of each, neighbours compared in each, rows of a run (more for wide windows), members of a block, rows compared at a time.
-PASSES, BITS, WINDOW, RUN, BLOCK, STEP = 16, 48, 32, 4096, 512, 256
+#: Bits of an order, rows of a run (more for wide windows), members of a block, rows compared at a time.
+BITS, RUN, BLOCK, STEP = 48, 4096, 512, 256
+#: Smallest and largest window, share of lone pairs at the threshold that all orders together may miss, least orders where the window isn't the whole label.
+WINDOWS, MISSED, LEAST_PASSES = (1024, 4096), 0.03, 4
 _PLANES: dict = {}
 
 
@@ -23,6 +25,20 @@ def planes(dim: int, passes: int, bits: int, seed: int) -> np.ndarray:
     return _PLANES[key]
 
 
+def orders_for(largest: int, threshold: float) -> tuple[int, int]:
+    """Passes and window for a label of ``largest`` distinct vectors; one pass whose window holds them all is exact.
+
+    Two vectors at the threshold agree in a bit with 1 - angle / pi, and are neighbours if they
+    agree in the bits that cut the label to a window: log2(largest / window) of them for vectors
+    spread evenly, 1.71 times that where two vectors have a cosine of 0.5 on average.
+    """
+    window = int(min(WINDOWS[1], max(WINDOWS[0], 2 ** np.ceil(np.log2(max(1, largest)) / 2))))
+    if largest <= window:
+        return 1, window
+    near = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** (1.71 * np.log2(largest / window))
+    return (max(LEAST_PASSES, int(np.ceil(np.log(MISSED) / np.log1p(-near)))) if near < 1 else LEAST_PASSES), window
+
+
 def vectors_of(column) -> np.ndarray:
     """Rows of a binary column of doubles."""
     if not len(column):
@@ -172,13 +188,14 @@ def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return packed.join(other, "comp").select("reps", "units", "reps2", "copies2", "units2").mapInArrow(compare, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("others"))
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, block: int = BLOCK, seed: int = 7,
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, passes: int | None = None, bits: int = BITS, window: int | None = None, block: int = BLOCK, seed: int = 7,
                     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: ``vec_id``, ``n_links``, ``component_id``, ``kept``.
 
     Only vectors with equal, non-null labels and equal lengths are compared, by cosine in
     doubles.  Equal vectors are one class.  Each of ``passes`` orders brings most close pairs within
-    ``window`` places; pairs that reach the threshold join components (every pair is verified,
+    ``window`` places; both follow from the largest label's number of classes unless given
+    (``orders_for``; labels of up to 1,024 classes are exact).  Pairs that reach the threshold join components (every pair is verified,
     so no link is false, and a link is missed only if no order brings it or a chain of others
     together).  Links are then counted exactly inside each component, in blocks of ``block``; their
     number is returned, never the pairs.
@@ -193,7 +210,10 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, passes: int = P
     path = new_path(spark, "vectors")
     valid_classes(rows).write.parquet(path)
     classes = spark.read.parquet(path)
-    total = classes.count()
+    sizes = classes.groupBy("label", F.size("v").alias("size")).count().agg(F.sum("count"), F.max("count")).first()
+    total, largest = sizes[0] or 0, sizes[1] or 0
+    derived = orders_for(largest, threshold)
+    passes, window = passes or derived[0], window or derived[1]
     comp = components(neighbour_links(classes.select("label", "rep", "unit"), total, threshold, passes, bits, window, seed))
     members = classes.select("rep", "copies", "unit").join(comp, F.col("rep") == F.col("id")).select(F.col("component_id").alias("comp"), "rep", "copies", "unit")
     counted = count_links(members, threshold, block)
