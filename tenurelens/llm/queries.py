@@ -1,7 +1,7 @@
 """The registered queries of these operators, each over its whole table."""
 from __future__ import annotations
 
-from tenurelens.llm import byte_bpe, embedding_dedup, exact_dedup, jaccard_join, lm, packing, substring_dedup, suffix_dedup, token_counts, toxicity
+from tenurelens.llm import byte_bpe, embedding_dedup, exact_dedup, filter_audit, importance, jaccard_join, lm, mixing, packing, substring_dedup, suffix_dedup, token_counts, toxicity
 from tenurelens.llm.tables import read
 
 QUERIES: dict = {}
@@ -69,3 +69,18 @@ def op9(spark, sf_dir):
 @query("op10_suffix_array_dedup")
 def op10(spark, sf_dir):
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"), length=200))
+
+
+@query("op11_importance_resampling", importance.ORACLE_SQL)
+def op11(spark, sf_dir):
+    return importance.importance_resampling(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op12_source_mixing", mixing.ORACLE_SQL)
+def op12(spark, sf_dir):
+    return mixing.mix_sources(read(spark, sf_dir, "documents"))
+
+
+@query("op13_filter_audit", filter_audit.ORACLE_SQL)
+def op13(spark, sf_dir):
+    return filter_audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenurelens.sources.shared import new_path
 
 _SHIPPED: dict = {}
 
@@ -42,6 +43,13 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder, in one folder per value of ``by``, and read again."""
+    path = new_path(df.sparkSession, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts, from one pass over the column."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
