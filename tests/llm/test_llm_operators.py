@@ -344,4 +344,4 @@ def test_only_nulls(spark):
 
 
 def test_queries_are_registered():
-    assert [int(n[2:].split("_")[0]) for n in sorted(Q.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted(Q.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
