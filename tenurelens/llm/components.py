@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from tenurelens.sources.shared import new_path
 
 
+def same_id_links(rows: DataFrame, node: str, centre: str) -> DataFrame:
+    """Links (a, b) between the centres of ids that occur with several: rows with equal ids are one node."""
+    several = rows.groupBy(F.col(node).alias("_node")).agg(F.min(centre).alias("_low"), F.max(centre).alias("_high")).where("_low < _high")
+    return rows.join(several, F.col(node) == F.col("_node")).where(F.col(centre) != F.col("_low")).select(F.col("_low").alias("a"), F.col(centre).alias("b")).distinct()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id`` and ``component_id`` (the smallest id reachable) of every id on an edge.
 

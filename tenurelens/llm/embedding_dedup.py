@@ -6,8 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenurelens.llm.components import components
-from tenurelens.llm.tables import ship
+from tenurelens.llm.components import components, same_id_links
+from tenurelens.llm.tables import ship, stored
 from tenurelens.sources.shared import new_path
 
 #: Bits of an order, rows of a run (more for wide windows), members of a block, rows compared at a time.
@@ -207,20 +207,25 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, passes: int | N
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
-    path = new_path(spark, "vectors")
-    valid_classes(rows).write.parquet(path)
-    classes = spark.read.parquet(path)
+    classes = stored(valid_classes(rows).withColumn("cls", F.monotonically_increasing_id()), "vectors")
     sizes = classes.groupBy("label", F.size("v").alias("size")).count().agg(F.sum("count"), F.max("count")).first()
     total, largest = sizes[0] or 0, sizes[1] or 0
     derived = orders_for(largest, threshold)
     passes, window = passes or derived[0], window or derived[1]
-    comp = components(neighbour_links(classes.select("label", "rep", "unit"), total, threshold, passes, bits, window, seed))
-    members = classes.select("rep", "copies", "unit").join(comp, F.col("rep") == F.col("id")).select(F.col("component_id").alias("comp"), "rep", "copies", "unit")
+    # the nodes here are classes, so a component is within one label
+    named = classes.select("label", F.col("cls").alias("rep"), "unit", "copies")
+    comp = stored(components(neighbour_links(named.drop("copies"), total, threshold, passes, bits, window, seed)), "comp")
+    members = named.join(comp, F.col("rep") == F.col("id")).select(F.col("component_id").alias("comp"), "rep", "copies", "unit")
     counted = count_links(members, threshold, block)
-    per_class = classes.select("label", "v", "rep", "copies").join(counted, "rep", "left").join(comp, F.col("rep") == F.col("id"), "left")
-    per_class = per_class.select("label", "v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("_n"), F.coalesce("component_id", "rep").alias("_c"))
-    out = rows.join(per_class, ["label", "v"], "left")
-    known = F.col("vec_id").isNotNull()
-    component = F.when(known, F.coalesce("_c", "vec_id"))
-    return out.select("vec_id", F.when(known, F.coalesce("_n", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"),
-                      F.col("vec_id").eqNullSafe(component).alias("kept"))
+    per_class = classes.select("label", "v", "cls", "rep", "copies").join(counted.withColumnRenamed("rep", "of"), F.col("cls") == F.col("of"), "left").join(comp, F.col("cls") == F.col("id"), "left")
+    per_class = per_class.select("label", "v", "rep", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("_n"), F.coalesce("component_id", "cls").alias("_c"))
+    # then the smallest id of each component, and components that an id with several vectors joins; rows that nothing can link
+    # don't take part in the joins
+    whole = F.col("label").isNotNull() & F.col("v").isNotNull() & F.col("vec_id").isNotNull()
+    found = stored(rows.where(whole).join(per_class, ["label", "v"], "left").select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), "_c", "rep"), "linked")
+    smallest = found.where("_c is not null").groupBy("_c").agg(F.min("rep").alias("_first"))
+    alone = found.where("_c is null").select("vec_id").unionByName(rows.where(~whole).select("vec_id")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("_first"))
+    each = found.join(smallest, "_c").select("vec_id", "n_links", "_first").unionByName(alone)
+    joined = components(same_id_links(each.where("vec_id is not null").select("vec_id", "_first"), "vec_id", "_first")).select(F.col("id").alias("_first"), "component_id")
+    return each.join(joined, "_first", "left").select("vec_id", "n_links", F.coalesce("component_id", "_first").alias("component_id")).withColumn(
+        "kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenurelens.llm.tables import cuts, documents, partitions_for, text_bytes
+from tenurelens.llm.tables import cuts, documents, partitions_for, stored, text_bytes
 from tenurelens.sources.shared import new_path
 
 #: Texts a bucket holds before it splits; bits the directory may double to; bytes of text an owner task works on.
@@ -157,7 +157,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index) -> DataFrame:
-    """The rows and columns of ``docs`` that ``exact_dedup`` keeps."""
-    found = exact_dedup(docs, id_col, text_col, **index).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    """One row of ``docs`` for each text, with all its columns: of the rows that ``exact_dedup`` keeps.
+
+    Where several rows hold a text under the id that stays (or under null ids only), the one whose columns have the
+    smallest hash stays. Null and empty texts are one text. An empty table gives no rows.
+    """
+    found = exact_dedup(docs, id_col, text_col, **index).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    once, repeated = (stored(found.where(c).select("doc_id", "text_sha256"), "kept") for c in ("n = 1", "n > 1"))
     sha = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"), 256)
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_kept_id"]) & (sha == found["_kept_sha"]), "left_semi")
+    of = lambda f: docs.join(f, docs[id_col].cast("long").eqNullSafe(f["doc_id"]) & (sha == f["text_sha256"]), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = of(repeated).select(row.alias("row")).groupBy(F.sha2(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")).cast("binary"), 256)).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return of(once).unionByName(first.select("row.*"))

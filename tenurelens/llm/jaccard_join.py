@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tenurelens.llm import exchange as X
 from tenurelens.llm import text as T
-from tenurelens.llm.components import components
+from tenurelens.llm.components import components, same_id_links
 from tenurelens.llm.tables import cuts, documents, text_bytes
 from tenurelens.sources.shared import new_path
 
@@ -76,7 +76,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group: int
     path = new_path(spark, "sets")
     candidate_sets(d, width, percent, block_bytes).write.parquet(path)
     sets = spark.read.parquet(path)
-    comp = components(group_links(sets, percent, group))
+    comp = components(group_links(sets, percent, group).unionByName(same_id_links(sets.select("doc_id", "rep_id"), "doc_id", "rep_id")))
     got = sets.select("doc_id", "n_shingles", "rep_id").join(comp, F.col("rep_id") == F.col("id"), "left")
     return got.select("doc_id", "n_shingles", F.coalesce("component_id", "rep_id").alias("component_id"))
 

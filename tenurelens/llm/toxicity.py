@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenurelens.llm import text as T
-from tenurelens.llm.tables import documents
+from tenurelens.llm.tables import documents, ship
 from tenurelens.sources.shared import new_path
 
 U = np.uint64
@@ -212,16 +212,19 @@ def learned(docs: DataFrame, labels: DataFrame, **how) -> Chain:
 
 
 def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows and columns of ``docs`` whose last category's probability is below ``threshold``; one pass, nothing is shuffled."""
-    names = docs.columns
+    """The rows and columns of ``docs`` whose last category's probability is below ``threshold``; one pass, nothing is shuffled.
+
+    Null and empty texts have the base rate; repeated rows, equal and null ids are each judged by their text. No row of an
+    empty table. All columns pass through as they are, whatever their names.
+    """
 
     def run(batches):
         for b in small(batches):
-            row, col = held(pa.table({"text": b.column("_text")}), chain.features)
-            clean = chain.probabilities(row, col, b.num_rows)[-1] < threshold
-            yield b.filter(pa.array(clean)).select(names)
+            row, col = held(pa.table({"text": b.column(text_col).cast(pa.string())}), chain.features)
+            yield b.filter(pa.array(chain.probabilities(row, col, b.num_rows)[-1] < threshold))
 
-    return docs.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
