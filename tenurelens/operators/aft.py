@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenurelens.functions import arrays
 from tenurelens.functions.columns import clamp, correlation, log_normal_sf, normal_cdf, ratio
 from tenurelens.functions.scale import exact_quantiles, summed_arrays
 from tenurelens.schema import HORIZONS, MAX_DAY
@@ -61,6 +62,26 @@ def log_density(dist: str, z: Column) -> Column:
     return z - 2.0 * F.log1p(F.exp(z)) if dist == "logistic" else z - F.exp(z)
 
 
+def log_survival_of(dist: str, z: np.ndarray) -> np.ndarray:
+    """As ``log_survival``, on arrays."""
+    if dist == "normal":
+        return arrays.log_normal_sf(z)
+    return -np.log1p(np.exp(z)) if dist == "logistic" else -np.exp(z)
+
+
+def log_density_of(dist: str, z: np.ndarray) -> np.ndarray:
+    """As ``log_density``, on arrays."""
+    if dist == "normal":
+        return -z * z / 2.0 - 0.5 * math.log(2.0 * math.pi)
+    return z - 2.0 * np.log1p(np.exp(z)) if dist == "logistic" else z - np.exp(z)
+
+
+def survival_of(dist: str, z: np.ndarray) -> np.ndarray:
+    """As ``survival``, on arrays."""
+    raw = 1.0 - arrays.normal_cdf(z) if dist == "normal" else 1.0 / (1.0 + np.exp(z)) if dist == "logistic" else np.exp(-np.exp(z))
+    return np.clip(raw, CLIP, 1.0 - CLIP)
+
+
 def log_likelihood_term(dist: str, sigma, time="time", event="event", eta="eta") -> Column:
     """Contribution of one row; terms that are not finite become null and drop out of sums."""
     sigma = sigma if isinstance(sigma, Column) else F.lit(float(sigma))
@@ -82,12 +103,21 @@ def scale_grid(low=0.1, high=6.0, n=100):
 
 
 def grid_likelihood(df: DataFrame, sigmas=None, dists=DISTRIBUTIONS, by=()) -> DataFrame:
-    """Log-likelihood of every (distribution, sigma) cell for given eta."""
-    sigmas = sigmas or scale_grid()
-    grid = df.select(*by, "time", "event", "eta").withColumn("sigma", F.explode(F.array(*[F.lit(float(s)) for s in sigmas])))
-    row = grid.groupBy(*by, "sigma").agg(*[F.sum(log_likelihood_term(d, F.col("sigma"))).alias(d) for d in dists])
-    cells = [F.struct(F.lit(d).alias("dist"), F.col(d).alias("loglik")) for d in dists]
-    return row.select(*by, "sigma", F.explode(F.array(*cells)).alias("c")).select(*by, "c.dist", "sigma", "c.loglik")
+    """Log-likelihood of every (distribution, sigma) cell for given eta; all cells of a row are worked out in one array."""
+    sigmas, dists = [float(s) for s in sigmas or scale_grid()], list(dists)
+    scale = np.array(sigmas)
+
+    def cells(c):
+        with np.errstate(all="ignore"):
+            z = (np.log(c["time"]) - c["eta"])[:, None] / scale
+            event = (c["event"] == 1)[:, None]
+            terms = [np.where(event, log_density_of(d, z) - np.log(scale), log_survival_of(d, z)) for d in dists]
+        out = np.concatenate(terms, axis=1)
+        return np.where(np.isfinite(out), out, 0.0)
+
+    sums = arrays.grouped_arrays(df.select(*by, "time", "event", "eta"), by, len(dists) * len(sigmas), cells)
+    return sums.select(*by, F.element_at(F.array(*map(F.lit, dists)), F.floor(F.col("i") / len(sigmas)).cast("int") + 1).alias("dist"),
+                       F.element_at(F.array(*map(F.lit, sigmas)), F.col("i") % len(sigmas) + 1).alias("sigma"), F.col("v").alias("loglik"))
 
 
 def best_cell(cells: DataFrame, by=()) -> DataFrame:
@@ -315,11 +345,17 @@ def curve_quality(df: DataFrame, dist: str, sigma: float, by=("dataset",)) -> Da
 
 
 def monotonicity_violations(df: DataFrame, dist: str, sigma: float, last_day=MAX_DAY) -> DataFrame:
-    """Days on which a survival curve rises; each day is compared with the one before in its own row."""
-    d = df.select("eta", F.explode(F.sequence(F.lit(1), F.lit(last_day))).alias("t"))
-    now = survival(dist, zscore("t", "eta", sigma))
-    before = survival(dist, zscore(F.col("t") - 1, "eta", sigma))
-    return d.agg(F.count_if((F.col("t") > 1) & (now > before)).alias("violations"), F.count(F.lit(1)).alias("points"))
+    """Days on which a survival curve rises; each person's whole curve is one array in its row."""
+    days = np.log(np.arange(1, last_day + 1))
+
+    def counts(c):
+        with np.errstate(all="ignore"):
+            curve = survival_of(dist, (days - c["eta"][:, None]) / sigma)
+        return np.column_stack(((np.diff(curve, axis=1) > 0).sum(axis=1), np.full(len(curve), last_day)))
+
+    sums = arrays.grouped_arrays(df.select("eta"), [], 2, counts)
+    at = lambda i: F.coalesce(F.sum(F.when(F.col("i") == i, F.col("v"))), F.lit(0)).cast("long")
+    return sums.agg(at(0).alias("violations"), at(1).alias("points"))
 
 
 def calibration_slope(df: DataFrame, by=("dataset",)) -> DataFrame:

@@ -4,14 +4,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenurelens.functions.columns import ladder, ratio
 from tenurelens.functions.scale import percent_rank_by, previous_value
+from tenurelens.operators.run_summary import history_summary
 from tenurelens.schema import EFFECTIVE, ENTITY, VANTAGE
 from tenurelens.sources.keys import NO_MANAGER
 
-# fixed values: texts that stand for a missing place
-NO_PLACE = ["UNKNOWN", "MISSING", "NULL"]
-
 
 def point_in_time(df: DataFrame, date=EFFECTIVE, closed=True) -> DataFrame:
     """Rows known at the vantage date (``closed``: on the day itself too)."""
@@ -71,42 +68,17 @@ def change_points(history: DataFrame, value: str) -> DataFrame:
     return prev.where(F.col("prev_value").isNull() | (F.col(value) != F.col("prev_value")))
 
 
+PAY = ["salary_growth_rate_12m", "comp_chang_freq_per_year", "compensation_volatility", "avg_salary_last_quarter", "pay_grade_stagnation_months"]
+
+
 def compensation_aggregates(history: DataFrame) -> DataFrame:
-    """Growth, change frequency, volatility, last-quarter pay and stagnation in one pass."""
-    changed = F.col("prev_salary").isNull() | (F.col("annl_cmpn_amt") != F.col("prev_salary"))
-    when_changed = F.when(changed, F.col(EFFECTIVE))
-    agg = salary_history(history).groupBy(*ENTITY).agg(
-        as_of("annl_cmpn_amt").alias("_now"),
-        as_of("annl_cmpn_amt", not_after=F.date_sub(VANTAGE, 365)).alias("_ago"),
-        F.count(when_changed).alias("_changes"),
-        F.max(when_changed).alias("_last_change"), F.min(when_changed).alias("_first_change"),
-        F.stddev_samp("annl_cmpn_amt").alias("_sd"),
-        F.avg(F.when(F.col(EFFECTIVE) >= F.date_sub(VANTAGE, 90), F.col("mnthly_cmpn_amt"))).alias("avg_salary_last_quarter"),
-        F.max(F.when(F.col("annl_cmpn_amt") > F.col("prev_salary"), F.col(EFFECTIVE))).alias("_last_raise"))
-    span = F.datediff("_last_change", "_first_change")
-    extra = (F.col("_changes") - 1).cast("double")
-    return agg.select(
-        *ENTITY,
-        ratio(F.col("_now") - F.col("_ago"), "_ago", 0.0).alias("salary_growth_rate_12m"),
-        F.when(span > 365, extra * 365.0 / F.greatest(span, F.lit(1))).otherwise(extra).alias("comp_chang_freq_per_year"),
-        F.coalesce("_sd", F.lit(0.0)).alias("compensation_volatility"),
-        "avg_salary_last_quarter",
-        F.coalesce(F.months_between(VANTAGE, "_last_raise"), F.lit(0.0)).alias("pay_grade_stagnation_months"))
-
-
-def impurity(df: DataFrame, keys, value: str, out: str) -> DataFrame:
-    """Gini impurity 1 - sum(p^2) of ``value`` per key, by counting twice."""
-    n = df.groupBy(*keys, value).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    return n.groupBy(*keys).agg((1.0 - F.sum(F.col("_n") * F.col("_n")) / F.pow(F.sum("_n"), 2)).alias(out))
+    """Growth, change frequency, volatility, last-quarter pay and stagnation of everyone with a known salary."""
+    return history_summary(history, ["pay"]).where(F.col("salary_0d_ago").isNotNull()).select(*ENTITY, *PAY)
 
 
 def pay_frequency_consistency(history: DataFrame) -> DataFrame:
-    recent = point_in_time(history).where(
-        F.col("hr_cmpn_freq_cd").isNotNull() & (F.col(EFFECTIVE) >= F.date_sub(VANTAGE, 365)))
-    g = impurity(recent, ENTITY, "hr_cmpn_freq_cd", "pay_freq_diversity_score")
-    # fixed values: bands of the diversity score
-    bands = [(0.2, 1.0), (0.5, 0.7), (0.8, 0.4)]
-    return g.withColumn("pay_freq_consistency_score", ladder("pay_freq_diversity_score", bands, 0.1, "<="))
+    """Gini impurity of the pay-frequency codes of the last year, and its band."""
+    return history_summary(history, ["frequency"]).where(F.col("pay_freq_diversity_score").isNotNull())
 
 
 def pay_percentiles(df: DataFrame) -> DataFrame:
@@ -122,11 +94,13 @@ def add_pay_percentiles(df: DataFrame, source: DataFrame) -> DataFrame:
     return attach(df, narrow.drop("clnt_obj_id", "naics_cd", "baseline_salary"))
 
 
-def add_compensation_features(df: DataFrame, history: DataFrame, source: DataFrame | None = None) -> DataFrame:
+def add_compensation_features(df: DataFrame, history: DataFrame | None, source: DataFrame | None = None) -> DataFrame:
+    """Pay percentiles and the pay features of the history; ``history`` None: they are in ``df`` already."""
     fills = {"salary_growth_rate_12m": 0.0, "compensation_volatility": 0.0, "pay_grade_stagnation_months": 0.0}
     out = pay_percentiles(df) if source is None else add_pay_percentiles(df, source)
-    out = attach(out, compensation_aggregates(history), fills)
-    out = attach(out, pay_frequency_consistency(history).drop("pay_freq_diversity_score"))
+    if history is not None:
+        out = attach(out, history_summary(history, ["pay", "frequency"]).select(*ENTITY, *PAY, "pay_freq_consistency_score"))
+    out = out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in fills.items()})
     return pay_frequency_preference(out)
 
 
@@ -148,12 +122,7 @@ def level_promotions(history: DataFrame) -> DataFrame:
 
 def level_promotion_features(history: DataFrame) -> DataFrame:
     """Days since the last rise, mean gap between rises, and rises per year between first and last."""
-    g = level_promotions(history).groupBy(*ENTITY).agg(
-        F.count(F.lit(1)).alias("n_promotions"), F.max("event_eff_dt").alias("_last"), F.min("event_eff_dt").alias("_first"))
-    span = F.datediff("_last", "_first")
-    return g.select(*ENTITY, "n_promotions", F.datediff(VANTAGE, "_last").alias("time_since_last_promotion"),
-                    ratio(span, F.col("n_promotions") - 1, 0.0).alias("promotion_velocity"),
-                    ratio(F.col("n_promotions"), span / 365.25, 0.0).alias("promotions_per_year"))
+    return history_summary(history, ["level"]).where(F.col("n_promotions").isNotNull())
 
 
 def time_in_current(history: DataFrame, value: str, out: str) -> DataFrame:
@@ -176,34 +145,18 @@ def assignment_frequency(history: DataFrame) -> DataFrame:
     return recent.groupBy(*ENTITY).agg(F.count_distinct("work_asgmnt_nbr").alias("assignment_frequency_12m"))
 
 
-def change_count(history: DataFrame, value: str, out: str, missing=()) -> DataFrame:
-    """How often ``value`` differs from the preceding known record."""
-    rows = point_in_time(history).where(F.col(value).isNotNull())
-    if missing:
-        rows = rows.where(~F.upper(value).isin([m.upper() for m in missing]))
-    prev = previous_value(rows.select(*ENTITY, EFFECTIVE, value).distinct(), ENTITY, EFFECTIVE, value)
-    return prev.groupBy(*ENTITY).agg(F.sum(F.when(F.col(value) != F.col("prev_value"), 1).otherwise(0)).alias(out))
-
-
-def place_changes(history: DataFrame, places: DataFrame) -> DataFrame:
-    """City and state change counts; ``places`` is keyed by schema, client and location code."""
-    h = history.join(places, ["db_schema", "clnt_obj_id", "work_loc_cd"], "left")
-    city = change_count(h, "city_nm", "num_city_chng", NO_PLACE)
-    state = change_count(h, "state_prov_nm", "num_state_chng", NO_PLACE)
-    return city.join(state, ENTITY, "full").withColumns(
-        {c: F.coalesce(F.col(c), F.lit(0)) for c in ("num_city_chng", "num_state_chng")})
-
-
-def add_work_patterns_features(df: DataFrame, history: DataFrame, places: DataFrame | None = None) -> DataFrame:
-    out = attach(df, assignment_frequency(history), {"assignment_frequency_12m": 0})
-    out = attach(out, change_count(history, "work_loc_cd", "work_location_changes_count"), {"work_location_changes_count": 0})
-    if places is None:
-        return out.withColumns({"num_city_chng": F.lit(0), "num_state_chng": F.lit(0)})
-    return attach(out, place_changes(history, places), {"num_city_chng": 0, "num_state_chng": 0})
+def add_work_patterns_features(df: DataFrame, history: DataFrame | None, places: DataFrame | None = None) -> DataFrame:
+    """Assignments of the last year and changes of location, city and state; ``history`` None: they are in ``df`` already."""
+    counts = ["assignment_frequency_12m", "work_location_changes_count", "num_city_chng", "num_state_chng"]
+    out = df if history is None else attach(df, history_summary(history, ["assignment", "location", "place"], places))
+    optional = [c for c in counts[2:] if c not in out.columns]
+    return out.withColumns({c: F.lit(0) if c in optional else F.coalesce(c, F.lit(0)) for c in counts})
 
 
-def add_tenure_dynamics_features(df: DataFrame, history: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    out = attach(df, time_in_current(history, "job_cd", "tenure_in_current_role"), {"tenure_in_current_role": 0})
+def add_tenure_dynamics_features(df: DataFrame, history: DataFrame | None, source: DataFrame | None = None) -> DataFrame:
+    """Tenure in the present role and tenure percentile; ``history`` None: the former is in ``df`` already."""
+    role = "tenure_in_current_role"
+    out = df.withColumn(role, F.coalesce(role, F.lit(0))) if history is None else attach(df, time_in_current(history, "job_cd", role), {role: 0})
     return tenure_percentile(out) if source is None else attach(out, tenure_percentile_features(source))
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenurelens.functions.columns import flag, ladder, ratio
-from tenurelens.operators.history import attach, enrich, manager_changes, time_in_current
+from tenurelens.operators.history import attach, enrich
+from tenurelens.operators.run_summary import history_summary
 from tenurelens.schema import ENTITY, PERSON, VANTAGE
 from tenurelens.sources.keys import parse_composite_id
 
@@ -84,11 +85,12 @@ def manager_indicator(df: DataFrame, snapshots: DataFrame, missing=None, source:
     return out if missing is None else out.withColumn("is_manager_ind", F.coalesce("is_manager_ind", F.lit(missing)))
 
 
-def add_manager_environment_features(df: DataFrame, history: DataFrame, snapshots: DataFrame | None = None,
+def add_manager_environment_features(df: DataFrame, history: DataFrame | None, snapshots: DataFrame | None = None,
                                      source: DataFrame | None = None) -> DataFrame:
-    out = attach(df, manager_changes(history), {"manager_changes_count": 0})
+    """Managers so far, tenure and span of the present one; ``history`` None: what comes from it is in ``df`` already."""
+    out = df if history is None else attach(df, history_summary(history, ["manager"]))
+    out = out.withColumn("manager_changes_count", F.coalesce("manager_changes_count", F.lit(0)))
     out = manager_span(manager_tenure(out, source), source)
-    out = attach(out, time_in_current(history, "mngr_pers_obj_id", "time_with_current_manager"))
     if snapshots is None:
         return out.withColumn("is_manager_ind", F.lit(None).cast("int"))
     return manager_indicator(out, snapshots, source=source)

@@ -460,17 +460,22 @@ CPI = """reg as (select r_name State, 'Region ' || (r_regionkey%3) Region from r
 cpi as (select distinct 'Region ' || (r_regionkey%3) Region, r_regionkey%3*0.02 a, r_regionkey%3*0.03 b from region)"""
 
 
+def _price_index(spark, sf):
+    """Region of each state, and yearly price growth of each region."""
+    r = read_table(spark, sf, "region").select("r_regionkey", "r_name")
+    third = F.col("r_regionkey") % 3
+    name = F.concat(F.lit("Region "), third.cast("string"))
+    regions = r.where(F.col("r_name") != "ASIA").select(F.col("r_name").alias("State"), name.alias("Region"))
+    return regions, r.select(name.alias("Region"), (third * 0.02).alias("1_Jan_23"), (third * 0.03).alias("1_Jan_24")).distinct()
+
+
 @query("b32_salary_growth_to_cpi", f"""{BH}, {COMP}, {PLACES}, {CPI},
 g as (select {E}, case when ago is null or ago=0 then 0 else (now_s-ago)/ago end sg from ca)
 select {E}, round(case when coalesce(x,0)=0 or sg is null then 0 else sg/x end,6) salary_growth_rate12m_to_cpi_rate from (
  select {E}, sg, case when dataset_split in ('train','val') then a else b end x from base left join g using ({E})
  left join places using (db_schema, clnt_obj_id, work_loc_cd) left join reg on upper(State)=upper(state_prov_nm) left join cpi using (Region))""")
 def b32(spark, sf):
-    r = read_table(spark, sf, "region").select("r_regionkey", "r_name")
-    third = F.col("r_regionkey") % 3
-    name = F.concat(F.lit("Region "), third.cast("string"))
-    regions = r.where(F.col("r_name") != "ASIA").select(F.col("r_name").alias("State"), name.alias("Region"))
-    cpi = r.select(name.alias("Region"), (third * 0.02).alias("1_Jan_23"), (third * 0.03).alias("1_Jan_24")).distinct()
+    regions, cpi = _price_index(spark, sf)
     b = hi.attach(fx.base(spark, sf), hi.compensation_aggregates(fx.history(spark, sf)).select(*ENTITY, "salary_growth_rate_12m"))
     return tidy(ex.salary_growth_to_cpi(b, _places(spark, sf), regions, cpi).select(*ENTITY, "salary_growth_rate12m_to_cpi_rate"))
 
@@ -491,13 +496,22 @@ def b33(spark, sf):
     return ex.normalized_flsa(fx.base(spark, sf), _flsa(spark, sf)).select(*ENTITY, "flsa_status_desc")
 
 
-@query("b34_neighborhood_salary_ratio", f"""with {fx.BASE}, who as (select distinct cast(c_nationkey as varchar) clnt_obj_id, cast(c_custkey as varchar) prsn_obj_id from orders join customer on o_custkey=c_custkey
+HOMES = """who as (select distinct cast(c_nationkey as varchar) clnt_obj_id, cast(c_custkey as varchar) prsn_obj_id from orders join customer on o_custkey=c_custkey
  where o_orderkey%7<5 and o_orderkey%2=0),
 geo as (select prsn_obj_id, max_by(t, struct_pack(a:=-o_orderkey)) t from (select cast(o_custkey as varchar) prsn_obj_id, o_orderkey, lpad(cast(o_orderkey%40 as varchar),11,'0') t from orders where o_orderkey%7<5 and o_orderkey%2=0) group by 1),
-inc as (select lpad(cast(n_nationkey as varchar),11,'0') t, 30007.0+1000*n_nationkey inc from nation where n_nationkey>0)
-select {E}, round(case when inc is null or baseline_salary is null then 0 else baseline_salary/inc end,6) sal_nghb_ratio
-from base left join who using (clnt_obj_id, prsn_obj_id) left join geo on who.prsn_obj_id=geo.prsn_obj_id left join inc using (t)""".replace("left join who using (clnt_obj_id, prsn_obj_id)", "left join who on base.clnt_obj_id=who.clnt_obj_id and base.prsn_obj_id=who.prsn_obj_id"))
+inc as (select lpad(cast(n_nationkey as varchar),11,'0') t, 30007.0+1000*n_nationkey inc from nation where n_nationkey>0)"""
+HOME_JOIN = "left join who on base.clnt_obj_id=who.clnt_obj_id and base.prsn_obj_id=who.prsn_obj_id left join geo on who.prsn_obj_id=geo.prsn_obj_id left join inc using (t)"
+
+
+@query("b34_neighborhood_salary_ratio", f"""with {fx.BASE}, {HOMES}
+select {E}, round(case when inc is null or baseline_salary is null then 0 else baseline_salary/inc end,6) sal_nghb_ratio from base {HOME_JOIN}""")
 def b34(spark, sf):
+    f = ex.neighborhood_salary_ratio(fx.base(spark, sf), _monthly(spark, sf), *_homes(spark, sf), "199801")
+    return tidy(f.select(*ENTITY, "sal_nghb_ratio"))
+
+
+def _homes(spark, sf):
+    """Home census block group of each person and month, and median income of each tract."""
     o = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     k = F.col("o_orderkey")
     geo = o.select(F.col("o_custkey").cast("string").alias("employee_guid"),
@@ -507,8 +521,7 @@ def b34(spark, sf):
     n = F.col("n_nationkey")
     income = read_table(spark, sf, "nation").where(n > 0).select(
         F.concat(F.lit("1400000US"), F.lpad(n.cast("string"), 11, "0")).alias("GEO_ID"), (30007.0 + 1000 * n).cast("string").alias("S1903_C03_001E"))
-    f = ex.neighborhood_salary_ratio(fx.base(spark, sf), _monthly(spark, sf), geo, income, "199801")
-    return tidy(f.select(*ENTITY, "sal_nghb_ratio"))
+    return geo, income
 
 
 @query("b35_normalize", f"""with {fx.BASE} select {E}, case when reg_temp_cd in ('T','R') then reg_temp_cd end reg_temp_cd, reg_temp_cd reg_temp_cd_raw,
@@ -521,20 +534,44 @@ def b35(spark, sf):
 
 # columns of the full build that are compared; the single operators above compare the rest
 FULL = ["salary_growth_rate_12m", "company_size_tier", "quarter_effect", "job_family_turnover_rate", "team_turnover_rate",
-        "manager_changes_count", "work_location_changes_count", "num_promot_2yr", "num_job_chng_2yr", "career_stage", "flsa_status_desc"]
+        "manager_changes_count", "work_location_changes_count", "num_promot_2yr", "num_job_chng_2yr", "career_stage", "flsa_status_desc",
+        "comp_chang_freq_per_year", "compensation_volatility", "avg_salary_last_quarter", "pay_grade_stagnation_months", "pay_freq_consistency_score", "tenure_in_current_role",
+        "time_with_current_manager", "assignment_frequency_12m", "num_city_chng", "num_state_chng", "salary_growth_rate12m_to_cpi_rate", "sal_nghb_ratio", "peer_salary_ratio",
+        "total_compensation_growth", "pay_frequency_preference", "company_tenure_percentile", "compensation_percentile_company", "compensation_percentile_industry",
+        "is_manager_ind", "manager_tenure_days", "manager_span_control"]
 
 
 @query("a10_feature_build", f"""with {fx.HIST}, {fx.BASE.replace('base as (', 'base0 as (', 1)},
 base as (select * from base0 where work_loc_cntry_cd in ('USA','CAN') and mngr_pers_obj_id not in ('UNKNOWN','ONE','','0')),
 {fx.TERM.replace('from base', 'from base0')}, {fx.EV}, ee as (select {E}, event_cd c, event_rsn_cd r, event_eff_dt d from base join ev using (person_composite_id) where event_eff_dt <= vantage_date),
-{COMP}, {FLSA}
-select {E}, round(case when ago is null or ago=0 then 0 else (now_s-ago)/ago end,6) salary_growth_rate_12m,
+{COMP}, {FREQ}, {FLSA}, {PLACES}, hp as (select * from hist left join places using (db_schema, clnt_obj_id, work_loc_cd)), {CPI}, {HOMES}, {SNAP},
+home as (select {E}, case when inc is null or baseline_salary is null then 0 else baseline_salary/inc end home_ratio from base {HOME_JOIN}),
+price as (select {E}, case when dataset_split in ('train','val') then a else b end x from base left join places using (db_schema, clnt_obj_id, work_loc_cd)
+ left join reg on upper(State)=upper(state_prov_nm) left join cpi using (Region)),
+own as (select prsn_obj_id mgr_sup_id, clnt_obj_id, db_schema, vantage_date, max(tenure_at_vantage_days) mt from base group by 1,2,3,4),
+span as (select mgr_sup_id, clnt_obj_id, db_schema, vantage_date, count(distinct person_composite_id) ms from base group by 1,2,3,4),
+rk as (select {E}, percent_rank() over (partition by clnt_obj_id, vantage_date order by baseline_salary) rc, percent_rank() over (partition by naics_cd, vantage_date order by baseline_salary) ri from base where baseline_salary is not null)
+select {E}, round(coalesce(case when ago is null or ago=0 then 0 else (now_s-ago)/ago end,0),6) salary_growth_rate_12m,
+ round(coalesce(case when ago is null or ago=0 then 0 else (now_s-ago)/ago end,0),6) total_compensation_growth, round(rc,6) compensation_percentile_company, round(ri,6) compensation_percentile_industry,
+ round(case when lc-fc>365 then (nc-1)*365.0/(lc-fc) else nc-1 end,6) comp_chang_freq_per_year, round(coalesce(sd,0),4) compensation_volatility, round(lq,6) avg_salary_last_quarter,
+ {MB} pay_grade_stagnation_months, pay_freq_consistency_score, case pay_rt_type_cd when 'H' then 1 when 'S' then 2 else 0 end pay_frequency_preference,
+ coalesce(cr.tenure_in_current_role,0) tenure_in_current_role, cm.time_with_current_manager, cast(coalesce(af,0) as bigint) assignment_frequency_12m,
+ cast(coalesce(cc,0) as bigint) num_city_chng, cast(coalesce(sc,0) as bigint) num_state_chng, round(home_ratio,6) sal_nghb_ratio,
+ round(case when coalesce(x,0)=0 then 0 else coalesce(case when ago is null or ago=0 then 0 else (now_s-ago)/ago end,0)/x end,6) salary_growth_rate12m_to_cpi_rate,
+ round(case when team_avg_comp>0 then baseline_salary/team_avg_comp else 1.0 end,6) peer_salary_ratio, round(tp*99+1,6) company_tenure_percentile,
+ is_manager_ is_manager_ind, mt manager_tenure_days, ms manager_span_control,
  case when tn<100 then 'Small' when tn<1000 then 'Medium' when tn<10000 then 'Large' else 'Enterprise' end company_size_tier,
  case when work_loc_cntry_cd='USA' then 'Q' || cast((extract(month from ltst_hire_dt)+2)%12//3+1 as integer) else 'Q' || cast((extract(month from ltst_hire_dt)+8)%12//3+1 as integer) end quarter_effect,
  job_family_turnover_rate, team_turnover_rate, cast(coalesce(mc,0) as bigint) manager_changes_count, cast(coalesce(lch,0) as bigint) work_location_changes_count,
  cast(coalesce(np,0) as bigint) num_promot_2yr, cast(coalesce(nj,0) as bigint) num_job_chng_2yr,
  case when age<30 then 'Early' when age<45 then 'Mid' when age<60 then 'Late' else 'Senior' end career_stage, coalesce(fd,'others') flsa_status_desc
-from (select *, {AGE} age, count(*) over (partition by clnt_obj_id, vantage_date) tn from base) base left join ca using ({E})
+from (select *, {AGE} age, count(*) over (partition by clnt_obj_id, vantage_date) tn, percent_rank() over (partition by clnt_obj_id, vantage_date order by tenure_at_vantage_days) tp from base) base left join ca using ({E})
+ left join pc using ({E}) left join rk using ({E}) left join home using ({E}) left join price using ({E}) left join {current_sql('job_cd', 'tenure_in_current_role')} cr using ({E})
+ left join {current_sql('mngr_pers_obj_id', 'time_with_current_manager')} cm using ({E})
+ left join (select {E}, count(distinct work_asgmnt_nbr) af from hist where {PIT} and rec_eff_start_dt_mod >= vantage_date-365 group by {E}) using ({E})
+ left join {changes_sql('city_nm', 'cc', 'hp', NOT_MISSING.format('city_nm'))} using ({E}) left join {changes_sql('state_prov_nm', 'sc', 'hp', NOT_MISSING.format('state_prov_nm'))} using ({E})
+ left join own using (mgr_sup_id, clnt_obj_id, db_schema, vantage_date) left join span using (mgr_sup_id, clnt_obj_id, db_schema, vantage_date)
+ left join (select ooid clnt_obj_id, aoid prsn_obj_id, vantage_date, is_manager_ from snap) using (clnt_obj_id, prsn_obj_id, vantage_date)
  join {turnover_sql('job_cd', 'termination_date', 'job_family_turnover_rate')} r1 using (job_cd, vantage_date)
  join {turnover_sql('mngr_pers_obj_id', 'latest_termination_date', 'team_turnover_rate')} r2 using (mngr_pers_obj_id, vantage_date)
  left join (select {E}, count(distinct mngr_pers_obj_id) mc from hist where {PIT} and mngr_pers_obj_id not in ('UNKNOWN','ONE','','0') group by {E}) using ({E})
@@ -542,13 +579,18 @@ from (select *, {AGE} age, count(*) over (partition by clnt_obj_id, vantage_date
  left join (select {E}, count(*) filter (where c='PRO' and {RECENT}) np, count(*) filter (where {JOB} and {RECENT}) nj from ee group by {E}) using ({E})
  left join (select clnt_obj_id, flsa_stus_cd, d fd from flsa) using (clnt_obj_id, flsa_stus_cd)""")
 def a10(spark, sf):
-    return tidy(_full(spark, sf).select(*ENTITY, *FULL))
+    return tidy(_full(spark, sf).select(*ENTITY, *FULL).withColumn("compensation_volatility", F.round("compensation_volatility", 4)))
 
 
 def _full(spark, sf):
-    src = pipeline.Sources(base=fx.base(spark, sf), history=fx.history(spark, sf), leavers=fx.terminations(spark, sf),
-                           events=fx.events(spark, sf), places=_places(spark, sf), snapshots=_snapshots(spark, sf), flsa=_flsa(spark, sf))
-    return pipeline.build_features(src)
+    return pipeline.build_features(_sources(spark, sf))
+
+
+def _sources(spark, sf):
+    regions, cpi = _price_index(spark, sf)
+    geo, income = _homes(spark, sf)
+    return pipeline.Sources(base=fx.base(spark, sf), history=fx.history(spark, sf), leavers=fx.terminations(spark, sf), events=fx.events(spark, sf), places=_places(spark, sf),
+                            snapshots=_snapshots(spark, sf), regions=regions, cpi=cpi, flsa=_flsa(spark, sf), people=_monthly(spark, sf), geocodes=geo, income=income, month="199801")
 
 
 @query("a11_first_version_build")

@@ -12,6 +12,7 @@ from tenurelens.operators import events as ev
 from tenurelens.operators import external as ex
 from tenurelens.operators import history as hi
 from tenurelens.operators import profile as pr
+from tenurelens.operators.run_summary import PARTS, history_summary
 from tenurelens.sources import keys
 
 log = logging.getLogger(__name__)
@@ -32,29 +33,44 @@ class Sources:
     people: DataFrame | None = None
     geocodes: DataFrame | None = None
     income: DataFrame | None = None
+    month: str = "202301"
 
 
-def steps(s: Sources, history: DataFrame, base: DataFrame):
-    """Feature groups in build order, each a function of the growing entity table.
+#: What the groups take from the history.
+FROM_HISTORY = ["pay", "frequency", "job", "manager", "assignment", "location", "place"]
+
+
+def with_history(base: DataFrame, history: DataFrame, places: DataFrame | None, strict=True) -> DataFrame:
+    """``base`` with everything that the groups need of the history, from one pass over it.
+
+    Unless ``strict``, parts whose columns the history lacks are left out; the groups that need them fail then on their own.
+    """
+    parts = FROM_HISTORY if strict else [p for p in FROM_HISTORY if set(PARTS[p]) <= set(history.columns)]
+    found = history_summary(history, parts, places)
+    return hi.attach(base, found.drop("salary_0d_ago", "salary_365d_ago", "pay_freq_diversity_score"))
+
+
+def steps(s: Sources, base: DataFrame):
+    """Feature groups in build order, each a function of the growing entity table, which holds the history's columns.
 
     Group statistics and lookups start from ``base``, not from the growing table,
     so the plan grows by one branch per step.
     """
     return [
-        ("compensation", lambda d: hi.add_compensation_features(d, history, base)),
+        ("compensation", lambda d: hi.add_compensation_features(d, None, base)),
         ("demographic", pr.add_demographic_features),
         ("job", lambda d: pr.add_job_characteristics_features(d, s.leavers, base)),
-        ("manager", lambda d: pr.add_manager_environment_features(d, history, s.snapshots, base)),
+        ("manager", lambda d: pr.add_manager_environment_features(d, None, s.snapshots, base)),
         ("team", lambda d: pr.add_team_environment_features(d, s.leavers, base)),
-        ("tenure", lambda d: hi.add_tenure_dynamics_features(d, history, base)),
-        ("work patterns", lambda d: hi.add_work_patterns_features(d, history, s.places)),
+        ("tenure", lambda d: hi.add_tenure_dynamics_features(d, None, base)),
+        ("work patterns", lambda d: hi.add_work_patterns_features(d, None, s.places)),
         ("company", lambda d: pr.add_company_factors_features(d, base)),
         ("temporal", pr.add_temporal_features),
         # career, promotion and job-change events share one join and one aggregation
         ("events", lambda d: ev.add_event_features(d, s.events, base)),
         ("price index", lambda d: ex.salary_growth_to_cpi(d, s.places, s.regions, s.cpi, base)),
         ("flsa", lambda d: ex.normalized_flsa(d, s.flsa, base)),
-        ("neighborhood", lambda d: ex.neighborhood_salary_ratio(d, s.people, s.geocodes, s.income, source=base)),
+        ("neighborhood", lambda d: ex.neighborhood_salary_ratio(d, s.people, s.geocodes, s.income, s.month, base)),
     ]
 
 
@@ -66,8 +82,8 @@ def build_features(s: Sources, strict=True, sample_ids=None, normalize=True) ->
     """
     base = keys.parse_composite_id(keys.source_filter(s.base, sample_ids))
     history = keys.restrict_to(s.history, base)
-    df = base
-    for name, step in steps(s, history, base):
+    df = with_history(base, history, s.places, strict)
+    for name, step in steps(s, base):
         try:
             df = df.transform(step)
         except AnalysisException as e:

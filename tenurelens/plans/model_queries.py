@@ -58,7 +58,7 @@ GRID = "grid as (select 0.1+(6.0-0.1)*i/99 s from range(100) t(i))"
 
 
 @query("g2_scale_grid_search", f"""{SC}, {GRID}, cells as (""" + " union all ".join(
-    f"select '{d}' dist, s sigma, sum({ll_sql(d, 's')}) loglik from scored, grid where dataset='val' group by s" for d in ("logistic", "extreme")) +
+    f"select '{d}' dist, s sigma, sum({ll_sql(d, 's')}) loglik from scored, grid where dataset='val' group by s" for d in aft.DISTRIBUTIONS) +
     ") select dist, round(sigma,6) sigma, round(loglik,4) loglik from cells order by loglik desc limit 1")
 def g2(spark, sf):
     val = fx.scored(spark, sf).where(F.col("dataset") == "val")
