@@ -1,6 +1,7 @@
 """Packing token pieces into sequences: best two fit, planned on the histogram of lengths."""
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -11,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tenurelens.llm.tables import cuts, documents
-from tenurelens.sources.shared import new_path
+from tenurelens.llm.tables import cuts, documents, give_back, stored
 
 VOCABULARY, SEQUENCE, END = "word_bpe_49k.json", 2048, 0
-#: Words whose ids a Python worker remembers before it starts afresh; texts looked up together.
-REMEMBERED, TOGETHER = 600_000, 512
+#: Words whose ids a task remembers before it starts afresh; texts looked up together; words merged together and their longest.
+REMEMBERED, TOGETHER, MERGED, LONGEST = 400_000, 512, 4096, 24
+#: Places in the table of merge rules, a power of two.
+SLOTS = 1 << 18
 #: A character that is a token of its own between blanks; it parts words that are encoded in one call.
 PART = "\x01"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,6 +39,7 @@ class WordIds:
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # tokens that end a word
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
+        self.merges = Merges(path)
 
     def raw(self, text):
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -58,7 +61,13 @@ class WordIds:
         for w in [w for w in new if PART in w]:
             self.known[w] = np.array(self.raw(w), dtype="<u4").tobytes()
         new = [w for w in new if PART not in w]
-        letters, others = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        plain, letters, others = [], [], []
+        for w in new:
+            if not w.isalpha():
+                others.append(w)
+            else:
+                (plain if w.islower() and len(w) <= LONGEST and (w.isascii() or unicodedata.is_normalized("NFC", w)) else letters).append(w)
+        self.known.update(zip(plain, self.merges.encode([w.encode() for w in plain])))
         for k in range(0, len(letters), 512):
             some = letters[k:k + 512]
             ids = np.array(self.raw(" ".join(some)), dtype="<u4")
@@ -89,6 +98,97 @@ class WordIds:
         return [np.frombuffer(b"".join(map(get, words)) + _END, dtype="<u4") for words in split]
 
 
+class Merges:
+    """The tokenizer's merge rules, applied to many lower-case words of letters at once: to each word its best pair, until none is left."""
+
+    def __init__(self, path):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        # the byte level's letters: printable bytes are themselves, the others follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.inner, self.last = (np.array([vocab[letter[b] + end] for b in range(256)], dtype=np.int32) for end in ("", "</w>"))
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
+        # where a pair's rule is: a table that is a fifth full, in which a pair takes the first free place from its hash on
+        key = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], dtype=np.int64)
+        self.place, self.rule, self.none = np.full(SLOTS, -1, dtype=np.int64), np.zeros(SLOTS, dtype=np.int32), np.int32(len(pairs))
+        todo, at = np.arange(len(key)), self.slot(key)
+        while len(todo):
+            free = self.place[at] < 0
+            self.place[at[free][::-1]], self.rule[at[free][::-1]] = key[todo[free]][::-1], todo[free][::-1]
+            left = self.place[at] != key[todo]
+            todo, at = todo[left], (at[left] + 1) % SLOTS
+        self.result = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
+
+    @staticmethod
+    def slot(pair):
+        with np.errstate(over="ignore"):
+            return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+    def ranks(self, left, right):
+        """Rank of the rule for each pair; ``none`` where there is none."""
+        pair = left.astype(np.int64) << 32 | right
+        at = self.slot(pair)
+        found = self.place[at]
+        out = np.where(found == pair, self.rule[at], self.none)
+        more = np.flatnonzero((found != pair) & (found >= 0))
+        while len(more):
+            at[more] = (at[more] + 1) % SLOTS
+            found = self.place[at[more]]
+            hit = found == pair[more]
+            out[more[hit]] = self.rule[at[more[hit]]]
+            more = more[~hit & (found >= 0)]
+        return out
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids. Words of about equal lengths are merged together."""
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        order, found = np.argsort(lengths, kind="stable"), [b""] * len(words)
+        for k in range(0, len(order), MERGED):
+            rows = order[k:k + MERGED]
+            ids, n = self.merged([words[i] for i in rows], lengths[rows])
+            flat = ids[ids >= 0].astype("<u4").tobytes()
+            at = np.concatenate(([0], np.cumsum(n))) * 4
+            for i, x, y in zip(rows.tolist(), at[:-1].tolist(), at[1:].tolist()):
+                found[i] = flat[x:y]
+        return found
+
+    def merged(self, words, lengths):
+        """A row of ids for each word, the first of each merged pair in its place and -1 in that of the second; and how many are left."""
+        width = int(lengths[-1]) + 1
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(-1, width)
+        row = np.arange(len(words))
+        ids = self.inner[raw]
+        ids[row, lengths - 1] = self.last[raw[row, lengths - 1]]
+        inside = np.arange(width - 1) < lengths[:, None] - 1
+        rank = np.full(ids.shape, self.none, dtype=np.int32)
+        rank[:, :-1][inside] = self.ranks(ids[:, :-1][inside], ids[:, 1:][inside])
+        ids[np.arange(width) >= lengths[:, None]] = -1
+        first, end = row * width, row * width + lengths
+        flat, ranks = ids.reshape(-1), rank.reshape(-1)
+        after, before = np.arange(1, len(flat) + 1), np.arange(-1, len(flat) - 1)
+        while len(row):
+            own = rank[row]
+            best = own.argmin(1)
+            low = own[np.arange(len(row)), best]
+            some = low < self.none
+            row, best, low = row[some], best[some], low[some]
+            here = first[row] + best
+            second = after[here]
+            next_ = after[second]
+            flat[here], flat[second], ranks[second] = self.result[low], -1, self.none
+            after[here] = next_
+            inner = next_ < end[row]
+            before[next_[inner]] = here[inner]
+            ranks[here] = self.none
+            ranks[here[inner]] = self.ranks(flat[here[inner]], flat[next_[inner]])
+            prior = before[here]
+            inner = prior >= first[row]
+            ranks[prior[inner]] = self.ranks(flat[prior[inner]], flat[here[inner]])
+        return ids, (ids >= 0).sum(1)
+
+
 def word_ids(path):
     if path not in _CACHES:
         import public_tokenizers
@@ -114,6 +214,8 @@ def tokenize(docs: DataFrame, path: str | None = None, longest: int = SEQUENCE,
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:5 + keep_ids]
             cols = list(zip(*rows)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        known.known = {"": b""}  # a worker that goes on to other work keeps no words
+        give_back()
 
     return documents(docs, id_col, text_col).mapInArrow(run, schema)
 
@@ -239,7 +341,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, size: int = SEQUENC
     text: one piece that holds the closing 0.  No document, no row.  Equal rows are packed
     each; rows with a null id are packed too.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    path_ = new_path(spark, "pieces")
-    tokenize(docs, path, size, keep_ids, id_col, text_col).write.parquet(path_)
-    return pack(spark.read.parquet(path_), size)
+    return pack(stored(tokenize(docs, path, size, keep_ids, id_col, text_col), "pieces"), size)

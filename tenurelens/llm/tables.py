@@ -1,12 +1,14 @@
 """Reading the tables the operators work on, and sizing their partitions."""
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +45,29 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system: workers live on for other stages and operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def write(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Writes an intermediate table; the shuffle files it took are given up as soon as it is there."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written to the shared folder, in one folder per value of ``by``, and read again."""
     path = new_path(df.sparkSession, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    write(df, path, by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
