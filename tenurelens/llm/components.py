@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenurelens.sources.shared import new_path
+from tenurelens.llm.tables import stored
 
 
 def same_id_links(rows: DataFrame, node: str, centre: str) -> DataFrame:
@@ -22,13 +22,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every round reads the table that the last one wrote; it ends when the edges no longer
     change, in a number of rounds that grows with the logarithm of the graph's size.
     """
-    spark = edges.sparkSession
-
-    def written(df):
-        path = new_path(spark, "edges")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
     def stars(e, larger):
         """(node, centre) after hanging the neighbours on the smallest of each neighbourhood."""
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -44,10 +37,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     def mark(e):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    e = written(edges.select(F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")).where("u <> v").distinct())
+    e = stored(edges.select(F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")).where("u <> v").distinct(), "edges")
     before = mark(e)
     while before[0]:
-        e = written(stars(stars(e, True), False))
+        e = stored(stars(stars(e, True), False), "edges")
         now = mark(e)
         if now == before:
             break

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenurelens.llm.components import components, same_id_links
-from tenurelens.llm.tables import ship, stored
+from tenurelens.llm.tables import ship, stored, write
 from tenurelens.sources.shared import new_path
 
 #: Bits of an order, rows of a run (more for wide windows), members of a block, rows compared at a time.
@@ -135,7 +135,7 @@ def neighbour_links(classes: DataFrame, total: int, threshold: float, passes: in
     n = max(1, -(-total * passes // run))
     ordered = rows.repartitionByRange(n, "pass", "label", "size", "key", "rep").sortWithinPartitions("pass", "label", "size", "key", "rep")
     path = new_path(spark, "ordered")
-    ordered.select("pass", "label", "size", "rep", "unit", F.monotonically_increasing_id().alias("at")).write.parquet(path)
+    write(ordered.select("pass", "label", "size", "rep", "unit", F.monotonically_increasing_id().alias("at")), path)
     part = F.shiftright("at", 33)
     ordered = spark.read.parquet(path).withColumn("part", part)
     counts = sorted((r["part"], r["count"]) for r in ordered.groupBy("part").count().collect())

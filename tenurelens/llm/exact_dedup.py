@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenurelens.llm.tables import cuts, documents, partitions_for, stored, text_bytes
+from tenurelens.llm.tables import cuts, documents, give_back, partitions_for, stored, text_bytes, write
 from tenurelens.sources.shared import new_path
 
 #: Texts a bucket holds before it splits; bits the directory may double to; bytes of text an owner task works on.
@@ -100,6 +100,7 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, most_bits: int = MOST
                     got[3] += 1
             yield sent(rows)
         yield sent([(int(owner_of[bu]), bu, int(depth[bu]), k, sha, None, doc, m) for sha, (bu, k, doc, m) in found.items()])
+        give_back()
 
     def own(batches):
         at, chain = None, []
@@ -118,11 +119,12 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, most_bits: int = MOST
                     c[6] += m
             yield indexed(rows)
         yield indexed(chained(chain))
+        give_back()
 
     routed = keyed.mapInArrow(send, _SENT).repartition(n, "owner").sortWithinPartitions("bucket", "key", F.col("text").isNull())
     path = new_path(spark, "exact-index")
     index = routed.mapInArrow(own, INDEX)
-    (index if keep_texts else index.drop("text")).write.parquet(path)
+    write(index if keep_texts else index.drop("text"), path)
     return path
 
 

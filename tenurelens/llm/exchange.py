@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenurelens.llm.tables import cuts, partitions_for
+from tenurelens.llm.tables import cuts, give_back, partitions_for
 
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 8 << 20
@@ -120,11 +120,19 @@ def listed(table: pa.Table) -> list[tuple]:
     return sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "shard", "block", "data"))))
 
 
+def lean(work):
+    """What ``work()`` gives; the memory it took is given back."""
+    try:
+        return work()
+    finally:
+        give_back()
+
+
 def ask(blocks: DataFrame, request) -> DataFrame:
     """``request(block, table)`` gives each block's pieces."""
 
     def run(key, table):
-        return as_table(request(int(key[0].as_py()), table.combine_chunks()))
+        return lean(lambda: as_table(request(int(key[0].as_py()), table.combine_chunks())))
 
     return blocks.groupBy("block").applyInArrow(run, PIECES)
 
@@ -133,7 +141,7 @@ def ask_again(blocks: DataFrame, answers: DataFrame, request) -> DataFrame:
     """As ``ask`` for blocks that have had answers: ``request(block, table, answers)``."""
 
     def run(key, table, told):
-        return as_table(request(int(key[0].as_py()), table.combine_chunks(), listed(told)) if table.num_rows else [])
+        return lean(lambda: as_table(request(int(key[0].as_py()), table.combine_chunks(), listed(told)) if table.num_rows else []))
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, PIECES)
 
@@ -142,7 +150,7 @@ def answer(requests: DataFrame, reply, shards: int) -> DataFrame:
     """``reply(pieces)`` gives the answers of one shard, as rows of PIECES."""
 
     def run(key, table):
-        return as_table(reply(listed(table)))
+        return lean(lambda: as_table(reply(listed(table))))
 
     asked = requests.repartition(partitions_for(requests.sparkSession, shards), "shard")
     return asked.groupBy("shard").applyInArrow(run, PIECES)
@@ -152,6 +160,6 @@ def finish(blocks: DataFrame, answers: DataFrame, apply, schema: str) -> DataFra
     """``apply(block, table, answers)`` gives each block's result."""
 
     def run(key, table, told):
-        return apply(int(key[0].as_py()) if table.num_rows else None, table.combine_chunks(), listed(told))
+        return lean(lambda: apply(int(key[0].as_py()) if table.num_rows else None, table.combine_chunks(), listed(told)))
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

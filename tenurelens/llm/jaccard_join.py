@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from tenurelens.llm import exchange as X
 from tenurelens.llm import text as T
 from tenurelens.llm.components import components, same_id_links
-from tenurelens.llm.tables import cuts, documents, text_bytes
-from tenurelens.sources.shared import new_path
+from tenurelens.llm.tables import cuts, documents, give_back, stored, text_bytes
 
 U = np.uint64
 #: Cells of the frequency sketch for each shingle; documents and bytes of sets in a group, about; bytes of text in a block.
@@ -72,10 +71,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90, group: int
     with nothing.  Other columns are ignored.
     """
     d = documents(docs, id_col, text_col)
-    spark = d.sparkSession
-    path = new_path(spark, "sets")
-    candidate_sets(d, width, percent, block_bytes).write.parquet(path)
-    sets = spark.read.parquet(path)
+    sets = stored(candidate_sets(d, width, percent, block_bytes), "sets")
     comp = components(group_links(sets, percent, group).unionByName(same_id_links(sets.select("doc_id", "rep_id"), "doc_id", "rep_id")))
     got = sets.select("doc_id", "n_shingles", "rep_id").join(comp, F.col("rep_id") == F.col("id"), "left")
     return got.select("doc_id", "n_shingles", F.coalesce("component_id", "rep_id").alias("component_id"))
@@ -203,7 +199,7 @@ def group_links(sets: DataFrame, percent: int, group: int = GROUP) -> DataFrame:
     active = sets.where("label is not null").select("doc_id", "n_shingles", "label", "tokens", "shingles")
     sizes = active.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / group, F.sum("n_shingles") * 8 / GROUP_BYTES)).alias("parts"))
     member = active.join(sizes, "label").withColumn("grp", F.xxhash64("label", F.pmod(F.xxhash64("doc_id"), F.col("parts"))))
-    payload = member.select("grp", "doc_id", "shingles").groupBy("grp").applyInArrow(stored, "grp long, n int, members binary")
+    payload = member.select("grp", "doc_id", "shingles").groupBy("grp").applyInArrow(packed_group, "grp long, n int, members binary")
     matrix = member.select("grp", F.explode("tokens").alias("token")).distinct()
     other = matrix.select(F.col("grp").alias("grp2"), "token")
     pairs = matrix.join(other, "token").where("grp < grp2").select("grp", "grp2").distinct()
@@ -217,11 +213,12 @@ def group_links(sets: DataFrame, percent: int, group: int = GROUP) -> DataFrame:
             for x, y in zip(b.column("members"), b.column("members2")):
                 found += compared(read_group(x.as_py()), read_group(y.as_py()) if y.is_valid else None, percent)
             yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        give_back()
 
     return across.unionByName(within).mapInArrow(open_groups, EDGES)
 
 
-def stored(table: pa.Table) -> pa.Table:
+def packed_group(table: pa.Table) -> pa.Table:
     """One row for a group: its members' ids and sizes, their union, and each member's places in it."""
     table = table.combine_chunks().sort_by("doc_id")
     ids = table.column("doc_id").to_numpy()

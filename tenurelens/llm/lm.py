@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tenurelens.llm import exchange as X
 from tenurelens.llm import text as T
-from tenurelens.llm.tables import cuts, documents, partitions_for, text_bytes
+from tenurelens.llm.tables import cuts, documents, partitions_for, text_bytes, write
 from tenurelens.sources.shared import new_path
 
 U = np.uint64
@@ -390,13 +390,13 @@ def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2, least:
 
     def per_shard(asked, run):
         def apply(table):
-            return X.as_table(run(X.listed(table)))
+            return X.lean(lambda: X.as_table(run(X.listed(table))))
         return asked.groupBy("shard").applyInArrow(apply, X.PIECES)
 
     def written(rows: DataFrame, n: int) -> str:
         path = new_path(spark, f"grams{n}")
         part = F.when(F.col("kind") % 10 == TABLE, "tables").otherwise("answers")
-        rows.where(f"block >= 0 or kind % 10 = {TABLE}").withColumn("part", part).write.partitionBy("part").parquet(path)
+        write(rows.where(f"block >= 0 or kind % 10 = {TABLE}").withColumn("part", part), path, "part")
         return path
 
     words = X.answer(X.ask(blocks, word_request), word_reply, shards)

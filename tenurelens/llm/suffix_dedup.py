@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tenurelens.llm import exchange as X
 from tenurelens.llm import text as T
-from tenurelens.llm.tables import cuts, documents, ship, text_bytes
+from tenurelens.llm.tables import cuts, documents, give_back, ship, text_bytes
 
 U = np.uint64
 #: Distinct stretches of a group up to which it is put into one text; larger groups are compared by window hash.
@@ -361,6 +361,7 @@ def clean_documents(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
         for b in batches:
             texts = pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("carried"), texts], ["carried", "kept"])
+        give_back()
 
     plain = cut.select("carried", "kept").mapInArrow(decode, f"carried {cut.schema['carried'].dataType.simpleString()}, kept string")
     new = {text_col: F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})

@@ -4,14 +4,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenurelens.llm import text as T
-from tenurelens.llm.tables import documents, ship
-from tenurelens.sources.shared import new_path
+from tenurelens.llm.tables import documents, give_back, ship, stored
 
 U = np.uint64
 #: Labelled documents used at most; features kept; documents a feature needs; folds; steps and penalty of a fit.
@@ -68,6 +67,7 @@ def small(batches, rows: int = 512):
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    give_back()
 
 
 def held(table, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,13 +110,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], most_la
     are left out, of equal ids the largest labels count.  Without labelled documents every
     probability is 0.
     """
-    spark = docs.sparkSession
     d = documents(docs, id_col, text_col)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).cast("double").alias(c) for c in categories]).dropna()
     known = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    path = new_path(spark, "labelled")
-    d.join(known, "doc_id").write.parquet(path)
-    sample = spark.read.parquet(path)
+    sample = stored(d.join(known, "doc_id"), "labelled")
     names = [f"n_{c}" for c in categories]
 
     def tally(batches):
@@ -158,28 +155,29 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], most_la
 
 def fit_link(rows: DataFrame, category: str, earlier: list[str], n_features: int, folds: int, steps: int, penalty: float):
     """Fits one category; returns the rows with its out-of-fold probabilities, and its weights. One task per fold and one for all rows."""
-    spark = rows.sparkSession
     every = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(category)), F.lit(folds)).cast("int"))
     copies = every.withColumn("fit", F.explode(F.array(*[F.lit(i) for i in range(folds + 1)])))
 
-    def fit(key, pdf):
-        i = int(key[0])
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        cols = pdf["cols"].to_list()
-        row, col = np.repeat(np.arange(len(pdf)), [len(x) for x in cols]), np.concatenate([np.zeros(0, dtype=np.int64), *cols]).astype(np.int64)
-        extra = np.column_stack([logit(pdf[e].to_numpy()) for e in earlier]) if earlier else np.zeros((len(pdf), 0))
-        y, out = pdf[category].to_numpy(), (pdf["fold"] == i).to_numpy()
+    schema = pa.schema([("doc_id", pa.int64()), ("p", pa.float64()), ("w", pa.list_(pa.float64()))])
+
+    def fit(key, table):
+        i = int(key[0].as_py())
+        table = table.combine_chunks().sort_by("doc_id")
+        cols = table.column("cols").combine_chunks()
+        n = table.num_rows
+        row, col = np.repeat(np.arange(n), pc.list_value_length(cols).to_numpy(zero_copy_only=False)), cols.flatten().to_numpy().astype(np.int64)
+        extra = np.column_stack([logit(table.column(e).to_numpy()) for e in earlier]) if earlier else np.zeros((n, 0))
+        y, out = table.column(category).to_numpy(), table.column("fold").to_numpy() == i
         take = np.cumsum(~out) - 1
         inside = ~out[row]
         w = fit_logistic(take[row[inside]], col[inside], y[~out], n_features, extra[~out], steps, penalty)
         if i == folds:
-            return pd.DataFrame({"doc_id": [None], "p": [None], "w": [w]})
-        z = np.bincount(row, weights=w[col], minlength=len(pdf)) + extra @ w[n_features:-1] + w[-1]
-        return pd.DataFrame({"doc_id": pdf["doc_id"][out], "p": 1 / (1 + np.exp(-np.clip(z[out], -30, 30))), "w": None})
+            give_back()
+            return pa.table([pa.array([None], pa.int64()), pa.array([None], pa.float64()), pa.array([w.tolist()], schema.field("w").type)], schema=schema)
+        z = np.bincount(row, weights=w[col], minlength=n) + extra @ w[n_features:-1] + w[-1]
+        return pa.table([table.column("doc_id").filter(pa.array(out)), pa.array(1 / (1 + np.exp(-np.clip(z[out], -30, 30)))), pa.nulls(int(out.sum()), schema.field("w").type)], schema=schema)
 
-    path = new_path(spark, "chain")
-    copies.groupBy("fit").applyInPandas(fit, "doc_id long, p double, w array<double>").write.parquet(path)
-    got = spark.read.parquet(path)
+    got = stored(copies.groupBy("fit").applyInArrow(fit, "doc_id long, p double, w array<double>"), "chain")
     w = got.where("w is not null").first()
     oof = got.where("doc_id is not null").groupBy("doc_id").agg(F.first("p").alias(f"oof_{category}"))
     return rows.join(oof, "doc_id"), np.array(w.w) if w else np.append(np.zeros(n_features + len(earlier)), -30.0)
@@ -218,13 +216,17 @@ def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_co
     empty table. All columns pass through as they are, whatever their names.
     """
 
-    def run(batches):
-        for b in small(batches):
-            row, col = held(pa.table({"text": b.column(text_col).cast(pa.string())}), chain.features)
-            yield b.filter(pa.array(chain.probabilities(row, col, b.num_rows)[-1] < threshold))
+    # only the texts go to Python, and one mark a row comes back
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        found = [np.zeros(0, dtype=bool)]
+        for b in small([pa.RecordBatch.from_arrays([text], ["text"])]):
+            row, col = held(b, chain.features)
+            found.append(chain.probabilities(row, col, b.num_rows)[-1] < threshold)
+        return pa.array(np.concatenate(found))
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(F.col(text_col).cast("string")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
