@@ -4,8 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tenurelens.llm import exact_dedup, jaccard_join, packing, suffix_dedup, toxicity
-from tenurelens.llm.tables import read
-from tenurelens.sources.shared import new_path
+from tenurelens.llm.tables import read, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +43,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            path = new_path(spark, name)
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = stored(docs, name)
     return docs
