@@ -4,7 +4,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenurelens.functions.columns import ratio
@@ -139,20 +139,26 @@ def best_thresholds(table: DataFrame, method="youden", key=H) -> DataFrame:
     return best.select(*key, "b.threshold", (sign * F.col("b._v")).alias("value"))
 
 
-def fixed_thresholds(df: DataFrame, default=0.15) -> DataFrame:
-    """Set threshold of each horizon present in ``df``."""
-    t = F.lit(default)
-    for h, v in FIXED_THRESHOLDS.items():
-        t = F.when(F.col("horizon") == h, v).otherwise(t)
-    return df.select("horizon").distinct().withColumn("threshold", t)
+def fixed_thresholds(spark: SparkSession, horizons=HORIZONS, default=0.15) -> DataFrame:
+    """Set threshold of each horizon; no data is read. Horizons without one of their own have ``default``."""
+    given = [(int(h), float(FIXED_THRESHOLDS.get(h, default))) for h in horizons]
+    return spark.createDataFrame(given, "horizon int, threshold double")
 
 
 def confusion(rows: DataFrame, thresholds: DataFrame, score="p", key=H) -> DataFrame:
-    """Counts and rates per group (and threshold) in one aggregation."""
-    d = rows.join(pin_small(thresholds.select(*key, "threshold")), list(key))
-    hit, y = F.col(score) >= F.col("threshold"), F.col("y") == 1
-    g = d.groupBy(*key, "threshold").agg(F.count_if(hit & y).alias("tp"), F.count_if(~hit & ~y).alias("tn"),
-                                         F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"))
+    """Counts and rates per group and threshold.
+
+    A row finds its place among its group's thresholds; what is counted is places, so several thresholds
+    don't multiply the rows. The counts per place then add up to those of each threshold.
+    """
+    lists = pin_small(thresholds.groupBy(*key).agg(F.sort_array(F.collect_set("threshold")).alias("_t")))
+    d = rows.where(F.col(score).isNotNull()).join(lists, list(key))
+    place = F.size(F.filter("_t", lambda t: t <= F.col(score))).alias("_place")
+    places = d.groupBy(*key, "_t", place).agg(F.count_if(F.col("y") == 1).alias("_yes"), F.count_if(F.col("y") != 1).alias("_no"))
+    hit = F.col("_place") > F.col("_i")
+    of = lambda cond, c: F.sum(F.when(cond, F.col(c)).otherwise(0))
+    g = places.select(*key, F.posexplode("_t").alias("_i", "threshold"), "_place", "_yes", "_no").groupBy(*key, "threshold").agg(
+        of(hit, "_yes").alias("tp"), of(~hit, "_no").alias("tn"), of(hit, "_no").alias("fp"), of(~hit, "_yes").alias("fn"))
     return g.withColumns(_rates())
 
 

@@ -7,14 +7,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tenurelens.functions.arrays import grouped_arrays
 from tenurelens.functions.bootstrap import percentile_interval, replicate_means
 from tenurelens.functions.columns import ladder, one_row, ratio, stack
 from tenurelens.functions.scale import exact_quantiles, pin_small, running_totals
-from tenurelens.operators.aft import event_probability
+from tenurelens.operators.aft import curve_quality, event_probability, survival_of
 from tenurelens.operators.survival import km_curve
 from tenurelens.schema import HORIZONS
 
@@ -110,6 +112,39 @@ def brier_details(rows: DataFrame, by=BY) -> DataFrame:
         F.stddev_pop("p").alias("event_probs_std"), rate.alias("actual_event_rate"), F.abs(rate - F.avg("p")).alias("calibration_gap"))
 
 
+def grid_brier(df: DataFrame, dist: str, sigma: float, times, by=BY, variant="graf") -> DataFrame:
+    """``brier`` at many days (group, horizon, brier), with all days of a person worked out in one array.
+
+    G at a day is the same for all of a group, so its weight is applied to the sums; G(T-) comes with the row.
+    """
+    times = [int(t) for t in times]
+    n, days, norm = len(times), np.array(times, dtype=float), variant == "normalised"
+    curve = pin_small(censoring_curve(df, by))
+    rows = df.select(*by, "time", "event", "eta").join(curve.select(*by, F.col("t").alias("time"), "G_left"), [*by, "time"])
+
+    def parts(c):
+        with np.errstate(all="ignore"):
+            p = 1.0 - survival_of(dist, (np.log(days) - c["eta"][:, None]) / sigma)
+        time, weight = c["time"][:, None], 1.0 / np.maximum(c["G_left"], 1e-8 if norm else TINY)
+        weight = (np.minimum(weight, 100.0) if norm else weight)[:, None]
+        case, control = (time <= days) & (c["event"] == 1)[:, None], time > days
+        sums = [case * weight * (1 - p) ** 2, control * p ** 2] + ([case * weight, case, control] if norm else [np.ones_like(p)])
+        return np.concatenate(sums, axis=1)
+
+    sums = grouped_arrays(rows, by, n * (5 if norm else 3), parts)
+    at = lambda k: F.sum(F.when(F.floor(F.col("i") / n) == k, F.col("v")))
+    horizon = F.element_at(F.array(*map(F.lit, times)), F.col("i") % n + 1).alias("horizon")
+    per = sums.groupBy(*by, horizon).agg(*[at(k).alias(f"_{k}") for k in range(5 if norm else 3)])
+    g = step_lookup(curve, by, times).select(*by, F.col("point").alias("horizon"), F.greatest("G", F.lit(1e-8 if norm else TINY)).alias("_g"))
+    per = per.join(g, [*by, "horizon"])
+    if norm:
+        w = F.least(1.0 / F.col("_g"), F.lit(100.0))
+        score = F.when((F.col("_3") >= 10) | (F.col("_4") >= 10), F.try_divide(F.col("_0") + w * F.col("_1"), F.col("_2") + w * F.col("_4")))
+    else:
+        score = F.try_divide(F.col("_0") + F.col("_1") / F.col("_g"), F.col("_2"))
+    return per.select(*by, "horizon", score.alias("brier"))
+
+
 def default_times(last_event_p90: float):
     """Days of the default integration grid."""
     out = [30, 60, 90, 90, 180, 270, 360]
@@ -134,17 +169,19 @@ def trapezoid(points: DataFrame, by, x="horizon", y="brier", from_zero=True, spa
 def integrated_brier(df: DataFrame, dist: str, sigma: float, t_star=None, grid=None, by=BY, variant="graf") -> DataFrame:
     """Integrated Brier score.
 
-    ``graf`` integrates from 0 over every day to ``t_star`` or
-    over ``grid``; ``normalised`` uses 30 days from 1 to 364 and divides by the span.
+    ``graf`` integrates from 0 over every day to ``t_star``, over ``grid``, or over the default grid, which ends at
+    the 90th percentile of the event times; ``normalised`` uses 30 days from 1 to 364 and divides by the span.
     """
     if variant == "normalised":
         points = [1 + 363 * i / 29 for i in range(30)]
-        b = brier(evaluation_rows(df, dist, sigma, [int(x) for x in points], by), by, "normalised")
+        b = grid_brier(df, dist, sigma, points, by, "normalised")
         exact = F.create_map(*[F.lit(v) for x in points for v in (int(x), float(x))])
         b = b.withColumn("x", F.try_element_at(exact, F.col("horizon")))
         return trapezoid(b, by, x="x", from_zero=False, span=True)
-    times = grid or list(range(1, int(t_star) + 1))
-    return trapezoid(brier(evaluation_rows(df, dist, sigma, times, by), by), by)
+    if t_star is None and grid is None:
+        last = exact_quantiles(df.where(F.col("event") == 1), [], "time", {"last": 0.9}).first()
+        grid = default_times(last["last"] if last and last["last"] is not None else 0)
+    return trapezoid(grid_brier(df, dist, sigma, grid or range(1, int(t_star) + 1), by), by)
 
 
 def auc(rows: DataFrame, by=BY, score="p") -> DataFrame:
@@ -302,12 +339,14 @@ OVERALL_WEIGHTS = {"c_index": 0.4, "gini": 0.3, "average_ece": 0.3}
 
 
 def performance(df: DataFrame, dist: str, sigma: float, horizons=HORIZONS, by=BY) -> DataFrame:
-    """Concordance, mean AUC and Brier over the horizons, calibration and Gini per dataset with labels and an overall grade."""
+    """Concordance, AUC at each horizon and their mean, Brier over the horizons and integrated over 30 days of the year, calibration, Gini
+    and the curves' quality per dataset, with labels and an overall grade."""
     risk = df.withColumn("_risk", -F.col("eta"))
     rows = evaluation_rows(df, dist, sigma, horizons, by)
     ece, score = ece_evaluable(rows, by), pin_small(brier(rows, by))
-    parts = [concordance(risk, "_risk", by).select(*by, "c_index"), auc(rows, by).groupBy(*by).agg(F.avg("auc").alias("mean_auc")),
-             score.groupBy(*by).agg(F.avg("brier").alias("mean_brier")), trapezoid(score, by).withColumnRenamed("ibs", "integrated_brier"),
+    parts = [concordance(risk, "_risk", by).select(*by, "c_index"), auc(rows, by).groupBy(*by).agg(F.avg("auc").alias("mean_auc"), *[F.max(F.when(F.col("horizon") == h, F.col("auc"))).alias(f"auc_{h}d") for h in horizons]),
+             score.groupBy(*by).agg(F.avg("brier").alias("mean_brier")), integrated_brier(df, dist, sigma, by=by, variant="normalised").withColumnRenamed("ibs", "integrated_brier"),
+             curve_quality(df, dist, sigma, by),
              calibration_summary(ece, by).drop("ece_std"), gini(df, dist, sigma, 364, by).select(*by, "gini")]
     m = reduce(lambda a, b: a.join(b, by), parts)
     lab = {"c_index": ladder("c_index", C_INDEX_LABELS, "Poor", ">="), "gini": ladder("gini", GINI_LABELS, "Poor", ">="),

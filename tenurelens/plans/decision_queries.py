@@ -118,9 +118,11 @@ for _n, _m in (("j7_youden_threshold", "youden"), ("j8_max_f1_threshold", "f1"),
     query(_n, f"{SC}, {HR}, {TT}, {pick_sql(_m)} select h horizon, round(threshold,6) threshold, round(cast(v as double),6) as value from {_m}")(_threshold_query(_m))
 
 
-@query("j10_fixed_thresholds", f"{SC}, {HR} select h horizon, case h when 30 then 0.1 when 90 then 0.15 when 180 then 0.2 when 365 then 0.3 else 0.15 end threshold from hr group by 1")
+@query("j10_fixed_thresholds", f"""{SC}, {HR}, ft as (select h, p, case h when 30 then 0.1 when 90 then 0.15 when 180 then 0.2 when 365 then 0.3 else 0.15 end::double threshold from hr)
+select h horizon, threshold, count(*) n_scored, count(*) filter (where p>=threshold) n_flagged from ft group by 1,2""")
 def j10(spark, sf):
-    return ca.fixed_thresholds(rows(spark, sf))
+    c = ca.confusion(rows(spark, sf), ca.fixed_thresholds(spark))
+    return c.select("horizon", "threshold", (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("n_scored"), (F.col("tp") + F.col("fp")).alias("n_flagged"))
 
 
 def rate_cols(r=6):
@@ -137,7 +139,7 @@ CONF = f"{FIXED}, cf as (select hr.h, th, count(*) filter (where p>=th and y=1)
 @query("j11_confusion", f"{SC}, {HR}, {CONF} select h horizon, cast(th as double) threshold, tp, tn, fp, fn, {', '.join(f'{v} as {k}' for k, v in rate_cols().items())} from cf")
 def j11(spark, sf):
     r = rows(spark, sf)
-    return tidy(ca.confusion(r, ca.fixed_thresholds(r)))
+    return tidy(ca.confusion(r, ca.fixed_thresholds(spark)))
 
 
 @query("j12_threshold_sweep", f"""{SC}, {HR}, {TT}, {pick_sql('youden')}, ths as (select h, threshold th from youden union select h, t from hz, (values (0.05),(0.1),(0.15),(0.2),(0.25),(0.3)) v(t)),
@@ -152,7 +154,7 @@ def j12(spark, sf):
  {rate_cols()['predicted_positive_rate']} flagged, {rate_cols()['sensitivity']} capture_rate, round(1-tn/cast(tn+fp as double),6) false_alarm_rate, {rate_cols()['precision']} as precision from cf""")
 def j13(spark, sf):
     r = rows(spark, sf)
-    return tidy(ca.use_cases(ca.confusion(r, ca.fixed_thresholds(r))))
+    return tidy(ca.use_cases(ca.confusion(r, ca.fixed_thresholds(spark))))
 
 
 BAND = f"{RISK}, cu as (select quantile_cont(risk,0.67) hi, quantile_cont(risk,0.33) me from risked), bd as (select r.*, case when risk>=hi then 'High' when risk>=me then 'Medium' else 'Low' end band from risked r, cu)"

@@ -252,9 +252,14 @@ def i5(spark, sf):
     return tidy(mt.integrated_brier(fx.scored(spark, sf), DIST, S, 180))
 
 
-@query("i5_integrated_brier_default_grid", f"{SC}, {ibs_sql([30, 60, 90, 180, 270, 360])} select dataset, round(ibs,6) ibs from ibs")
+# the default grid goes on from day 365 in half years, up to the 90th percentile of the event times
+DEFAULT_GRID = ibs_sql([30]).replace("hz(h) as (values (30))", """hz(h) as (select unnest([30,60,90,180,270,360])
+ union select unnest(range(365, cast(ceil(quantile_cont(time,0.9)) as integer), 182)) from scored where event=1)""")
+
+
+@query("i5_integrated_brier_default_grid", f"{SC}, {DEFAULT_GRID} select dataset, round(ibs,6) ibs from ibs")
 def i5_default(spark, sf):
-    return tidy(mt.integrated_brier(fx.scored(spark, sf), DIST, S, grid=mt.default_times(300)))
+    return tidy(mt.integrated_brier(fx.scored(spark, sf), DIST, S))
 
 
 @query("i5_integrated_brier_span", f"{SC}, {ibs_sql([int(x) for x in POINTS], NORMED, False, XMAP)} select dataset, round(ibs,6) ibs from ibs")
@@ -356,22 +361,27 @@ def grade(x):
     return f"(case {x} when 'Excellent' then 4 when 'Good' then 3 when 'Fair' then 2 else 1 end)"
 
 
+CURVE_COLS = ["curve_variance", "mean_final_survival", "survival_range", "mean_initial_survival", "survival_decline", "coefficient_of_variation"]
 # gini looks at day 364, hence a second set of rows (er2)
 PERF = f"""{rows_sql()}, {EVALUABLE}, {SUMMARY}, bs as (select dataset, h x, {GRAF} b from er group by dataset, h),
-tr as (select *, (x-coalesce(lag(x) over w,0))*(b+coalesce(lag(b) over w,0.0))/2.0 a from bs window w as (partition by dataset order by x)),
-ib as (select dataset, sum(a)/max(x) ibs, avg(b) mb from tr group by 1), {PAIRS},
+p3(h, x) as (values {','.join(f'({int(x)},{x!r})' for x in POINTS)}), g3 as (select dataset, h, x, coalesce(min(case when t<=h then S end),1.0) Gh from g, p3 group by 1,2,3),
+er3 as (select s.dataset, g3.x, greatest(S_left,1e-12) GT, greatest(Gh,1e-12) Gh, time<=h and event=1 is_case, time>h is_control, 1-{surv_sql('h')} p from scored s join gs on gs.dataset=s.dataset and gs.t=s.time join g3 on g3.dataset=s.dataset),
+b3 as (select dataset, x, {NORMED} b from er3 group by 1,2), t3 as (select *, (x-lag(x) over w)*(b+lag(b) over w)/2.0 a from b3 window w as (partition by dataset order by x)),
+ib3 as (select dataset, sum(a)/(max(x)-min(x)) ibs from t3 group by 1), ib as (select dataset, ibs, mb from ib3 join (select dataset, avg(b) mb from bs group by 1) using (dataset)), {PAIRS},
+cq as (select dataset, var_pop(l) curve_variance, avg(l) mean_final_survival, max(l)-min(l) survival_range, avg(f) mean_initial_survival, avg(f)-avg(l) survival_decline, stddev_pop(l)/avg(l) coefficient_of_variation
+ from (select dataset, {surv_sql(365)} l, {surv_sql(30)} f from scored) group by 1),
 er2 as (select s.*, 364 h, greatest(S_left,1e-12) GT, greatest(gg.S,1e-12) Gh, time<=364 and event=1 is_case, time>364 is_control, 1-{surv_sql(364)} p from scored s join gs on gs.dataset=s.dataset and gs.t=s.time
  join (select dataset, min(S) S from g where t<=364 group by 1) gg on gg.dataset=s.dataset),
 {AUC.replace(' er ', ' er2 ')},
 hg as (select dataset, h, p, sum(case when is_case then 1/GT else 0 end) wc, sum(case when is_control then 1/Gh else 0 end) wu from er where is_case or is_control group by 1,2,3),
-hc as (select *, sum(wu) over (partition by dataset, h order by p) cum from hg), hd as (select dataset, sum(wc*(cum-0.5*wu))/nullif(sum(wc)*sum(wu),0) a from hc group by dataset, h), hm as (select dataset, avg(a) mean_auc from hd group by 1),
-pf as (select dataset, mean_auc, c c_index, mb mean_brier, ibs integrated_brier, a average_ece, q calibration_quality, least(greatest(2*auc-1,0),1) gini from cix join ib using (dataset) join cs using (dataset) join auc using (dataset) join hm using (dataset)),
+hc as (select *, sum(wu) over (partition by dataset, h order by p) cum from hg), hd as (select dataset, h, sum(wc*(cum-0.5*wu))/nullif(sum(wc)*sum(wu),0) a from hc group by dataset, h), hm as (select dataset, avg(a) mean_auc, {', '.join(f'max(a) filter (where h={h}) auc_{h}d' for h in H)} from hd group by 1),
+pf as (select dataset, mean_auc, {', '.join(f'auc_{h}d' for h in H)}, {', '.join(CURVE_COLS)}, c c_index, mb mean_brier, ibs integrated_brier, a average_ece, q calibration_quality, least(greatest(2*auc-1,0),1) gini from cix join ib using (dataset) join cs using (dataset) join auc using (dataset) join hm using (dataset) join cq using (dataset)),
 pl as (select *, {label('c_index', [(0.75, 'Excellent'), (0.65, 'Good'), (0.55, 'Fair')], '>=')} cl, {label('gini', [(0.6, 'Excellent'), (0.4, 'Good'), (0.2, 'Fair')], '>=')} gl,
  {label('average_ece', [(0.05, 'Excellent'), (0.1, 'Good'), (0.15, 'Fair')], '<=')} el from pf),
 po as (select *, 0.4*{grade('cl')}+0.3*{grade('gl')}+0.3*{grade('el')} sc from pl)"""
 
 
-@query("i13_performance", f"""{SC}, {PERF} select dataset, round(c_index,6) c_index, round(mean_auc,6) mean_auc, round(mean_brier,6) mean_brier, round(integrated_brier,6) integrated_brier, round(average_ece,6) average_ece, calibration_quality,
+@query("i13_performance", f"""{SC}, {PERF} select dataset, round(c_index,6) c_index, round(mean_auc,6) mean_auc, {', '.join(f'round(auc_{h}d,6) auc_{h}d' for h in H)}, {', '.join(f'round({c},6) {c}' for c in CURVE_COLS)}, round(mean_brier,6) mean_brier, round(integrated_brier,6) integrated_brier, round(average_ece,6) average_ece, calibration_quality,
  round(gini,6) gini, cl c_index_label, gl gini_label, el ece_label, round(sc,6) overall_score, {label('sc', [(3.5, 'Excellent'), (2.5, 'Good'), (1.5, 'Fair')], '>=')} overall from po""")
 def i13(spark, sf):
     return tidy(mt.performance(fx.scored(spark, sf), DIST, S))
