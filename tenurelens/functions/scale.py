@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,21 +118,31 @@ def exact_quantiles(df: DataFrame, by, value: str, probs: dict) -> DataFrame:
         src = src.withColumn("_all", F.lit(0))
     src = src.withColumn("_b", value_bucket(F.col("_v")))
     hist = src.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = pin_small(_wanted_buckets(hist, key, probs))
+    buckets = wanted.groupBy(*key, "_b").agg(F.max("_below").alias("_below"))
+    values = null_safe_join(src, buckets, key + ["_b"], "inner").groupBy(*key, "_b", "_below", "_v").agg(
+        F.count(F.lit(1)).alias("_c"))
+    out = _quantiles_of(values, wanted, key, list(probs))
+    return out if by else out.drop("_all")
+
+
+def _wanted_buckets(hist: DataFrame, key, probs: dict) -> DataFrame:
+    """Of a histogram (key, _b, _n) the buckets that hold the wanted ranks, with the ranks."""
     up = W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*key)
     hist = hist.select(*key, "_b", (F.sum("_n").over(up) - F.col("_n")).alias("_below"),
                        "_n", F.sum("_n").over(whole).alias("_size"))
-    names = list(probs)
-    want = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(probs[n])).alias("p")) for n in names]))
+    want = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()]))
     hist = hist.withColumn("_w", want).select("*", "_w.name", "_w.p").drop("_w")
     pos = (F.col("_size") - 1) * F.col("p")
     hist = hist.withColumn("_lo", F.floor(pos)).withColumn("_hi", F.ceil(pos)).withColumn("_frac", pos - F.floor(pos))
     hit = ((F.col("_lo") >= F.col("_below")) & (F.col("_lo") < F.col("_below") + F.col("_n"))) | (
         (F.col("_hi") >= F.col("_below")) & (F.col("_hi") < F.col("_below") + F.col("_n")))
-    wanted = pin_small(hist.where(hit).select(*key, "_b", "name", "_below", "_lo", "_hi", "_frac"))
-    buckets = wanted.groupBy(*key, "_b").agg(F.max("_below").alias("_below"))
-    values = null_safe_join(src, buckets, key + ["_b"], "inner").groupBy(*key, "_b", "_below", "_v").agg(
-        F.count(F.lit(1)).alias("_c"))
+    return hist.where(hit).select(*key, "_b", "name", "_below", "_lo", "_hi", "_frac")
+
+
+def _quantiles_of(values: DataFrame, wanted: DataFrame, key, names) -> DataFrame:
+    """Quantiles from the counted values (key, _b, _below, _v, _c) of the wanted buckets; one row per key."""
     inside = W.partitionBy(*key, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     values = values.select(*key, "_b", "_v", (F.col("_below") + F.sum("_c").over(inside)).alias("_upto"), "_c")
     got = null_safe_join(values, wanted.drop("_below"), key + ["_b"], "inner")
@@ -139,8 +150,65 @@ def exact_quantiles(df: DataFrame, by, value: str, probs: dict) -> DataFrame:
     at = lambda r: F.max(F.when((F.col(r) >= first) & (F.col(r) < F.col("_upto")), F.col("_v")))
     per = got.groupBy(*key, "name").agg(at("_lo").alias("_a"), at("_hi").alias("_z"), F.max("_frac").alias("_frac"))
     per = per.withColumn("_q", F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_frac"))
-    out = per.groupBy(*key).agg(*[F.max(F.when(F.col("name") == n, F.col("_q"))).alias(n) for n in names])
-    return out if by else out.drop("_all")
+    return per.groupBy(*key).agg(*[F.max(F.when(F.col("name") == n, F.col("_q"))).alias(n) for n in names])
+
+
+def column_quantiles(df: DataFrame, columns, probs: dict) -> DataFrame:
+    """As ``exact_quantiles`` for many columns at once: ``column_name`` and one column per name of ``probs``.
+
+    A batch counts the buckets of all its columns in place; a second pass counts, again in place, only the values in the few
+    buckets that hold a wanted rank.  No row is unfolded into one per column.
+    """
+    columns = list(columns)
+    data = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+
+    def numbers(batch):
+        for i in range(len(columns)):
+            v = batch.column(i).to_numpy(zero_copy_only=False).astype(float)
+            v = v[~np.isnan(v)]
+            yield i, v, np.floor(np.sign(v) * np.log1p(np.abs(v) * 1e6) * BUCKETS_PER_E_FOLD).astype(np.int64)
+
+    def histograms(batches):
+        for batch in batches:
+            found = [(i, *np.unique(b, return_counts=True)) for i, _, b in numbers(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(b), i, dtype=np.int32) for i, b, _ in found])),
+                                              pa.array(np.concatenate([b for _, b, _ in found])), pa.array(np.concatenate([n for *_, n in found]))], ["_k", "_b", "_n"])
+
+    hist = data.mapInArrow(histograms, "_k int, _b long, _n long").groupBy("_k", "_b").agg(F.sum("_n").alias("_n"))
+    wanted = pin_small(_wanted_buckets(hist, ["_k"], probs))
+    below = {(r["_k"], r["_b"]): r["_below"] for r in wanted.select("_k", "_b", "_below").distinct().collect()}
+    hit = {i: np.array(sorted(b for k, b in below if k == i), dtype=np.int64) for i in range(len(columns))}
+
+    def refined(batches):
+        for batch in batches:
+            rows = [(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))]
+            for i, v, b in numbers(batch):
+                in_ = np.isin(b, hit[i])
+                value, at, n = np.unique(v[in_], return_index=True, return_counts=True)
+                rows.append((np.full(len(value), i, dtype=np.int32), b[in_][at], value, n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[j] for r in rows])) for j in range(4)], ["_k", "_b", "_v", "_c"])
+
+    values = data.mapInArrow(refined, "_k int, _b long, _v double, _c long").groupBy("_k", "_b", "_v").agg(F.sum("_c").alias("_c"))
+    offsets = df.sparkSession.createDataFrame([(k, b, n) for (k, b), n in below.items()], "_k int, _b long, _below long")
+    got = _quantiles_of(values.join(offsets, ["_k", "_b"]), wanted, ["_k"], list(probs))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "_k int, column_name string")
+    return got.join(names, "_k").drop("_k").select("column_name", *probs)
+
+
+def column_value_counts(df: DataFrame, columns) -> DataFrame:
+    """``column_name``, ``value`` (text) and ``n`` of many columns at once; each batch counts its own values first."""
+    columns = list(columns)
+
+    def counts(batches):
+        for batch in batches:
+            found = [pc.value_counts(batch.column(i)) for i in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(columns), dtype=np.int32), [len(f) for f in found])),
+                                              pa.concat_arrays([f.field(0) for f in found]), pa.concat_arrays([f.field(1) for f in found])], ["_k", "value", "n"])
+
+    texts = df.select(*[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(columns)])
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "_k int, column_name string")
+    n = texts.mapInArrow(counts, "_k int, value string, n long").groupBy("_k", "value").agg(F.sum("n").alias("n"))
+    return n.join(names, "_k").select("column_name", "value", "n")
 
 
 def previous_value(df: DataFrame, by, date: str, value: str, tiebreak=(), out="prev_value") -> DataFrame:

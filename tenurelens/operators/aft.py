@@ -136,6 +136,8 @@ class AftModel:
     dist: str
     loglik: float = float("nan")
     steps: int = 0
+    #: Largest component of the gradient a row, at the end of the fit.
+    gradient: float = float("nan")
 
     def eta(self) -> Column:
         out = F.lit(float(self.intercept))
@@ -147,102 +149,130 @@ class AftModel:
         return df.withColumn(output, self.eta())
 
 
-def _derivatives(dist, z, event):
-    """First and second derivative in z of the log-likelihood term."""
-    if dist == "normal":
-        haz = F.exp(log_density("normal", z) - log_survival("normal", z))
-        return F.when(event, -z).otherwise(-haz), F.when(event, F.lit(-1.0)).otherwise(-haz * (haz - z))
-    if dist == "logistic":
-        p = 1.0 / (1.0 + F.exp(-z))
-        return F.when(event, 1.0 - 2.0 * p).otherwise(-p), F.when(event, -2.0 * p * (1.0 - p)).otherwise(-p * (1.0 - p))
-    e = F.exp(z)
-    return F.when(event, 1.0 - e).otherwise(-e), -e
-
-
-def fit_aft(df: DataFrame, features, dist="logistic", time="time", event="event", max_steps=40, tol=1e-8, ridge=0.0, damping=1e-9) -> AftModel:
-    """Maximum likelihood by Newton steps; each step is one aggregation of sums.
+@dataclass
+class Candidate:
+    """What a fit is asked for: distribution, penalty on the squared scaled coefficients, and the scale (None: fitted)."""
+    dist: str = "logistic"
+    ridge: float = 0.0
+    sigma: float | None = None
 
-    ``ridge`` times the sum of squared coefficients (of the scaled features, without intercept
-    and scale) is taken from the likelihood; ``damping`` only steadies the steps.
 
-    Tasks add up their batches' Gram matrices, so the plan doesn't grow with the number
-    of features; the driver holds one number per pair of coefficients.  Features are centred
-    and scaled by their own moments so that the system is well conditioned.
+def terms_of(dist: str, z: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood term in z, its first and its second derivative."""
+    if dist == "normal":
+        haz = np.exp(log_density_of("normal", z) - log_survival_of("normal", z))
+        return np.where(event, log_density_of(dist, z), log_survival_of(dist, z)), np.where(event, -z, -haz), np.where(event, -1.0, -haz * (haz - z))
+    if dist == "logistic":
+        p, soft = 1.0 / (1.0 + np.exp(-z)), np.logaddexp(0.0, z)
+        return np.where(event, z - 2.0 * soft, -soft), np.where(event, 1.0 - 2.0 * p, -p), np.where(event, -2.0, -1.0) * p * (1.0 - p)
+    e = np.exp(z)
+    return np.where(event, z, 0.0) - e, np.where(event, 1.0, 0.0) - e, -e
+
+
+class _Search:
+    """Newton steps of one candidate; ``place`` is where it wants the sums next."""
+
+    def __init__(self, candidate: Candidate, start: np.ndarray, damping: float):
+        self.of, self.damping, self.theta, self.steps = candidate, damping, start.copy(), 0
+        self.free = np.arange(len(start) - (candidate.sigma is not None))
+        if candidate.sigma is not None:
+            self.theta[-1] = math.log(candidate.sigma)
+        self.ll, self.move, self.size, self.place = -math.inf, None, 1.0, self.theta
+
+    def judged(self, got: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Penalised likelihood, gradient and Hessian at ``place``; the powers of sigma are applied to the sums."""
+        k, par = len(self.theta) - 1, self.place
+        (l, e, za, zm), g, m, h = got[:4], got[4:4 + k], got[4 + k:4 + 2 * k], got[4 + 2 * k:].reshape(k, k)
+        sigma, beta = math.exp(par[k]), np.array([0.0, *par[1:k], 0.0])
+        grad, hess = np.append(-g / sigma, -za - e) - 2 * self.of.ridge * beta, np.empty((k + 1, k + 1))
+        hess[:k, :k], hess[k, k] = h / sigma ** 2, zm
+        hess[:k, k] = hess[k, :k] = m / sigma
+        hess[range(1, k), range(1, k)] -= 2 * self.of.ridge
+        return l - e * par[k] - self.of.ridge * float(beta @ beta), grad, hess
+
+    def take(self, got: np.ndarray, tol: float, max_steps: int) -> bool:
+        """Takes in the sums at ``place``; whether the search goes on."""
+        ll, grad, hess = self.judged(got)
+        first = self.move is None
+        if not first and not (math.isfinite(ll) and ll >= self.ll - 1e-9 * abs(self.ll)):
+            self.size /= 2  # not better: a shorter step
+            if self.size <= 1e-6:
+                return False
+        else:
+            done = not first and abs(ll - self.ll) < tol * (abs(self.ll) + 1.0)
+            self.theta, self.ll, self.size, self.gradient = self.place, ll, 1.0, grad[self.free]
+            if done or self.steps >= max_steps:
+                return False
+            self.steps += 1
+            g, h, i = grad[self.free], hess[np.ix_(self.free, self.free)], self.free
+            try:
+                move = np.linalg.solve(h - self.damping * max(1.0, abs(np.trace(h))) * np.eye(len(i)), -g)
+            except np.linalg.LinAlgError:
+                move = g / max(1.0, np.abs(h).max())
+            if g @ move < 0:  # not uphill: follow the gradient instead
+                move = g / max(1.0, np.abs(np.diag(h)).max())
+            self.move = np.zeros(len(self.theta))
+            self.move[i] = move
+        self.place = self.theta + self.size * self.move
+        return True
+
+
+def fit_candidates(df: DataFrame, features, candidates: list[Candidate], time="time", event="event", max_steps=40, tol=1e-8, damping=1e-9) -> list[AftModel]:
+    """Maximum likelihood of many candidates by Newton steps, all in the same passes over the rows.
+
+    A pass adds up, for every candidate still under way, the likelihood, gradient and Gram matrix at the place it asks for,
+    be it a step or a shortened one.  So the number of passes is that of the slowest candidate.  The plan doesn't grow with features
+    or candidates; the driver holds one number per candidate and pair of coefficients.  Features are centred and scaled by
+    their own moments so that the systems are well conditioned.
     """
     features = list(features)
     raw = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.log(F.col(time).cast("double")).alias("_y"),
-                    (F.col(event) == 1).alias("_e")).na.drop()
-    m = raw.agg(F.avg("_y").alias("y"), F.stddev_pop("_y").alias("s"), *[F.avg(c).alias(f"m_{c}") for c in features],
+                    (F.col(event) == 1).cast("double").alias("_e")).na.drop()
+    m = raw.agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("y"), F.stddev_pop("_y").alias("s"), *[F.avg(c).alias(f"m_{c}") for c in features],
                 *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
     if m["y"] is None:
         raise ValueError("no complete rows to fit")
-    mean = np.array([m[f"m_{c}"] for c in features])
-    sd = np.array([m[f"s_{c}"] or 1.0 for c in features])
+    mean, sd = np.array([m[f"m_{c}"] for c in features]), np.array([m[f"s_{c}"] or 1.0 for c in features])
     k = len(features) + 1
-    x = [F.lit(1.0)] + [F.col(f"_x{i}") for i in range(1, k)]
-    data = raw.select("_y", "_e", *[((F.col(c) - float(a)) / float(b)).alias(f"_x{i}") for i, (c, a, b) in enumerate(zip(features, mean, sd), 1)]).persist()
+    start = np.zeros(k + 1)
+    start[0], start[k] = m["y"], math.log(m["s"] or 1.0)
+    searches = [_Search(c, start, damping) for c in candidates]
+    data = raw.persist()
     try:
-        theta = np.zeros(k + 1)
-        theta[0], theta[k] = m["y"], math.log(m["s"] or 1.0)
-
-        def sums(par):
-            """Likelihood, gradient and Hessian; the powers of sigma are applied to the sums."""
-            sigma = math.exp(par[k])
-            eta = sum((xi * float(b) for xi, b in zip(x[1:], par[1:k])), F.lit(float(par[0])))
-            a, b = _derivatives(dist, F.col("_z"), F.col("_e"))
-            ll = F.when(F.col("_e"), log_density(dist, F.col("_z"))).otherwise(log_survival(dist, F.col("_z")))
-            d = data.withColumn("_z", (F.col("_y") - eta) / sigma).select("*", a.alias("_a"), b.alias("_b"), ll.alias("_l"))
-            d = d.select("*", (F.col("_a") + F.col("_z") * F.col("_b")).alias("_m"))
-            d = d.select(*[f"_x{i}" for i in range(1, k)], "_z", "_a", "_b", "_m", "_l", F.col("_e").cast("double").alias("_e"))
+        open_ = searches
+        while open_:
+            asked = [(s.of.dist, s.place) for s in open_]
 
             def blocks(c):
-                # plain sums, then those with each input, then the inputs' Gram matrix
-                x = np.column_stack([np.ones(len(c["_z"])), *[c[f"_x{i}"] for i in range(1, k)]])
-                plain = [c["_l"].sum(), c["_e"].sum(), c["_z"] @ c["_a"], c["_z"] @ c["_m"]]
-                return np.concatenate((plain, c["_a"] @ x, c["_m"] @ x, (x.T @ (c["_b"][:, None] * x)).ravel()))
-
-            got = summed_arrays(d, blocks)
-            if not len(got):
-                return float("nan"), None, None
-            (l, e, za, zm), g, m_, h = got[:4], got[4:4 + k], got[4 + k:4 + 2 * k], got[4 + 2 * k:].reshape(k, k)
-            grad = np.append(-g / sigma, -za - e)
-            hess = np.empty((k + 1, k + 1))
-            hess[:k, :k] = h / sigma ** 2
-            hess[:k, k] = hess[k, :k] = m_ / sigma
-            hess[k, k] = zm
-            beta = np.array([0.0, *par[1:k], 0.0])
-            grad -= 2 * ridge * beta
-            hess[range(1, k), range(1, k)] -= 2 * ridge
-            return l - e * par[k] - ridge * float(beta @ beta), grad, hess
-
-        steps, (ll, grad, hess) = 0, sums(theta)
-        while steps < max_steps:
-            steps += 1
-            try:
-                move = np.linalg.solve(hess - damping * max(1.0, abs(np.trace(hess))) * np.eye(k + 1), -grad)
-            except np.linalg.LinAlgError:
-                move = grad / max(1.0, np.abs(hess).max())
-            if grad @ move < 0:  # not uphill: follow the gradient instead
-                move = grad / max(1.0, np.abs(np.diag(hess)).max())
-            size, better = 1.0, None
-            while size > 1e-6 and better is None:
-                new = sums(theta + size * move)
-                if math.isfinite(new[0]) and new[0] >= ll - 1e-9 * abs(ll):
-                    better = new
-                else:
-                    size /= 2
-            if better is None:
-                break
-            theta, gain = theta + size * move, better[0] - ll
-            ll, grad, hess = better
-            if abs(gain) < tol * (abs(ll) + 1.0):
-                break
-        coef = theta[1:k] / sd
-        return AftModel(features, coef.tolist(), float(theta[0] - (coef * mean).sum()), float(math.exp(theta[k])), dist, float(ll), steps)
+                # for each candidate: plain sums, those with each input, and the inputs' Gram matrix
+                x = np.column_stack([np.ones(len(c["_y"])), *[(c[f] - a) / b for f, a, b in zip(features, mean, sd)]])
+                event, out = c["_e"] == 1, []
+                with np.errstate(all="ignore"):
+                    for dist, par in asked:
+                        z = (c["_y"] - x @ par[:k]) / math.exp(par[k])
+                        l, a, b = terms_of(dist, z, event)
+                        zb = a + z * b
+                        out += [np.array([l.sum(), c["_e"].sum(), z @ a, z @ zb]), a @ x, zb @ x, (x.T @ (b[:, None] * x)).ravel()]
+                return np.concatenate(out)
+
+            got = np.split(summed_arrays(data, blocks), len(asked))
+            open_ = [s for s, g in zip(open_, got) if s.take(g, tol, max_steps)]
+        models = []
+        for s in searches:
+            coef = s.theta[1:k] / sd
+            models.append(AftModel(features, coef.tolist(), float(s.theta[0] - (coef * mean).sum()), float(math.exp(s.theta[k])), s.of.dist, float(s.ll), s.steps,
+                                   float(np.abs(s.gradient).max() / m["n"])))
+        return models
     finally:
         data.unpersist()
 
 
+def fit_aft(df: DataFrame, features, dist="logistic", time="time", event="event", max_steps=40, tol=1e-8, ridge=0.0, damping=1e-9) -> AftModel:
+    """Maximum likelihood of one distribution; ``ridge`` times the sum of squared scaled coefficients is taken from the likelihood,
+    ``damping`` only steadies the steps."""
+    return fit_candidates(df, features, [Candidate(dist, ridge)], time, event, max_steps, tol, damping)[0]
+
+
 def survival_curves(df: DataFrame, dist: str, sigma: float, times=None, keep=("id",)) -> DataFrame:
     """Long table (keys, t, surv) for the wanted days, all of 1..365 by default."""
     days = F.sequence(F.lit(1), F.lit(MAX_DAY)) if times is None else F.array(*[F.lit(int(t)) for t in times])

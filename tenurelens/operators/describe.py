@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenurelens.functions.columns import one_row, ratio, stack
-from tenurelens.functions.scale import exact_quantiles, pin_small, summed_arrays
+from tenurelens.functions.scale import column_quantiles, column_value_counts, pin_small, summed_arrays
 from tenurelens.operators.quality import distinct_counts, moments, null_counts, numeric_columns, text_columns
 from tenurelens.rules import AGE_LIMITS, CRITICAL_FEATURES, FEATURE_GROUPS, FEATURE_RULES, MAX_SPAN, MAX_TENURE_DAYS, SALARY_LIMITS, group_of
 from tenurelens.schema import PERSON, VANTAGE
@@ -69,14 +69,13 @@ def quality_metrics(df: DataFrame) -> DataFrame:
 def numeric_distributions(df: DataFrame, columns=None) -> DataFrame:
     """Moments and exact percentiles of every numeric column."""
     columns = columns or numeric_columns(df)
-    long = stack(df, columns, cast="double")
-    return moments(df, columns).join(exact_quantiles(long, ["column_name"], "value", PERCENTILES), "column_name", "left")
+    return moments(df, columns).join(column_quantiles(df, columns, PERCENTILES), "column_name", "left")
 
 
 def top_categories(df: DataFrame, columns=None, k=10) -> DataFrame:
     """The ``k`` most frequent values per text column, with the distinct count (null counts as a value)."""
     columns = columns or [c for c in text_columns(df) if c != PERSON]
-    n = stack(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    n = column_value_counts(df, columns)
     # keep the k best per partition of values first, so that no window sees a whole key-like column
     best = W.partitionBy("column_name", "_p").orderBy(F.desc("n"), F.asc_nulls_first("value"))
     part = n.withColumn("_p", F.pmod(F.xxhash64("value"), F.lit(64)))
@@ -118,8 +117,7 @@ def completeness(df: DataFrame, by: str) -> DataFrame:
 def outliers(df: DataFrame, columns=None) -> DataFrame:
     """Tukey fences per numeric column and the rows beyond them."""
     columns = columns or [c for c in numeric_columns(df) if c in FEATURE_RULES]
-    q = exact_quantiles(stack(df, columns, cast="double"), ["column_name"], "value", {"q1": 0.25, "q3": 0.75})
-    q = pin_small(q)  # one row per column: the quantiles are found once
+    q = pin_small(column_quantiles(df, columns, {"q1": 0.25, "q3": 0.75}))  # one row per column: the quantiles are found once
     fences = {r["column_name"]: (r["q1"] - 1.5 * (r["q3"] - r["q1"]), r["q3"] + 1.5 * (r["q3"] - r["q1"])) for r in q.collect()}
     row = df.agg(F.count(F.lit(1)).alias("_rows"), *[
         F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(c) for c, (lo, hi) in fences.items()])

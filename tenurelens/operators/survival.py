@@ -1,11 +1,15 @@
 """Descriptive survival: Kaplan-Meier curves, retention, log-rank, segments."""
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenurelens.functions.columns import erf, ladder, one_row, ratio, stack
+from tenurelens.functions.scale import pin_small
 from tenurelens.schema import HORIZONS
 
 
@@ -171,3 +175,34 @@ def day_density(df: DataFrame, time="time", event="event", width=30, upper=365)
     d = lin.unionByName(log).groupBy(event, "scale", "bin", "w").agg(F.count(F.lit(1)).alias("n"))
     total = W.partitionBy(event, "scale")
     return d.select(event, "scale", "bin", "n", (F.col("n") / F.sum("n").over(total) / F.col("w")).alias("density"))
+
+
+def kernel_density(df: DataFrame, time="time", event="event", points=200, bins=2048) -> DataFrame:
+    """Gaussian density of days and of log days by censoring status: ``scale``, ``x``, ``density``, with ``n`` and ``bandwidth``.
+
+    The bandwidth is n^(-1/5) standard deviations.  People are counted into ``bins`` equal bins between the least and largest
+    value; the kernel is then summed over bins, so the work after one pass doesn't depend on people.  ``points`` places reach three
+    bandwidths beyond the values, days not below 0.  A group of fewer than two different times has no density.
+    """
+    d = df.where(F.col(time) > 0).select(F.col(event).alias("event"), F.col(time).cast("double").alias("days"), F.log(F.col(time).cast("double")).alias("log_days"))
+    scales = ["days", "log_days"]
+    stats = pin_small(d.groupBy("event").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{k}") for c in scales for k, f in (("sd", F.stddev_samp), ("low", F.min), ("high", F.max))]))
+    placed = d.join(stats, "event")
+    parts = []
+    for c in scales:
+        low, high = F.col(f"{c}_low"), F.col(f"{c}_high")
+        step = (high - low) / bins
+        at = F.least(F.floor((F.col(c) - low) / step), F.lit(bins - 1))
+        counted = placed.where(high > low).groupBy("event", "n", f"{c}_sd", low, high, at.alias("bin")).agg(F.count(F.lit(1)).cast("double").alias("k"))
+        middle = low + (F.col("bin") + 0.5) * step
+        g = counted.groupBy("event", "n", F.col(f"{c}_sd").alias("sd"), low.alias("low"), high.alias("high")).agg(F.collect_list(F.struct(middle.alias("m"), F.col("k").alias("k"))).alias("bins"))
+        parts.append(g.withColumn("scale", F.lit(c)))
+    h = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    both = reduce(DataFrame.unionByName, parts).withColumn("bandwidth", h)
+    start = F.when(F.col("scale") == "days", F.greatest(F.col("low") - 3 * F.col("bandwidth"), F.lit(0.0))).otherwise(F.col("low") - 3 * F.col("bandwidth"))
+    place = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
+    spread = both.select("*", start.alias("start"), (F.col("high") + 3 * F.col("bandwidth")).alias("stop"), place)
+    x = F.col("start") + (F.col("stop") - F.col("start")) * F.col("point") / (points - 1)
+    spread = spread.withColumn("x", x)
+    kernel = F.aggregate("bins", F.lit(0.0), lambda s, b: s + b["k"] * F.exp(-0.5 * F.pow((F.col("x") - b["m"]) / F.col("bandwidth"), 2)))
+    return spread.select("event", "scale", "point", "x", (kernel / (F.col("n") * F.col("bandwidth") * math.sqrt(2 * math.pi))).alias("density"), "n", "bandwidth")

@@ -4,6 +4,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenurelens.operators import aft
@@ -556,11 +557,20 @@ def n7(spark, sf):
     return tidy(out.withColumn("log_likelihood_gain", F.round("log_likelihood_gain", 4)))
 
 
-@query("o1_model_search")
+# SQL can't fit; it knows where a fit must end: every candidate once, at a place where the gradient is zero, and with the scale it was given
+O1_SCALES = (None, 0.8)
+
+
+@query("o1_model_search", "select row_number() over ()::integer trial, dist, ridge::double ridge, scale, 0.0 gradient, true as scale_as_asked, true as fitted_scale_best, true as scored from (" + " union all ".join(
+    f"select '{d}' dist, {r} ridge, {s or 'null'}::double scale" for d in ("logistic", "extreme") for r in (0, 100) for s in O1_SCALES) + ")")
 def o1(spark, sf):
     d = fit_features(spark, sf)
-    t = tu.run_trials(d.where(F.col("dataset") == "train"), d.where(F.col("dataset") == "val"), INPUTS, tu.candidate_grid(("logistic", "extreme"), (1e-9, 1e-4)))
-    return t.drop("seconds").withColumns({c: F.round(c, 3) for c in ("sigma", "score", "c_index", "calibration_slope")})
+    train, val = (d.where(F.col("dataset") == x) for x in ("train", "val"))
+    t = tu.run_trials(train, val, INPUTS, tu.candidate_grid(("logistic", "extreme"), (0.0, 100.0), O1_SCALES))
+    asked = F.col("scale").isNull() | (F.abs(F.col("scale") - F.col("sigma")) < 1e-12)
+    free = F.max(F.when(F.col("scale").isNull(), F.col("loglik"))).over(W.partitionBy("dist", "ridge"))
+    scored = F.col("c_index").between(0, 1) & F.col("calibration_slope").between(-1, 1) & (F.abs("score") < float("inf"))
+    return t.select("trial", "dist", "ridge", "scale", (F.round("gradient", 5) + 0.0).alias("gradient"), asked.alias("scale_as_asked"), (F.col("loglik") <= free).alias("fitted_scale_best"), scored.alias("scored"))
 
 
 # a trial history derived from the data: scores of the scale grid in grid order, group sizes as seconds

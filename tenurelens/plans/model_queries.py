@@ -80,9 +80,8 @@ INPUTS = ["log_price", "is_f", "is_p", "priority"]
 def g3(spark, sf):
     train = fit_features(spark, sf).where(F.col("dataset") == "train")
     rows = []
-    for dist in aft.DISTRIBUTIONS:
-        m = aft.fit_aft(train, INPUTS, dist)
-        rows += [(dist, n, round(float(v), 4)) for n, v in [("intercept", m.intercept), ("sigma", m.sigma), *zip(m.features, m.coefficients)]]
+    for m in aft.fit_candidates(train, INPUTS, [aft.Candidate(d) for d in aft.DISTRIBUTIONS]):
+        rows += [(m.dist, n, round(float(v), 4)) for n, v in [("intercept", m.intercept), ("sigma", m.sigma), *zip(m.features, m.coefficients)]]
     return spark.createDataFrame(rows, "dist string, parameter string, value double")
 
 

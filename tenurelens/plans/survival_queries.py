@@ -224,3 +224,14 @@ select event, scale, bin, count(*) n, round(count(*)/cast(sum(count(*)) over (pa
 from x group by event, scale, bin, w""")
 def f12(spark, sf):
     return tidy(sv.day_density(fx.survival(spark, sf)))
+
+
+@query("f12_kernel_density", f"""with {fx.SURV}, v as (select event, 'days' scale, cast(time as double) v from surv where time>0 union all select event, 'log_days', ln(time) from surv where time>0),
+st as (select event, scale, count(*) n, stddev_samp(v)*pow(count(*),-0.2) h, min(v) lo, max(v) hi from v group by 1,2),
+b as (select event, scale, least(floor((v-lo)/((hi-lo)/2048)),2047) bin, count(*) k from v join st using (event, scale) where hi>lo group by 1,2,3),
+p as (select *, case when scale='days' then greatest(lo-3*h,0) else lo-3*h end a, hi+3*h z from st where hi>lo),
+x as (select event, scale, cast(i as integer) as point, a+(z-a)*i/199 x from p, range(200) r(i))
+select event, scale, x.point as point, round(x,6) x, round(sum(k*exp(-0.5*pow((x-(lo+(bin+0.5)*(hi-lo)/2048))/h,2)))/(any_value(n)*any_value(h)*sqrt(2*pi())),6) density, any_value(n) n, round(any_value(h),6) bandwidth
+from x join st using (event, scale) join b using (event, scale) group by event, scale, x.point, x""")
+def f12_kernel(spark, sf):
+    return tidy(sv.kernel_density(fx.survival(spark, sf)))
