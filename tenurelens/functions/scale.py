@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenurelens.schema import SMALL_ROWS
+from tenurelens.sources.shared import new_path
 
 BUCKETS_PER_E_FOLD = 4096.0
 
@@ -62,6 +63,35 @@ def running_totals(df: DataFrame, by, order: str, totals, descending=False) -> D
                          *[f"all_{c}" for c in totals])
 
 
+def range_ranks(df: DataFrame, by, order, out: str) -> DataFrame:
+    """Place of each row (from 1) along ``order`` within ``by``; ``order`` must not leave ties.
+
+    Rows are range-partitioned by group and order and numbered where they are; how many rows of its group come before a
+    partition makes the number a rank.  So neither a group, nor a value, nor a common beginning of texts is one task.  The
+    numbered rows are written first: ranges come from samples and must not change when a lost task is run again.
+    """
+    by = list(by)
+    spark, given = df.sparkSession, df.columns
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, "ranges")
+    df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    d = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    here = d.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    up = W.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    here = here.select(*by, "_part", "_first", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_before"))
+    return null_safe_join(d, here, [*by, "_part"], "inner").select(*given, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(out))
+
+
+def value_before(df: DataFrame, by, order: str, value: str, out: str) -> DataFrame:
+    """``value`` of the row before along a real-valued ``order`` within ``by``; null at the first. Fixed buckets of ``order`` hand their last value on."""
+    by = list(by)
+    d = df.withColumn("_b", value_bucket(F.col(order)))
+    last = d.groupBy(*by, "_b").agg(F.max_by(value, order).alias("_last"))
+    carry = last.select(*by, "_b", F.lag("_last").over(W.partitionBy(*(by or [F.lit(0)])).orderBy("_b")).alias("_carry"))
+    own = F.lag(value).over(W.partitionBy(*by, "_b").orderBy(order))
+    return null_safe_join(d.withColumn("_own", own), carry, [*by, "_b"], "inner").withColumn(out, F.coalesce("_own", "_carry")).drop("_b", "_own", "_carry")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on, how="left") -> DataFrame:
     """Equi-join on ``on`` where null keys meet null keys; right-hand keys are dropped."""
     r = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from tenurelens.functions.arrays import grouped_arrays
 from tenurelens.functions.bootstrap import percentile_interval, replicate_means
 from tenurelens.functions.columns import ladder, one_row, ratio, stack
-from tenurelens.functions.scale import exact_quantiles, pin_small, running_totals
+from tenurelens.functions.scale import exact_quantiles, pin_small, running_totals, value_before
 from tenurelens.operators.aft import curve_quality, event_probability, survival_of
-from tenurelens.operators.survival import km_curve
+from tenurelens.operators.survival import km_curve, whole_days
 from tenurelens.schema import HORIZONS
 
 BY = ["dataset"]
@@ -25,11 +25,16 @@ TINY = 1e-12
 
 
 def censoring_curve(df: DataFrame, by=BY) -> DataFrame:
-    """Kaplan-Meier of censoring: (group, t, G_right, G_left, G_left_shifted)."""
+    """Kaplan-Meier of censoring: (group, t, G_right, G_left, G_left_shifted).
+
+    ``G_left_shifted`` is the left limit of the time before, 1 at the first.
+    """
     c = km_curve(df.select(*by, "time", (1 - F.col("event")).alias("_c")), by, "time", "_c")
-    prev = F.lag("S_left").over(W.partitionBy(*by).orderBy("t"))
-    return c.select(*by, "t", F.col("S").alias("G_right"), F.col("S_left").alias("G_left"),
-                    F.coalesce(prev, F.lit(1.0)).alias("G_left_shifted"))
+    if whole_days(c, "t"):
+        c = c.withColumn("_prev", F.lag("S_left").over(W.partitionBy(*by).orderBy("t")))
+    else:
+        c = value_before(c, by, "t", "S_left", "_prev")
+    return c.select(*by, "t", F.col("S").alias("G_right"), F.col("S_left").alias("G_left"), F.coalesce("_prev", F.lit(1.0)).alias("G_left_shifted"))
 
 
 def step_lookup(curve: DataFrame, by, points, left=False) -> DataFrame:
@@ -47,7 +52,7 @@ def with_censoring_weights(df: DataFrame, horizons, by=BY, adjust=False, min_con
     """
     curve = pin_small(censoring_curve(df, by)) if curve is None else curve
     g_left = "G_left" if variant == "exact" else "G_left_shifted"
-    ends = curve.groupBy(*by).agg(F.max("t").alias("_end"), F.sort_array(F.collect_list(F.struct("t", "G_right"))).alias("_g"))
+    ends = curve.groupBy(*by).agg(F.max("t").alias("_end"))
     plan = ends.withColumn("horizon", F.explode(F.array(*[F.lit(int(h)) for h in horizons])))
     if min_controls is not None:
         # controls per horizon come from the day counts, at most one row per day
@@ -61,9 +66,10 @@ def with_censoring_weights(df: DataFrame, horizons, by=BY, adjust=False, min_con
     else:
         used = F.col("horizon")
     plan = plan.withColumn("used_horizon", used.cast("int"))
-    known = F.filter("_g", lambda s: s["t"] <= F.col("used_horizon"))
-    g_h = F.when(F.size(known) > 0, F.element_at(known, -1)["G_right"]).otherwise(1.0)
-    plan = plan.groupBy(*by).agg(F.collect_list(F.struct("horizon", "used_horizon", g_h.alias("G_h"))).alias("_plan"))
+    # G never rises, so the last value up to a day is the smallest one
+    g_h = F.coalesce(F.min(F.when(F.col("t") <= F.col("used_horizon"), F.col("G_right"))), F.lit(1.0))
+    plan = pin_small(plan).join(curve.select(*by, "t", "G_right"), by).groupBy(*by, "horizon", "used_horizon").agg(g_h.alias("G_h"))
+    plan = plan.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("horizon", "used_horizon", "G_h"))).alias("_plan"))
     # one lookup table per (group, day): G(T-) and the horizons of the group
     days = curve.select(*by, F.col("t").alias("time"), F.col(g_left).alias("G_left")).join(pin_small(plan), by)
     rows = df.join(pin_small(days), [*by, "time"])

@@ -5,11 +5,9 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tenurelens.functions.columns import stack
-from tenurelens.functions.scale import exact_quantiles
+from tenurelens.functions.scale import column_quantiles, column_value_counts, range_ranks
 from tenurelens.operators.quality import numeric_columns
 
 # fixed values: columns per transformation
@@ -40,7 +38,7 @@ def fit_limits(train: DataFrame, columns, kind: str) -> dict:
     lo, hi = (0.25, 0.75) if kind == "iqr" else (0.01, 0.99)
     if not columns:
         return {}
-    q = exact_quantiles(stack(train, columns, cast="double"), ["column_name"], "value", {"lo": lo, "hi": hi}).collect()
+    q = column_quantiles(train, columns, {"lo": lo, "hi": hi}).collect()
     wide = 1.5 if kind == "iqr" else 0.0
     return {r["column_name"]: (r["lo"] - wide * (r["hi"] - r["lo"]), r["hi"] + wide * (r["hi"] - r["lo"])) for r in q}
 
@@ -60,18 +58,8 @@ def add_logs(df: DataFrame, columns) -> DataFrame:
 def fit_codes(train: DataFrame, columns) -> DataFrame:
     """Code table (column, value, code): most frequent value 1, ties by value; null is MISSING."""
     filled = train.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in columns])
-    n = stack(filled, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    # ranks in three steps, so that a column of very many values is not one task: counts, then beginnings, then values
-    start = F.substring("value", 1, 3)
-    parts = n.groupBy("column_name", "n", start.alias("_start")).agg(F.count(F.lit(1)).alias("_k"))
-    sizes = parts.groupBy("column_name", "n").agg(F.sum("_k").alias("_m"))
-    before = W.partitionBy("column_name").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select("column_name", "n", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_above"))
-    within = W.partitionBy("column_name", "n").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.join(sizes, ["column_name", "n"]).select("column_name", "n", "_start", (F.col("_above") + F.coalesce(F.sum("_k").over(within), F.lit(0))).alias("_above"))
-    own = F.row_number().over(W.partitionBy("column_name", "n", "_start").orderBy("value"))
-    ranked = n.withColumn("_start", start).join(parts, ["column_name", "n", "_start"])
-    return ranked.select("column_name", "value", "n", (own + F.col("_above")).cast("int").alias("code"))
+    ranked = range_ranks(column_value_counts(filled, columns), ["column_name"], [F.desc("n"), F.asc("value")], "code")
+    return ranked.select("column_name", "value", "n", F.col("code").cast("int").alias("code"))
 
 
 def encode(df: DataFrame, codes: DataFrame, columns) -> DataFrame:
@@ -88,11 +76,11 @@ def fit_fill(train: DataFrame, numeric=(), text=()) -> dict:
     """Fill values: median of numeric columns, most frequent (then smallest) value of text columns."""
     out = {}
     if numeric:
-        for r in exact_quantiles(stack(train, list(numeric), cast="double"), ["column_name"], "value", {"m": 0.5}).collect():
+        for r in column_quantiles(train, list(numeric), {"m": 0.5}).collect():
             out[r["column_name"]] = r["m"]
         out.update({c: 0.0 for c in numeric if out.get(c) is None})
     if text:
-        n = stack(train, list(text)).where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        n = column_value_counts(train, list(text)).where(F.col("value").isNotNull())
         # highest count, smallest text
         best = n.groupBy("column_name").agg(F.max("n").alias("n")).join(n, ["column_name", "n"]).groupBy("column_name").agg(F.min("value").alias("m"))
         out.update({r["column_name"]: r["m"] for r in best.collect()})

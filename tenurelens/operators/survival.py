@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenurelens.functions.columns import erf, ladder, one_row, ratio, stack
-from tenurelens.functions.scale import pin_small
+from tenurelens.functions.scale import pin_small, running_totals
 from tenurelens.schema import HORIZONS
 
 
@@ -17,24 +17,39 @@ def _part(by):
     return W.partitionBy(*(list(by) or [F.lit(0)]))
 
 
+def whole_days(df: DataFrame, time: str) -> bool:
+    return df.schema[time].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
 def km_counts(df: DataFrame, by=(), time="time", event="event") -> DataFrame:
-    """Per stratum and day: events ``d``, leavers ``n``, people at risk ``n_risk``."""
+    """Per stratum and time: events ``d``, leavers ``n``, people at risk ``n_risk``.
+
+    Whole days are at most as many as the calendar has and are added up in one window a stratum; times that aren't whole
+    numbers can be as many as people and are added up in ranges of values.
+    """
     c = df.groupBy(*by, F.col(time).alias("t")).agg(F.sum(event).alias("d"), F.count(F.lit(1)).alias("n"))
+    if not whole_days(df, time):
+        return running_totals(c, by, "t", ["n"], descending=True).withColumnRenamed("cum_n", "n_risk").drop("all_n")
     later = _part(by).orderBy("t").rowsBetween(W.currentRow, W.unboundedFollowing)
     return c.withColumn("n_risk", F.sum("n").over(later))
 
 
 def km_curve(df: DataFrame, by=(), time="time", event="event") -> DataFrame:
-    """Kaplan-Meier estimate S(t) and its left limit, one row per stratum and day.
+    """Kaplan-Meier estimate S(t) and its left limit, one row per stratum and time.
 
-    People are counted per day first; the cumulative product then runs over at
-    most one row per day.
+    The product runs as a sum of logarithms, with the times at which nobody is left counted apart: over days in one window,
+    over other times in ranges of values whose sums are added up first.
     """
     c = km_counts(df, by, time, event)
+    ends = F.when(F.col("d") == F.col("n_risk"), 1).otherwise(0)
+    step = F.when(F.col("d") < F.col("n_risk"), F.log(1.0 - F.col("d") / F.col("n_risk"))).otherwise(0.0)
+    if not whole_days(df, time):
+        sums = running_totals(c.withColumns({"_step": step, "_ends": ends}), by, "t", ["_step", "_ends"])
+        s = lambda gone, log_s: F.when(gone > 0, 0.0).otherwise(F.exp(log_s))
+        return sums.withColumns({"S": s(F.col("cum__ends"), F.col("cum__step")), "S_left": s(F.col("cum__ends") - F.col("_ends"), F.col("cum__step") - F.col("_step"))}).drop(
+            "_step", "_ends", "cum__step", "cum__ends", "all__step", "all__ends")
     upto = _part(by).orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
-    gone = F.sum(F.when(F.col("d") == F.col("n_risk"), 1).otherwise(0)).over(upto)
-    log_s = F.sum(F.when(F.col("d") < F.col("n_risk"), F.log(1.0 - F.col("d") / F.col("n_risk"))).otherwise(0.0)).over(upto)
-    c = c.withColumn("S", F.when(gone > 0, 0.0).otherwise(F.exp(log_s)))
+    c = c.withColumn("S", F.when(F.sum(ends).over(upto) > 0, 0.0).otherwise(F.exp(F.sum(step).over(upto))))
     return c.withColumn("S_left", F.coalesce(F.lag("S").over(_part(by).orderBy("t")), F.lit(1.0)))
 
 

@@ -1,6 +1,8 @@
 """Registered queries: ingestion, keys and point-in-time features."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tenurelens.operators import events as ev
@@ -14,7 +16,7 @@ from tenurelens.plans.survival_queries import AGE, tidy
 from tenurelens.schema import ENTITY, PERSON, VANTAGE
 from tenurelens.sources import keys
 from tenurelens.sources.shared import new_path
-from tenurelens.sources.tables import read_csv, read_table, save_features
+from tenurelens.sources.tables import read_csv, save_bucketed, read_table, save_features
 
 E = "person_composite_id, vantage_date"
 BH = f"with {fx.BASE}, {fx.HIST}"
@@ -615,3 +617,15 @@ def a12(spark, sf):
     path = new_path(spark, "features")
     save_features(f, [*ENTITY, "company_size_tier", "clnt_obj_id", "not_there"], path=path)
     return spark.read.parquet(path).select(*ENTITY, "company_size_tier", "clnt_obj_id")
+
+
+@query("a12_catalog_tables", f"""{BH}, {COMP}, t as (select {E}, clnt_obj_id, count(*) over (partition by clnt_obj_id, vantage_date) n from base)
+select {E}, clnt_obj_id, case when n<100 then 'Small' when n<1000 then 'Medium' when n<10000 then 'Large' else 'Enterprise' end company_size_tier,
+ round(case when nc is null then null when ago is null or ago=0 then 0 else (now_s-ago)/ago end,6) salary_growth_rate_12m, nc is not null as has_history from t left join ca using ({E})""")
+def a12_catalog(spark, sf):
+    """Features and history through the session catalog: two tables bucketed by the entity, joined without a shuffle."""
+    name = lambda kind: f"tenurelens_{kind}_{uuid.uuid4().hex}"
+    size = save_bucketed(pr.add_company_factors_features(fx.base(spark, sf)).select(*ENTITY, "clnt_obj_id", "company_size_tier"), name("features"))
+    pay = save_bucketed(hi.compensation_aggregates(fx.history(spark, sf)), name("history"))
+    both = size.join(pay, ENTITY, "left")
+    return tidy(both.select(*ENTITY, "clnt_obj_id", "company_size_tier", "salary_growth_rate_12m", F.col("comp_chang_freq_per_year").isNotNull().alias("has_history")))

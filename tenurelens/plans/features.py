@@ -13,6 +13,7 @@ from tenurelens.operators import external as ex
 from tenurelens.operators import history as hi
 from tenurelens.operators import profile as pr
 from tenurelens.operators.run_summary import PARTS, history_summary
+from tenurelens.schema import ENTITY
 from tenurelens.sources import keys
 
 log = logging.getLogger(__name__)
@@ -93,6 +94,59 @@ def build_features(s: Sources, strict=True, sample_ids=None, normalize=True) ->
     return ex.normalize(df) if normalize else df
 
 
+def build_in_units(s: Sources, folder: str, sample_ids=None, normalize=True) -> tuple[DataFrame, dict[str, str]]:
+    """As ``build_features``, with every group written on its own to ``folder``; returns the features and what went wrong by group.
+
+    A group that fails, while it is planned or in a task, is left out with a warning.  A group whose files are complete isn't
+    computed again, so a build that was broken off goes on where it ended.  The parts of the history are units too.  At the end
+    the finished groups are joined on the entity key.
+    """
+    spark = s.base.sparkSession
+    base = keys.parse_composite_id(keys.source_filter(s.base, sample_ids))
+    history, failed = keys.restrict_to(s.history, base), {}
+
+    def unit(name, make):
+        """The unit's columns, from its files where they are complete."""
+        path = f"{folder.rstrip('/')}/{name.replace(' ', '_')}"
+        try:
+            if not finished(spark, path):
+                make().write.mode("overwrite").parquet(path)
+            return spark.read.parquet(path)
+        except Exception as e:  # whatever a group's own code or data raises must not end the build
+            failed[name] = f"{type(e).__name__}: {str(e)[:300]}"
+            log.warning("feature group %s left out: %s", name, failed[name])
+
+    df, made, plain = base, [], []
+    for part in FROM_HISTORY:
+        if part != "place" or s.places is not None:
+            found = unit(f"history {part}", lambda p=part: history_summary(history, [p], s.places).drop("salary_0d_ago", "salary_365d_ago", "pay_freq_diversity_score"))
+            if found is not None:
+                df = hi.attach(df, found)
+                plain.append(found.drop(*[c for cs in DERIVED.values() for c in cs]))
+    for name, step in steps(s, base):
+        def own(step=step, filled=DERIVED.get(name, [])):
+            out = df.transform(step)
+            return out.select(*ENTITY, *[c for c in out.columns if c not in df.columns or c in filled])
+        found = unit(name, own)
+        if found is not None:
+            made.append(found)
+    out = base
+    for found in plain + made:
+        out = out.drop(*[c for c in found.columns if c not in ENTITY]).join(found, ENTITY, "left")
+    return (ex.normalize(out) if normalize else out), failed
+
+
+#: Columns of the history that a group fills where they are missing.
+DERIVED = {"compensation": ["salary_growth_rate_12m", "compensation_volatility", "pay_grade_stagnation_months"], "manager": ["manager_changes_count"],
+           "tenure": ["tenure_in_current_role"], "work patterns": ["assignment_frequency_12m", "work_location_changes_count", "num_city_chng", "num_state_chng"]}
+
+
+def finished(spark, path: str) -> bool:
+    """Whether a write to ``path`` was completed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return bool(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop))
+
+
 def build_first_version(s: Sources) -> DataFrame:
     """Incremental build of the first version: calendar-month windows, strict event dates.
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from tenurelens.schema import ENTITY
+
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One parquet table of a directory of tables."""
@@ -56,6 +58,17 @@ def save_features(df: DataFrame, columns=None, table: str | None = None, path: s
     return out
 
 
+def save_bucketed(df: DataFrame, table: str, by=ENTITY, buckets: int | None = None, mode: str = "overwrite") -> DataFrame:
+    """A managed catalog table bucketed and sorted by ``by``, and its rows: tables bucketed alike are joined or grouped on the key without a shuffle.
+
+    The number of buckets is the session's number of shuffle partitions unless given.
+    """
+    spark, by = df.sparkSession, list(by)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *by).write.mode(mode).bucketBy(buckets, *by).sortBy(*by).saveAsTable(table)
+    return spark.table(table)
+
+
 def save_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write a report table as JSON lines."""
     df.write.mode(mode).json(path)

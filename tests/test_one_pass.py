@@ -222,3 +222,59 @@ def test_confusion_counts_places(spark):
     for x in got:
         own = [(p >= x.threshold, y) for h, p, y in rows if h == x.horizon and p is not None]
         assert (x.tp, x.fp, x.fn, x.tn) == tuple(own.count(k) for k in ((True, 1), (True, 0), (False, 1), (False, 0)))
+
+
+def test_failing_group_is_left_out_at_run_time(spark, tmp_path, monkeypatch):
+    """A group that raises in a task is left out, the others are there; the next build takes up the finished ones and makes up for it."""
+    src = feature_queries._sources(spark, SF)
+    bad = F.when(F.col("employee_guid").isNotNull(), F.raise_error(F.lit("broken source"))).otherwise(F.col("employee_guid"))
+    src.geocodes = src.geocodes.withColumn("employee_guid", bad.cast("string"))
+    df, failed = features.build_in_units(src, str(tmp_path))
+    assert set(failed) == {"neighborhood"} and "broken source" in failed["neighborhood"] and "sal_nghb_ratio" not in df.columns
+    want = features.build_features(feature_queries._sources(spark, SF))
+    assert set(want.columns) - set(df.columns) == {"sal_nghb_ratio", "median_household_income"}
+    stamp = {p.name: (p / "_SUCCESS").stat().st_mtime_ns for p in tmp_path.iterdir() if (p / "_SUCCESS").exists()}
+    again, failed = features.build_in_units(feature_queries._sources(spark, SF), str(tmp_path))
+    assert not failed and set(again.columns) == set(want.columns)
+    assert all((tmp_path / n / "_SUCCESS").stat().st_mtime_ns == m for n, m in stamp.items())
+    cols = sorted(c for c in want.columns if c != "compensation_volatility")
+    rounded = lambda d: sorted(tuple(f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in d.select(*cols).collect())
+    assert rounded(again) == rounded(want)
+
+
+def test_bucketed_tables_are_joined_without_a_shuffle(spark):
+    from pyspark.sql import DataFrame
+    conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(entry_module.queries()["a12_catalog_tables"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
+    assert "SortMergeJoin" in text and "Exchange" not in text and text.count("Bucketed: true") == 2
+
+
+def test_rank_of_texts_with_one_beginning(spark):
+    """Ranks along ranges: no window, and no task with most of the values."""
+    n = 4000
+    df = spark.range(n).select(F.lit("id").alias("column_name"), F.format_string("core_util_1_%08d", F.col("id")).alias("value"), (F.col("id") % 3).alias("n"))
+    got = scale.range_ranks(df, ["column_name"], [F.desc("n"), F.asc("value")], "code")
+    want = sorted(((i % 3, f"core_util_1_{i:08d}") for i in range(n)), key=lambda x: (-x[0], x[1]))
+    assert [(r.n, r.value) for r in got.orderBy("code").collect()] == want and got.agg(F.min("code"), F.max("code")).first()[:] == (1, n)
+    sizes = [r["count"] for r in got.groupBy("_part" if "_part" in got.columns else F.spark_partition_id()).count().collect()]
+    assert max(sizes) < n
+    assert not re.search(r"Window .*value", plan(got))
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_curve_over_real_valued_times(spark, by):
+    """Times that aren't whole numbers give the curve of the windows over days, without a window over all of them."""
+    r = np.random.default_rng(8)
+    rows = [(i % 2, float(t), int(e)) for i, (t, e) in enumerate(zip(r.integers(1, 60, 500), r.integers(0, 2, 500)))] + [(0, 70.0, 1), (1, 71.0, 1)]
+    df = spark.createDataFrame(rows, "g int, time double, event int")
+    real, days = survival.km_curve(df, by), survival.km_curve(df.withColumn("time", F.col("time").cast("int")), by)
+    key = lambda x: [x[c] for c in [*by, "t"]]
+    a, b = (sorted((x.asDict() for x in d.select(*by, "t", "d", "n", "n_risk", "S", "S_left").collect()), key=key) for d in (real, days))
+    assert len(a) == len(b) and all(x[c] == pytest.approx(y[c], abs=1e-12) for x, y in zip(a, b) for c in x)
+    assert not re.search(r"Window .*windowspecdefinition\((g#\d+, )?t#", plan(real)) and "windowspecdefinition" in plan(real)
+    both = [sorted((x.asDict() for x in metrics.censoring_curve(d.withColumn("dataset", F.col("g"))).collect()), key=lambda x: (x["dataset"], x["t"])) for d in (df, df.withColumn("time", F.col("time").cast("int")))]
+    assert all(x[c] == pytest.approx(y[c], abs=1e-12) for x, y in zip(*both) for c in x)
