@@ -3,12 +3,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.regression import IsotonicRegression
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenurelens.functions.columns import ratio
-from tenurelens.functions.scale import pin_small, running_totals
+from tenurelens.functions.scale import pin_small, running_totals, value_bucket
 from tenurelens.operators.aft import event_probability
 from tenurelens.operators.metrics import concordance, quantile_bins
 from tenurelens.schema import HORIZONS
@@ -28,39 +29,81 @@ def horizon_rows(df: DataFrame, dist: str, sigma: float, horizons=HORIZONS) -> D
 
 
 class IsotonicCalibrator:
-    """One monotone map per horizon: linear between knots, constant beyond them."""
+    """One monotone map per horizon: linear between knots, constant beyond them. ``knots`` has places and values by horizon."""
 
-    def __init__(self, models: dict, digits: int | None):
-        self.models, self.digits = models, digits
+    def __init__(self, knots: dict, digits: int | None):
+        self.knots, self.digits = knots, digits
 
     def transform(self, rows: DataFrame, output="q") -> DataFrame:
-        out = rows.withColumn("_x", _rounded(self.digits))
-        for h, m in self.models.items():
-            out = m.setFeaturesCol("_x").setPredictionCol(f"_q{h}").transform(out)
-        pred = F.lit(None).cast("double")
-        for h in self.models:
-            pred = F.when(F.col("horizon") == h, F.col(f"_q{h}")).otherwise(pred)
-        return out.withColumn(output, pred).drop("_x", *[f"_q{h}" for h in self.models])
+        knots = self.knots
+
+        @F.arrow_udf("double")
+        def mapped(horizon: pa.Array, p: pa.Array) -> pa.Array:
+            h, x = horizon.to_numpy(zero_copy_only=False), p.to_numpy(zero_copy_only=False).astype(float)
+            out = np.full(len(x), np.nan)
+            for k, (at, value) in knots.items():
+                mine = (h == k) & ~np.isnan(x)
+                out[mine] = np.interp(x[mine], at, value)
+            return pa.array(out, mask=np.isnan(out))
+
+        return rows.withColumn(output, mapped(F.col("horizon"), _rounded(self.digits)))
 
 
 def _rounded(digits: int | None):
     return F.col("p") if digits is None else F.round("p", digits)
 
 
-def fit_isotonic(rows: DataFrame, horizons=HORIZONS, digits: int | None = None) -> IsotonicCalibrator:
-    """Fit ``y`` on ``p`` per horizon.
+#: Value ranges that are merged into one at each level of the tree, and its levels (a range is about 0.02 % of a probability wide).
+MERGED, LEVELS = 64, 3
+_BLOCKS = "horizon int, range long, low double, high double, total double, weight double"
+
+
+def pooled(low, high, total, weight) -> list[tuple]:
+    """Blocks in order, with neighbours whose means don't rise made one: the only such pooling, in whatever order it is done."""
+    out: list[list] = []
+    for l, h, t, w in zip(low, high, total, weight):
+        out.append([l, h, t, w])
+        while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
+            _, h, t, w = out.pop()
+            out[-1][1], out[-1][2], out[-1][3] = h, out[-1][2] + t, out[-1][3] + w
+    return [tuple(x) for x in out]
+
 
-    Equal probabilities are merged with their weight first; Spark pools the rest by
-    partition before it gathers the blocks.  With ``digits``, probabilities are rounded
-    to so many places, which bounds the points at 10**digits per horizon.
+def isotonic_blocks(rows: DataFrame, digits: int | None = None) -> DataFrame:
+    """Blocks (horizon, low, high, total, weight) of the isotonic fit of ``y`` on ``p``, merged in a tree over ranges of p.
+
+    Equal probabilities are one point first. A range pools its own points; each level pools the blocks of neighbouring ranges,
+    so a task sees blocks, of which there are far fewer than points, and the driver only the last ones.
     """
-    points = rows.groupBy("horizon", _rounded(digits).alias("x")).agg(
-        F.avg(F.col("y").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w")).persist()
-    try:
-        fit = IsotonicRegression(featuresCol="x", labelCol="label", weightCol="w")
-        return IsotonicCalibrator({h: fit.fit(points.where(F.col("horizon") == h)) for h in horizons}, digits)
-    finally:
-        points.unpersist()
+    x = _rounded(digits)
+    points = rows.where(x.isNotNull()).groupBy(F.col("horizon").cast("int").alias("horizon"), x.alias("low")).agg(
+        F.sum(F.col("y").cast("double")).alias("total"), F.count(F.lit(1)).cast("double").alias("weight"))
+    blocks = points.select("horizon", value_bucket(F.col("low")).alias("range"), "low", F.col("low").alias("high"), "total", "weight")
+
+    def merge(key, table):
+        t = table.combine_chunks().sort_by("low")
+        found = pooled(*(t.column(c).to_pylist() for c in ("low", "high", "total", "weight")))
+        cols = list(zip(*found))
+        return pa.table([pa.array([key[0].as_py()] * len(found), pa.int32()), pa.array([key[1].as_py()] * len(found), pa.int64()), *(pa.array(c, pa.float64()) for c in cols)],
+                        names=["horizon", "range", "low", "high", "total", "weight"])
+
+    for level in range(LEVELS + 1):
+        up = blocks if level == 0 else blocks.withColumn("range", F.floor(F.col("range") / MERGED).cast("long"))
+        blocks = up.groupBy("horizon", "range").applyInArrow(merge, _BLOCKS)
+    return blocks.drop("range")
+
+
+def fit_isotonic(rows: DataFrame, horizons=HORIZONS, digits: int | None = None) -> IsotonicCalibrator:
+    """Fit ``y`` on ``p`` per horizon. With ``digits``, probabilities are rounded to so many places first."""
+    found: dict = {}
+    for r in isotonic_blocks(rows.where(F.col("horizon").isin([int(h) for h in horizons])), digits).toLocalIterator():
+        found.setdefault(r.horizon, []).append((r.low, r.high, r.total / r.weight))
+    knots = {}
+    for h, blocks in found.items():
+        blocks.sort()
+        at = [(x, v) for low, high, v in blocks for x in ((low,) if low == high else (low, high))]
+        knots[h] = tuple(np.array(c) for c in zip(*at))
+    return IsotonicCalibrator(knots, digits)
 
 
 def ece_equal_width(rows: DataFrame, score="p", key=H, n_bins=10) -> DataFrame:

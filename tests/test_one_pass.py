@@ -278,3 +278,23 @@ def test_curve_over_real_valued_times(spark, by):
     assert not re.search(r"Window .*windowspecdefinition\((g#\d+, )?t#", plan(real)) and "windowspecdefinition" in plan(real)
     both = [sorted((x.asDict() for x in metrics.censoring_curve(d.withColumn("dataset", F.col("g"))).collect()), key=lambda x: (x["dataset"], x["t"])) for d in (df, df.withColumn("time", F.col("time").cast("int")))]
     assert all(x[c] == pytest.approx(y[c], abs=1e-12) for x, y in zip(*both) for c in x)
+
+
+def test_isotonic_blocks_in_a_tree(spark):
+    """The tree's blocks are those of pooling all points at once, and maps agree with Spark's own fit."""
+    from pyspark.ml.regression import IsotonicRegression
+    r = np.random.default_rng(2)
+    p = np.concatenate((r.uniform(0, 1, 3000), np.full(900, 0.25), r.beta(0.3, 6, 2000)))
+    y = (r.uniform(0, 1, len(p)) < np.clip(0.1 + 0.7 * p, 0, 1)).astype(int)
+    rows = spark.createDataFrame([(30 if i % 3 else 90, float(a), int(b)) for i, (a, b) in enumerate(zip(p, y))] + [(30, None, 1)], "horizon int, p double, y int").repartition(6)
+    cal = calibration.fit_isotonic(rows, [30, 90])
+    for h in (30, 90):
+        pts = rows.where((F.col("horizon") == h) & F.col("p").isNotNull()).groupBy("p").agg(F.avg(F.col("y").cast("double")).alias("label"), F.count("y").cast("double").alias("w")).orderBy("p")
+        got = calibration.isotonic_blocks(rows).where(F.col("horizon") == h).orderBy("low").collect()
+        own = [(x.p, x.p, x.label * x.w, x.w) for x in pts.collect()]
+        assert [(x.low, x.high, round(x.total), x.weight) for x in got] == [(a, b, round(t), w) for a, b, t, w in calibration.pooled(*zip(*own))]
+        m = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="w").fit(pts)
+        for a, b in zip(m.boundaries, m.predictions):
+            assert float(np.interp(a, *cal.knots[h])) == pytest.approx(b, abs=1e-12)
+    out = cal.transform(rows).collect()
+    assert all((x.p is None) == (x.q is None) and (x.q is None or 0 <= x.q <= 1) for x in out)
