@@ -57,10 +57,10 @@ rep as (select rp.*, e0.ece eb, e1.ece ea, c0.c cb, c1.c ca, abs(mb-ar)/greatest
 
 
 @query("j1_fit_calibration", f"""{SC}, {REPORT} select h horizon, round(ar,6) actual_rate, round(mb,6) mean_before, round(ma,6) mean_after, round(bb,6) brier_before, round(ba,6) brier_after, round(eb,6) ece_before, round(ea,4) ece_after,
- round(cb,6) c_before, round(mb-ar,6) error_before, round(ma-ar,5)+0 error_after, round(ir,4) improvement_ratio, ca>=0.98*cb keeps_discrimination from rep""")
+ round(cb,6) c_before, round(ca,6) c_after, round(mb-ar,6) error_before, round(ma-ar,5)+0 error_after, round(ir,4) improvement_ratio, ca>=0.98*cb keeps_discrimination from rep""")
 def j1(spark, sf):
     val = rows(spark, sf, "val")
-    r = ca.calibration_report(val, ca.fit_isotonic(val)).drop("c_after")
+    r = ca.calibration_report(val, ca.fit_isotonic(val))
     r = r.withColumns({"ece_after": F.round("ece_after", 4), "error_after": F.round("error_after", 5) + F.lit(0.0), "improvement_ratio": F.round("improvement_ratio", 4)})
     return tidy(r)
 
@@ -181,9 +181,10 @@ def k2(spark, sf):
 
 @query("k3_validate_cuts", f"""{SC}, {BAND}, a as (select avg(event) filter (where band='High') h, avg(event) filter (where band='Medium') m, avg(event) filter (where band='Low') l, count(*) filter (where band='High') n1, count(*) filter (where band='Low') n0,
  var_samp(event) filter (where band='High') v1, var_samp(event) filter (where band='Low') v0 from bd)
-select round(h,6) rate_high, round(m,6) rate_medium, round(l,6) rate_low, round((h-l)/sqrt(((n1-1)*v1+(n0-1)*v0)/(n1+n0-2)*(1.0/n1+1.0/n0)),6) t_statistic, round(h/greatest(l,0.01),6) discrimination_ratio from a""")
+select round(h,6) rate_high, round(m,6) rate_medium, round(l,6) rate_low, round(t,6) t_statistic, round(2*(1-{cdf_sql('abs(t)')}),6) p_value, round(h/greatest(l,0.01),6) discrimination_ratio
+ from (select *, (h-l)/sqrt(((n1-1)*v1+(n0-1)*v0)/(n1+n0-2)*(1.0/n1+1.0/n0)) t from a)""")
 def k3(spark, sf):
-    return tidy(rk.validate_cuts(rk.categorize(risked(spark, sf))).drop("p_value"))
+    return tidy(rk.validate_cuts(rk.categorize(risked(spark, sf))))
 
 
 @query("k4_turnover_cost", f"{SC}, {BAND}, {BSTAT} select band, n, cast(floor(n*m*0.8) as bigint) expected_departures, round(n*m*0.8*75000,4) estimated_cost, round(m*0.8*75000,4) cost_per_employee from bs")
@@ -351,10 +352,10 @@ def ite_sql(kind):
 ATE = " union all ".join(f"select '{k}' intervention, count(*) sample_size, avg(ite) ate, 100*avg(cast(ite>0 as integer)) rp, stddev_pop(ite)/sqrt(count(*)) se from {ite_sql(k)}" for k in ITE_KINDS)
 
 
-@query("l5_average_effects", f"with {WF}, a as ({ATE}) select intervention, sample_size, round(ate,6) ate, round(rp,6) responders_pct, round(se,6) standard_error, round(ate/se,4) z, ate/se>1.96 significant from a")
+@query("l5_average_effects", f"with {WF}, a as ({ATE}) select intervention, sample_size, round(ate,6) ate, round(rp,6) responders_pct, round(se,6) standard_error, round(ate/se,4) z, round(2*(1-{cdf_sql('abs(ate/se)')}),6) p_value, ate/se>1.96 significant from a")
 def l5(spark, sf):
     e = wi.population_effects(workforce(spark, sf), MODEL, DIST, S)
-    return tidy(e.drop("p_value").withColumn("z", F.round("z", 4)))
+    return tidy(e.withColumn("z", F.round("z", 4)))
 
 
 @query("l5_effect_intervals")
@@ -373,9 +374,9 @@ def l6(spark, sf):
 
 
 @query("l7_paired_test", f"""with {WF}, {WS}, {ba_sql('salary_increase')}, g as (select count(*) n, avg(risk0-risk1) m, stddev_samp(risk0-risk1) s, stddev_pop(risk0) s0 from ba)
-select n, round(m/(s/sqrt(n)),4) t_statistic, round(m/s0,6) effect_size, case when abs(m/s0)>0.8 then 'Large effect' when abs(m/s0)>0.5 then 'Medium effect' else 'Small effect' end interpretation from g""")
+select n, round(m/(s/sqrt(n)),4) t_statistic, round(2*(1-{cdf_sql('abs(m/(s/sqrt(n)))')}),6) p_value, round(m/s0,6) effect_size, case when abs(m/s0)>0.8 then 'Large effect' when abs(m/s0)>0.5 then 'Medium effect' else 'Small effect' end interpretation from g""")
 def l7(spark, sf):
-    t = wi.paired_test(before_after(spark, sf, "salary_increase")).drop("p_value")
+    t = wi.paired_test(before_after(spark, sf, "salary_increase"))
     return tidy(t.withColumn("t_statistic", F.round("t_statistic", 4)))
 
 

@@ -8,19 +8,13 @@ from tenurelens.operators import diagnostics as dg
 from tenurelens.operators import metrics as mt
 from tenurelens.plans import fixtures as fx
 from tenurelens.plans.registry import query
-from tenurelens.plans.survival_queries import km_sql, tidy
+from tenurelens.plans.survival_queries import erf_sql, km_sql, tidy
 
 S, DIST = fx.SIGMA, "logistic"
 H = [30, 90, 180, 365]
 SC = f"with {fx.SCORED}"
 
 
-def erf_sql(x):
-    t = f"(1.0/(1.0+0.3275911*abs({x})))"
-    poly = f"{t}*(0.254829592+{t}*(-0.284496736+{t}*(1.421413741+{t}*(-1.453152027+{t}*1.061405429))))"
-    return f"(sign({x})*(1.0-{poly}*exp(-({x})*({x}))))"
-
-
 def cdf_sql(z):
     return f"(0.5*(1.0+{erf_sql(f'({z})/1.4142135623730951')}))"
 
@@ -425,19 +419,27 @@ def ks_sql(name, value, cdf):
  from (select dataset, {value} v, count(*) c from rd where event=1 group by 1,2)) group by 1)"""
 
 
+def ks_p_sql(ks, n):
+    lam = f"(cast({n} as double)*{ks}*{ks})"
+    return "least(greatest(" + "+".join(f"({2.0 * (-1) ** (k - 1)})*exp({-2.0 * k * k}*{lam})" for k in range(1, 21)) + ",0.0),1.0)"
+
+
 @query("i17_residual_tests", f"""{SC}, {RESID}, {ks_sql('k1', 'cs', '1-exp(-v)')}, {ks_sql('k2', 'std', '1-1/(1+exp(v))')}, q as (select dataset, quantile_cont(abs(dev),0.95) c from rd group by 1),
-m as (select dataset, avg(mart) mm, count(*) n, avg(cast(abs(dev)>c as integer)) o, any_value(c) c from rd join q using (dataset) group by 1)
-select dataset, round(k1.ks,6) cox_snell_ks, cast(k1.n as bigint) n_events, round(k2.ks,6) distribution_stat, round(mm,6) martingale_mean, m.n n_rows, round(c,6) deviance_p95, round(o,6) outlier_rate from k1 join k2 using (dataset) join m using (dataset)""")
+m as (select dataset, avg(mart) mm, count(*) n, avg(cast(abs(dev)>c as integer)) o, any_value(c) c from rd join q using (dataset) group by 1),
+pv as (select k1.dataset, {ks_p_sql('k1.ks', 'k1.n')} p1, {ks_p_sql('k2.ks', 'k2.n')} p2 from k1 join k2 using (dataset)),
+ad as (select pv.*, 0.25*(cast(p1>0.05 and k1.n>20 as integer)+cast(abs(mm)<0.1 as integer)+cast(p2>0.05 and k1.n>20 as integer)+cast(o<0.1 as integer)) sc from pv join k1 using (dataset) join m using (dataset))
+select dataset, round(p1,6) cox_snell_p, round(p2,6) distribution_p, cast(sc as double) adequacy_score, case when sc>=0.75 then 'ADEQUATE' when sc>=0.5 then 'MARGINAL' else 'INADEQUATE' end adequacy, round(k1.ks,6) cox_snell_ks, cast(k1.n as bigint) n_events, round(k2.ks,6) distribution_stat, round(mm,6) martingale_mean, m.n n_rows, round(c,6) deviance_p95, round(o,6) outlier_rate from k1 join k2 using (dataset) join m using (dataset) join ad using (dataset)""")
 def i17(spark, sf):
-    return tidy(dg.residual_tests(fx.scored(spark, sf), DIST, S).drop("cox_snell_p", "distribution_p", "adequacy_score", "adequacy"))
+    return tidy(dg.residual_tests(fx.scored(spark, sf), DIST, S))
 
 
 @query("i17_jarque_bera", f"""{SC}, r as (select dataset, {Z} z from scored where event=1), m as (select dataset, avg(z) a from r group by 1),
 c as (select dataset, count(*) n, avg((z-a)**2) m2, avg((z-a)**3) m3, avg((z-a)**4) m4 from r join m using (dataset) group by 1)
-select dataset, n, round(m3/m2**1.5,6) skewness, round(m4/(m2*m2)-3,6) kurtosis, round(n/6.0*((m3/m2**1.5)**2+(m4/(m2*m2)-3)**2/4),4) jarque_bera from c""")
+select dataset, n, round(m3/m2**1.5,6) skewness, round(m4/(m2*m2)-3,6) kurtosis, round(n/6.0*((m3/m2**1.5)**2+(m4/(m2*m2)-3)**2/4),4) jarque_bera,
+ round(exp(-n/12.0*((m3/m2**1.5)**2+(m4/(m2*m2)-3)**2/4)),6) p_value from c""")
 def i17_jb(spark, sf):
     ev = dg.residuals(fx.scored(spark, sf), "normal", S).where(F.col("event") == 1)
-    j = dg.jarque_bera(ev, "standardised").drop("p_value").withColumn("jarque_bera", F.round("jarque_bera", 4))
+    j = dg.jarque_bera(ev, "standardised").withColumn("jarque_bera", F.round("jarque_bera", 4))
     return tidy(j)
 
 

@@ -41,6 +41,12 @@ ROUND_BASE = ", ".join(["population", "cast(events as bigint) events", "round(ev
                        [f"round(retention_{h}d,6) retention_{h}d" for h in (30, 90, 180, 365)])
 
 
+def erf_sql(x):
+    t = f"(1.0/(1.0+0.3275911*abs({x})))"
+    poly = f"{t}*(0.254829592+{t}*(-0.284496736+{t}*(1.421413741+{t}*(-1.453152027+{t}*1.061405429))))"
+    return f"(sign({x})*(1.0-{poly}*exp(-({x})*({x}))))"
+
+
 def tidy(df, ints=(), keep=()):
     """Round every double column; the shape every registered report has."""
     out = []
@@ -117,10 +123,10 @@ lr as (select (O-E)*(O-E)/V stat from (select sum(d1) O, sum(d*r1/r) E, sum(case
 select a.population population_earlier, z.population population_later, round(a.event_rate,6) event_rate_earlier,
  round(z.event_rate,6) event_rate_later, a.median_days median_days_earlier, z.median_days median_days_later,
  {', '.join(f'round(a.retention_{h}d,6) retention_{h}d_earlier, round(z.retention_{h}d,6) retention_{h}d_later, round(z.retention_{h}d-a.retention_{h}d,6) change_{h}d' for h in (30, 90, 180, 365))},
- round(stat,6) statistic, stat > 3.841458820694124 significant
+ round(stat,6) statistic, round(1-{erf_sql('sqrt(stat/2.0)')},6) p_value, stat > 3.841458820694124 significant
 from b a, b z, lr where a.cohort='A' and z.cohort='B' and z.population>=1000""")
 def f7(spark, sf):
-    return tidy(sv.temporal_trends(_cohorts(spark, sf), "cohort", "A", "B").drop("p_value"))
+    return tidy(sv.temporal_trends(_cohorts(spark, sf), "cohort", "A", "B"))
 
 
 @query("f8_industry_patterns", f"""with {fx.SURV}, sm as (select s.*, c_mktsegment segment from surv s join customer on o_custkey=c_custkey where dataset in ('train','val')),
