@@ -57,7 +57,7 @@ def running_totals(df: DataFrame, by, order: str, totals, descending=False) -> D
         *[F.sum(f"_t_{c}").over(whole).alias(f"all_{c}") for c in totals])
     inside = W.partitionBy(*by, "_b").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(
         W.unboundedPreceding, 0)
-    joined = null_safe_join(d, offsets, by + ["_b"], "inner")
+    joined = null_safe_join(d, by_shuffle(offsets), by + ["_b"], "inner")
     kept = [c for c in df.columns]
     return joined.select(*kept, *[(F.sum(c).over(inside) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in totals],
                          *[f"all_{c}" for c in totals])
@@ -89,7 +89,13 @@ def value_before(df: DataFrame, by, order: str, value: str, out: str) -> DataFra
     last = d.groupBy(*by, "_b").agg(F.max_by(value, order).alias("_last"))
     carry = last.select(*by, "_b", F.lag("_last").over(W.partitionBy(*(by or [F.lit(0)])).orderBy("_b")).alias("_carry"))
     own = F.lag(value).over(W.partitionBy(*by, "_b").orderBy(order))
-    return null_safe_join(d.withColumn("_own", own), carry, [*by, "_b"], "inner").withColumn(out, F.coalesce("_own", "_carry")).drop("_b", "_own", "_carry")
+    return null_safe_join(d.withColumn("_own", own), by_shuffle(carry), [*by, "_b"], "inner").withColumn(out, F.coalesce("_own", "_carry")).drop("_b", "_own", "_carry")
+
+
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A table that grows with the input, to be joined by shuffle and merge: shuffled files of a few MB can be hundreds of MB on the driver
+    when they are broadcast."""
+    return df.hint("merge")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on, how="left") -> DataFrame:
@@ -130,7 +136,7 @@ def percent_rank_by(df: DataFrame, by, order: str, out: str) -> DataFrame:
     ranks = running_totals(counts, by, order, ["_n"]).select(
         *by, order, F.when(size > 1, (F.col("cum__n") - F.col("_n")) / (size - 1)).otherwise(0.0).alias(out))
     on = by + [order]
-    return null_safe_join(df, ranks, on, "left")
+    return null_safe_join(df, by_shuffle(ranks), on, "left")
 
 
 def exact_quantiles(df: DataFrame, by, value: str, probs: dict) -> DataFrame:
@@ -256,6 +262,6 @@ def previous_value(df: DataFrame, by, date: str, value: str, tiebreak=(), out="p
     last = df.withColumn("_m", F.year(date) * 12 + F.month(date)).groupBy(*by, "_m").agg(
         F.max_by(value, F.struct(*order)).alias("_last"))
     carry = last.select(*by, "_m", F.lag("_last").over(W.partitionBy(*by).orderBy("_m")).alias("_carry"))
-    j = d.join(carry, by + ["_m"], "left")
+    j = d.join(by_shuffle(carry), by + ["_m"], "left")
     return j.withColumn(out, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_p"))).drop(
         "_m", "_p", "_rn", "_carry")
