@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tenurelens.functions.scale import by_shuffle
 from tenurelens.operators import aft
 from tenurelens.operators import baselines as bl
 from tenurelens.operators import calibration as ca
@@ -19,6 +20,7 @@ from tenurelens.plans.model_queries import DIST, INPUTS, RISK, S, SC, cdf_sql, f
 from tenurelens.plans.registry import query
 from tenurelens.plans.survival_queries import AGE, km_sql, tidy
 from tenurelens.schema import ENTITY
+from tenurelens.sources.shared import materialize
 
 HZ = "hz(h) as (values (30),(90),(180),(365))"
 HR = f"{HZ}, hr as (select s.*, h, 1-{surv_sql('h')} p, cast(time<=h and event=1 as integer) y from scored s, hz)"
@@ -475,11 +477,16 @@ sb as (select *, (case when age is null or age<=0 then 'nan' when age<=35 then '
 
 
 def baseline_rows(spark, sf):
+    """Written once per session: every baseline reads the rows several times."""
+    return materialize(spark, "baseline_rows", sf, lambda: build_baseline_rows(spark, sf))
+
+
+def build_baseline_rows(spark, sf):
     s = fx.survival(spark, sf)
     c = fx.read_table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("industry"))
     b = fx.base(spark, sf).where(F.col("vantage_date") == F.lit("1998-01-01").cast("date")).select(
         "cid", "tenure_at_vantage_days", (F.months_between("vantage_date", "birth_dt") / 12).alias("age_at_vantage"))
-    return bl.demographic_stratum(s.join(c, s.o_custkey == c.c_custkey).join(b, s.o_custkey == b.cid))
+    return bl.demographic_stratum(s.join(by_shuffle(c), s.o_custkey == c.c_custkey).join(by_shuffle(b), s.o_custkey == b.cid))
 
 
 def _parts(spark, sf):
