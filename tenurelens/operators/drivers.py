@@ -27,18 +27,16 @@ def contributions(df: DataFrame, eta, features, risk_stats: dict) -> DataFrame:
     def blanked(feature):
         """Columns in which the named feature is blank."""
         def get(name):
-            if name not in used:
+            if name != feature:
                 return F.col(name)
-            value = F.lit("Unknown") if isinstance(kinds[name], T.StringType) else F.lit(0).cast(kinds[name])
-            return F.when(feature == name, value).otherwise(F.col(name))
+            return F.lit("Unknown") if isinstance(kinds[name], T.StringType) else F.lit(0).cast(kinds[name])
         return get
 
-    # one expression for all features: writing it out once per feature outgrows generated code
-    names = F.array(*[F.lit(f) for f in used])
-    etas = F.transform(names, lambda f: F.struct(f.alias("feature"), eta(blanked(f)).alias("eta")))
-    d = df.select("*", eta(F.col).alias("_eta"), etas.alias("_etas")).withColumn("risk", risk(F.col("_eta")))
-    change = F.transform("_etas", lambda x: F.struct(x["feature"].alias("feature"), (F.col("risk") - risk(x["eta"])).alias("contribution")))
-    return d.withColumn("drivers", change).drop("_eta", "_etas")
+    # a column per feature: the terms they share are worked out once, in generated code
+    names = {f: f"_eta_{i}" for i, f in enumerate(used)}
+    d = df.select("*", eta(F.col).alias("_eta"), *[eta(blanked(f)).alias(c) for f, c in names.items()]).withColumn("risk", risk(F.col("_eta")))
+    change = [F.struct(F.lit(f).alias("feature"), (F.col("risk") - risk(F.col(c))).alias("contribution")) for f, c in names.items()]
+    return d.withColumn("drivers", F.array(*change)).drop("_eta", *names.values())
 
 
 def fold_to_source(df: DataFrame, lineage: dict, features) -> DataFrame:

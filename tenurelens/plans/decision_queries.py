@@ -426,7 +426,8 @@ def drivers(spark, sf):
 
 @query("m1_contributions", f"with {WF}, {WS}, {CONTRIB} select {E}, feature, round(contribution,6) contribution from ct")
 def m1(spark, sf):
-    d = drivers(spark, sf).select(*ENTITY, F.explode("drivers").alias("d"))
+    # outer: for a plain explode Spark infers a filter on the array's size and works out every driver once more for it
+    d = drivers(spark, sf).select(*ENTITY, F.explode_outer("drivers").alias("d"))
     return tidy(d.select(*ENTITY, "d.feature", "d.contribution"))
 
 
