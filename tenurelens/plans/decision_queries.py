@@ -437,7 +437,7 @@ SOURCE = {"compensation_percentile_company": "baseline_salary", "peer_salary_rat
 @query("m2_fold_to_source", f"""with {WF}, {WS}, {CONTRIB}, s as (select {E}, case feature when 'compensation_percentile_company' then 'baseline_salary' when 'peer_salary_ratio' then 'baseline_salary' when 'tenure_in_current_role' then 'time_since_last_promotion' else feature end source,
  contribution, row_number() over () rn from ct) select {E}, source feature, round(max_by(contribution, abs(contribution)),6) contribution from s group by {E}, source""")
 def m2(spark, sf):
-    d = dr.fold_to_source(drivers(spark, sf), SOURCE, FEATURES).select(*ENTITY, F.explode("drivers").alias("d"))
+    d = dr.fold_to_source(drivers(spark, sf), SOURCE, FEATURES).select(*ENTITY, F.explode_outer("drivers").alias("d"))
     return tidy(d.select(*ENTITY, "d.feature", "d.contribution"))
 
 
