@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenurelens.functions.scale import percent_rank_by, previous_value
+from tenurelens.functions.scale import by_shuffle, percent_rank_by, previous_value
 from tenurelens.operators.run_summary import history_summary
 from tenurelens.schema import EFFECTIVE, ENTITY, VANTAGE
 from tenurelens.sources.keys import NO_MANAGER
@@ -18,7 +18,7 @@ def point_in_time(df: DataFrame, date=EFFECTIVE, closed=True) -> DataFrame:
 
 def attach(df: DataFrame, features: DataFrame, fills=None, on=ENTITY) -> DataFrame:
     """Left join features to the entity table and fill the gaps."""
-    out = df.join(features, list(on), "left")
+    out = df.join(by_shuffle(features), list(on), "left")
     if not fills:
         return out
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items()})
@@ -36,7 +36,7 @@ def enrich(df: DataFrame, right: DataFrame, on, source: DataFrame | None = None)
     if source is None:
         return df.join(right, on, "left")
     narrow = source.select(*dict.fromkeys([*ENTITY, *on])).join(right, on, "left")
-    return df.join(narrow.drop(*[c for c in on if c not in ENTITY]), ENTITY, "left")
+    return df.join(by_shuffle(narrow.drop(*[c for c in on if c not in ENTITY])), ENTITY, "left")
 
 
 def as_of(value: str, date=EFFECTIVE, not_after: Column | None = None) -> Column:

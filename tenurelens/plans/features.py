@@ -48,7 +48,19 @@ def with_history(base: DataFrame, history: DataFrame, places: DataFrame | None,
     """
     parts = FROM_HISTORY if strict else [p for p in FROM_HISTORY if set(PARTS[p]) <= set(history.columns)]
     found = history_summary(history, parts, places)
-    return hi.attach(base, found.drop("salary_0d_ago", "salary_365d_ago", "pay_freq_diversity_score"))
+    return hi.attach(base, own_stage(found.drop("salary_0d_ago", "salary_365d_ago", "pay_freq_diversity_score"), 0))
+
+
+#: Groups joined by the same tasks.
+TOGETHER = 3
+
+
+def own_stage(df: DataFrame, turn: int) -> DataFrame:
+    """Dealt by entity again, so that what follows runs in tasks of its own: every sorted join holds memory until its task ends.
+
+    ``turn`` changes the order of the key: Spark leaves out a shuffle to the partitioning that the rows have already.
+    """
+    return df.repartition(*(ENTITY if turn % 2 else ENTITY[::-1]))
 
 
 def steps(s: Sources, base: DataFrame):
@@ -84,9 +96,9 @@ def build_features(s: Sources, strict=True, sample_ids=None, normalize=True) ->
     base = keys.parse_composite_id(keys.source_filter(s.base, sample_ids))
     history = keys.restrict_to(s.history, base)
     df = with_history(base, history, s.places, strict)
-    for name, step in steps(s, base):
+    for i, (name, step) in enumerate(steps(s, base)):
         try:
-            df = df.transform(step)
+            df = (own_stage(df, i // TOGETHER) if i and i % TOGETHER == 0 else df).transform(step)
         except AnalysisException as e:
             if strict:
                 raise

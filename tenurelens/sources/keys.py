@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenurelens.functions.scale import by_shuffle
 from tenurelens.schema import ENTITY, PERSON, VANTAGE
 
 # fixed values: countries covered, placeholder managers, vantage date of each split and snapshot month
@@ -39,7 +40,7 @@ def source_filter(df: DataFrame, sample_ids=None) -> DataFrame:
 
 def restrict_to(history: DataFrame, df: DataFrame, on=ENTITY) -> DataFrame:
     """History of the people in ``df`` only."""
-    return history.join(df.select(*on), list(on), "left_semi")
+    return history.join(by_shuffle(df.select(*on)), list(on), "left_semi")
 
 
 def with_vantage_by_split(cleaned: DataFrame, splits: DataFrame, vantage=None) -> DataFrame:
