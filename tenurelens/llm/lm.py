@@ -22,10 +22,8 @@ DISCOUNTED = 5
 #: Bytes of text in a block; a history with this share of all tokens is spread over all shards.
 BLOCK_BYTES, HOT_SHARE = 8 << 20, 1 / 1024
 END, START = U(0x3C6EF372FE94F82B), U(0xA54FF53A5F1D36F1)
-#: The part of a word's hash that tells the successors of one history apart.
-SUCCESSOR = U(0xFFFFFFFFFF000000)
-#: Kinds of pieces, each with 10 x its order: grams by history, grams of hot histories, numbers by count, sums of hot histories, stored tables.
-GRAMS, HOT_GRAMS, STATS, HOT_SUMS, TABLE = range(5)
+#: Kinds of pieces, each with 10 x its order: grams by history, grams of hot histories, numbers by count, sums of hot histories, stored tables, blocks as word numbers.
+GRAMS, HOT_GRAMS, STATS, HOT_SUMS, TABLE, STATE = range(6)
 N_STATS = DISCOUNTED + 4  # by count 0 .. DISCOUNTED + 1, then tokens and distinct ones
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -58,27 +56,126 @@ def packed_blocks(docs: DataFrame, total: int, block_bytes: int) -> tuple[DataFr
     return dealt.select("doc_id", "text", "block").mapInArrow(run, "block long, docs binary").repartition(partitions_for(docs.sparkSession, n), "block"), n
 
 
+def tokens_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a block's documents, whether each has one, where its tokens start, and the tokens: hashes of lower-cased words, and one end each."""
+    ids, known, sizes, bodies = [], [], [], []
+    for raw in sorted(zstandard.ZstdDecompressor().decompress(x) for x in table.column("docs").to_pylist()):
+        n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
+        part = np.frombuffer(raw, dtype=np.int64, count=3 * n, offset=8).reshape(3, n)
+        ids.append(part[0])
+        known.append(part[1])
+        sizes.append(part[2])
+        bodies.append(np.frombuffer(raw, dtype=np.uint8, offset=8 + 24 * n))
+    offsets = np.concatenate(([0], np.cumsum(X.joined(sizes, np.int64)))).astype(np.int64)
+    words, first = T.all_words(T.lowered(X.joined(bodies, np.uint8)), offsets)
+    return X.joined(ids, np.int64), X.joined(known, np.int64), first + np.arange(len(first)), np.insert(words, first[1:], END)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed byte planes; integers take as few bytes as their largest value needs."""
+    head, planes = [len(arrays)], []
+    for a in map(np.ascontiguousarray, arrays):
+        if a.dtype.kind in "iub" and (not len(a) or a.min() >= 0):
+            a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+        head += [ord(a.dtype.kind), a.itemsize, len(a)]
+        planes.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"")
+    return zstandard.ZstdCompressor(level=3).compress(np.array(head, dtype=np.int64).tobytes() + b"".join(planes))
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """What ``packed`` was given; whole numbers as int64, those of 2**63 and more as uint64."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    head, at, out = raw[8:8 + 24 * n].view(np.int64).reshape(n, 3), 8 + 24 * n, []
+    for kind, size, length in head.tolist():
+        a = np.ascontiguousarray(raw[at:at + size * length].reshape(size, length).T).view(f"{chr(kind)}{size}").reshape(length)
+        at += size * length
+        out.append(a if kind == ord("f") or (size == 8 and kind == ord("u")) else a.astype(np.int64))
+    return out
+
+
+def steps(a: np.ndarray) -> np.ndarray:
+    """Word numbers as differences, modulo 2**32; mostly ascending ones become small."""
+    return np.diff(a.astype(np.uint32), prepend=np.uint32(0))
+
+
+def unstepped(a: np.ndarray) -> np.ndarray:
+    return np.cumsum(a.astype(np.uint32), dtype=np.uint32).astype(np.int64)
+
+
+def sparse(a: np.ndarray, usual: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (as differences) and values of what isn't the usual value."""
+    at = np.flatnonzero(a != usual)
+    return np.diff(at, prepend=0), a[at]
+
+
+def dense(n: int, at: np.ndarray, values: np.ndarray, usual: float) -> np.ndarray:
+    out = np.full(n, usual)
+    out[np.cumsum(at)] = values
+    return out
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where one of each distinct key is, in ascending order, and the place of every key among them."""
+    order = np.argsort(key)
+    own = key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = own[1:] != own[:-1]
+    place = np.empty(len(key), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
+
+
+def with_mark(count: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Training count of a gram and whether a held-out document has it, as asked of a shard."""
+    return count.astype(np.int64) * 2 + held
+
+
+def marked_count(count: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """A shard's answer: 0 for unseen, 1 for a gram seen once in training and in no held-out document, else count + 1."""
+    return np.where((count == 1) & ~held, 1, count + (count > 0))
+
+
+def count_of(marked: np.ndarray) -> np.ndarray:
+    return marked - (marked > 1)
+
+
+def chained(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return T.mix(before * U(0xD6E8FEB86659FD93) + word.astype(U))
+
+
 class Block:
-    """The tokens of a block's documents (hashes of lower-cased words, and one end each), and the token before each."""
-
-    def __init__(self, table: pa.Table):
-        ids, known, sizes, bodies = [], [], [], []
-        for raw in sorted(zstandard.ZstdDecompressor().decompress(x) for x in table.column("docs").to_pylist()):
-            n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
-            part = np.frombuffer(raw, dtype=np.int64, count=3 * n, offset=8).reshape(3, n)
-            ids.append(part[0])
-            known.append(part[1])
-            sizes.append(part[2])
-            bodies.append(np.frombuffer(raw, dtype=np.uint8, offset=8 + 24 * n))
-        self.ids = [int(i) if k else None for i, k in zip(X.joined(ids, np.int64), X.joined(known, np.int64))]
-        offsets = np.concatenate(([0], np.cumsum(X.joined(sizes, np.int64)))).astype(np.int64)
-        words, first = T.all_words(T.lowered(X.joined(bodies, np.uint8)), offsets)
-        self.first = first + np.arange(len(first))
-        self.tokens = np.insert(words, first[1:], END)
+    """The tokens of a block's documents as numbers of known words (0: unknown), and the grams that end with each.
+
+    Words are numbered once, the more frequent ones lower; grams are told apart by these numbers.
+    ``cols`` has the words of the block's distinct grams of the present order, last word first.
+    A history seen once in training and in no held-out document (``alone``) is followed by one token
+    of this block and asked for by no other: its gram's count is one, and no shard need be asked.
+    """
+
+    def __init__(self, data: bytes, shards: int, hot_share: float):
+        ids, known, first, self.words, marked, self.tokens, end = unpacked(data)
+        self.counts, self.alone_words = count_of(marked), marked == 1
+        self.ids = [int(i) if k else None for i, k in zip(ids, known)]
+        self.first, self.shards, self.hot_share = np.concatenate(([0], np.cumsum(first))), shards, hot_share
         self.held_out = np.array([held_out(i) for i in self.ids], dtype=bool)
         self.trains = ~np.repeat(self.held_out, np.diff(self.first))
-        self.words, self.word = np.unique(self.tokens, return_inverse=True)
-        self.order = 0
+        self.ends = int(self.counts[end[0]])
+
+    @staticmethod
+    def state(table: pa.Table, told) -> bytes:
+        """The documents with the answers of the word shards: number and marked count of each distinct word."""
+        ids, known, first, tokens = tokens_of(table)
+        words, word = np.unique(tokens, return_inverse=True)
+        got = [unpacked(p) for k, _, _, p in told if k == 10 + GRAMS]
+        number, count = (X.joined([g[j] for g in got], np.int64) for j in (0, 1))
+        order = np.argsort(number)
+        order = order[number[order] > 0]
+        numbers = np.append(0, number[order])
+        local = np.searchsorted(numbers, number)
+        end = local[np.searchsorted(words, END)]
+        return packed(ids, known, np.diff(first), numbers, np.append(0, count[order]), local[word], np.array([end]))
 
     def shifted(self, values, first):
         """The value of the token before each; ``first`` where a document starts."""
@@ -86,67 +183,93 @@ class Block:
         out[self.first[:-1]] = first
         return out
 
-    def told(self, told, order: int, hot_share: float, least: int):
+    def told(self, told, order: int, stats: dict, hot: dict, least: int):
         """Takes in the answers up to ``order``: count, probability and history of every token at that order."""
-        self.stats = stats_of(told, 1)
-        counts = X.joined([X.unpack_values(p, np.int64) for k, _, _, p in told if k == 10 + GRAMS], np.int64)
-        self.order, self.count = 1, counts[self.word]
-        self.p = word_probability(counts, self.stats)[self.word]
-        self.ends = int(counts[np.searchsorted(self.words, END)])
-        self.of, self.factor, self.history = np.ones(len(self.tokens), dtype=np.int64), np.ones(len(self.tokens)), None
-        self.hot_share = hot_share
+        n = len(self.tokens)
+        self.order, self.stats, self.count = 1, stats, self.counts[self.tokens]
+        self.p = word_probability(self.counts, stats[1])[self.tokens]
+        self.of, self.factor = np.ones(n, dtype=np.int64), np.ones(n)
+        self.alone = self.alone_words[self.tokens]
+        self.gram, self.cols, self.hashes = self.tokens, [self.words], chained(END, self.words)
         for _ in range(2, order + 1):
             self.longer()
-            self.take(told, least)
+            self.take(told, hot, least)
 
     def longer(self):
-        """Turns to histories one token longer; what the shorter ones gave is kept as ``below``, ``below_factor`` and ``lower``."""
-        with np.errstate(over="ignore"):
-            own = self.tokens if self.history is None else T.mix(self.history * U(0xD6E8FEB86659FD93) + self.tokens)
+        """Turns to grams one token longer; what the shorter ones gave is kept as ``below``, ``below_factor`` and ``lower``.
+
+        Finds the distinct grams after a known history, and deals them to shards: ``by`` has them in the
+        order asked (hot histories last, then by shard, history and word), ``history`` and ``token`` what each consists of.
+        """
         self.below, self.below_factor, self.lower = self.of, self.factor, self.count
         self.order += 1
-        self.history = self.shifted(own, START)
+        n = len(self.hashes)  # the start of a document comes after all grams
+        before = self.shifted(self.gram, n)
+        self.before_cols = [np.append(c, 1 if j == 0 else 0) for j, c in enumerate(self.cols)]
+        self.before_hashes = np.append(self.hashes, START)
         self.of = self.shifted(self.count, self.ends)
-        self.hot = self.of >= max(1, self.stats[-2] * self.hot_share)
-
-    def grams(self, hot: bool):
-        """Tokens after a known history, their place among the distinct grams asked, and of those: key, history, word, first token."""
-        i = np.flatnonzero((self.of > 0) & (self.hot == hot))
-        h, w = self.history[i], self.tokens[i] & SUCCESSOR
-        with np.errstate(over="ignore"):
-            key = T.mix(h + w) if hot else h
-        order = np.lexsort((w, key))
-        new = np.ones(len(i), dtype=bool)
-        new[1:] = (key[order][1:] != key[order][:-1]) | (w[order][1:] != w[order][:-1])
-        place = np.empty(len(i), dtype=np.int64)
-        place[order] = np.cumsum(new) - 1
-        pick = order[new]
-        return i, place, key[pick], h[pick], w[pick], i[pick]
-
-    def take(self, told, least: int):
+        hot = self.of >= max(1, self.stats[1][-2] * self.hot_share)
+        alone = self.shifted(self.alone, False)
+        self.settled = np.flatnonzero(alone)
+        self.asks = np.flatnonzero((self.of > 0) & ~alone)
+        pick, self.place = distinct(self.tokens[self.asks] * (n + 1) + before[self.asks])
+        self.token = self.asks[pick]
+        self.history, self.hot = before[self.token], hot[self.token]
+        word = self.words[self.tokens[self.token]]
+        self.gram = np.zeros(len(self.tokens), dtype=np.int64)
+        self.gram[self.asks] = self.place
+        self.cols = [word] + [c[self.history] for c in self.before_cols]
+        self.hashes = chained(self.before_hashes[self.history], word)
+        key = np.where(self.hot, self.hashes, self.before_hashes[self.history])
+        self.shard = (((key >> U(32)) * U(self.shards)) >> U(32)).astype(np.int64) + self.hot * self.shards
+        asked = self.shard * (n + 1) + self.history
+        self.by = np.argsort(asked, kind="stable")
+        self.new = np.diff(asked[self.by], prepend=-1) != 0
+
+    def requests(self):
+        """The distinct grams for every shard, with training counts and what gives the shorter gram's probability."""
+        trains = self.trains[self.asks]
+        held = np.zeros(len(self.token), dtype=bool)
+        held[self.place[~trains]] = True
+        count = with_mark(np.bincount(self.place, weights=trains, minlength=len(self.token)), held)
+        shard = self.shard[self.by]
+        cut = np.flatnonzero(np.diff(shard, prepend=-1))
+        for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)]):
+            own, new = self.by[x:y], self.new[x:y]
+            first = own[new]
+            t, h, hot = self.token[first], self.history[first], bool(self.hot[own[0]])
+            cols = [c[h] for c in self.before_cols]
+            data = packed(self.of[t], self.below[t], *sparse(self.below_factor[t], 1.0), self.before_hashes[h] if hot else np.zeros(0, dtype=U),
+                          new, self.cols[0][own], count[own], self.lower[self.token[own]], steps(cols[0]), *cols[1:])
+            yield int(shard[x]) % self.shards, 10 * self.order + (HOT_GRAMS if hot else GRAMS), data
+
+    def take(self, told, hot: dict, least: int):
         """Counts and probabilities of the grams of the present order: a kept gram's share, or else the history's weight times the shorter one's."""
         kind = 10 * self.order
-        d = cut_discounts(stats_of(told, self.order), least)
-        n = len(self.tokens)
-        count, weight, factor = np.zeros(n, dtype=np.int64), np.ones(n), np.ones(n)
-        i, place, key, *_ = self.grams(False)
-        parts = [apart(p) for k, _, _, p in told if k == kind + GRAMS]
-        count[i] = X.joined([X.unpack_values(p[0], np.int64) for p in parts], np.int64)[place]
-        at = np.cumsum(np.diff(key, prepend=key[:1]) != 0)[place]
-        weight[i], factor[i] = (X.joined([X.unpack_values(p[j], np.float64) for p in parts], np.float64)[at] for j in (1, 2))
-        i, place, *_ = self.grams(True)
-        count[i] = X.joined([X.unpack_values(p, np.int64) for k, _, _, p in told if k == kind + HOT_GRAMS], np.int64)[place]
-        sums = next((hot_rows(p, least) for k, _, _, p in told if k == kind + HOT_SUMS), None)
-        if len(i) and sums is not None and sums.shape[1]:
+        d = cut_discounts(self.stats[self.order], least)
+        grams, n = len(self.token), len(self.tokens)
+        own, weight, factor = np.zeros(grams, dtype=np.int64), np.ones(grams), np.ones(grams)
+        parts = [unpacked(p) for k, _, _, p in told if k == kind + GRAMS]
+        plain = self.by[~self.hot[self.by]]
+        own[plain] = X.joined([p[0] for p in parts], np.int64)
+        at = np.cumsum(self.new)[:len(plain)] - 1
+        weight[plain], factor[plain] = (X.joined([dense(int(p[1][0]), p[j], p[j + 1], usual) for p in parts], np.float64)[at] for j, usual in ((2, 0.0), (4, 1.0)))
+        spread = self.by[len(plain):]
+        own[spread] = X.joined([unpacked(p)[0] for k, _, _, p in told if k == kind + HOT_GRAMS], np.int64)
+        if len(spread) and hot.get(self.order) is not None:
+            sums = hot_rows(hot[self.order], least)
             hist, of, *by, rest, lower = sums
-            own = backoff((sum(d[c] * c_tokens for c, c_tokens in zip(range(least, DISCOUNTED + 1), by)) + rest) / of, lower, of)
-            hist = hist.view(U)
-            at = np.minimum(np.searchsorted(hist, self.history[i]), len(hist) - 1)
-            found = hist[at] == self.history[i]
-            weight[i], factor[i] = (np.where(found, x[at], 1.0) for x in own)
-        kept = count >= least
-        self.p = np.where(kept, factor * share(count, np.maximum(self.of, 1), d), weight * self.p)
-        self.count, self.factor = count, factor
+            both = backoff((sum(d[c] * c_tokens for c, c_tokens in zip(range(least, DISCOUNTED + 1), by)) + rest) / of, lower, of)
+            hist, asked = hist.view(U), self.before_hashes[self.history[spread]]
+            if len(hist):
+                at = np.minimum(np.searchsorted(hist, asked), len(hist) - 1)
+                weight[spread], factor[spread] = (np.where(hist[at] == asked, x[at], 1.0) for x in both)
+        self.count, all_weight, self.factor, self.alone = np.zeros(n, dtype=np.int64), np.ones(n), np.ones(n), np.zeros(n, dtype=bool)
+        self.count[self.asks], all_weight[self.asks], self.factor[self.asks], self.alone[self.asks] = count_of(own)[self.place], weight[self.place], factor[self.place], (own == 1)[self.place]
+        self.count[self.settled], self.alone[self.settled] = 1, True
+        self.factor[self.settled] = backoff(d[1:2], np.zeros(1), np.ones(1))[1]
+        kept = self.count >= least
+        self.p = np.where(kept, self.factor * share(self.count, np.maximum(self.of, 1), d), all_weight * self.p)
 
 
 def stats_of(pieces, order: int) -> np.ndarray:
@@ -158,16 +281,6 @@ def hot_rows(data: bytes, least: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.float64).reshape(DISCOUNTED - least + 5, -1)
 
 
-def together(parts: list[bytes]) -> bytes:
-    return b"".join([np.array([len(parts), *map(len, parts)], dtype=np.int64).tobytes(), *parts])
-
-
-def apart(data: bytes) -> list[bytes]:
-    n = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
-    ends = np.cumsum(np.frombuffer(data, dtype=np.int64, count=n, offset=8)) + 8 + 8 * n
-    return [data[x:y] for x, y in zip([8 + 8 * n, *ends[:-1]], ends)]
-
-
 def numbers_by_count(counts: np.ndarray) -> np.ndarray:
     out = np.zeros(N_STATS, dtype=np.int64)
     out[1:DISCOUNTED + 2] = np.bincount(counts[counts <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)[1:]
@@ -223,58 +336,83 @@ def backoff(mass: np.ndarray, lower: np.ndarray, of: np.ndarray) -> tuple[np.nda
     return (1 - mass * factor) / np.maximum(1 - lower, 1e-15), factor
 
 
-def read_grams(pieces, kind: int, order: int, least: int):
-    """All that a shard was sent of one kind: the pieces, and their distinct grams with history, word, count, history count and the shorter gram's probability."""
-    own, grams = [], []
+def read_grams(pieces, kind: int, order: int):
+    """All that a shard was sent of one kind, merged.
+
+    The askers (shard, block, their histories and grams by place), the distinct histories (words, count,
+    count and factor of the shorter history, hash) and the distinct grams (history, word, count, count of the
+    shorter gram, whether a held-out document has it).
+    """
+    own, hists, grams, at = [], [], [], 0
     for k, s, b, p in pieces:
         if k == 10 * order + kind:
-            first, main = apart(p)
-            h, of, below, factor = X.unpack(first, U, np.int64, np.int64, np.float64)
-            at, w, n, c = X.unpack(main, np.int64, U, np.uint32, np.int64)
-            own.append((s, b, h, at, w))
-            grams.append((h[at], w, n.astype(np.int64), of[at], c, below[at], factor[at]))
+            of, below, places, factor, hashes, new, w, n, c, *cols = unpacked(p)
+            cols[0] = unstepped(cols[0])
+            own.append((s, b, len(of), len(w)))
+            hists.append((of, below, dense(len(of), places, factor, 1.0), hashes, *cols))
+            grams.append((at + np.cumsum(new) - 1, w, n, c))
+            at += len(of)
     if not own:
         return None
-    h, w, n, of, c, below, factor = (np.concatenate([x[i] for x in grams]) for i in range(7))
-    del grams
-    order_of = np.lexsort((w, h))
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[order_of][1:] != h[order_of][:-1]) | (w[order_of][1:] != w[order_of][:-1])
-    place = np.empty(len(h), dtype=np.int64)
-    place[order_of] = np.cumsum(new) - 1
-    first = order_of[new]
-    stats = stats_of(pieces, order - 1)
-    lower = word_probability(c[first], stats) if order == 2 else factor[first] * share(c[first], np.maximum(below[first], 1), cut_discounts(stats, least))
-    return own, h[first], w[first], np.bincount(place, weights=n, minlength=len(first)).astype(np.int64), of[first], lower, place
+    of, below, factor, hashes, *cols = (np.concatenate(x) for x in zip(*hists))
+    g, w, n, c = (np.concatenate(x) for x in zip(*grams))
+    del hists, grams
+    key = cols[0]
+    for col in cols[1:]:
+        if key is not cols[0]:
+            key = distinct(key)[1]
+        key = key.astype(U) << U(32) | col.astype(U)
+    pick, hist = distinct(key)
+    g = hist[g]
+    some, place = distinct(g.astype(U) << U(32) | w.astype(U))
+    count = np.bincount(place, weights=n >> 1, minlength=len(some)).astype(np.int64)
+    held = np.zeros(len(some), dtype=bool)
+    held[place[n & 1 == 1]] = True
+    h = [x[pick] for x in (of, below, factor)] + [hashes[pick] if len(hashes) else hashes, [x[pick] for x in cols]]
+    return own, hist, place, h, (g[some], w[some], count, c[some], held)
+
+
+def lower_probability(h, grams, stats: np.ndarray, order: int, least: int) -> np.ndarray:
+    """Probability of the grams one token shorter."""
+    (_, below, factor, *_), (g, _, _, c, _) = h, grams
+    if order == 2:
+        return word_probability(c, stats)
+    return factor[g] * share(c, np.maximum(below[g], 1), cut_discounts(stats, least))
 
 
 @dataclass
 class Model:
-    """The blocks of documents, and for each order the folder with the shards' tables and the answers to the blocks."""
+    """The blocks as numbered words, for each order the folder with the shards' tables and the answers to the blocks, and the totals by order."""
 
     blocks: DataFrame
     paths: list[str]
     order: int
     least: int
     hot_share: float
+    shards: int
+    stats: dict
+    hot: dict
 
     def answers(self) -> DataFrame:
         return answers_in(self.blocks.sparkSession, self.paths)
 
 
 def answers_in(spark, paths: list[str]) -> DataFrame:
-    return stored(spark, paths, "answers")
+    """Answers of the orders from two on; those of the first are in the numbered words."""
+    if len(paths) < 2:
+        return spark.createDataFrame([], X.PIECES)
+    return reduce(DataFrame.unionByName, (stored(spark, p, "answers") for p in paths[1:]))
 
 
-def stored(spark, paths: list[str], part: str) -> DataFrame:
-    each = (spark.read.schema(f"{X.PIECES}, part string").parquet(p).where(F.col("part") == part).drop("part") for p in paths)
-    return reduce(DataFrame.unionByName, each)
+def stored(spark, path: str, part: str) -> DataFrame:
+    return spark.read.schema(f"{X.PIECES}, part string").parquet(path).where(F.col("part") == part).drop("part")
 
 
 def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2, least: int = 2) -> Model:
     """The model of the training documents, spread over shards, with the answers that each block needs.
 
-    (1) Blocks send their distinct words with training counts.
+    (1) Blocks send their distinct words with training counts; shards number the words, and the
+    blocks are written as word numbers.  Texts aren't needed from then on.
     (2) For each order from two up, blocks send their distinct grams with training counts, the
     count of the gram one token shorter and, per history, what gives that one's probability.
     Shards add up, and the numbers of grams by count go through one small total to all shards.
@@ -286,88 +424,106 @@ def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2, least:
     spark = docs.sparkSession
     total = text_bytes(docs)
     shards = cuts(total, block_bytes)
-    blocks, n_blocks = packed_blocks(docs, total, block_bytes)
-    hot_share = HOT_SHARE
+    texts, n_blocks = packed_blocks(docs, total, block_bytes)
+    hot_share, stats, hot = HOT_SHARE, {}, {}
 
     def word_request(block, table):
-        b = Block(table)
-        return X.pieces(block, 10 + GRAMS, shards, b.words, np.bincount(b.word, weights=b.trains, minlength=len(b.words)).astype(np.int64))
+        ids, known, first, tokens = tokens_of(table)
+        trains = ~np.repeat(np.array([held_out(int(i) if k else None) for i, k in zip(ids, known)], dtype=bool), np.diff(first))
+        words, word = np.unique(tokens, return_inverse=True)
+        held = np.zeros(len(words), dtype=bool)
+        held[word[~trains]] = True
+        return X.pieces(block, 10 + GRAMS, shards, words, with_mark(np.bincount(word, weights=trains, minlength=len(words)), held).astype(np.uint32))
 
     def word_reply(pieces):
-        own = [(s, b, *X.unpack(p, U, np.int64)) for k, s, b, p in pieces]
+        shard = pieces[0][1]
+        own = [(s, b, *X.unpack(p, U, np.uint32)) for k, s, b, p in pieces]
         words, place = np.unique(np.concatenate([o[2] for o in own]), return_inverse=True)
-        counts = np.bincount(place, weights=np.concatenate([o[3] for o in own])).astype(np.int64)
+        asked = np.concatenate([o[3] for o in own])
+        counts = np.bincount(place, weights=asked >> 1).astype(np.int64)
+        held = np.zeros(len(words), dtype=bool)
+        held[place[asked & 1 == 1]] = True
+        marked = marked_count(counts, held)
+        known = np.lexsort((words, -counts))[:np.count_nonzero(counts)]
+        number = np.zeros(len(words), dtype=np.int64)
+        number[known] = 2 + np.arange(len(known)) * shards + shard  # 0: unknown, 1: start of a document
+        if number.max(initial=0) >> 32:
+            raise ValueError("too many distinct words for 32-bit numbers")
         ends = np.cumsum([0] + [len(o[2]) for o in own])
-        out = [(s, b, 10 + GRAMS, X.pack_values(counts[place[x:y]])) for (s, b, *_), x, y in zip(own, ends[:-1], ends[1:])]
-        out.append((own[0][0], -1, 10 + STATS, numbers_by_count(counts).tobytes()))
-        return out + [(own[0][0], -2, 10 + TABLE, X.pack(words[counts > 0], counts[counts > 0]))]
+        out = [(s, b, 10 + GRAMS, packed(number[place[x:y]], marked[place[x:y]])) for (s, b, *_), x, y in zip(own, ends[:-1], ends[1:])]
+        out.append((shard, -1 - shard, 10 + STATS, numbers_by_count(counts).tobytes()))
+        return out + [(shard, -1 - shard, 10 + TABLE, X.pack(words[counts > 0], number[counts > 0], counts[counts > 0]))]
+
+    def number_words(key, table, told):
+        block = int(key[0].as_py())
+        if block < 0:  # tables and numbers of a shard
+            return told.select(["shard", "block", "kind", "data"])
+        return X.lean(lambda: X.as_table([(-1, block, 10 + STATE, Block.state(table.combine_chunks(), X.listed(told)))]))
 
     def requests(n):
+        by_order, sums = dict(stats), dict(hot)
+
         def run(block, table, told):
-            b = Block(table)
-            b.told(told, n - 1, hot_share, least)
+            b = Block(table.column("data")[0].as_py(), shards, hot_share)
+            b.told(told, n - 1, by_order, sums, least)
             b.longer()
-            out = []
-            for hot in (False, True):
-                i, place, key, h, w, token = b.grams(hot)
-                count = np.bincount(place, weights=b.trains[i], minlength=len(key)).astype(np.uint32)
-                which, ends = X.split(key, shards)
-                for s, x, y in zip(which, ends[:-1], ends[1:]):
-                    hist, first, at = np.unique(h[x:y], return_index=True, return_inverse=True)
-                    t = token[x:y][first]
-                    out.append((int(s), block, 10 * n + (HOT_GRAMS if hot else GRAMS), together([X.pack(hist, b.of[t], b.below[t], b.below_factor[t]), X.pack(at.astype(np.int64), w[x:y], count[x:y], b.lower[token[x:y]])])))
-            stats = stats_of(told, n - 1).tobytes()
-            return out + [(s, block, 10 * (n - 1) + STATS, stats) for s in sorted({o[0] for o in out})]
+            out = [(s, block, kind, data) for s, kind, data in b.requests()]
+            return out + [(block % shards, block, 10 * n + STATS, numbers_by_count(np.ones(len(b.settled), dtype=np.int64)).tobytes())]
         return run
 
     def gram_numbers(n):
+        lower = stats[n - 1]
+
         def run(pieces):
-            found = {kind: g for kind in (GRAMS, HOT_GRAMS) if (g := read_grams(pieces, kind, n, least))}
-            if not found:
-                return []
+            found = {kind: g for kind in (GRAMS, HOT_GRAMS) if (g := read_grams(pieces, kind, n))}
             shard = pieces[0][1]
-            out = [(shard, -1, 10 * n + STATS, sum(numbers_by_count(g[3]) for g in found.values()).tobytes())]
+            settled = [np.frombuffer(p, dtype=np.int64) for k, _, _, p in pieces if k == 10 * n + STATS]
+            out = [(shard, -1, 10 * n + STATS, sum([numbers_by_count(g[4][2]) for g in found.values()] + settled).tobytes())]
             if HOT_GRAMS in found:
-                _, h, _, count, of, p, _ = found[HOT_GRAMS]
-                kept = count >= least
-                hist, at = np.unique(h[kept], return_inverse=True)
-                of_hist = np.zeros(len(hist))
-                of_hist[at] = of[kept]
-                by = [np.bincount(at, weights=count[kept] * (count[kept] == c), minlength=len(hist)) for c in range(least, DISCOUNTED + 1)]
-                by += [np.bincount(at, weights=count[kept] * (count[kept] > DISCOUNTED), minlength=len(hist)), np.bincount(at, weights=p[kept], minlength=len(hist))]
-                out.append((shard, -1, 10 * n + HOT_SUMS, np.concatenate((hist.view(np.float64), of_hist, *by)).tobytes()))
+                _, _, _, h, grams = found[HOT_GRAMS]
+                kept = grams[2] >= least
+                p, (g, _, count, *_) = lower_probability(h, grams, lower, n, least)[kept], (x[kept] for x in grams)
+                order_of = np.argsort(h[3])
+                hist, at = h[3][order_of], np.argsort(order_of)[g]
+                by = [np.bincount(at, weights=count * (count == c), minlength=len(hist)) for c in range(least, DISCOUNTED + 1)]
+                by += [np.bincount(at, weights=count * (count > DISCOUNTED), minlength=len(hist)), np.bincount(at, weights=p, minlength=len(hist))]
+                out.append((shard, -1, 10 * n + HOT_SUMS, np.concatenate((hist.view(np.float64), h[0][order_of].astype(np.float64), *by)).tobytes()))
             return out
         return run
 
     def replies(n):
+        lower_stats = stats[n - 1]
+
         def run(key, pieces, told):
-            pieces, told = X.listed(pieces), X.listed(told)
+            return X.lean(lambda: X.as_table(work(int(key[0].as_py()), X.listed(pieces), X.listed(told))))
+
+        def work(shard, pieces, told):
             d = cut_discounts(stats_of(told, n), least)
-            out = []
+            out = [(shard, -1, k, p) for k, _, _, p in told] if shard == 0 else []
             for kind in (GRAMS, HOT_GRAMS):
-                got = read_grams(pieces, kind, n, least)
+                got = read_grams(pieces, kind, n)
                 if not got:
                     continue
-                own, h, w, count, of, p, place = got
-                kept = count >= least
-                part = np.where(kept, share(count, np.maximum(of, 1), d), 0.0)
-                hist = np.unique(np.concatenate([o[2] for o in own]))
-                at = np.searchsorted(hist, h)
-                mass, lower = np.bincount(at, weights=part, minlength=len(hist)), np.bincount(at, weights=p * kept, minlength=len(hist))
-                of_hist = np.ones(len(hist), dtype=np.int64)
-                of_hist[at] = of
-                weight, factor = backoff(mass, lower, of_hist)
-                ends = np.cumsum([0] + [len(o[4]) for o in own])
-                for (s, b, asked, which, _), x, y in zip(own, ends[:-1], ends[1:]):
+                own, hist, place, h, grams = got
+                g, w, count, c, held = grams
+                kept, of, marked = count >= least, h[0], marked_count(count, held)
+                if kind == GRAMS:
+                    part = np.where(kept, share(count, np.maximum(of[g], 1), d), 0.0)
+                    lower = lower_probability(h, grams, lower_stats, n, least) * kept
+                    weight, factor = backoff(np.bincount(g, weights=part, minlength=len(of)), np.bincount(g, weights=lower, minlength=len(of)), of)
+                x = i = 0
+                for s, b, n_hist, n_grams in own:
+                    at, asked = place[x:x + n_grams], hist[i:i + n_hist]
+                    x, i = x + n_grams, i + n_hist
                     if kind == GRAMS:
-                        i, backs_off = np.searchsorted(hist, asked), np.zeros(len(asked), dtype=bool)
-                        backs_off[which[~kept[place[x:y]]]] = True
-                        data = together([X.pack_values(count[place[x:y]]), X.pack_values(np.where(backs_off, weight[i], 0.0)), X.pack_values(factor[i])])
+                        backs_off = np.zeros(len(of), dtype=bool)
+                        backs_off[g[at[~kept[at]]]] = True
+                        data = packed(marked[at], np.array([n_hist]), *sparse(np.where(backs_off, weight, 0.0)[asked], 0.0), *sparse(factor[asked], 1.0))
                     else:
-                        data = X.pack_values(count[place[x:y]])
+                        data = packed(marked[at])
                     out.append((s, b, 10 * n + kind, data))
-                out.append((own[0][0], -2, 10 * n + TABLE, together([np.int64(kind).tobytes(), X.pack(h[kept], w[kept], count[kept], part[kept]), X.pack(hist, weight, factor)])))
-            return X.as_table(out)
+                out.append((shard, -1, 10 * n + TABLE, packed(of, h[1], *sparse(h[2], 1.0), np.diff(g[kept], prepend=0), w[kept], count[kept], c[kept], steps(h[4][0]), *h[4][1:])))
+            return out
         return run
 
     def add_numbers(parts):
@@ -380,13 +536,14 @@ def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2, least:
         of[at] = rows[1]
         return np.concatenate((hist.view(np.float64), of, *(np.bincount(at, weights=x, minlength=len(hist)) for x in rows[2:]))).tobytes()
 
-    def totalled(answers: DataFrame, kinds: list[int], to_shards: bool) -> DataFrame:
-        """One small row per shard and kind, added up and sent to every block (or shard)."""
+    def totalled(numbers: DataFrame) -> DataFrame:
+        """One small row per shard and kind, added up: numbers by count go to every shard, sums of hot histories to one."""
         def run(key, table):
             kind = int(key[0].as_py())
-            data = (add_hot if kind % 10 == HOT_SUMS else add_numbers)([x[3] for x in X.listed(table)])
-            return X.as_table([(i, -1, kind, data) for i in range(shards)] if to_shards else [(-1, i, kind, data) for i in range(n_blocks)])
-        return answers.where(F.col("kind").isin(kinds)).groupBy("kind").applyInArrow(run, X.PIECES)
+            is_hot = kind % 10 == HOT_SUMS
+            data = (add_hot if is_hot else add_numbers)([x[3] for x in X.listed(table)])
+            return X.as_table([(i, -1, kind, data) for i in range(1 if is_hot else shards)])
+        return numbers.groupBy("kind").applyInArrow(run, X.PIECES)
 
     def per_shard(asked, run):
         def apply(table):
@@ -394,48 +551,81 @@ def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2, least:
         return asked.groupBy("shard").applyInArrow(apply, X.PIECES)
 
     def written(rows: DataFrame, n: int) -> str:
-        path = new_path(spark, f"grams{n}")
-        part = F.when(F.col("kind") % 10 == TABLE, "tables").otherwise("answers")
-        write(rows.where(f"block >= 0 or kind % 10 = {TABLE}").withColumn("part", part), path, "part")
+        path, kind = new_path(spark, f"grams{n}"), F.col("kind") % 10
+        part = F.when(kind == TABLE, "tables").when(kind.isin(STATS, HOT_SUMS), "totals").when(kind == STATE, "blocks").otherwise("answers")
+        write(rows.withColumn("part", part), path, "part")
         return path
 
-    words = X.answer(X.ask(blocks, word_request), word_reply, shards)
-    paths = [written(words.unionByName(totalled(words, [10 + STATS], False)), 1)] 
+    def totals(path: str, n: int):
+        """At most a hundred kilobytes: nine numbers, and sums of at most 1 / HOT_SHARE histories."""
+        found = stored(spark, path, "totals")
+        rows = [(r.kind, r.shard, r.block, bytes(r.data)) for r in (totalled(found).where("shard = 0") if n == 1 else found).collect()]
+        stats[n], hot[n] = stats_of(rows, n), next((p for k, _, _, p in rows if k == 10 * n + HOT_SUMS), None)
+
+    words = X.answer(X.ask(texts, word_request), word_reply, shards)
+    paths = [written(texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(number_words, X.PIECES), 1)]
+    totals(paths[0], 1)
+    blocks = stored(spark, paths[0], "blocks").select("block", "data").repartition(partitions_for(spark, n_blocks), "block")
     for n in range(2, order + 1):
         asked = X.ask_again(blocks, answers_in(spark, paths), requests(n)).repartition(partitions_for(spark, shards), "shard")
-        numbers = per_shard(asked, gram_numbers(n))
-        to_shards = totalled(numbers, [10 * n + STATS], True)
-        two = asked.groupBy("shard").cogroup(to_shards.groupBy("shard")).applyInArrow(replies(n), X.PIECES)
-        paths.append(written(two.unionByName(totalled(numbers, [10 * n + STATS, 10 * n + HOT_SUMS], False)), n))
-    return Model(blocks, paths, order, least, hot_share)
+        sums = totalled(per_shard(asked, gram_numbers(n)))
+        paths.append(written(asked.groupBy("shard").cogroup(sums.groupBy("shard")).applyInArrow(replies(n), X.PIECES), n))
+        totals(paths[-1], n)
+    return Model(blocks, paths, order, least, hot_share, shards, stats, hot)
 
 
 def stored_grams(model: Model, n: int) -> DataFrame:
-    """The kept grams of order ``n`` (two or more) as the shards stored them: ``history``, ``word`` (hashes), ``count`` and discounted ``share`` of the history."""
-    def run(batches):
+    """The kept grams of order ``n`` (two or more): ``history`` (a hash), ``word`` (its number), ``count`` and discounted ``share`` of the history.
+
+    Shards have stored most of them; those of histories that a shard need not be asked for are in the blocks.
+    """
+    least, hot_share, shards, stats, hot = model.least, model.hot_share, model.shards, model.stats, model.hot
+    d = cut_discounts(stats[n], least)
+
+    def as_rows(cols, w, count, of):
+        hist = np.full(len(w), START)
+        for col in reversed(cols):
+            hist = chained(hist, col)
+        return pa.table([pa.array(x) for x in (hist.view(np.int64), w, count, share(count, of, d))], ["history", "word", "count", "share"])
+
+    def shard_rows(batches):
         for b in batches:
             for data in b.column("data").to_pylist():
-                h, w, count, part = X.unpack(apart(data)[1], U, U, np.int64, np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), w.view(np.int64), count, part)], ["history", "word", "count", "share"])
-
-    tables = stored(model.blocks.sparkSession, [model.paths[n - 1]], "tables")
-    return tables.select("data").mapInArrow(run, "history long, word long, count long, share double")
+                of, _, _, _, g, w, count, _, *cols = unpacked(data)
+                g, cols[0] = np.cumsum(g), unstepped(cols[0])
+                yield from as_rows([c[g] for c in cols], w, count, of[g]).to_batches()
+
+    def block_rows(key, table, told):
+        if not table.num_rows:
+            return as_rows([], *np.zeros((3, 0), dtype=np.int64))
+        b = Block(table.column("data")[0].as_py(), shards, hot_share)
+        b.told(X.listed(told), n - 1, stats, hot, least)
+        b.longer()
+        word, i, cols = b.words[b.tokens], b.settled if least < 2 else b.settled[:0], []
+        for j in range(n - 1):
+            cols.append(b.shifted(cols[-1] if cols else word, int(j == 0)))
+        one = np.ones(len(i), dtype=np.int64)
+        return as_rows([c[i] for c in cols], word[i], one, one)
+
+    schema = "history long, word long, count long, share double"
+    spark = model.blocks.sparkSession
+    told = answers_in(spark, model.paths[:n - 1])
+    in_blocks = model.blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(block_rows, schema)
+    return stored(spark, model.paths[n - 1], "tables").select("data").mapInArrow(shard_rows, schema).unionByName(in_blocks)
 
 
 def evaluate(model: Model) -> DataFrame:
     """Scores the documents of the blocks from the written answers, from the longest history down to the single words."""
-    order, least, hot_share = model.order, model.least, model.hot_share
+    order, least, hot_share, shards, stats, hot = model.order, model.least, model.hot_share, model.shards, model.stats, model.hot
 
     def run(block, table, told):
         if block is None:
             return scored([], [], [], [], 0, [], [])
-        b = Block(table)
-        b.told(told, 1, hot_share, least)
-        total, distinct, count = int(b.stats[-2]), int(b.stats[-1]), b.count
-        base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
-        for _ in range(2, order + 1):
-            b.longer()
-            b.take(told, least)
+        b = Block(table.column("data")[0].as_py(), shards, hot_share)
+        total, distinct_words = int(stats[1][-2]), int(stats[1][-1])
+        count = b.counts[b.tokens]
+        base = np.log10((count + 0.5) / (total + 0.5 * (distinct_words + 1)))
+        b.told(told, order, stats, hot, least)
         doc = np.repeat(np.arange(len(b.ids)), np.diff(b.first))
         add = lambda x: np.bincount(doc, weights=x, minlength=len(b.ids))
         return scored(b.ids, b.held_out, np.diff(b.first), add(count > 0), total, add(base), add(np.log10(b.p)))
