@@ -50,7 +50,7 @@ def packed_blocks(docs: DataFrame, total: int, block_bytes: int) -> tuple[DataFr
                 ids = part.column("doc_id")
                 known = np.array([v is not None for v in ids.to_pylist()], dtype=np.int64)
                 head = np.concatenate(([y - x], ids.fill_null(0).to_numpy(), known, np.diff(offsets))).astype(np.int64)
-                rows.append((int(block[order[x]]), zstandard.ZstdCompressor(level=3).compress(head.tobytes() + data.tobytes())))
+                rows.append((int(block[order[x]]), zstandard.ZstdCompressor(level=1).compress(head.tobytes() + data.tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["block", "docs"])
 
     return dealt.select("doc_id", "text", "block").mapInArrow(run, "block long, docs binary").repartition(partitions_for(docs.sparkSession, n), "block"), n
@@ -71,14 +71,21 @@ def tokens_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return X.joined(ids, np.int64), X.joined(known, np.int64), first + np.arange(len(first)), np.insert(words, first[1:], END)
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Signed integers and marks as the smallest unsigned kind that holds them, unless some are negative; others as they are."""
+    if a.dtype.kind == "b":
+        return a.astype(np.uint8)
+    if a.dtype.kind == "i" and (not len(a) or a.min() >= 0):
+        return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+    return np.ascontiguousarray(a)
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays as compressed byte planes; integers take as few bytes as their largest value needs."""
     head, planes = [len(arrays)], []
-    for a in map(np.ascontiguousarray, arrays):
-        if a.dtype.kind in "iub" and (not len(a) or a.min() >= 0):
-            a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+    for a in map(narrow, arrays):
         head += [ord(a.dtype.kind), a.itemsize, len(a)]
-        planes.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"")
+        planes.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if a.itemsize > 1 else a.tobytes())
     return zstandard.ZstdCompressor(level=3).compress(np.array(head, dtype=np.int64).tobytes() + b"".join(planes))
 
 
@@ -126,6 +133,13 @@ def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], place
 
 
+def in_order(key: np.ndarray) -> np.ndarray:
+    """Stable order of small keys; the same on every machine, since a block works it out again for each pass."""
+    if (int(key.max(initial=0)) + 1) * len(key) < 1 << 63:
+        return np.argsort(key * len(key) + np.arange(len(key)))
+    return np.argsort(key, kind="stable")
+
+
 def with_mark(count: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Training count of a gram and whether a held-out document has it, as asked of a shard."""
     return count.astype(np.int64) * 2 + held
@@ -149,33 +163,40 @@ class Block:
     """The tokens of a block's documents as numbers of known words (0: unknown), and the grams that end with each.
 
     Words are numbered once, the more frequent ones lower; grams are told apart by these numbers.
-    ``cols`` has the words of the block's distinct grams of the present order, last word first.
+    ``before_cols`` has the words of the block's distinct histories, last word first.
     A history seen once in training and in no held-out document (``alone``) is followed by one token
     of this block and asked for by no other: its gram's count is one, and no shard need be asked.
     """
 
-    def __init__(self, data: bytes, shards: int, hot_share: float):
-        ids, known, first, self.words, marked, self.tokens, end = unpacked(data)
-        self.counts, self.alone_words = count_of(marked), marked == 1
+    def __init__(self, data: bytes, told, shards: int, hot_share: float):
+        ids, known, length, tokens, rank = unpacked(data)
         self.ids = [int(i) if k else None for i, k in zip(ids, known)]
-        self.first, self.shards, self.hot_share = np.concatenate(([0], np.cumsum(first))), shards, hot_share
+        self.first, self.shards, self.hot_share = np.concatenate(([0], np.cumsum(length))), shards, hot_share
         self.held_out = np.array([held_out(i) for i in self.ids], dtype=bool)
-        self.trains = ~np.repeat(self.held_out, np.diff(self.first))
-        self.ends = int(self.counts[end[0]])
+        self.trains = ~np.repeat(self.held_out, length)
+        got = [unpacked(p) for k, _, _, p in told if k == 10 + GRAMS]
+        number, marked = (X.joined([g[j] for g in got], np.int64) for j in (0, 1))
+        order = np.argsort(number)
+        order = order[np.count_nonzero(number == 0):]
+        self.words, marked = np.append(0, number[order]), np.append(0, marked[order])
+        local = np.zeros(len(number), dtype=np.int64)
+        local[rank[order]] = np.arange(1, len(order) + 1)
+        self.tokens = local[tokens]
+        self.counts, self.alone_words = count_of(marked), marked == 1
+        self.ends = int(self.counts[self.tokens[-1]])  # a document's last token is its end
 
     @staticmethod
-    def state(table: pa.Table, told) -> bytes:
-        """The documents with the answers of the word shards: number and marked count of each distinct word."""
+    def of_texts(table: pa.Table) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The documents with their tokens as places among the block's words, frequent ones first; the words' hashes, and their marked counts."""
         ids, known, first, tokens = tokens_of(table)
-        words, word = np.unique(tokens, return_inverse=True)
-        got = [unpacked(p) for k, _, _, p in told if k == 10 + GRAMS]
-        number, count = (X.joined([g[j] for g in got], np.int64) for j in (0, 1))
-        order = np.argsort(number)
-        order = order[number[order] > 0]
-        numbers = np.append(0, number[order])
-        local = np.searchsorted(numbers, number)
-        end = local[np.searchsorted(words, END)]
-        return packed(ids, known, np.diff(first), numbers, np.append(0, count[order]), local[word], np.array([end]))
+        length = np.diff(first)
+        trains = ~np.repeat(np.array([held_out(int(i) if k else None) for i, k in zip(ids, known)], dtype=bool), length)
+        pick, word = distinct(tokens)
+        rank = np.empty(len(pick), dtype=np.int64)
+        rank[np.argsort(-np.bincount(word), kind="stable")] = np.arange(len(pick))
+        held = np.zeros(len(pick), dtype=bool)
+        held[word[~trains]] = True
+        return packed(ids, known, length, rank[word], rank), tokens[pick], with_mark(np.bincount(word, weights=trains), held)
 
     def shifted(self, values, first):
         """The value of the token before each; ``first`` where a document starts."""
@@ -183,11 +204,11 @@ class Block:
         out[self.first[:-1]] = first
         return out
 
-    def told(self, told, order: int, stats: dict, hot: dict, least: int):
-        """Takes in the answers up to ``order``: count, probability and history of every token at that order."""
+    def told(self, told, order: int, stats: dict, hot: dict, least: int, p: bool = False):
+        """Takes in the answers up to ``order``: count, with ``p`` also the probability, and history of every token at that order."""
         n = len(self.tokens)
         self.order, self.stats, self.count = 1, stats, self.counts[self.tokens]
-        self.p = word_probability(self.counts, stats[1])[self.tokens]
+        self.p = word_probability(self.counts, stats[1])[self.tokens] if p else None
         self.of, self.factor = np.ones(n, dtype=np.int64), np.ones(n)
         self.alone = self.alone_words[self.tokens]
         self.gram, self.cols, self.hashes = self.tokens, [self.words], chained(END, self.words)
@@ -198,33 +219,48 @@ class Block:
     def longer(self):
         """Turns to grams one token longer; what the shorter ones gave is kept as ``below``, ``below_factor`` and ``lower``.
 
-        Finds the distinct grams after a known history, and deals them to shards: ``by`` has them in the
-        order asked (hot histories last, then by shard, history and word), ``history`` and ``token`` what each consists of.
+        Finds the distinct grams after a known history, in the order asked: by shard, history and word,
+        those of hot histories last.  ``history`` and ``token`` say what each consists of.
         """
         self.below, self.below_factor, self.lower = self.of, self.factor, self.count
+        if self.order > 1:
+            word = self.words[self.last]
+            self.cols = [word] + [c[self.history] for c in self.before_cols]
+            self.hashes = chained(self.before_hashes[self.history], word)
         self.order += 1
         n = len(self.hashes)  # the start of a document comes after all grams
         before = self.shifted(self.gram, n)
         self.before_cols = [np.append(c, 1 if j == 0 else 0) for j, c in enumerate(self.cols)]
         self.before_hashes = np.append(self.hashes, START)
         self.of = self.shifted(self.count, self.ends)
-        hot = self.of >= max(1, self.stats[1][-2] * self.hot_share)
         alone = self.shifted(self.alone, False)
         self.settled = np.flatnonzero(alone)
         self.asks = np.flatnonzero((self.of > 0) & ~alone)
-        pick, self.place = distinct(self.tokens[self.asks] * (n + 1) + before[self.asks])
-        self.token = self.asks[pick]
-        self.history, self.hot = before[self.token], hot[self.token]
-        word = self.words[self.tokens[self.token]]
+        h, w = before[self.asks], self.tokens[self.asks]
+        is_hot = np.zeros(n + 1, dtype=bool)
+        is_hot[h] = self.of[self.asks] >= max(1, self.stats[1][-2] * self.hot_share)
+        # plain histories by shard and last word, then hot ones by number
+        last = self.last if self.order > 2 else np.arange(n)
+        place_of, shard_of = np.empty(n + 1, dtype=np.int64), self.shard_of(self.before_hashes)
+        place_of[in_order((shard_of + is_hot * self.shards) * (len(self.words) + 1) + np.append(last, len(self.words)))] = np.arange(n + 1)
+        key, shard = place_of[h] * len(self.words) + w, shard_of[h]
+        n_plain, n_hot = n + 1 - np.count_nonzero(is_hot), np.count_nonzero(is_hot)
+        i = np.flatnonzero(is_hot[h])
+        if len(i):  # grams of hot histories by a shard of their own
+            own = self.shard_of(chained(self.before_hashes[h[i]], self.words[w[i]]))
+            shard[i] = own + self.shards
+            rank = np.cumsum(is_hot) - 1
+            key[i] = (n_plain + own * n_hot + rank[h[i]]) * len(self.words) + w[i]
+        pick, self.place = distinct(key)
+        self.token, self.history, self.last = self.asks[pick], h[pick], w[pick]
+        self.hot = is_hot[self.history]
         self.gram = np.zeros(len(self.tokens), dtype=np.int64)
         self.gram[self.asks] = self.place
-        self.cols = [word] + [c[self.history] for c in self.before_cols]
-        self.hashes = chained(self.before_hashes[self.history], word)
-        key = np.where(self.hot, self.hashes, self.before_hashes[self.history])
-        self.shard = (((key >> U(32)) * U(self.shards)) >> U(32)).astype(np.int64) + self.hot * self.shards
-        asked = self.shard * (n + 1) + self.history
-        self.by = np.argsort(asked, kind="stable")
-        self.new = np.diff(asked[self.by], prepend=-1) != 0
+        self.shard = shard[pick]
+        self.new = np.diff(self.shard * (n + 1) + self.history, prepend=-1) != 0
+
+    def shard_of(self, key):
+        return (((key >> U(32)) * U(self.shards)) >> U(32)).astype(np.int64)
 
     def requests(self):
         """The distinct grams for every shard, with training counts and what gives the shorter gram's probability."""
@@ -232,16 +268,16 @@ class Block:
         held = np.zeros(len(self.token), dtype=bool)
         held[self.place[~trains]] = True
         count = with_mark(np.bincount(self.place, weights=trains, minlength=len(self.token)), held)
-        shard = self.shard[self.by]
-        cut = np.flatnonzero(np.diff(shard, prepend=-1))
-        for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)]):
-            own, new = self.by[x:y], self.new[x:y]
-            first = own[new]
-            t, h, hot = self.token[first], self.history[first], bool(self.hot[own[0]])
-            cols = [c[h] for c in self.before_cols]
-            data = packed(self.of[t], self.below[t], *sparse(self.below_factor[t], 1.0), self.before_hashes[h] if hot else np.zeros(0, dtype=U),
-                          new, self.cols[0][own], count[own], self.lower[self.token[own]], steps(cols[0]), *cols[1:])
-            yield int(shard[x]) % self.shards, 10 * self.order + (HOT_GRAMS if hot else GRAMS), data
+        count, lower, words, new = (narrow(x) for x in (count, self.lower[self.token], self.words[self.last], self.new))
+        t, h = self.token[self.new], self.history[self.new]
+        of, below, factor, hashes, *cols = (narrow(x[i]) for x, i in ((self.of, t), (self.below, t), (self.below_factor, t), (self.before_hashes, h), *((c, h) for c in self.before_cols)))
+        cut = np.flatnonzero(np.diff(self.shard, prepend=-1))
+        at = np.append(np.cumsum(self.new)[cut] - 1, len(h)).tolist()
+        for x, y, i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(self.shard)], at[:-1], at[1:]):
+            hot = bool(self.hot[x])
+            data = packed(of[i:j], below[i:j], *sparse(factor[i:j], 1.0), hashes[i:j] if hot else hashes[:0],
+                          new[x:y], words[x:y], count[x:y], lower[x:y], steps(cols[0][i:j]), *(c[i:j] for c in cols[1:]))
+            yield int(self.shard[x]) % self.shards, 10 * self.order + (HOT_GRAMS if hot else GRAMS), data
 
     def take(self, told, hot: dict, least: int):
         """Counts and probabilities of the grams of the present order: a kept gram's share, or else the history's weight times the shorter one's."""
@@ -250,26 +286,28 @@ class Block:
         grams, n = len(self.token), len(self.tokens)
         own, weight, factor = np.zeros(grams, dtype=np.int64), np.ones(grams), np.ones(grams)
         parts = [unpacked(p) for k, _, _, p in told if k == kind + GRAMS]
-        plain = self.by[~self.hot[self.by]]
-        own[plain] = X.joined([p[0] for p in parts], np.int64)
-        at = np.cumsum(self.new)[:len(plain)] - 1
-        weight[plain], factor[plain] = (X.joined([dense(int(p[1][0]), p[j], p[j + 1], usual) for p in parts], np.float64)[at] for j, usual in ((2, 0.0), (4, 1.0)))
-        spread = self.by[len(plain):]
-        own[spread] = X.joined([unpacked(p)[0] for k, _, _, p in told if k == kind + HOT_GRAMS], np.int64)
-        if len(spread) and hot.get(self.order) is not None:
+        plain = len(self.hot) - np.count_nonzero(self.hot)
+        own[:plain] = X.joined([p[0] for p in parts], np.int64)
+        at = np.cumsum(self.new[:plain]) - 1
+        weight[:plain], factor[:plain] = (X.joined([dense(int(p[1][0]), p[j], p[j + 1], usual) for p in parts], np.float64)[at] for j, usual in ((2, 0.0), (4, 1.0)))
+        own[plain:] = X.joined([unpacked(p)[0] for k, _, _, p in told if k == kind + HOT_GRAMS], np.int64)
+        if plain < grams and hot.get(self.order) is not None:
             sums = hot_rows(hot[self.order], least)
             hist, of, *by, rest, lower = sums
             both = backoff((sum(d[c] * c_tokens for c, c_tokens in zip(range(least, DISCOUNTED + 1), by)) + rest) / of, lower, of)
-            hist, asked = hist.view(U), self.before_hashes[self.history[spread]]
+            hist, asked = hist.view(U), self.before_hashes[self.history[plain:]]
             if len(hist):
                 at = np.minimum(np.searchsorted(hist, asked), len(hist) - 1)
-                weight[spread], factor[spread] = (np.where(hist[at] == asked, x[at], 1.0) for x in both)
-        self.count, all_weight, self.factor, self.alone = np.zeros(n, dtype=np.int64), np.ones(n), np.ones(n), np.zeros(n, dtype=bool)
-        self.count[self.asks], all_weight[self.asks], self.factor[self.asks], self.alone[self.asks] = count_of(own)[self.place], weight[self.place], factor[self.place], (own == 1)[self.place]
+                weight[plain:], factor[plain:] = (np.where(hist[at] == asked, x[at], 1.0) for x in both)
+        self.count, self.factor, self.alone = np.zeros(n, dtype=np.int64), np.ones(n), np.zeros(n, dtype=bool)
+        self.count[self.asks], self.factor[self.asks], self.alone[self.asks] = count_of(own)[self.place], factor[self.place], (own == 1)[self.place]
         self.count[self.settled], self.alone[self.settled] = 1, True
         self.factor[self.settled] = backoff(d[1:2], np.zeros(1), np.ones(1))[1]
-        kept = self.count >= least
-        self.p = np.where(kept, self.factor * share(self.count, np.maximum(self.of, 1), d), all_weight * self.p)
+        if self.p is not None:
+            all_weight = np.ones(n)
+            all_weight[self.asks] = weight[self.place]
+            kept = self.count >= least
+            self.p = np.where(kept, self.factor * share(self.count, np.maximum(self.of, 1), d), all_weight * self.p)
 
 
 def stats_of(pieces, order: int) -> np.ndarray:
@@ -398,10 +436,7 @@ class Model:
 
 
 def answers_in(spark, paths: list[str]) -> DataFrame:
-    """Answers of the orders from two on; those of the first are in the numbered words."""
-    if len(paths) < 2:
-        return spark.createDataFrame([], X.PIECES)
-    return reduce(DataFrame.unionByName, (stored(spark, p, "answers") for p in paths[1:]))
+    return reduce(DataFrame.unionByName, (stored(spark, p, "answers") for p in paths))
 
 
 def stored(spark, path: str, part: str) -> DataFrame:
@@ -423,20 +458,18 @@ def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2, least:
     """
     spark = docs.sparkSession
     total = text_bytes(docs)
-    shards = cuts(total, block_bytes)
+    shards = cuts(total, 2 * block_bytes)  # grams take less than half of what their texts take in a block; every piece costs time
     texts, n_blocks = packed_blocks(docs, total, block_bytes)
     hot_share, stats, hot = HOT_SHARE, {}, {}
 
     def word_request(block, table):
-        ids, known, first, tokens = tokens_of(table)
-        trains = ~np.repeat(np.array([held_out(int(i) if k else None) for i, k in zip(ids, known)], dtype=bool), np.diff(first))
-        words, word = np.unique(tokens, return_inverse=True)
-        held = np.zeros(len(words), dtype=bool)
-        held[word[~trains]] = True
-        return X.pieces(block, 10 + GRAMS, shards, words, with_mark(np.bincount(word, weights=trains, minlength=len(words)), held).astype(np.uint32))
+        state, words, counts = Block.of_texts(table)
+        return [(-1 - block, block, 10 + STATE, state)] + X.pieces(block, 10 + GRAMS, shards, words, counts.astype(np.uint32))
 
     def word_reply(pieces):
         shard = pieces[0][1]
+        if shard < 0:  # a block, passed on
+            return [(s, b, k, p) for k, s, b, p in pieces]
         own = [(s, b, *X.unpack(p, U, np.uint32)) for k, s, b, p in pieces]
         words, place = np.unique(np.concatenate([o[2] for o in own]), return_inverse=True)
         asked = np.concatenate([o[3] for o in own])
@@ -454,17 +487,11 @@ def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2, least:
         out.append((shard, -1 - shard, 10 + STATS, numbers_by_count(counts).tobytes()))
         return out + [(shard, -1 - shard, 10 + TABLE, X.pack(words[counts > 0], number[counts > 0], counts[counts > 0]))]
 
-    def number_words(key, table, told):
-        block = int(key[0].as_py())
-        if block < 0:  # tables and numbers of a shard
-            return told.select(["shard", "block", "kind", "data"])
-        return X.lean(lambda: X.as_table([(-1, block, 10 + STATE, Block.state(table.combine_chunks(), X.listed(told)))]))
-
     def requests(n):
         by_order, sums = dict(stats), dict(hot)
 
         def run(block, table, told):
-            b = Block(table.column("data")[0].as_py(), shards, hot_share)
+            b = Block(table.column("data")[0].as_py(), told, shards, hot_share)
             b.told(told, n - 1, by_order, sums, least)
             b.longer()
             out = [(s, block, kind, data) for s, kind, data in b.requests()]
@@ -512,13 +539,15 @@ def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2, least:
                     lower = lower_probability(h, grams, lower_stats, n, least) * kept
                     weight, factor = backoff(np.bincount(g, weights=part, minlength=len(of)), np.bincount(g, weights=lower, minlength=len(of)), of)
                 x = i = 0
+                backs_off = np.zeros(len(of), dtype=bool)
                 for s, b, n_hist, n_grams in own:
                     at, asked = place[x:x + n_grams], hist[i:i + n_hist]
                     x, i = x + n_grams, i + n_hist
                     if kind == GRAMS:
-                        backs_off = np.zeros(len(of), dtype=bool)
-                        backs_off[g[at[~kept[at]]]] = True
-                        data = packed(marked[at], np.array([n_hist]), *sparse(np.where(backs_off, weight, 0.0)[asked], 0.0), *sparse(factor[asked], 1.0))
+                        back = g[at[~kept[at]]]
+                        backs_off[back] = True
+                        data = packed(marked[at], np.array([n_hist]), *sparse(np.where(backs_off[asked], weight[asked], 0.0), 0.0), *sparse(factor[asked], 1.0))
+                        backs_off[back] = False
                     else:
                         data = packed(marked[at])
                     out.append((s, b, 10 * n + kind, data))
@@ -563,7 +592,7 @@ def fit(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2, least:
         stats[n], hot[n] = stats_of(rows, n), next((p for k, _, _, p in rows if k == 10 * n + HOT_SUMS), None)
 
     words = X.answer(X.ask(texts, word_request), word_reply, shards)
-    paths = [written(texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(number_words, X.PIECES), 1)]
+    paths = [written(words, 1)]
     totals(paths[0], 1)
     blocks = stored(spark, paths[0], "blocks").select("block", "data").repartition(partitions_for(spark, n_blocks), "block")
     for n in range(2, order + 1):
@@ -598,8 +627,9 @@ def stored_grams(model: Model, n: int) -> DataFrame:
     def block_rows(key, table, told):
         if not table.num_rows:
             return as_rows([], *np.zeros((3, 0), dtype=np.int64))
-        b = Block(table.column("data")[0].as_py(), shards, hot_share)
-        b.told(X.listed(told), n - 1, stats, hot, least)
+        told = X.listed(told)
+        b = Block(table.column("data")[0].as_py(), told, shards, hot_share)
+        b.told(told, n - 1, stats, hot, least)
         b.longer()
         word, i, cols = b.words[b.tokens], b.settled if least < 2 else b.settled[:0], []
         for j in range(n - 1):
@@ -621,14 +651,14 @@ def evaluate(model: Model) -> DataFrame:
     def run(block, table, told):
         if block is None:
             return scored([], [], [], [], 0, [], [])
-        b = Block(table.column("data")[0].as_py(), shards, hot_share)
+        b = Block(table.column("data")[0].as_py(), told, shards, hot_share)
         total, distinct_words = int(stats[1][-2]), int(stats[1][-1])
-        count = b.counts[b.tokens]
-        base = np.log10((count + 0.5) / (total + 0.5 * (distinct_words + 1)))
-        b.told(told, order, stats, hot, least)
+        known = (b.counts > 0)[b.tokens]
+        base = np.log10((b.counts + 0.5) / (total + 0.5 * (distinct_words + 1)))[b.tokens]
+        b.told(told, order, stats, hot, least, p=True)
         doc = np.repeat(np.arange(len(b.ids)), np.diff(b.first))
         add = lambda x: np.bincount(doc, weights=x, minlength=len(b.ids))
-        return scored(b.ids, b.held_out, np.diff(b.first), add(count > 0), total, add(base), add(np.log10(b.p)))
+        return scored(b.ids, b.held_out, np.diff(b.first), add(known), total, add(base), add(np.log10(b.p)))
 
     return X.finish(model.blocks, model.answers(), run, SCHEMA)
 

@@ -85,3 +85,30 @@ def test_query_keeps_pairs_seen_once(spark, tmp_path):
     spark.createDataFrame(list(docs.items()), EMPTY).write.parquet(str(tmp_path / "documents.parquet"))
     got = rows(Q.QUERIES["op3_lm_scoring"](spark, str(tmp_path)))
     assert {i: r.score for i, r in got.items()} == pytest.approx(katz(docs, 3)[0], rel=1e-9)
+
+
+def test_grams_take_little_room(spark):
+    import random
+    from pathlib import Path
+
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(9000)]
+    docs = {i: " ".join(words[min(int(r.paretovariate(0.6)), 9000) - 1] for _ in range(400)) for i in range(200)}
+    model = lm.fit(documents(spark.createDataFrame(list(docs.items()), EMPTY)), 1 << 18, 3, 1)
+    files = [f for p in model.paths for f in Path(p.removeprefix("file:")).rglob("*.parquet")]
+    assert files and sum(f.stat().st_size for f in files) < 3 * sum(map(len, docs.values()))
+
+
+def test_history_seen_once_is_settled_in_its_block(spark):
+    train = [i for i in range(40) if not lm.held_out(i)]
+    out = [i for i in range(40) if lm.held_out(i)]
+    docs = {i: f"a{i} b{i} c{i} d{i}" for i in train} | {out[0]: f"a{train[0]} b{train[0]} x d{train[0]}"}
+    model = lm.fit(documents(spark.createDataFrame(list(docs.items()), EMPTY)), 400, 3, 1)
+    want, _, _, _, counts = katz(docs, 3)
+    got = rows(lm.evaluate(model))
+    assert {i: got[i].score for i in want} == pytest.approx(want, rel=1e-9)
+    for n in (2, 3):
+        grams = lm.stored_grams(model, n).collect()
+        assert len({(r["history"], r["word"]) for r in grams}) == len(grams) == len(counts[n])
+    told = [len(lm.unpacked(r["data"])[5]) for r in lm.stored(spark, model.paths[2], "tables").collect()]
+    assert sum(told) < len(counts[3]) / 2
